@@ -6,7 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import common, language, mixing, near_dedup, quality, toxicity
+from vellum.llm import byte_bpe, common, language, mixing, near_dedup, quality, toxicity
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = byte_bpe.decode(byte_bpe.encode(common.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_near_dedup": op2_near_dedup,
     "op5_mixing": op5_mixing,
     "op7_quality_classifier": op7_quality_classifier,
