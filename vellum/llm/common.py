@@ -75,6 +75,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         yield batch.slice(start)
 
 
+def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list], list[bool]]], column: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose value in the column is kept by judge()(values), made once in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = judge()
+        for batch in pieces(batches, column):
+            yield batch.filter(pa.array(kept(batch.column(batch.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Weights of a logistic curve over the columns of x, the first of which is all ones, by Newton's method with a small ridge."""
     w = np.zeros(x.shape[1])

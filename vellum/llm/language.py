@@ -218,3 +218,14 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, that have a language with a posterior of `least` or more; texts without a letter go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        identifier = Identifier(shared.value)
+        return lambda texts: [x != UNDETERMINED and p >= least for x, p in identifier.predict(texts)]
+
+    return common.keep_rows(docs, judge)

@@ -203,3 +203,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score lies under the threshold; null and empty texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        scorer = Scorer(shared.value)
+        return lambda texts: [scorer.probability(scorer.evidence(scorer.passages(t))) < threshold for t in texts]
+
+    return common.keep_rows(docs, judge)
