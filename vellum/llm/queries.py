@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import byte_bpe, chat, common, language, mixing, near_dedup, quality, toxicity, warc
+from vellum.llm import byte_bpe, chat, common, language, media, mixing, near_dedup, quality, topk, toxicity, warc
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(common.table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(~common.held_out(F.col("doc_id"), 5, 0)))
@@ -55,6 +59,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~common.held_out(F.col("doc_id"), 5, 0)))
@@ -68,8 +76,10 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
+    "op6_media_columns": op6_media_columns,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_language_id": op8_language_id,
+    "op9_topk_search": op9_topk_search,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -82,6 +92,14 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
         FROM d LEFT JOIN f USING (payload_digest)
     """,
+    "op9_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.c, v.c)::BIGINT AS score
+              FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
 
 
