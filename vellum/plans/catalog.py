@@ -1,9 +1,432 @@
-"""Registered queries over the driver tables."""
+"""Registered queries over the driver tables, each with DuckDB SQL for the same rows where SQL can express them.
 
+Queries on assembled articles (vellum.plans.corpus) take apart their HTML; the SQL beside them starts from the parts that
+the articles are made of. Arrays are joined to strings, so that either engine shows them alike.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellum.functions import html, links, rules, text
+from vellum.operators import evergreen, length, seo, sources, structure, typography
+from vellum.plans import corpus, evaluate
+from vellum.sources import company_export
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+WEBSITE = "https://www.home.example"
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _joined(items: Column) -> Column:
+    return F.array_join(items, "|")
+
+
+# ---- documents as they are ----
+_SPACES = r"[\s\p{Z}\x0B\x1c-\x1f\x{85}]"
+_VISIBLE = (
+    rf"trim(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '{_SPACES}+', ' ', 'g'))"
+)
+_COUNTED = f"SELECT doc_id, lang, CASE WHEN {_VISIBLE} = '' THEN 0 ELSE len(string_split({_VISIBLE}, ' ')) END::INT AS word_count FROM documents"
+_RANGES = ", ".join(f"('{k}', '{e}', {a}, {'NULL' if b is None else b})" for k, by in rules.LENGTH_RANGES.items() for e, (a, b) in by.items())
+_JUDGED = f"""
+    SELECT c.*, r.expected_length, CASE WHEN word_count < trunc(least_words * 0.9::DOUBLE) OR word_count > trunc(most_words * 1.1::DOUBLE) THEN 'fail' ELSE 'pass' END AS status
+    FROM ({_COUNTED}) c, (VALUES {_RANGES}) r(content_type, expected_length, least_words, most_words)
+    WHERE r.content_type = 'articles' AND r.expected_length = CASE doc_id % 3 WHEN 0 THEN 'SIMPLE' WHEN 1 THEN 'MEDIUM' ELSE 'LONG' END
+"""
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = _table(spark, sf_dir, "documents").select("doc_id", "lang", text.visible_text(F.col("text")).alias("plain"))
+    return plain.select("doc_id", "lang", text.word_count(F.col("plain")).alias("word_count"))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 3 == 0, "SIMPLE").when(F.col("doc_id") % 3 == 1, "MEDIUM").otherwise("LONG")
+    return length.judge(_counted(spark, sf_dir).withColumns({"content_type": F.lit("articles"), "expected_length": kind}))
+
+
+@_query(f"SELECT doc_id, word_count, word_count = 0 AS is_empty FROM ({_COUNTED})")
+def q01_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark, sf_dir).select("doc_id", "word_count", (F.col("word_count") == 0).alias("is_empty"))
+
+
+@_query(f"SELECT doc_id, expected_length, word_count, status, CASE WHEN status = 'pass' THEN 100 ELSE 0 END AS score, (status = 'fail')::INT AS blocking FROM ({_JUDGED})")
+def q02_length_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocking = F.size(evaluate.blocking(F.lit("length"), F.col("length")))
+    return _judged(spark, sf_dir).select("doc_id", "expected_length", "word_count", "length.status", "length.score", blocking.alias("blocking"))
+
+
+@_query(f"SELECT lang, status, count(*) AS n FROM ({_JUDGED}) GROUP BY ALL")
+def q03_length_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).groupBy("lang", F.col("length.status").alias("status")).agg(F.count("*").alias("n"))
+
+
+_DECODED = r"regexp_replace(text, '[ \t]*<[^>]+>(?:[ \t]*<[^>]+>)*[ \t]*', ' ', 'g')"
+_TYPO = {
+    "double_spaces": rf"len(regexp_extract_all({_DECODED}, ' {{2,}}'))",
+    "trailing_spaces": r"len(list_filter(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_matches(x, '[ \t]+$')))",
+    "space_before_dot": rf"len(regexp_extract_all({_DECODED}, '{_SPACES}+\.'))",
+    "space_before_comma": rf"len(regexp_extract_all({_DECODED}, '{_SPACES}+,'))",
+    "french_nbsp_before_double_punctuation": rf"len(regexp_extract_all({_DECODED}, '[:;!?%]')) - len(regexp_extract_all({_DECODED}, '\x{{A0}}[:;!?%]'))",
+    "multiple_punctuation": rf"len(regexp_extract_all({_DECODED}, '[!?.,;:]{{2,}}'))",
+}
+for _i, _rule in enumerate(_TYPO):
+
+    def _typo(spark: SparkSession, sf_dir: str, rule: str = _rule) -> DataFrame:
+        return _table(spark, sf_dir, "documents").select("doc_id", typography.count(F.col("text"), rule).alias("n"))
+
+    QUERIES[f"q{_i + 4:02d}_typo_{_rule}"] = _typo
+    ORACLE_SQL[f"q{_i + 4:02d}_typo_{_rule}"] = f"SELECT doc_id, coalesce({_TYPO[_rule]}, 0)::INT AS n FROM documents"
+
+_HTML_TYPO = {"attached_links": r"(?i)[\p{L}\p{N}\p{M}_]<a\b", "repeated_line_breaks": rf"(?i)(?:<br{_SPACES}*/?>{_SPACES}*){{2,}}"}
+for _i, _rule in enumerate(_HTML_TYPO):
+
+    def _html_typo(spark: SparkSession, sf_dir: str, rule: str = _rule) -> DataFrame:
+        return _table(spark, sf_dir, "pages").select("page_id", typography.count(F.col("html"), rule).alias("n"))
+
+    QUERIES[f"q{_i + 10}_typo_{_rule}"] = _html_typo
+    ORACLE_SQL[f"q{_i + 10}_typo_{_rule}"] = f"SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '{_HTML_TYPO[_rule]}'))::INT AS n FROM pages"
+
+_MAJOR = f"({_TYPO['french_nbsp_before_double_punctuation']} > 0)::INT"
+_MINOR = " + ".join(f"({x} > 0)::INT" for k, x in _TYPO.items() if not k.startswith("french"))
+
+
+@_query(f"""
+    SELECT doc_id, CASE WHEN major + minor = 0 THEN 'pass' WHEN major > 0 THEN 'fail' ELSE 'warn' END AS status, greatest(0, 100 - 25 * major - 10 * minor)::INT AS score,
+           CASE WHEN major > 0 THEN major + minor ELSE 0 END::INT AS blocking
+    FROM (SELECT doc_id, {_MAJOR} AS major, {_MINOR} AS minor FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+""")
+def q12_typography_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.lit("fr-FR").alias("locale"))
+    out = typography.judge(rows)
+    return out.select("doc_id", "typography.status", "typography.score", F.size(evaluate.blocking(F.lit("typography"), F.col("typography"))).alias("blocking"))
+
+
+# ---- pages ----
+_TAGS = r"regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<(?:script|style)[^>]*>.*?</(?:script|style)>', '<scripted>', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)"
+_USED = f"""SELECT page_id, list_sort(list_distinct(list_concat(list_filter(list_transform({_TAGS}, lambda t: lower(t)), lambda t: t <> 'scripted'),
+    CASE WHEN regexp_matches(html, '(?i)<script') THEN ['script'] ELSE [] END, CASE WHEN regexp_matches(html, '(?i)<style') THEN ['style'] ELSE [] END))) AS tags FROM pages"""
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", "url", html.parse(F.col("html")).alias("page"))
+
+
+@_query(f"SELECT page_id, array_to_string(tags, '|') AS tags FROM ({_USED})")
+def q13_used_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", _joined(html.used_tags(F.col("page"))).alias("tags"))
+
+
+@_query(f"SELECT page_id, list_contains(tags, 'h1') AS has_h1, list_contains(tags, 'script') AS has_script, list_contains(tags, 'span') AS has_span, list_contains(tags, 'p') AS has_p FROM ({_USED})")
+def q14_structure_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", *(html.has(F.col("page"), t).alias(f"has_{t}") for t in ("h1", "script", "span", "p")))
+
+
+_ALLOWED = ", ".join(f"'{t}'" for t in rules.HEADING_TAGS + rules.BODY_TAGS)
+
+
+@_query(f"SELECT page_id, array_to_string(list_filter(tags, lambda t: t NOT IN ({_ALLOWED})), '|') AS tags FROM ({_USED})")
+def q15_disallowed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = F.array(*map(F.lit, rules.HEADING_TAGS + rules.BODY_TAGS))
+    return _pages(spark, sf_dir).select("page_id", _joined(F.array_except(html.used_tags(F.col("page")), allowed)).alias("tags"))
+
+
+# ---- assembled articles: structure ----
+_ART = corpus.sql("duckdb")
+_HEADS = "[h_a, h_b, h_c, 'Conclusion']"
+_TRAIL = "CASE WHEN content_id % 3 = 0 THEN ['Lecture complémentaire'] ELSE [] END"
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.articles(spark, sf_dir)
+
+
+@_query(f"SELECT content_id, array_to_string(list_concat({_HEADS}, {_TRAIL}), '|') AS headings, array_to_string(list_concat(['h2', 'h3', 'h2', 'h2'], CASE WHEN content_id % 3 = 0 THEN ['h2'] ELSE [] END), '|') AS levels FROM ({_ART})")
+def q16_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.headings(F.col("page"), rules.HEADING_TAGS)
+    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page")).select("content_id", found.alias("h"))
+    return rows.select("content_id", _joined(F.col("h.text")).alias("headings"), _joined(F.col("h.level")).alias("levels"))
+
+
+_SECTION_ROWS = """
+    SELECT content_id, 1 AS at, h_a AS h2, h_b AS h3, concat_ws(' ', nullif(trim(concat(p_a, ' étude citée')), ''), nullif(trim(concat(p_b, dated)), '')) AS section FROM ({art})
+    UNION ALL SELECT content_id, 2, h_c, '', trim(concat(p_c, ' the')) FROM ({art})
+    UNION ALL SELECT content_id, 3, 'Conclusion', '', p_d FROM ({art})
+    UNION ALL SELECT content_id, 4, 'Lecture complémentaire', '', 'suite' FROM ({art}) WHERE content_id % 3 = 0
+""".format(art=_ART)
+
+
+@_query(_SECTION_ROWS)
+def q17_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
+    rows = rows.select("content_id", F.posexplode(seo.sections(F.col("page"))).alias("at", "s"))
+    return rows.select("content_id", (F.col("at") + 1).alias("at"), "s.h2", _joined(F.col("s.h3_headings")).alias("h3"), F.col("s.text").alias("section"))
+
+
+@_query(f"SELECT content_id, intro AS introduction FROM ({_ART})")
+def q18_introduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
+    return rows.select("content_id", html.introduction(F.col("page"), F.lit(-1), rules.TEXT_BLOCKS).alias("introduction"))
+
+
+@_query(f"SELECT content_id, p_d AS conclusion FROM ({_ART})")
+def q19_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
+    rows = rows.select("content_id", seo.sections(F.col("page")).alias("sections"))
+    return rows.select("content_id", html.conclusion(F.col("sections"), rules.COMPLEMENTARY_TITLES).alias("conclusion"))
+
+
+@_query(f"""
+    SELECT content_id, CASE WHEN rules = '' THEN 'pass' ELSE 'fail' END AS status, CASE WHEN rules = '' THEN 'structure.valid' ELSE rules END AS rules FROM (
+      SELECT content_id, concat_ws('|', CASE WHEN content_id % 4 = 1 AND h_a <> h_c THEN 'structure.heading_order' END, CASE WHEN content_id % 4 = 2 THEN 'structure.heading_levels' END,
+        CASE WHEN regexp_matches(lower(concat_ws(' ', intro, h_a, p_a, 'étude citée', h_b, p_b, dated, h_c, p_c, keyword, 'Conclusion', p_d, CASE WHEN content_id % 3 = 0 THEN 'Lecture complémentaire suite' END)), 'angle de réponse|note|instruction|indication')
+             THEN 'structure.no_internal_outline_comments_exposed' END) AS rules FROM ({_ART}))
+""")
+def q20_structure_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure.judge(_articles(spark, sf_dir).select("content_id", "content", F.col("outline").alias("expected_outline_html")))
+    return rows.select("content_id", "structure.status", _joined(F.col("structure.findings.rule_id")).alias("rules"))
+
+
+@_query(f"SELECT content_id, (content_id % 2)::INT AS cta_count, CASE WHEN content_id % 2 = 1 THEN h_a ELSE '' END AS strong_text, CASE WHEN content_id % 3 = 0 THEN '9' ELSE '' END AS complementary, CASE WHEN content_id % 3 = 0 THEN 12 ELSE 10 END::INT AS top_level FROM ({_ART})")
+def q21_cta_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with a call to action added in a paragraph of that class, or one of another class."""
+    call = F.concat(F.lit("<p class='"), F.when(F.col("content_id") % 2 == 1, "lead cta").otherwise("ctas"), F.lit("'>go <strong>"), F.col("h_a"), F.lit("</strong></p>"))
+    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.concat(F.col("content"), call)).alias("page"))
+    rows = rows.select("content_id", html.cta_signals(F.col("page"), rules.COMPLEMENTARY_TITLES).alias("c"))
+    return rows.select("content_id", "c.cta_count", "c.strong_text", _joined(F.transform("c.complementary_indexes", lambda i: i.cast("string"))).alias("complementary"), F.col("c.top_level_tag_count").alias("top_level"))
+
+
+# ---- links and sources ----
+_LINK_ROWS = f"""
+    SELECT content_id, 1 AS link, href_a AS href, 'étude citée' AS anchor_text, CASE WHEN content_id % 2 = 0 THEN '_blank' ELSE '' END AS target, TRUE AS is_external, 'body' AS section FROM ({_ART})
+    UNION ALL SELECT content_id, 2, href_b, 'suite', '', content_id % 5 = 0, 'complementary_reading' FROM ({_ART}) WHERE content_id % 3 = 0
+"""
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.extract(_articles(spark, sf_dir).withColumn("organization_website", F.lit(WEBSITE)))
+
+
+@_query(_LINK_ROWS)
+def q22_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _linked(spark, sf_dir).select("content_id", F.explode("links").alias("x"))
+    return rows.select("content_id", F.col("x.index").alias("link"), "x.href", "x.anchor_text", "x.target", "x.is_external", "x.section")
+
+
+@_query(r"""
+    SELECT page_id, len(h)::INT AS n_links, len(list_filter(h, lambda x: regexp_matches(x, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+')))::INT AS external_links
+    FROM (SELECT page_id, regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g'), '(?i)<a\s[^>]*?href="([^"]*)"', 1) AS h FROM pages)
+""")
+def q23_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"), F.lit(WEBSITE).alias("organization_website"))
+    n = sources.partitions(F.col("links"))
+    return sources.extract(pages).select("page_id", F.size("links").alias("n_links"), n["external_count"].alias("external_links"))
+
+
+@_query(f"""
+    SELECT content_id, 1 + (content_id % 3 = 0 AND content_id % 5 = 0)::INT AS external, (content_id % 3 = 0 AND content_id % 5 <> 0)::INT AS internal, 1 AS body_external,
+           (content_id % 3 = 0)::INT AS complementary, (content_id % 15 = 0)::INT AS complementary_external FROM ({_ART})
+""")
+def q24_link_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _linked(spark, sf_dir).select("content_id", sources.partitions(F.col("links")).alias("n"))
+    return rows.select("content_id", *(F.col(f"n.{x}_count").alias(x) for x in ("external", "internal", "body_external", "complementary", "complementary_external")))
+
+
+@_query(f"""
+    SELECT content_id, CASE content_id % 3 WHEN 0 THEN concat('https://bare.example/', content_id::VARCHAR) WHEN 1 THEN 'https://marked.example)' ELSE '' END AS raw_urls,
+           CASE WHEN content_id % 3 = 1 THEN '[x](https://marked.example)' ELSE '' END AS markdown_links, (content_id % 3 = 2)::INT AS attached FROM ({_ART})
+""")
+def q25_raw_markdown_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with a bare URL, a Markdown link or an attached anchor added."""
+    more = F.when(F.col("content_id") % 3 == 0, F.concat(F.lit("<p>see https://bare.example/"), F.col("content_id"), F.lit("</p>"))).when(F.col("content_id") % 3 == 1, "<p>[x](https://marked.example)</p>").otherwise('<p>word<a href="/x">y</a></p>')
+    rows = sources.extract(_articles(spark, sf_dir).select("content_id", F.concat("content", more).alias("content"), F.lit(WEBSITE).alias("organization_website")))
+    return rows.select("content_id", _joined(F.col("raw_urls")).alias("raw_urls"), _joined(F.col("markdown_links")).alias("markdown_links"), F.col("attached_anchors").alias("attached"))
+
+
+_NAMES = "list_distinct(list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.')), lambda p: regexp_extract(p, '^([^=]*)=', 1)))"
+_EXACT = ", ".join(f"'{p}'" for p in rules.TRACKING_PATTERNS if "*" not in p)
+
+
+@_query(f"SELECT page_id, regexp_matches(url, '(?i)^https?://[^/?#]+') AS valid, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS netloc, array_to_string(list_sort(list_filter({_NAMES}, lambda n: n IN ({_EXACT}) OR n LIKE 'utm\\_%' ESCAPE '\\')), '|') AS tracking FROM pages")
+def q26_url_format_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return _table(spark, sf_dir, "pages").select("page_id", links.allowed_scheme(url).alias("valid"), links.netloc(url).alias("netloc"), _joined(F.array_sort(links.tracking_parameters(url))).alias("tracking"))
+
+
+_CODES = (200, 301, 302, 400, 404, 410, 401, 403, 406, 202, 500, 502, 503, 418, 307)
+_IN = lambda codes: ", ".join(map(str, codes))
+
+
+@_query(f"""
+    SELECT page_id, code, CASE WHEN code IN ({_IN(rules.STATUS_ALLOWED)}) THEN 'reachable' WHEN code IN ({_IN(rules.STATUS_FORBIDDEN)}) THEN 'unreachable' ELSE 'unknown' END AS network_status,
+           CASE WHEN code IN ({_IN(rules.STATUS_FORBIDDEN)}) THEN concat('http_status_', code) WHEN code NOT IN ({_IN(rules.STATUS_ALLOWED + rules.STATUS_UNKNOWN)}) THEN concat('unhandled_http_status_', code) END AS error
+    FROM (SELECT page_id, ([{_IN(_CODES)}])[(page_id % {len(_CODES)} + 1)::INT]::INT AS code FROM pages)
+""")
+def q27_url_status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("page_id") % len(_CODES) + 1).cast("int"))
+    rows = _table(spark, sf_dir, "pages").select("page_id", code.alias("code"))
+    return rows.select("page_id", "code", links.status_class(F.col("code")).alias("s")).select("page_id", "code", "s.network_status", "s.error")
+
+
+@_query(f"""
+    SELECT content_id, CASE WHEN major > 0 THEN 'fail' WHEN minor > 0 THEN 'warn' ELSE 'pass' END AS status, CASE WHEN major > 0 THEN 0 WHEN minor > 0 THEN 80 ELSE 100 END::INT AS score, major::INT AS blocking FROM (
+      SELECT content_id,
+        (content_id % 15 = 0)::INT + (expected_length = 'SIMPLE' AND content_id % 15 = 0)::INT + (content_id % 4 = 0)::INT + (content_id % 3 = 0 AND content_id % 5 <> 0)::INT AS major,
+        (content_id % 2 = 1)::INT + (content_id % 15 = 0)::INT AS minor
+      FROM (SELECT content_id, CASE content_id % 3 WHEN 0 THEN 'SIMPLE' WHEN 1 THEN 'MEDIUM' ELSE 'LONG' END AS expected_length FROM ({_ART})))
+""")
+def q29_sources_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("content_id") % 3 == 0, "SIMPLE").when(F.col("content_id") % 3 == 1, "MEDIUM").otherwise("LONG")
+    rows = _linked(spark, sf_dir).withColumns({"content_type": F.lit("articles"), "expected_length": kind, "require_sources": F.lit(True)})
+    out = sources.judge(sources.with_checks(rows, "content_id"))
+    return out.select("content_id", "sources.status", "sources.score", F.size(evaluate.blocking(F.lit("sources"), F.col("sources"))).alias("blocking"))
+
+
+@_query(f"""
+    SELECT href, count(*) AS n FROM (SELECT href_b AS href FROM ({_ART}) WHERE content_id % 3 = 0) GROUP BY href HAVING count(*) > 1
+""")
+def q28_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _linked(spark, sf_dir).select(F.explode("links").alias("x")).where("x.section = 'complementary_reading'")
+    return rows.groupBy(F.col("x.href").alias("href")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+# ---- keywords and meaning ----
+_KEYWORDS = ("the", "de la", "und", "in")
+
+
+@_query("SELECT doc_id, " + ", ".join(
+    rf"len(regexp_extract_all(concat(' ', regexp_replace(strip_accents(lower(coalesce(text, ''))), '([^\p{{L}}\p{{N}}\p{{M}}_])', '\1\1', 'g'), ' '), '(?:^|[^\p{{L}}\p{{N}}\p{{M}}_]){k.replace(' ', '  ')}(?:$|[^\p{{L}}\p{{N}}\p{{M}}_])'))::INT AS k{i}"
+    for i, k in enumerate(_KEYWORDS)) + " FROM (SELECT doc_id, trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM documents)")
+def q30_phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("f"))
+    return rows.select("doc_id", *(text.phrase_count(F.col("f"), F.lit(k)).alias(f"k{i}") for i, k in enumerate(_KEYWORDS)))
+
+
+def _seo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _articles(spark, sf_dir).select(
+        "content_id", "content", F.lit("articles").alias("content_type"), F.lit("MEDIUM").alias("expected_length"), F.lit("DECISION").alias("funnel_stage"),
+        F.col("keyword").alias("main_keyword"), F.array(F.lit("of"), F.lit("que")).alias("secondary_keywords"), F.array().cast("array<string>").alias("long_tail_keywords"),
+    )
+
+
+@_query()
+def q31_keyword_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seo.lexical(_seo_rows(spark, sf_dir))
+    return rows.select("content_id", "lexical_body", "lexical_introduction", "lexical_headings", "lexical_conclusion", F.size("lexical_emphasis").alias("emphasis"))
+
+
+@_query()
+def q32_section_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seo.lexical(_seo_rows(spark, sf_dir)).select("content_id", "lexical_concentrated", F.posexplode("lexical_distribution").alias("at", "s"))
+    return rows.select("content_id", "at", "s.h2", _joined(F.col("s.matched")).alias("matched"), F.col("lexical_concentrated").alias("concentrated"))
+
+
+@_query(rf"""
+    SELECT doc_id, (i * 112)::INT AS start_word, least(i * 112 + 128, n)::INT AS end_word, array_to_string(w[i * 112 + 1 : i * 112 + 128], ' ') AS chunk
+    FROM (SELECT *, unnest(range(0, CASE WHEN n = 0 THEN 0 ELSE greatest(n - 17, 0) // 112 + 1 END)) AS i
+          FROM (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '{_SPACES}+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents)))
+""")
+def q34_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", text.collapse(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = rows.select("doc_id", F.explode(text.chunks(F.col("t"), rules.CHUNK_WORDS, rules.CHUNK_OVERLAP)).alias("c"))
+    return rows.select("doc_id", "c.start_word", "c.end_word", F.col("c.text").alias("chunk"))
+
+
+@_query("""
+    SELECT grp, rank, vec_id, round(similarity, 6) AS similarity FROM (
+      SELECT *, row_number() OVER (PARTITION BY grp ORDER BY similarity DESC, vec_id)::INT AS rank FROM (
+        SELECT e.vec_id % 10 AS grp, e.vec_id, list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(k.embedding, lambda x: x::DOUBLE)) AS similarity
+        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) k WHERE e.vec_id <> 0)) WHERE rank <= 3
+""")
+def q35_topk_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three chunks nearest to a keyword's vector (vec_id 0), in each of ten documents of chunks."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    keyword = F.broadcast(vectors.where("vec_id = 0").select(F.col("embedding").alias("key")).limit(1))
+    rows = vectors.where("vec_id <> 0").crossJoin(keyword).select((F.col("vec_id") % 10).alias("grp"), "vec_id", seo.cosine(F.col("embedding"), F.col("key")).alias("similarity"))
+    best = Window.partitionBy("grp").orderBy(F.col("similarity").desc(), "vec_id")
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= rules.TOP_CHUNKS).select("grp", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+def _flags(texts: Column) -> Column:
+    """A deterministic encoder for tests of plans: one constant vector for each text, so only exact matches count."""
+    return F.transform(texts, lambda t: F.array(F.lit(0.0), F.lit(0.0)))
+
+
+@_query()
+def q36_overoptimisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seo.judge(_seo_rows(spark, sf_dir), _flags)
+    return rows.select("content_id", "seo_scores.overoptimization", "seo_scores.overoptimization_risk")
+
+
+@_query()
+def q37_seo_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seo.judge(_seo_rows(spark, sf_dir))
+    return rows.select("content_id", "seo.status", "seo.score", "seo_scores.lexical", _joined(F.col("seo.findings.rule_id")).alias("rules"))
+
+
+@_query()
+def q38_temporal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _articles(spark, sf_dir).select("content_id", F.explode(evergreen.temporal_references(F.col("content"), F.lit("fr-FR"), F.array(F.lit("2019")))).alias("r"))
+    return rows.select("content_id", "r.type", "r.value", "r.in_source_context", "r.in_historical_context", "r.in_input")
+
+
+@_query(f"""
+    SELECT content_id, CASE WHEN content_id % 5 = 4 THEN 'fail' WHEN score >= 70 THEN 'pass' WHEN score >= 50 OR content_id % 2 = 0 THEN 'warn' ELSE 'fail' END AS status, score,
+           CASE WHEN content_id % 5 = 4 THEN 'evergreen.llm_error' WHEN content_id % 5 = 1 THEN 'evergreen.llm.problematic_passage' ELSE '' END AS rules
+    FROM (SELECT content_id, CASE WHEN content_id % 5 = 4 THEN 0 ELSE content_id % 101 END::INT AS score FROM ({_ART}))
+""")
+def q39_evergreen_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies made from the id: plain or fenced JSON, scores as numbers or text, a passage, or no JSON at all."""
+    score = (F.col("content_id") % 101).cast("string")
+    passage = F.when(F.col("content_id") % 5 == 1, ', "passages_problematiques": [{"extrait": "a", "probleme": "b"}]').otherwise("")
+    reply = F.when(F.col("content_id") % 5 == 4, "no reply").otherwise(F.concat(F.lit('```json\n{"score_global_evergreen": '), F.when(F.col("content_id") % 2 == 0, F.concat(F.lit('"'), score, F.lit('"'))).otherwise(F.concat(score, F.lit(".9"))), passage, F.lit("}\n```")))
+    rows = _articles(spark, sf_dir).select("content_id", reply.alias("llm_raw_response"), (F.col("content_id") % 2 == 1).alias("evergreen_required"), F.lit("fr-FR").alias("locale"))
+    return evergreen.judge(rows).select("content_id", "evergreen.status", "evergreen.score", _joined(F.col("evergreen.findings.rule_id")).alias("rules"))
+
+
+@_query()
+def q40_dimension_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole evaluations of all articles, counted by judge and status."""
+    rows = _seo_rows(spark, sf_dir).withColumns({"request_id": F.col("content_id").cast("string"), "locale": F.lit("fr-FR"), "organization_website": F.lit(WEBSITE), "require_sources": F.lit(True), "enabled_judges": F.lit(None).cast("array<string>")})
+    outline = _articles(spark, sf_dir).select(F.col("content_id").cast("string").alias("request_id"), F.col("outline").alias("expected_outline_html"))
+    return evaluate.report(evaluate.evaluate(rows.drop("content_id").join(outline, "request_id")))
+
+
+@_query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1")
+def q41_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return company_export.latest(_table(spark, sf_dir, "conversations").withColumn("entry", F.lit(0)), ["conv_id"], "turn", "entry").select("conv_id", "turn", "role", "text")
+
+
+@_query(rf"""
+    SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '{_SPACES}+', ' ', 'g')), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''))::INT AS n_sentences,
+           sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '{_SPACES}+', ' ', 'g')), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''), '|')) AS digest FROM documents
+""")
+def q42_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").alias("n_sentences"), F.sha2(_joined(F.col("s")), 256).alias("digest"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE_SQL)
