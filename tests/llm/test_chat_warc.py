@@ -1,0 +1,74 @@
+import gzip
+import hashlib
+import io
+
+import pytest
+
+from vellum.llm import chat, queries, warc
+
+T = "conv_id long, turn long, role string, text string, window string"
+
+
+def turns(spark, rows):
+    return spark.createDataFrame([(*r, "clash") for r in rows], T)
+
+
+CASES = [
+    (1, 0, "system", "be <|brief|> \\ \\n"), (1, 1, "user", queries.FORGED), (1, 2, "assistant", "a\\<|b<<|im_end|>\n"), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "assistant", "word " * 400), (1, 6, "user", "q"), (1, 7, "assistant", "z\\"),
+    (2, 0, None, "x"), (2, None, "assistant", "last"), (2, 1, "odd\nrole", "t"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same"), (None, 0, "user", "lost"), (None, 1, "assistant", "lost too"),
+]
+
+
+@pytest.mark.parametrize(("budget", "history"), [(1024, 256), (40, 16), (1, 0)])
+def test_read_back(spark, budget, history):
+    found = {r.conv_id: r for r in chat.read_back(chat.windows(turns(spark, CASES), budget, history)).collect()}
+    for conv in (1, 2, 3, None):
+        own = sorted((r for r in CASES if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] or "", r[3] or ""))
+        said = [r[3] or "" for r in own if r[2] == "assistant"]
+        assert found[conv].n_turns == len(own)
+        assert found[conv].turns_sha256 == hashlib.sha256("".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
+        assert (found[conv].loss_chars, found[conv].loss_sha256) == (len("".join(said)), hashlib.sha256("".join(said).encode()).hexdigest())
+
+
+def test_windows_keep_system_turn_and_history(spark):
+    rows = [(1, 0, "system", "rules")] + [(1, i, "user" if i % 2 else "assistant", f"turn {i} has six words here") for i in range(1, 40)]
+    found = chat.windows(turns(spark, rows), 60, 20).orderBy("window").collect()
+    assert len(found) > 3
+    for r in found[1:]:
+        parsed = chat.parse(r.formatted)
+        assert parsed[0] == ("system", "rules")
+        assert 1 < r.repeated <= 1 + 20 // 10 + 1
+        assert len(r.mask) == sum(role == "assistant" for role, _ in parsed[r.repeated :])
+    assert chat.windows(turns(spark, [])).count() == 0
+
+
+PAGES = [(5, "http://a/é x", "<p>" + "long " * 40), (3, None, "<p>" + "long " * 40), (9, "u", "<p>" + "long " * 40), (1, "u\r\nX: y", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""), (None, "u", "<p>" + "long " * 40), (11, "u", "é" * 300_000), (11, "u", "é" * 300_000)]
+
+
+def test_archives(spark):
+    pages = spark.createDataFrame([(*p, "clash") for p in PAGES], "page_id long, url string, html string, payload string")
+    archives, folder = warc.archive(pages, "test")
+    assert sum(r.records for r in archives.collect()) == len(PAGES)
+    records = warc.read(archives, folder)
+    full = {r.page_id: bytes(r.payload) for r in records.where("record_type = 'response'").collect()}
+    assert full[11].decode() == "é" * 300_000
+    assert full[7] == b""
+    found = {r.page_id: r for r in warc.resolved(records).collect()}
+    text = ("<p>" + "long " * 40).encode()
+    assert [found[i].refers_to for i in (3, 5, 9, None, 1, 2, 11)] == [None, 3, 3, 3, None, None, None]
+    assert all(found[i].payload_digest == hashlib.sha256(text).hexdigest() and found[i].payload_bytes == len(text) for i in (3, 5, 9, None))
+    assert found[11].record_type == "response"
+    empty, folder = warc.archive(pages.limit(0), "none")
+    assert warc.read(empty, folder).count() == 0
+
+
+def test_members_are_plain_gzip_and_damage_shows():
+    data = warc.record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
+    two = gzip.compress(data) * 2
+    assert gzip.decompress(two) == data * 2
+    assert [warc.parse(x)["payload"] for x in warc.members(io.BytesIO(two))] == [b"payload"] * 2
+    with pytest.raises(warc.Damaged):
+        list(warc.members(io.BytesIO(two[:-9])))
+    for bad in (data.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"), data[:-1], b"x" + data):
+        with pytest.raises(warc.Damaged):
+            warc.parse(bad)

@@ -1,0 +1,61 @@
+import random
+import re
+
+import pytest
+
+from vellum.llm import graph, near_dedup
+
+
+def brute(rows, width, percent=80):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and n and 100 * n >= percent * len(sets[a] | sets[b]) and find(a) != find(b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("width", [4, 5])
+@pytest.mark.parametrize("block", [250_000, 400])
+def test_groups_equal_brute_force(spark, docs, width, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
+    draw = random.Random(width)
+    base = [[draw.choice("abcdefghij") + str(draw.randrange(300)) for _ in range(draw.randrange(1, 80))] for _ in range(25)]
+    rows = []
+    for i in range(160):
+        w = list(draw.choice(base))
+        for _ in range(draw.randrange(0, 4)):
+            w[draw.randrange(len(w))] = "Edit" + str(draw.randrange(1000))
+        rows.append((i, " ".join(w).replace(" ", "\t", 1)))
+    rows += [(200, None), (201, ""), (202, " \n "), (203, "two words"), (204, "TWO\x0bwords"), (205, "Éa éa")]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(docs(rows), width).collect()}
+    assert found == brute(rows, width)
+
+
+def test_odd_rows_and_empty_table(spark, docs, odd):
+    found = near_dedup.groups(docs(odd)).collect()
+    assert len(found) == len(odd)
+    assert {r.component_id for r in found if r.doc_id in (6, 7)} == {6}
+    assert [r.component_id for r in found if r.doc_id is None] == [None]
+    kept = near_dedup.representatives(docs(odd))
+    assert kept.columns == docs(odd).columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 8, 9, None, 10]))
+    assert near_dedup.groups(docs([])).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (200, 150), (150, 170)]
+    found = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long"), "test").collect()}
+    assert found == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 150: 150, 170: 150, 200: 150}
+    assert graph.components(spark.createDataFrame([], "u long, v long"), "none").count() == 0
