@@ -61,7 +61,7 @@ def lines(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    cut = F.transform(F.split(normalize(text), r"(?<=[.!?]) +", -1), F.trim)
+    cut = F.transform(F.split(normalize(text), r"(?<=[.!?]) +", -1), lambda x: F.trim(x))
     return F.filter(cut, lambda s: s != "")
 
 

@@ -89,7 +89,7 @@ def paragraphs(lexical_signals: _Lexical, key: Column) -> Column:
         F.filter(F.array(F.struct(F.lit("introduction").alias("section"), lexical_signals["introduction_text"].alias("text"))), lambda z: z["text"] != ""),
         F.transform(kept, lambda s: F.struct(s["h2"].alias("section"), s["text"].alias("text"))),
     )
-    plain = lambda t: F.filter(F.transform(F.split(t, r"(?<=[.!?]) +", -1), F.trim), lambda s: s != "")
+    plain = lambda t: F.filter(F.transform(F.split(t, r"(?<=[.!?]) +", -1), lambda x: F.trim(x)), lambda s: s != "")
     return F.transform(zones, lambda z, i: F.struct(
         (i + 1).alias("paragraph_id"), z["section"].alias("section"),
         F.transform(plain(z["text"]), lambda s, j: F.struct((j + 1).alias("sentence_id"), s.alias("text"), (text.phrase_count(text.fold_plain(s), key) > 0).alias("exact"))).alias("sentences"),
