@@ -167,7 +167,7 @@ def q16_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SECTION_ROWS = """
-    SELECT content_id, 1 AS at, h_a AS h2, h_b AS h3, concat_ws(' ', nullif(trim(concat(p_a, ' étude citée')), ''), nullif(trim(concat(p_b, dated)), '')) AS section FROM ({art})
+    SELECT content_id, 1 AS "at", h_a AS h2, h_b AS h3, concat_ws(' ', nullif(trim(concat(p_a, ' étude citée')), ''), nullif(trim(concat(p_b, dated)), '')) AS section FROM ({art})
     UNION ALL SELECT content_id, 2, h_c, '', trim(concat(p_c, ' the')) FROM ({art})
     UNION ALL SELECT content_id, 3, 'Conclusion', '', p_d FROM ({art})
     UNION ALL SELECT content_id, 4, 'Lecture complémentaire', '', 'suite' FROM ({art}) WHERE content_id % 3 = 0
@@ -312,9 +312,13 @@ def q28_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYWORDS = ("the", "de la", "und", "in")
 
 
-@_query("SELECT doc_id, " + ", ".join(
-    rf"len(regexp_extract_all(concat(' ', regexp_replace(strip_accents(lower(coalesce(text, ''))), '([^\p{{L}}\p{{N}}\p{{M}}_])', '\1\1', 'g'), ' '), '(?:^|[^\p{{L}}\p{{N}}\p{{M}}_]){k.replace(' ', '  ')}(?:$|[^\p{{L}}\p{{N}}\p{{M}}_])'))::INT AS k{i}"
-    for i, k in enumerate(_KEYWORDS)) + " FROM (SELECT doc_id, trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')) AS text FROM documents)")
+def _count_sql(zone: str, keyword: str) -> str:
+    """Whole-word occurrences; separators are doubled first, as a match consumes the ones around it."""
+    folded = rf"regexp_replace(strip_accents(lower({zone})), '([^\p{{L}}\p{{N}}\p{{M}}_])', '\1\1', 'g')"
+    return rf"len(regexp_extract_all(concat(' ', {folded}, ' '), '(?:^|[^\p{{L}}\p{{N}}\p{{M}}_]){keyword.replace(' ', '  ')}(?:$|[^\p{{L}}\p{{N}}\p{{M}}_])'))::INT"
+
+
+@_query("SELECT doc_id, " + ", ".join(f"{_count_sql('text', k)} AS k{i}" for i, k in enumerate(_KEYWORDS)) + r" FROM (SELECT doc_id, coalesce(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')), '') AS text FROM documents)")
 def q30_phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("f"))
     return rows.select("doc_id", *(text.phrase_count(F.col("f"), F.lit(k)).alias(f"k{i}") for i, k in enumerate(_KEYWORDS)))
@@ -327,13 +331,23 @@ def _seo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query()
+_BODY = "concat_ws(' ', intro, h_a, p_a, 'étude citée', h_b, p_b || dated, h_c, p_c, 'the', 'Conclusion', p_d, CASE WHEN content_id % 3 = 0 THEN 'Lecture complémentaire suite' END)"
+
+
+@_query(f"""SELECT content_id, {_count_sql(_BODY, 'the')} AS lexical_body, {_count_sql('intro', 'the')} AS lexical_introduction,
+    ({" + ".join(_count_sql(h, 'the') for h in ('h_a', 'h_b', 'h_c'))})::INT AS lexical_headings, {_count_sql('p_d', 'the')} AS lexical_conclusion, 1 AS emphasis FROM ({_ART})""")
 def q31_keyword_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seo.lexical(_seo_rows(spark, sf_dir))
     return rows.select("content_id", "lexical_body", "lexical_introduction", "lexical_headings", "lexical_conclusion", F.size("lexical_emphasis").alias("emphasis"))
 
 
-@_query()
+_MATCHED = "array_to_string(list_filter(['of', 'que'], lambda k: CASE k WHEN 'of' THEN n_of ELSE n_que END > 0), '|')"
+
+
+@_query(f"""
+    SELECT content_id, ("at" - 1)::INT AS "at", h2, {_MATCHED} AS matched, sum((n_of + n_que > 0)::INT) OVER (PARTITION BY content_id) = 1 AS concentrated
+    FROM (SELECT content_id, "at", h2, {_count_sql("concat_ws(' ', h2, section)", 'of')} AS n_of, {_count_sql("concat_ws(' ', h2, section)", 'que')} AS n_que FROM ({_SECTION_ROWS}) WHERE "at" < 4)
+""")
 def q32_section_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seo.lexical(_seo_rows(spark, sf_dir)).select("content_id", "lexical_concentrated", F.posexplode("lexical_distribution").alias("at", "s"))
     return rows.select("content_id", "at", "s.h2", _joined(F.col("s.matched")).alias("matched"), F.col("lexical_concentrated").alias("concentrated"))
@@ -370,13 +384,30 @@ def _flags(texts: Column) -> Column:
     return F.transform(texts, lambda t: F.array(F.lit(0.0), F.lit(0.0)))
 
 
-@_query()
+_PARAGRAPHS = f"SELECT content_id, intro AS txt FROM ({_ART}) WHERE intro <> '' UNION ALL SELECT content_id, section FROM ({_SECTION_ROWS}) WHERE \"at\" < 4 AND section <> ''"
+_SENTENCES = r"list_filter(string_split(regexp_replace(txt, '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+_BANDS = "CASE WHEN {x} <= {a} THEN 100 WHEN {x} <= {b} THEN 75 WHEN {x} <= {c} THEN 45 ELSE 20 END"
+
+
+@_query(f"""
+    SELECT content_id, score::INT AS overoptimization, CASE WHEN n = 0 THEN 'not_applicable' WHEN score >= 85 THEN 'low' WHEN score >= 70 THEN 'medium_low' WHEN score >= 50 THEN 'medium_high' ELSE 'high' END AS overoptimization_risk
+    FROM (SELECT content_id, n, CASE WHEN n = 0 THEN 100 ELSE round_even(0.40::DOUBLE * {_BANDS.format(x="n / words", a=0.025, b=0.045, c=0.065)} + 0.35::DOUBLE * CASE WHEN spread >= 0.75 THEN 100 WHEN spread >= 0.5 THEN 75 WHEN spread >= 0.25 THEN 45 ELSE 20 END + 0.25::DOUBLE * {_BANDS.format(x="most", a=1, b=2, c=3)}, 0) END AS score
+          FROM (SELECT content_id, sum(m) AS n, sum(words)::DOUBLE AS words, count(*) FILTER (m > 0) / nullif(sum(m), 0)::DOUBLE AS spread, max(m) AS most
+                FROM (SELECT content_id, len(string_split(txt, ' ')) AS words, len(list_filter({_SENTENCES}, lambda s: {_count_sql("s", "the")} > 0)) AS m FROM ({_PARAGRAPHS})) GROUP BY content_id))
+""")
 def q36_overoptimisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seo.judge(_seo_rows(spark, sf_dir), _flags)
     return rows.select("content_id", "seo_scores.overoptimization", "seo_scores.overoptimization_risk")
 
 
-@_query()
+@_query(f"""
+    SELECT content_id, lexical::INT AS lexical, round_even(0.65::DOUBLE * lexical, 0)::INT AS score, CASE WHEN n > 0 AND round_even(0.65::DOUBLE * lexical, 0) >= 60 THEN 'warn' ELSE 'fail' END AS status,
+           concat_ws('|', 'seo.semantic_unavailable', 'seo.overoptimization_semantic_unavailable', CASE WHEN n = 0 THEN 'seo.main_keyword_presence' END, CASE WHEN away THEN 'seo.main_keyword_locations' END,
+                     CASE WHEN n < 7 OR n > 10 THEN 'seo.keyword_occurrences' END, CASE WHEN uneven THEN 'seo.keyword_distribution' END, 'seo.formatting_constraints') AS rules
+    FROM (SELECT *, greatest(0, 90 - 25 * (n = 0)::INT - 20 * away::INT - 15 * (n < 7 OR n > 10)::INT - 8 * uneven::INT) AS lexical
+          FROM (SELECT k.content_id, lexical_body AS n, lexical_introduction = 0 OR lexical_headings = 0 OR lexical_conclusion = 0 OR lexical_body = 0 AS away, uneven
+                FROM ({{q31}}) k JOIN (SELECT content_id, bool_or(matched = '' OR concentrated) AS uneven FROM ({{q32}}) GROUP BY content_id) d USING (content_id)))
+""".replace("{q31}", ORACLE_SQL["q31_keyword_signals"]).replace("{q32}", ORACLE_SQL["q32_section_distribution"]))
 def q37_seo_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seo.judge(_seo_rows(spark, sf_dir))
     return rows.select("content_id", "seo.status", "seo.score", "seo_scores.lexical", _joined(F.col("seo.findings.rule_id")).alias("rules"))
