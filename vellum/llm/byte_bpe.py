@@ -63,33 +63,37 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """A row for each document (doc_id, codes) and for each bucket of a block's distinct words (words, their lengths and numbers)."""
     schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary()), ("lengths", pa.binary()), ("places", pa.binary())])
 
+    def listed(block: int, numbers: _Numbers) -> Iterator[pa.RecordBatch]:
+        words = [w.encode() for w in numbers]
+        of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(of, kind="stable")
+        ends = np.flatnonzero(np.r_[of[order][1:] != of[order][:-1], True]) + 1 if len(words) else np.zeros(0, int)
+        rows, start = [], 0
+        for end in ends.tolist():
+            at = order[start:end]
+            own = [words[j] for j in at.tolist()]
+            rows.append((block, None, None, int(of[at[0]]), b"".join(own), _planes(np.fromiter(map(len, own), "<u4", len(own))), _planes(np.diff(at, prepend=0))))
+            start = end
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         cut = splitter(pattern)
-        first = TaskContext.get().partitionId() << 32
-        for i, batch in enumerate(common.pieces(batches, most=BLOCK_BYTES)):
-            numbers, codes = _Numbers(), []
+        block, size, numbers = TaskContext.get().partitionId() << 32, 0, _Numbers()
+        for batch in common.pieces(batches):
+            if size >= BLOCK_BYTES:
+                yield from listed(block, numbers)
+                block, size, numbers = block + 1, 0, _Numbers()
+            codes = []
             for t in batch.column(1).to_pylist():
                 found = cut.findall(t) if t else []
                 codes.append(_planes(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))))
+                size += len(t or "")
             n = len(codes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([first + i] * n, pa.int64()), batch.column(0), pa.array(codes, pa.binary())] + [pa.nulls(n, f.type) for f in list(schema)[3:]], schema=schema
-            )
-            words = [w.encode() for w in numbers]
-            del numbers
-            of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(of, kind="stable")
-            ends = np.flatnonzero(np.r_[of[order][1:] != of[order][:-1], True]) + 1 if len(words) else np.zeros(0, int)
-            rows, start = [], 0
-            for end in ends.tolist():
-                at = order[start:end]
-                own = [words[j] for j in at.tolist()]
-                rows.append((first + i, None, None, int(of[at[0]]), b"".join(own), np.fromiter(map(len, own), "<u4", len(own)).tobytes(), at.astype("<u4").tobytes()))
-                start = end
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), batch.column(0), pa.array(codes, pa.binary())] + [pa.nulls(n, f.type) for f in list(schema)[3:]], schema=schema)
+        yield from listed(block, numbers)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, doc_id long, codes binary, bucket int, words binary, lengths binary, places binary")
 
@@ -112,7 +116,7 @@ def _encode_words(vocabulary):
         known: dict[bytes, tuple[int, ...]] = {}
         counts, ids = [], []
         for words, lengths in zip(frame.words, frame.lengths, strict=True):
-            ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
+            ends = np.cumsum(_from_planes(lengths), dtype=np.int64).tolist()
             found, start = [], 0
             for end in ends:
                 w = words[start:end]
@@ -121,8 +125,8 @@ def _encode_words(vocabulary):
                 if got is None:
                     known[w] = got = tuple(encode(w.decode()))
                 found.append(got)
-            counts.append(np.fromiter(map(len, found), "<u4", len(found)).tobytes())
-            ids.append(np.array([x for got in found for x in got], "<u4").tobytes())
+            counts.append(_planes(np.fromiter(map(len, found), "<u4", len(found))))
+            ids.append(_planes(np.array([x for got in found for x in got], "<u4")))
         return pd.DataFrame({"block": frame.block, "bucket": frame.bucket, "counts": counts, "ids": ids})
 
     return run
@@ -152,7 +156,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, buckets: int | None =
         n = sum(len(p) // 4 for p in places.values())
         starts, counts, base, values = np.zeros(n, np.int64), np.zeros(n, np.int64), 0, []
         for bucket, c, ids in zip(words.bucket, words["counts"], words.ids, strict=True):
-            at, c, ids = np.frombuffer(places[int(bucket)], "<u4"), np.frombuffer(c, "<u4").astype(np.int64), np.frombuffer(ids, "<u4")
+            at, c, ids = np.cumsum(_from_planes(places[int(bucket)]), dtype=np.int64), _from_planes(c).astype(np.int64), _from_planes(ids)
             counts[at] = c
             starts[at] = base + np.cumsum(c) - c
             base += len(ids)
