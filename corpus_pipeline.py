@@ -16,24 +16,29 @@ from vellum.llm import byte_bpe, common, language, mixing, near_dedup, toxicity
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+@common.small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, model)
 
 
+@common.small_batches
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return language.identified(docs, model)
 
 
+@common.small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.representatives(docs)
 
 
+@common.small_batches
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@common.small_batches
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (little-endian unsigned 32-bit integers) of each row."""
     path = public_tokenizers.path(RANKS)

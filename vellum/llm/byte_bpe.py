@@ -108,11 +108,15 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
 
 
 def _encode_words(vocabulary):
+    made: list = []  # the encoding, made once in each task
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         import tiktoken
 
-        # Any word is one match of this pattern: it has been cut before.
-        encode = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=vocabulary.value, special_tokens={}).encode_ordinary
+        if not made:
+            # Any word is one match of this pattern: it has been cut before.
+            made.append(tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=vocabulary.value, special_tokens={}))
+        encode = made[0].encode_ordinary
         known: dict[bytes, tuple[int, ...]] = {}
         counts, ids = [], []
         for words, lengths in zip(frame.words, frame.lengths, strict=True):

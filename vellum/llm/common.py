@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,21 @@ from pyspark.sql import functions as F
 DEFAULT_SCRATCH = "/tmp/checkpoints"
 
 
+#: Rows of whole documents in an Arrow batch, in place of Spark's 10,000: a batch is held by the JVM and by Python at once.
+ARROW_ROWS = 1_000
+
+
+def small_batches(query: Callable) -> Callable:
+    """The query or stage with Arrow batches of that size. Its result runs later, so the size stays set for the session."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        return query(spark, *args)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,12 +74,13 @@ def train_once(sample: DataFrame, train: Callable, schema: str) -> list:
     return sample.repartition(1).mapInPandas(fit, schema).collect()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `most` bytes of the column, or one row if that is longer."""
     for batch in batches:
         if batch.nbytes <= most:
             if batch.num_rows:
                 yield batch
+            pa.default_memory_pool().release_unused()
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
         start = total = 0
@@ -73,6 +90,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+        # Workers are used again by later stages: what a batch took goes back.
+        pa.default_memory_pool().release_unused()
 
 
 def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list], list[bool]]], column: str = "text") -> DataFrame:

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from vellum.llm import common
 
-#: Labelled documents read for training, per language at most.
-SAMPLE_ROWS = 1_500
+#: Labelled documents read for training, per language at most. Up to 1,000 Spark cuts each task's rows before it shuffles
+#: them by language, so that a language with most of the rows gathers few in one task.
+SAMPLE_ROWS = 1_000
 #: Runs of letters longer than this are scored in successive parts of this length.
 MAX_WORD = 24
 MAX_PIECE = 8

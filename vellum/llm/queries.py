@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from vellum.llm import byte_bpe, chat, common, language, media, mixing, near_dedup, quality, topk, toxicity, warc
 
 
+@common.small_batches
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = byte_bpe.decode(byte_bpe.encode(common.table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@common.small_batches
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.groups(common.table(spark, sf_dir, "documents"), width=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -30,6 +32,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns.unionByName(forged)))
 
 
+@common.small_batches
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives, folder = warc.archive(common.table(spark, sf_dir, "pages"))
     # The payloads pass through the reader and its checks, but none needs to leave it.
@@ -41,10 +44,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@common.small_batches
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(common.table(spark, sf_dir, "documents"))
 
 
+@common.small_batches
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(~common.held_out(F.col("doc_id"), 5, 0)))
@@ -52,6 +57,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
 
 
+@common.small_batches
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = language.train(docs.where(~common.held_out(F.col("doc_id"), 4, 2)), public_tokenizers.path("piece_bpe_32k.model"))
@@ -63,6 +69,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+@common.small_batches
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~common.held_out(F.col("doc_id"), 5, 0)))

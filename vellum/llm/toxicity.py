@@ -3,7 +3,7 @@
 Tokens are lower-cased runs between white space and ASCII punctuation. From a bounded sample of labelled rows each
 token, and each word beginning of 4 to 6 characters, gets the log-odds of toxic against clean documents, smoothed by a
 Dirichlet prior that is proportional to the pooled counts. Only tokens whose concentration in toxic documents can't be
-chance (a Chernoff bound, corrected for the number of tokens) keep their score; every other token gets the common,
+chance (a Chernoff bound, corrected for the number of tokens that could pass) keep their score; every other token gets the common,
 slightly negative log-odds of a token outside that list. The linear-time scan for all maximal scoring segments then
 finds the passages of a whole text; a passage counts if its expected number in clean text of that length, K n exp(-lambda S),
 is small. Those expectations, summed over the significant passages, make the document's evidence, which a logistic
@@ -88,7 +88,7 @@ class _WordScores(dict):
         score = self.lexicon.get(word)
         if score is None:
             score = next((self.lexicon[p] for p in prefixes(word) if p in self.lexicon), 0.0)
-        if len(self) > 400_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = score
         return score
@@ -120,6 +120,21 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a + self.b * math.log1p(evidence)))))
 
 
+def _needed(found: list[int], share: float) -> float:
+    """Log of the odds that a token's concentration must beat, so that about one token in all passes by chance.
+
+    Tokens in too few documents could not pass however they fall, so they don't count as tries.
+    """
+    by_count = Counter(found)
+    left, least = len(found), 0.0
+    for y in range(1, 64):
+        least = math.log(max(2, left))
+        if y * -math.log(min(max(share, 1e-6), 0.99)) > least:
+            break
+        left -= by_count[y]
+    return least
+
+
 def fit(frame: pd.DataFrame) -> dict:
     """Model of a bounded pandas frame with text and toxic (0 or 1)."""
     docs = [(tokens(t), int(y)) for t, y in zip(frame.text, frame.toxic, strict=True)]
@@ -132,7 +147,7 @@ def fit(frame: pd.DataFrame) -> dict:
             counts[y].update(own.union(*map(prefixes, own)) if own else own)
     n = {y: sum(c.values()) for y, c in counts.items()}
     share = n[1] / max(1, n[0] + n[1])
-    need = math.log(max(2, len(counts[0].keys() | counts[1].keys())) / 0.01)
+    need = _needed([counts[0][w] + n1 for w, n1 in counts[1].items()], share)
     lexicon: dict[bytes, float] = {}
     if 0 < share < 1:
         for w, y1 in counts[1].items():
