@@ -27,9 +27,12 @@ def brute(rows, width, percent=80):
 
 
 @pytest.mark.parametrize("width", [4, 5])
-@pytest.mark.parametrize("block", [250_000, 400])
-def test_groups_equal_brute_force(spark, docs, width, block, monkeypatch):
+@pytest.mark.parametrize(("block", "nearest", "few"), [(250_000, 3, 8), (400, 3, 1), (400, 0, 0), (400, 0, 1000)])
+def test_groups_equal_brute_force(spark, docs, width, block, nearest, few, monkeypatch):
+    """Also with blocks alone, and with crossing pairs alone."""
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
+    monkeypatch.setattr(near_dedup, "NEAREST_LEADERS", nearest)
+    monkeypatch.setattr(near_dedup, "FEW_OUTSIDE", few)
     draw = random.Random(width)
     base = [[draw.choice("abcdefghij") + str(draw.randrange(300)) for _ in range(draw.randrange(1, 80))] for _ in range(25)]
     rows = []

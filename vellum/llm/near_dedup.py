@@ -3,11 +3,12 @@
 A document's set holds the 64-bit hashes of its word shingles. Under each of a number of permutations both the smallest
 and the largest value are kept, so that half the hash evaluations give a signature of the same length; either value
 agrees between two sets with probability equal to their Jaccard similarity. Bands take five values of different
-permutations. Documents with equal sets form a class and only its smallest doc_id goes on. Classes that share a band
-join through the band's smallest doc_id, never pair by pair; the connected components of these links are candidate
-groups. Within a group, in blocks of bounded size dealt over tasks, exact set intersections confirm links, and the
-components of the confirmed links are the result. With 45 bands of 5 a pair at a similarity of 0.8 shares none with
-probability 2e-8.
+permutations. Documents with equal sets form a class and only its smallest doc_id goes on. Exact set intersections
+confirm links in rounds, so that a group of many copies costs in proportion to its size: first each document meets the
+leaders (smallest doc_ids of a band) that it shares most bands with; in bands that then still hold several components,
+the documents outside the largest one meet those of other components; bands with many such documents leave their
+candidate groups to blocks that meet block by block. Every pair that shares a band is either compared or already
+connected. With 45 bands of 5 a pair at a similarity of 0.8 shares none with probability 2e-8.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import common, graph
 
 BANDS, BAND_ROWS = 45, 5
-#: Shingles in a block of a candidate group; two blocks meet in a task.
+#: Shingles in a block of a candidate group, or in a part of a hub's partners; two blocks meet in a task.
 BLOCK_SHINGLES = 250_000
+#: Leaders that a document meets first.
+NEAREST_LEADERS = 3
+#: Bands with more documents than this outside their largest component are left to blocks.
+FEW_OUTSIDE = 8
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -148,37 +153,96 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.n
     return group
 
 
-def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id, the smallest doc_id reachable by links of `percent` % similarity.
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
-    Null texts and texts without a word have the empty set and are linked with nothing. Every input row gives one row;
-    rows that repeat a doc_id are documents of their own that share that name. Rows without doc_id stay, without component.
+
+def _confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Distinct pairs (doc_id, n, hub), n the size of doc_id's set -> u, v: those whose full sets are similar enough.
+
+    A hub's text meets its partners in parts of bounded size, so a hub with very many partners is spread over tasks.
     """
-    signed = common.durable(signatures(docs.select("doc_id", "text"), width), "signatures")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    of = signed.select("doc_id", "n_shingles", "digest")
-    reps = signed.where("digest is not null").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    bands = reps.select("doc_id", F.explode("keys").alias("key"))
-    leaders = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader")
-    touching = bands.join(leaders, "key").where("doc_id <> leader").select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
-    candidates = common.durable(graph.components(touching, "candidates"), "candidates")
-    sized = candidates.join(of.groupBy("doc_id").agg(F.max("n_shingles").alias("n")), candidates.node == F.col("doc_id"))
-    blocks = sized.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    members = candidates.join(blocks, "root").select(F.col("node").alias("doc_id"), "root", "blocks", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int").alias("block"))
-    texts = members.join(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id")
+    parts = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    partners = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.col("parts")).cast("int").alias("part"), "doc_id")
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("doc_id"))
+    dealt = partners.unionByName(hubs).join(texts, "doc_id").select("hub", "part", "doc_id", "text")
+    shingler = Shingler(width)
+
+    def confirm(frame: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingler.shingles(t) for t in frame.text]
+        is_hub = (frame.doc_id == frame.hub).tolist()
+        centres = [s for s, h in zip(sets, is_hub, strict=True) if h]
+        linked = [not h and any(_similar(s, c, percent) for c in centres) for s, h in zip(sets, is_hub, strict=True)]
+        return pd.DataFrame({"u": frame.doc_id[linked], "v": frame.hub[linked]})
+
+    return dealt.groupBy("hub", "part").applyInPandas(confirm, "u long, v long")
+
+
+def _confirm_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """members (doc_id, root, n) -> u, v: links between any two members of a root, block against block; transitive ones may be left out."""
+    blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = members.join(blocks, "root").select("doc_id", "root", "blocks", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("blocks")).cast("int").alias("block"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("x"), F.greatest("block", other).alias("y")))
-    dealt = texts.select("doc_id", "text", "root", "block", F.explode(meets).alias("meet")).select("doc_id", "text", "block", "root", "meet.x", "meet.y")
+    dealt = placed.join(texts, "doc_id").select("doc_id", "text", "root", "block", F.explode(meets).alias("meet")).select("doc_id", "text", "block", "root", "meet.x", "meet.y")
+    shingler = Shingler(width)
 
     def confirm(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id", ignore_index=True)
-        shingler = Shingler(width)
         found = links_within([shingler.shingles(t) for t in frame.text], frame.block.to_numpy(), percent)
         ids = frame.doc_id.to_numpy()
         linked = found != np.arange(len(found))
         return pd.DataFrame({"u": ids[linked], "v": ids[found[linked]]})
 
-    confirmed = dealt.groupBy("root", "x", "y").applyInPandas(confirm, "u long, v long")
-    linked = graph.components(confirmed, "confirmed").withColumnsRenamed({"node": "rep", "root": "component"})
+    return dealt.groupBy("root", "x", "y").applyInPandas(confirm, "u long, v long")
+
+
+def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """reps (doc_id, n_shingles, keys) -> u, v: confirmed links whose components are those of all links between documents that share a band."""
+    bands = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    leaders = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader")
+    shared = common.durable(bands.join(leaders, "key").select("key", "leader", "doc_id", "n"), "shared-bands")
+    sizes = shared.groupBy("doc_id").agg(F.max("n").alias("n"))
+    texts = common.durable(docs.select(F.col("doc_id").cast("long"), "text").join(sizes.select("doc_id"), "doc_id", "left_semi"), "shared-texts")
+
+    # First each document meets the leaders that it shares most bands with, which connects most groups.
+    counted = shared.where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.max("n").alias("n"), F.count("*").alias("bands"))
+    nearest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("bands"), "leader"))
+    stars = common.durable(counted.withColumn("at", nearest).where(F.col("at") <= NEAREST_LEADERS).select("doc_id", "n", F.col("leader").alias("hub")), "stars")
+    joined = graph.components(_confirm_pairs(stars, texts, width, percent), "stars-linked")
+
+    # Only bands that still hold several components are open, and in those only pairs of different components.
+    named = shared.join(joined.withColumnsRenamed({"node": "doc_id", "root": "part"}), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    named = common.durable(named, "named-bands")
+    in_part = named.groupBy("key", "part").agg(F.countDistinct("doc_id").alias("m"))
+    largest = in_part.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("total"))
+    open_bands = largest.where("total > top.m").select("key", F.col("top.part").alias("main"), (F.col("total") - F.col("top.m")).alias("outside"))
+    few = open_bands.where(F.col("outside") <= FEW_OUTSIDE)
+    outside = named.join(few, "key").where("part <> main").select("key", "main", F.col("doc_id").alias("hub"), F.col("part").alias("hub_part"))
+    crossing = named.join(outside, "key").where("part <> hub_part and (part = main or doc_id > hub)").groupBy("doc_id", "hub").agg(F.max("n").alias("n"))
+    met = stars.select(F.col("doc_id").alias("high"), F.col("hub").alias("low"))
+    untried = crossing.join(met, (F.greatest("doc_id", "hub") == F.col("high")) & (F.least("doc_id", "hub") == F.col("low")), "left_anti")
+    across = _confirm_pairs(common.durable(untried, "crossing"), texts, width, percent)
+
+    # Bands with many documents outside their largest component: blocks of their candidate groups meet.
+    many = open_bands.where(F.col("outside") > FEW_OUTSIDE).select("key")
+    touching = named.join(many, "key", "left_semi").where("doc_id <> leader").select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
+    candidates = graph.components(touching, "candidates").withColumnsRenamed({"node": "doc_id"})
+    within = _confirm_blocks(candidates.join(sizes, "doc_id"), texts, width, percent)
+    return joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across).unionByName(within)
+
+
+def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id, the smallest doc_id reachable by links of `percent` % similarity.
+
+    Null texts and texts without a word have the empty set and are linked with nothing. Every input row gives one row;
+    rows that repeat a doc_id are documents of their own that share that name. Rows without doc_id stay, without component.
+    """
+    signed = common.durable(signatures(docs.select("doc_id", "text"), width), "signatures")
+    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    of = signed.select("doc_id", "n_shingles", "digest")
+    reps = signed.where("digest is not null").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
+    linked = graph.components(_links(reps, docs, width, percent), "linked").withColumnsRenamed({"node": "rep", "root": "component"})
     named = classes.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return of.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
