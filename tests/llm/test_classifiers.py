@@ -71,6 +71,22 @@ def test_toxicity(spark, docs, odd):
     assert all(0 <= r.score <= 1 for r in toxicity.score(table, only).collect())
 
 
+@pytest.mark.parametrize("clean_every", [2, 5, 10])
+def test_toxicity_at_any_share_of_toxic_labels(clean_every):
+    draw = random.Random(clean_every)
+    rows = []
+    for i in range(800):
+        w = [f"word{draw.randrange(300)}" for _ in range(60)]
+        y = int(i % clean_every > 0)
+        if y:
+            w[10:40:6] = [draw.choice(["Vile", "rotten", "vermin"]) for _ in range(5)]
+        rows.append((" ".join(w), y))
+    model = toxicity.fit(pd.DataFrame(rows, columns=["text", "toxic"]))
+    assert {"vile", "rotten", "vermin"} <= set(model["lexicon"])
+    scorer = toxicity.Scorer(model)
+    assert all((scorer.probability(scorer.evidence(scorer.passages(t))) >= 0.5) == bool(y) for t, y in rows)
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["a", "ab", "b", "abc", "c", "▁", "▁a"]
     import numpy as np

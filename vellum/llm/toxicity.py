@@ -29,6 +29,8 @@ from vellum.llm import common
 SAMPLE_ROWS = 12_000
 PRIOR_WEIGHT = 50.0
 SIGNIFICANT = 0.05
+#: A token's rate in toxic documents is over this multiple of its rate in clean ones.
+MARGIN = 2.0
 PREFIXES = (6, 5, 4)
 _TO_SPACE = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
@@ -127,7 +129,7 @@ def _needed(found: list[int], share: float) -> float:
     """
     by_count = Counter(found)
     left, least = len(found), 0.0
-    for y in range(1, 64):
+    for y in range(1, max(by_count, default=0) + 1):
         least = math.log(max(2, left))
         if y * -math.log(min(max(share, 1e-6), 0.99)) > least:
             break
@@ -153,7 +155,8 @@ def fit(frame: pd.DataFrame) -> dict:
         for w, y1 in counts[1].items():
             y = y1 + counts[0][w]
             p = y1 / y
-            if p <= 2 * share:
+            # How much more often toxic documents hold the token than clean ones, whatever the share of either class.
+            if p * (1 - share) <= MARGIN * (1 - p) * share:
                 continue
             if y * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)) > need:
                 prior = PRIOR_WEIGHT * y / (n[0] + n[1])
