@@ -1,7 +1,8 @@
 """Registered queries over the driver tables, each with DuckDB SQL for the same rows where SQL can express them.
 
 Queries on assembled articles (vellum.plans.corpus) take apart their HTML; the SQL beside them starts from the parts that
-the articles are made of. Arrays are joined to strings, so that either engine shows them alike.
+the articles are made of. Those are shortened; each of these queries has a second one, `..._whole`, over the whole texts.
+Arrays are joined to strings, so that either engine shows them alike.
 """
 
 from __future__ import annotations
@@ -155,14 +156,13 @@ _HEADS = "[h_a, h_b, h_c, 'Conclusion']"
 _TRAIL = "CASE WHEN content_id % 3 = 0 THEN ['Lecture complémentaire'] ELSE [] END"
 
 
-def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.articles(spark, sf_dir)
+Articles = Callable[[SparkSession, str], DataFrame]
 
 
 @_query(f"SELECT content_id, array_to_string(list_concat({_HEADS}, {_TRAIL}), '|') AS headings, array_to_string(list_concat(['h2', 'h3', 'h2', 'h2'], CASE WHEN content_id % 3 = 0 THEN ['h2'] ELSE [] END), '|') AS levels FROM ({_ART})")
-def q16_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q16_headings(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     found = html.headings(F.col("page"), rules.HEADING_TAGS)
-    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page")).select("content_id", found.alias("h"))
+    rows = articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page")).select("content_id", found.alias("h"))
     return rows.select("content_id", _joined(F.col("h.text")).alias("headings"), _joined(F.col("h.level")).alias("levels"))
 
 
@@ -175,21 +175,21 @@ _SECTION_ROWS = """
 
 
 @_query(_SECTION_ROWS)
-def q17_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
+def q17_sections(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
     rows = rows.select("content_id", F.posexplode(seo.sections(F.col("page"))).alias("at", "s"))
     return rows.select("content_id", (F.col("at") + 1).alias("at"), "s.h2", _joined(F.col("s.h3_headings")).alias("h3"), F.col("s.text").alias("section"))
 
 
 @_query(f"SELECT content_id, intro AS introduction FROM ({_ART})")
-def q18_introduction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
+def q18_introduction(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
     return rows.select("content_id", html.introduction(F.col("page"), F.lit(-1), rules.TEXT_BLOCKS).alias("introduction"))
 
 
 @_query(f"SELECT content_id, p_d AS conclusion FROM ({_ART})")
-def q19_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
+def q19_conclusion(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
     rows = rows.select("content_id", seo.sections(F.col("page")).alias("sections"))
     return rows.select("content_id", html.conclusion(F.col("sections"), rules.COMPLEMENTARY_TITLES).alias("conclusion"))
 
@@ -200,16 +200,16 @@ def q19_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN regexp_matches(lower(concat_ws(' ', intro, h_a, p_a, 'étude citée', h_b, p_b, dated, h_c, p_c, keyword, 'Conclusion', p_d, CASE WHEN content_id % 3 = 0 THEN 'Lecture complémentaire suite' END)), 'angle de réponse|note|instruction|indication')
              THEN 'structure.no_internal_outline_comments_exposed' END) AS rules FROM ({_ART}))
 """)
-def q20_structure_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = structure.judge(_articles(spark, sf_dir).select("content_id", "content", F.col("outline").alias("expected_outline_html")))
+def q20_structure_judge(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = structure.judge(articles(spark, sf_dir).select("content_id", "content", F.col("outline").alias("expected_outline_html")))
     return rows.select("content_id", "structure.status", _joined(F.col("structure.findings.rule_id")).alias("rules"))
 
 
 @_query(f"SELECT content_id, (content_id % 2)::INT AS cta_count, CASE WHEN content_id % 2 = 1 THEN h_a ELSE '' END AS strong_text, CASE WHEN content_id % 3 = 0 THEN '9' ELSE '' END AS complementary, CASE WHEN content_id % 3 = 0 THEN 12 ELSE 10 END::INT AS top_level FROM ({_ART})")
-def q21_cta_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q21_cta_signals(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     """Articles with a call to action added in a paragraph of that class, or one of another class."""
     call = F.concat(F.lit("<p class='"), F.when(F.col("content_id") % 2 == 1, "lead cta").otherwise("ctas"), F.lit("'>go <strong>"), F.col("h_a"), F.lit("</strong></p>"))
-    rows = _articles(spark, sf_dir).select("content_id", html.parse(F.concat(F.col("content"), call)).alias("page"))
+    rows = articles(spark, sf_dir).select("content_id", html.parse(F.concat(F.col("content"), call)).alias("page"))
     rows = rows.select("content_id", html.cta_signals(F.col("page"), rules.COMPLEMENTARY_TITLES).alias("c"))
     return rows.select("content_id", "c.cta_count", "c.strong_text", _joined(F.transform("c.complementary_indexes", lambda i: i.cast("string"))).alias("complementary"), F.col("c.top_level_tag_count").alias("top_level"))
 
@@ -221,13 +221,13 @@ _LINK_ROWS = f"""
 """
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.extract(_articles(spark, sf_dir).withColumn("organization_website", F.lit(WEBSITE)))
+def _linked(spark: SparkSession, sf_dir: str, articles: Articles) -> DataFrame:
+    return sources.extract(articles(spark, sf_dir).withColumn("organization_website", F.lit(WEBSITE)))
 
 
 @_query(_LINK_ROWS)
-def q22_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _linked(spark, sf_dir).select("content_id", F.explode("links").alias("x"))
+def q22_links(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = _linked(spark, sf_dir, articles).select("content_id", F.explode("links").alias("x"))
     return rows.select("content_id", F.col("x.index").alias("link"), "x.href", "x.anchor_text", "x.target", "x.is_external", "x.section")
 
 
@@ -245,8 +245,8 @@ def q23_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT content_id, 1 + (content_id % 3 = 0 AND content_id % 5 = 0)::INT AS external, (content_id % 3 = 0 AND content_id % 5 <> 0)::INT AS internal, 1 AS body_external,
            (content_id % 3 = 0)::INT AS complementary, (content_id % 15 = 0)::INT AS complementary_external FROM ({_ART})
 """)
-def q24_link_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _linked(spark, sf_dir).select("content_id", sources.partitions(F.col("links")).alias("n"))
+def q24_link_partitions(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = _linked(spark, sf_dir, articles).select("content_id", sources.partitions(F.col("links")).alias("n"))
     return rows.select("content_id", *(F.col(f"n.{x}_count").alias(x) for x in ("external", "internal", "body_external", "complementary", "complementary_external")))
 
 
@@ -254,10 +254,10 @@ def q24_link_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT content_id, CASE content_id % 3 WHEN 0 THEN concat('https://bare.example/', content_id::VARCHAR) WHEN 1 THEN 'https://marked.example)' ELSE '' END AS raw_urls,
            CASE WHEN content_id % 3 = 1 THEN '[x](https://marked.example)' ELSE '' END AS markdown_links, (content_id % 3 = 2)::INT AS attached FROM ({_ART})
 """)
-def q25_raw_markdown_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q25_raw_markdown_urls(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     """Articles with a bare URL, a Markdown link or an attached anchor added."""
     more = F.when(F.col("content_id") % 3 == 0, F.concat(F.lit("<p>see https://bare.example/"), F.col("content_id"), F.lit("</p>"))).when(F.col("content_id") % 3 == 1, "<p>[x](https://marked.example)</p>").otherwise('<p>word<a href="/x">y</a></p>')
-    rows = sources.extract(_articles(spark, sf_dir).select("content_id", F.concat("content", more).alias("content"), F.lit(WEBSITE).alias("organization_website")))
+    rows = sources.extract(articles(spark, sf_dir).select("content_id", F.concat("content", more).alias("content"), F.lit(WEBSITE).alias("organization_website")))
     return rows.select("content_id", _joined(F.col("raw_urls")).alias("raw_urls"), _joined(F.col("markdown_links")).alias("markdown_links"), F.col("attached_anchors").alias("attached"))
 
 
@@ -293,9 +293,9 @@ def q27_url_status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (content_id % 2 = 1)::INT + (content_id % 15 = 0)::INT AS minor
       FROM (SELECT content_id, CASE content_id % 3 WHEN 0 THEN 'SIMPLE' WHEN 1 THEN 'MEDIUM' ELSE 'LONG' END AS expected_length FROM ({_ART})))
 """)
-def q29_sources_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q29_sources_judge(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     kind = F.when(F.col("content_id") % 3 == 0, "SIMPLE").when(F.col("content_id") % 3 == 1, "MEDIUM").otherwise("LONG")
-    rows = _linked(spark, sf_dir).withColumns({"content_type": F.lit("articles"), "expected_length": kind, "require_sources": F.lit(True)})
+    rows = _linked(spark, sf_dir, articles).withColumns({"content_type": F.lit("articles"), "expected_length": kind, "require_sources": F.lit(True)})
     out = sources.judge(sources.with_checks(rows, "content_id"))
     return out.select("content_id", "sources.status", "sources.score", F.size(evaluate.blocking(F.lit("sources"), F.col("sources"))).alias("blocking"))
 
@@ -303,8 +303,8 @@ def q29_sources_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""
     SELECT href, count(*) AS n FROM (SELECT href_b AS href FROM ({_ART}) WHERE content_id % 3 = 0) GROUP BY href HAVING count(*) > 1
 """)
-def q28_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _linked(spark, sf_dir).select(F.explode("links").alias("x")).where("x.section = 'complementary_reading'")
+def q28_duplicate_links(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = _linked(spark, sf_dir, articles).select(F.explode("links").alias("x")).where("x.section = 'complementary_reading'")
     return rows.groupBy(F.col("x.href").alias("href")).agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -324,8 +324,8 @@ def q30_phrase_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(text.phrase_count(F.col("f"), F.lit(k)).alias(f"k{i}") for i, k in enumerate(_KEYWORDS)))
 
 
-def _seo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _articles(spark, sf_dir).select(
+def _seo_rows(spark: SparkSession, sf_dir: str, articles: Articles) -> DataFrame:
+    return articles(spark, sf_dir).select(
         "content_id", "content", F.lit("articles").alias("content_type"), F.lit("MEDIUM").alias("expected_length"), F.lit("DECISION").alias("funnel_stage"),
         F.col("keyword").alias("main_keyword"), F.array(F.lit("of"), F.lit("que")).alias("secondary_keywords"), F.array().cast("array<string>").alias("long_tail_keywords"),
     )
@@ -336,8 +336,8 @@ _BODY = "concat_ws(' ', intro, h_a, p_a, 'étude citée', h_b, p_b || dated, h_c
 
 @_query(f"""SELECT content_id, {_count_sql(_BODY, 'the')} AS lexical_body, {_count_sql('intro', 'the')} AS lexical_introduction,
     ({" + ".join(_count_sql(h, 'the') for h in ('h_a', 'h_b', 'h_c'))})::INT AS lexical_headings, {_count_sql('p_d', 'the')} AS lexical_conclusion, 1 AS emphasis FROM ({_ART})""")
-def q31_keyword_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seo.lexical(_seo_rows(spark, sf_dir))
+def q31_keyword_signals(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = seo.lexical(_seo_rows(spark, sf_dir, articles))
     return rows.select("content_id", "lexical_body", "lexical_introduction", "lexical_headings", "lexical_conclusion", F.size("lexical_emphasis").alias("emphasis"))
 
 
@@ -348,8 +348,8 @@ _MATCHED = "array_to_string(list_filter(['of', 'que'], lambda k: CASE k WHEN 'of
     SELECT content_id, ("at" - 1)::INT AS "at", h2, {_MATCHED} AS matched, sum((n_of + n_que > 0)::INT) OVER (PARTITION BY content_id) = 1 AS concentrated
     FROM (SELECT content_id, "at", h2, {_count_sql("concat_ws(' ', h2, section)", 'of')} AS n_of, {_count_sql("concat_ws(' ', h2, section)", 'que')} AS n_que FROM ({_SECTION_ROWS}) WHERE "at" < 4)
 """)
-def q32_section_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seo.lexical(_seo_rows(spark, sf_dir)).select("content_id", "lexical_concentrated", F.posexplode("lexical_distribution").alias("at", "s"))
+def q32_section_distribution(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = seo.lexical(_seo_rows(spark, sf_dir, articles)).select("content_id", "lexical_concentrated", F.posexplode("lexical_distribution").alias("at", "s"))
     return rows.select("content_id", "at", "s.h2", _joined(F.col("s.matched")).alias("matched"), F.col("lexical_concentrated").alias("concentrated"))
 
 
@@ -395,8 +395,8 @@ _BANDS = "CASE WHEN {x} <= {a} THEN 100 WHEN {x} <= {b} THEN 75 WHEN {x} <= {c}
           FROM (SELECT content_id, sum(m) AS n, sum(words)::DOUBLE AS words, count(*) FILTER (m > 0) / nullif(sum(m), 0)::DOUBLE AS spread, max(m) AS most
                 FROM (SELECT content_id, len(string_split(txt, ' ')) AS words, len(list_filter({_SENTENCES}, lambda s: {_count_sql("s", "the")} > 0)) AS m FROM ({_PARAGRAPHS})) GROUP BY content_id))
 """)
-def q36_overoptimisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seo.judge(_seo_rows(spark, sf_dir), _flags)
+def q36_overoptimisation(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = seo.judge(_seo_rows(spark, sf_dir, articles), _flags)
     return rows.select("content_id", "seo_scores.overoptimization", "seo_scores.overoptimization_risk")
 
 
@@ -408,14 +408,14 @@ def q36_overoptimisation(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM (SELECT k.content_id, lexical_body AS n, lexical_introduction = 0 OR lexical_headings = 0 OR lexical_conclusion = 0 OR lexical_body = 0 AS away, uneven
                 FROM ({{q31}}) k JOIN (SELECT content_id, bool_or(matched = '' OR concentrated) AS uneven FROM ({{q32}}) GROUP BY content_id) d USING (content_id)))
 """.replace("{q31}", ORACLE_SQL["q31_keyword_signals"]).replace("{q32}", ORACLE_SQL["q32_section_distribution"]))
-def q37_seo_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seo.judge(_seo_rows(spark, sf_dir))
+def q37_seo_judge(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = seo.judge(_seo_rows(spark, sf_dir, articles))
     return rows.select("content_id", "seo.status", "seo.score", "seo_scores.lexical", _joined(F.col("seo.findings.rule_id")).alias("rules"))
 
 
 @_query()
 def q38_temporal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _articles(spark, sf_dir).select("content_id", F.explode(evergreen.temporal_references(F.col("content"), F.lit("fr-FR"), F.array(F.lit("2019")))).alias("r"))
+    rows = corpus.whole_articles(spark, sf_dir).select("content_id", F.explode(evergreen.temporal_references(F.col("content"), F.lit("fr-FR"), F.array(F.lit("2019")))).alias("r"))
     return rows.select("content_id", "r.type", "r.value", "r.in_source_context", "r.in_historical_context", "r.in_input")
 
 
@@ -424,20 +424,20 @@ def q38_temporal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
            CASE WHEN content_id % 5 = 4 THEN 'evergreen.llm_error' WHEN content_id % 5 = 1 THEN 'evergreen.llm.problematic_passage' ELSE '' END AS rules
     FROM (SELECT content_id, CASE WHEN content_id % 5 = 4 THEN 0 ELSE content_id % 101 END::INT AS score FROM ({_ART}))
 """)
-def q39_evergreen_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q39_evergreen_judge(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     """Replies made from the id: plain or fenced JSON, scores as numbers or text, a passage, or no JSON at all."""
     score = (F.col("content_id") % 101).cast("string")
     passage = F.when(F.col("content_id") % 5 == 1, ', "passages_problematiques": [{"extrait": "a", "probleme": "b"}]').otherwise("")
     reply = F.when(F.col("content_id") % 5 == 4, "no reply").otherwise(F.concat(F.lit('```json\n{"score_global_evergreen": '), F.when(F.col("content_id") % 2 == 0, F.concat(F.lit('"'), score, F.lit('"'))).otherwise(F.concat(score, F.lit(".9"))), passage, F.lit("}\n```")))
-    rows = _articles(spark, sf_dir).select("content_id", reply.alias("llm_raw_response"), (F.col("content_id") % 2 == 1).alias("evergreen_required"), F.lit("fr-FR").alias("locale"))
+    rows = articles(spark, sf_dir).select("content_id", reply.alias("llm_raw_response"), (F.col("content_id") % 2 == 1).alias("evergreen_required"), F.lit("fr-FR").alias("locale"))
     return evergreen.judge(rows).select("content_id", "evergreen.status", "evergreen.score", _joined(F.col("evergreen.findings.rule_id")).alias("rules"))
 
 
 @_query()
 def q40_dimension_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole evaluations of all articles, counted by judge and status."""
-    rows = _seo_rows(spark, sf_dir).withColumns({"request_id": F.col("content_id").cast("string"), "locale": F.lit("fr-FR"), "organization_website": F.lit(WEBSITE), "require_sources": F.lit(True), "enabled_judges": F.lit(None).cast("array<string>")})
-    outline = _articles(spark, sf_dir).select(F.col("content_id").cast("string").alias("request_id"), F.col("outline").alias("expected_outline_html"))
+    rows = _seo_rows(spark, sf_dir, corpus.whole_articles).withColumns({"request_id": F.col("content_id").cast("string"), "locale": F.lit("fr-FR"), "organization_website": F.lit(WEBSITE), "require_sources": F.lit(True), "enabled_judges": F.lit(None).cast("array<string>")})
+    outline = corpus.whole_articles(spark, sf_dir).select(F.col("content_id").cast("string").alias("request_id"), F.col("outline").alias("expected_outline_html"))
     return evaluate.report(evaluate.evaluate(rows.drop("content_id").join(outline, "request_id")))
 
 
@@ -455,6 +455,22 @@ def q42_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("s").alias("n_sentences"), F.sha2(_joined(F.col("s")), 256).alias("digest"))
 
 
+def _whole(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, corpus.whole_articles)
+
+    query.__name__ = f"{f.__name__}_whole"
+    return query
+
+
+# The queries whose SQL starts from the parts of shortened articles, over whole ones; without SQL.
+for _f in (
+    q16_headings, q17_sections, q18_introduction, q19_conclusion, q20_structure_judge, q21_cta_signals, q22_links, q24_link_partitions, q25_raw_markdown_urls,
+    q28_duplicate_links, q29_sources_judge, q31_keyword_signals, q32_section_distribution, q36_overoptimisation, q37_seo_judge, q39_evergreen_judge,
+):
+    _query()(_whole(_f))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

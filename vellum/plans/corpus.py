@@ -1,11 +1,13 @@
 """Assembled articles: deterministic HTML built from documents, so that headings, sections, links and dates are there to judge.
 
-The same SQL template is written for Spark and for DuckDB; only word lists and slices differ.
+Two kinds: articles() cuts fixed parts from the first 113 words of a text by one SQL template for Spark and DuckDB (only word
+lists and slices differ), and leaves out null texts; whole_articles() holds every word of every text, for Spark only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WORDS = {
     "spark": "filter(split(translate(text, '&<>' || chr(9) || chr(10) || chr(13), '      '), ' '), x -> x <> '')",
@@ -42,3 +44,40 @@ def sql(dialect: str, documents: str = "documents") -> str:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql("spark", "{documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Words of a whole article's introduction and conclusion, and of a section's h2, first paragraph and h3; the rest of its run is the second paragraph.
+INTRO, END, RUN, H2, P1, H3 = 20, 15, 100, 3, 30, 2
+
+
+def whole_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """content_id, lang, keyword, h_a, href_a, href_b, content, outline: an article of all words for each document.
+
+    The introduction has the first words, the conclusion the last ones, and a section each run of words between them; there is
+    one section at least. A null text is an article without words. The first of every five sections has the link, all have the
+    date and the last the keyword. As in articles(), every fourth outline has its sections reversed and every fourth h4 for h3.
+    """
+    words = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("content_id"), "lang", F.coalesce(F.expr(_WORDS["spark"]), F.array().cast("array<string>")).alias("w")
+    )
+    cut = words.selectExpr("*", f"greatest({INTRO}, size(w) - {END}) AS body_end").selectExpr("*", f"greatest(1, cast(ceil((body_end - {INTRO}) / {RUN}) AS int)) AS n_sections")
+    run = lambda at, n: f"array_join(slice(w, {INTRO} + i * {RUN} + {at} + 1, greatest(0, least({n}, least(size(w), body_end) - {INTRO} - i * {RUN} - {at}))), ' ')"
+    parts = f"named_struct('at', i, 'h2', {run(0, H2)}, 'p1', {run(H2, P1)}, 'h3', {run(H2 + P1, H3)}, 'p2', {run(H2 + P1 + H3, RUN - H2 - P1 - H3)})"
+    split = cut.selectExpr(
+        "content_id", "lang", "'the' AS keyword", f"array_join(slice(w, 1, {INTRO}), ' ') AS intro", "array_join(slice(w, body_end + 1, greatest(0, size(w) - body_end)), ' ') AS conclusion",
+        f"transform(sequence(0, n_sections - 1), i -> {parts}) AS sections",
+        "concat('https://www.example.org/p/', CAST(content_id AS string), CASE WHEN content_id % 4 = 0 THEN '?utm_source=x' ELSE '' END) AS href_a",
+        "CASE WHEN content_id % 5 = 0 THEN concat('https://autre.example/', CAST(content_id % 7 AS string)) ELSE concat('/interne/', CAST(content_id % 7 AS string)) END AS href_b",
+        "CASE content_id % 5 WHEN 0 THEN ' depuis mars 2021' WHEN 1 THEN ' in 2019' WHEN 2 THEN ' le 12/03/2024' WHEN 3 THEN ' actuellement' ELSE '' END AS dated",
+    )
+    link = """CASE WHEN s.at % 5 = 0 THEN concat(' <a href="', href_a, '"', CASE WHEN content_id % 2 = 0 THEN ' target="_blank" rel="noopener noreferrer"' ELSE '' END, '>étude citée</a>') ELSE '' END"""
+    strong = "CASE WHEN s.at = size(sections) - 1 THEN concat(' <strong>', keyword, '</strong>') ELSE '' END"
+    body = f"array_join(transform(sections, s -> concat('<h2>', s.h2, '</h2><p>', s.p1, {link}, '</p><h3>', s.h3, '</h3><p>', s.p2, dated, {strong}, '</p>')), '')"
+    more = """CASE WHEN content_id % 3 = 0 THEN concat('<h2>Lecture complémentaire</h2><p><a href="', href_b, '">suite</a></p>') ELSE '' END"""
+    level = "CASE WHEN content_id % 4 = 2 THEN 'h4>' ELSE 'h3>' END"
+    heads = f"transform(CASE WHEN content_id % 4 = 1 THEN reverse(sections) ELSE sections END, s -> concat('<h2>', s.h2, '</h2><', {level}, s.h3, '</', {level}))"
+    return split.selectExpr(
+        "content_id", "lang", "keyword", "sections[0].h2 AS h_a", "href_a", "href_b",
+        f"concat('<p>', intro, '</p>', {body}, '<h2>Conclusion</h2><p>', conclusion, '</p>', {more}) AS content",
+        f"concat(array_join({heads}, ''), '<h2>Conclusion</h2>') AS outline",
+    )
