@@ -74,3 +74,17 @@ def test_mix_repeats_whole_rows(spark, docs):
     assert abs(sum(v for k, v in n.items() if k >= 40) - 40) <= 2
     assert mixing.plan(docs([])).count() == 0
     assert mixing.mix(docs([])).count() == 0
+
+
+def test_mix_keeps_rows_without_doc_id(spark, docs):
+    rows = [(None if i % 2 else i, f"w{i} " * 30, "en", "a" if i < 40 else "b") for i in range(60)] + [(None, "w1 " * 30, "en", "b"), (None, None, "en", "a")]
+    n = Counter((r.doc_id, r.text, r.source) for r in mixing.mix(docs(rows)).collect())
+    assert set(n) <= {(i, t, s) for i, t, _, s in rows}
+    assert not any(t is None for _, t, _ in n)
+    assert max(n.values()) <= 3
+    taken = Counter()
+    for r in mixing.plan(docs(rows)).collect():
+        taken[r.source, r.doc_id is None] += r.taken / 30
+    for (source, bare), t in taken.items():
+        assert abs(sum(v for k, v in n.items() if (k[2], k[0] is None) == (source, bare)) - t) <= 2
+    assert sum(v for k, v in n.items() if k[0] is None) > 15

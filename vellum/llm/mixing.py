@@ -65,37 +65,47 @@ def apportion(rows: DataFrame, group: str, order: str, weight: str, seats: Colum
     return base.join(won, [group, order], "left").withColumn("quota", F.col("sure") + F.coalesce("more", F.lit(0))).drop("share", "doubt", "sure", "open", "more")
 
 
+def _own(doc_id: Column, source: Column, text: Column) -> Column:
+    """What stands for a row without doc_id: its text and source. Null for all others; hashes pass over it there."""
+    return F.when(doc_id.isNull(), F.concat(F.sha2(F.coalesce(text, F.lit("")), 256), F.coalesce(F.concat(F.lit("="), source), F.lit(""))))
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = BLOCK_WORDS, seed: int = 5) -> DataFrame:
     """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken: the words of each document that the mix takes.
 
     Null texts and texts without a word have size 0 and nothing is taken from them; a null source is a source of its own.
     taken is at most cap times the size. The same rows give the same mix. Repeated rows count one by one; an empty table gives no rows.
     """
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    return _planned(docs, weights, cap, block_words, seed).drop("own")
+
+
+def _planned(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block_words: int = BLOCK_WORDS, seed: int = 5) -> DataFrame:
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), _own(F.col("doc_id"), F.col("source"), F.col("text")).alias("own"))
     sized = common.durable(sized.withColumn("key", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))), "sizes")
     sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     aimed = targets(sources, weights, cap)
     aimed = aimed.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n") / SHARD_DOCS)).cast("int")).withColumn("whole", F.lit(0))
     aimed = apportion(aimed, "whole", "key", "target", F.round(F.sum("target").over(Window.partitionBy("whole")) / block_words))
     aimed = common.durable(aimed.select("key", "source_size", "target", "shards", F.col("quota").alias("source_quota")), "targets")
-    dealt = sized.join(aimed, "key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")).cast("int"))
+    dealt = sized.join(aimed, "key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "own"), F.col("shards")).cast("int"))
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = apportion(shards, "key", "shard", "shard_size", F.col("source_quota"))
     goal = F.least(F.col("quota") * block_words, F.col("shard_size") * cap)
     passes = F.when(F.col("shard_size") > 0, F.floor(goal / F.col("shard_size"))).otherwise(0)
     shards = shards.withColumn("passes", passes.cast("long")).select("key", "shard", "passes", (goal - F.col("passes") * F.col("shard_size")).alias("rest"))
-    drawn = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    drawn = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "own"), "doc_id", "size", "own")
     placed = dealt.withColumn("end", F.sum("size").over(drawn.rowsBetween(Window.unboundedPreceding, 0))).join(shards, ["key", "shard"])
     part = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - (F.col("end") - F.col("size"))))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("doc_id", "own", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, each as often as the plan takes it, to the nearest whole document.
 
     Rows of one doc_id share a plan: together they are repeated as often as their words are taken.
+    Of rows without doc_id only those of the same text and source do.
     """
-    times = plan(docs, **options).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = times.where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
-    repeated = docs.join(times, "doc_id")
+    times = _planned(docs, **options).groupBy("doc_id", "own").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = times.where("taken > 0").select(F.col("doc_id").alias("_of"), F.col("own").alias("_own"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    repeated = docs.join(times, docs["doc_id"].eqNullSafe(times["_of"]) & _own(docs["doc_id"], docs["source"], docs["text"]).eqNullSafe(times["_own"]))
     return repeated.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
