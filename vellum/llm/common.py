@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,21 +13,41 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
-DEFAULT_SCRATCH = "/tmp/checkpoints"
+#: Where scratch tables go if a session on one machine names no spark.checkpoint.dir (tests, notebooks).
+LOCAL_SCRATCH = "/tmp/checkpoints"
 
 
 #: Rows of whole documents in an Arrow batch, in place of Spark's 10,000: a batch is held by the JVM and by Python at once.
 ARROW_ROWS = 1_000
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the caller's settings but Arrow batches of that size; the caller's own settings stay as they are."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if own.conf.get(name, None) != value:
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return own
+
+
+def moved(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a DataFrame of another session of the same application, so that it runs by that session's settings."""
+    name = f"vellum_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return spark.table(f"global_temp.{name}")
+    finally:
+        df.sparkSession.catalog.dropGlobalTempView(name)
+
+
 def small_batches(query: Callable) -> Callable:
-    """The query or stage with Arrow batches of that size. Its result runs later, so the size stays set for the session."""
+    """The query or stage in a session of its own with small Arrow batches; its result, which runs later, belongs to that session."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        return query(spark, *args)
+        own = own_session(spark)
+        return query(own, *(moved(own, a) if isinstance(a, DataFrame) else a for a in args))
 
     return run
 
@@ -36,8 +57,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH).rstrip("/")
+    """The folder that driver and executors share; only on a single machine may the session leave it unnamed."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or LOCAL_SCRATCH).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -52,6 +76,13 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds == fold
 
