@@ -4,13 +4,15 @@ Texts are cut into pre-tokens ("words") by the public pattern. A task works on b
 becomes the sequence of its words' numbers in the block's list of distinct words (the exploded positions), and that list
 is dealt by a hash of the word, packed by bucket. A bucket gathers a word from all blocks, so each distinct word of the
 whole table is encoded once; its ids go back to the blocks that asked for it, which join them with their documents and
-reassemble them by position. A frequent word costs a row's entry per block, not per occurrence. Blocks are written
+reassemble them by position. A frequent word costs a row's entry per block, not per occurrence. The number of buckets
+grows with the bytes of text; a task streams through its buckets' rows and holds only distinct words. Blocks are written
 once, bucketed by block number, to the shared folder, so the final join moves only the words' ids.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +26,10 @@ from pyspark.sql import functions as F
 from vellum.llm import common
 
 BLOCK_BYTES = 16 << 20
+#: Bytes of text for each bucket of distinct words. Beyond the most buckets, whose lists would be cut too fine, tasks stream for longer.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 256 << 20, 64, 8_192
+#: Distinct words that a task holds; a bucket with more of them encodes some again.
+HELD_WORDS = 1_000_000
 #: A vocabulary is broadcast only up to so many tokens; rank files of public tokenizers have some hundred thousand.
 MAX_VOCABULARY = 2_000_000
 
@@ -98,40 +104,51 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, doc_id long, codes binary, bucket int, words binary, lengths binary, places binary")
 
 
+def bucket_count(docs: DataFrame) -> int:
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-total // BUCKET_BYTES)))
+
+
 def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """A table in the shared folder whose rows with the same key are in files of one bucket, so that joins on it leave it in place."""
+    """A table in the shared folder whose rows with the same key are in files of one bucket, so that joins on it leave it in place.
+
+    The catalog's entry goes at once; the files and the plan that reads them stay.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"vellum_blocks_{uuid.uuid4().hex[:12]}"
     df.write.bucketBy(n, key).option("path", common.scratch_path(spark, name)).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
 
 
 def _encode_words(vocabulary):
-    made: list = []  # the encoding, made once in each task
+    """Rows of distinct words, sorted by bucket -> their ids; a bucket's words are remembered, so that each is encoded once."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        if not made:
-            # Any word is one match of this pattern: it has been cut before.
-            made.append(tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=vocabulary.value, special_tokens={}))
-        encode = made[0].encode_ordinary
+        # Any word is one match of this pattern: it has been cut before.
+        encode = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=vocabulary.value, special_tokens={}).encode_ordinary
         known: dict[bytes, tuple[int, ...]] = {}
-        counts, ids = [], []
-        for words, lengths in zip(frame.words, frame.lengths, strict=True):
-            ends = np.cumsum(_from_planes(lengths), dtype=np.int64).tolist()
-            found, start = [], 0
-            for end in ends:
-                w = words[start:end]
-                start = end
-                got = known.get(w)
-                if got is None:
-                    known[w] = got = tuple(encode(w.decode()))
-                found.append(got)
-            counts.append(_planes(np.fromiter(map(len, found), "<u4", len(found))))
-            ids.append(_planes(np.array([x for got in found for x in got], "<u4")))
-        return pd.DataFrame({"block": frame.block, "bucket": frame.bucket, "counts": counts, "ids": ids})
+        current = None
+        for batch in common.pieces(batches, "words"):
+            counts, ids = [], []
+            for bucket, words, lengths in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if bucket != current or len(known) > HELD_WORDS:
+                    known, current = {}, bucket
+                found, start = [], 0
+                for end in np.cumsum(_from_planes(lengths), dtype=np.int64).tolist():
+                    w = words[start:end]
+                    start = end
+                    got = known.get(w)
+                    if got is None:
+                        known[w] = got = tuple(encode(w.decode()))
+                    found.append(got)
+                counts.append(_planes(np.fromiter(map(len, found), "<u4", len(found))))
+                ids.append(_planes(np.fromiter(itertools.chain.from_iterable(found), "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["block", "bucket", "counts", "ids"])
 
     return run
 
@@ -146,13 +163,15 @@ def _gather(starts: np.ndarray, counts: np.ndarray, values: np.ndarray) -> np.nd
 def encode(docs: DataFrame, rank_path: str, pattern: str, buckets: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids: the token ids of each whole text as little-endian unsigned 32-bit integers.
 
-    No special tokens. Null and empty texts have no ids. Each input row gives one row, repeated ones too.
+    No special tokens. Null and empty texts have no ids. Each input row gives one row, repeated ones and rows without
+    doc_id too; an empty table gives none. Other columns of docs, whatever their names, are not read. A very long text is
+    one row of one block. Nothing is ranked, so there are no ties: equal texts have equal ids.
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(ranks(rank_path))
-    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = _bucketed(_blocks(docs, pattern, buckets), "block")
-    encoded = blocks.where("bucket is not null").select("block", "bucket", "words", "lengths").groupBy("bucket").applyInPandas(_encode_words(vocabulary), "block long, bucket int, counts binary, ids binary")
+    blocks = _bucketed(_blocks(docs, pattern, buckets or bucket_count(docs)), "block")
+    listed = blocks.where("bucket is not null").select("block", "bucket", "words", "lengths")
+    encoded = listed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode_words(vocabulary), "block long, bucket int, counts binary, ids binary")
 
     def assemble(own: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         listed = own[own.bucket.notna()]
@@ -181,7 +200,8 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     """encoded (doc_id, ids) -> also decoded, the bytes of the ids.
 
     The token-byte table has a fixed, checked size, so each task holds it and joins the ids with it by position;
-    an id that is not in the table is an error.
+    an id that is not in the table is an error. Empty ids give empty bytes; null ids are an error, as encode() makes none.
+    One row for each row, repeated ones and those without doc_id too; an empty table gives none; other columns are dropped.
     """
     table = encoded.sparkSession.sparkContext.broadcast(ranks(rank_path))
 
