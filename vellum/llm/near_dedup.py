@@ -3,12 +3,13 @@
 A document's set holds the 64-bit hashes of its word shingles. Under each of a number of permutations both the smallest
 and the largest value are kept, so that half the hash evaluations give a signature of the same length; either value
 agrees between two sets with probability equal to their Jaccard similarity. Bands take five values of different
-permutations. Documents with equal sets form a class and only its smallest doc_id goes on. Exact set intersections
-confirm links in rounds, so that a group of many copies costs in proportion to its size: first each document meets the
-leaders (smallest doc_ids of a band) that it shares most bands with; in bands that then still hold several components,
-the documents outside the largest one meet those of other components; bands with many such documents leave their
-candidate groups to blocks that meet block by block. Every pair that shares a band is either compared or already
-connected. With 45 bands of 5 a pair at a similarity of 0.8 shares none with probability 2e-8.
+permutations. Documents with equal sets form a class, and one row of it, the class's node, goes on. Exact set
+intersections confirm links in rounds, so that a group of many copies costs in proportion to its size: first each node
+meets the leaders (smallest nodes of a band) that it shares most bands with; in bands that then still hold several
+components, the nodes outside the largest one meet those of other components; bands with many such nodes leave their
+candidate groups to blocks that meet block by block, and groups that chain many bands together are taken apart into
+those bands again. Every pair that shares a band is either compared or already connected. With 45 bands of 5 a pair at
+a similarity of 0.8 shares none with probability 2e-8.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BLOCK_SHINGLES = 250_000
 NEAREST_LEADERS = 3
 #: Bands with more documents than this outside their largest component are left to blocks.
 FEW_OUTSIDE = 8
+#: Candidate groups of more blocks than this are taken apart into their bands.
+MOST_BLOCKS = 16
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -97,7 +100,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, digest of the set, band keys (null if the set is empty)."""
+    """docs (doc_id, text) -> doc_id, text_key (hash of the text), n_shingles, digest of the set, band keys (null if the set is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -105,14 +108,20 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = BAND
         shingler, signer = Shingler(width), Signer(bands, rows)
         for batch in common.pieces(batches):
             n, digests, keys = [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 s = shingler.shingles(t)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(signer.keys(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "digest", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return _named(docs).mapInArrow(run, "doc_id long, text_key long, n_shingles long, digest binary, keys array<long>")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and text: the first two tell rows apart, but for those that repeat a row."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
 
 
 def links_within(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
@@ -198,12 +207,17 @@ def _confirm_blocks(members: DataFrame, texts: DataFrame, width: int, percent: i
 
 
 def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """reps (doc_id, n_shingles, keys) -> u, v: confirmed links whose components are those of all links between documents that share a band."""
-    bands = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    """reps (node, doc_id, text_key, n_shingles, keys) -> u, v: confirmed links of nodes whose components are those of all links between nodes that share a band.
+
+    From here on doc_id stands for the node.
+    """
+    bands = reps.select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     leaders = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader")
     shared = common.durable(bands.join(leaders, "key").select("key", "leader", "doc_id", "n"), "shared-bands")
     sizes = shared.groupBy("doc_id").agg(F.max("n").alias("n"))
-    texts = common.durable(docs.select(F.col("doc_id").cast("long"), "text").join(sizes.select("doc_id"), "doc_id", "left_semi"), "shared-texts")
+    rows = reps.join(sizes.select(F.col("doc_id").alias("node")), "node", "left_semi").select("node", "doc_id", "text_key")
+    texts = _named(docs).join(rows, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text")
+    texts = common.durable(texts, "shared-texts")
 
     # First each document meets the leaders that it shares most bands with, which connects most groups.
     counted = shared.where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.max("n").alias("n"), F.count("*").alias("bands"))
@@ -227,31 +241,52 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     # Bands with many documents outside their largest component: blocks of their candidate groups meet.
     many = open_bands.where(F.col("outside") > FEW_OUTSIDE).select("key")
     touching = named.join(many, "key", "left_semi").where("doc_id <> leader").select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
-    candidates = graph.components(touching, "candidates").withColumnsRenamed({"node": "doc_id"})
-    within = _confirm_blocks(candidates.join(sizes, "doc_id"), texts, width, percent)
+    candidates = graph.components(touching, "candidates").withColumnsRenamed({"node": "doc_id"}).join(sizes, "doc_id")
+    wide = candidates.groupBy("root").agg(F.sum("n").alias("total")).where(F.col("total") > MOST_BLOCKS * BLOCK_SHINGLES).select("root")
+    apart = candidates.join(wide, "root", "left_semi").select("doc_id")
+    by_band = named.join(many, "key", "left_semi").join(apart, "doc_id", "left_semi").select("doc_id", F.col("key").alias("root"), "n")
+    members = candidates.join(wide, "root", "left_anti").select("doc_id", "root", "n").unionByName(by_band)
+    within = _confirm_blocks(common.durable(members, "block-members"), texts, width, percent)
     return joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(across).unionByName(within)
 
 
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """A row for each row of docs: doc_id, text_key, n_shingles, root (its component's node) and component_id; the last two null without doc_id or words."""
+    signed = signatures(docs, width).withColumn("row", F.monotonically_increasing_id())
+    signed = common.durable(signed, "signatures")
+    sets = signed.where("digest is not null and doc_id is not null")
+    classes = common.durable(sets.groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.min("row").alias("node")), "classes")
+    reps = sets.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "text_key", "n_shingles", "keys")
+    linked = graph.components(_links(reps, docs, width, percent), "linked")
+    rooted = classes.join(linked, "node", "left").select("digest", "smallest", F.coalesce("root", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("digest", "root", "component_id")
+    own = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    return own.join(named, "digest", "left").drop("digest")
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, the smallest doc_id reachable by links of `percent` % similarity.
 
     Null texts and texts without a word have the empty set and are linked with nothing. Every input row gives one row;
-    rows that repeat a doc_id are documents of their own that share that name. Rows without doc_id stay, without component.
+    rows that repeat a doc_id are documents of their own that share that name. Rows without doc_id stay, without
+    component. An empty table gives no rows. Very long texts are shingled whole. Links of equal similarity need no order:
+    a component is the same whichever is found first. Other columns, whatever their names, are not read.
     """
-    signed = common.durable(signatures(docs.select("doc_id", "text"), width), "signatures")
-    classes = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    of = signed.select("doc_id", "n_shingles", "digest")
-    reps = signed.where("digest is not null").join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    linked = graph.components(_links(reps, docs, width, percent), "linked").withColumnsRenamed({"node": "rep", "root": "component"})
-    named = classes.join(linked, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return of.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    found = _grouped(docs, width, percent)
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay if one document of each near-duplicate group does; all columns.
+    """The rows of docs that stay if one document of each near-duplicate group does; all columns, of any names.
 
-    Of rows that repeat a doc_id with the same text one stays as well. Rows without doc_id stay.
+    Of a group the smallest doc_id stays; of several texts under it that of the smallest text_key. Of rows that repeat
+    both doc_id and text one stays; other texts under the same doc_id are judged by themselves. Null texts and texts
+    without a word are groups of their own. Rows without doc_id all stay. An empty table gives no rows.
     """
-    kept = groups(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    found = common.durable(_grouped(docs, width, percent).where("doc_id is not null"), "grouped")
+    kept = found.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("_id"), F.min("text_key").alias("_key")).select("_id", "_key")
+    kept = kept.unionByName(found.where("root is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    key = common.fresh(docs, "text_key")
+    named = docs.where("doc_id is not null").withColumn(key, F.xxhash64("text"))
+    named = named.join(kept, (named["doc_id"] == kept["_id"]) & (named[key] == kept["_key"]), "left_semi")
+    return named.dropDuplicates(["doc_id", key]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
