@@ -22,6 +22,8 @@ from vellum.llm import common
 #: Payloads below this size are never replaced by a revisit.
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 64 << 20
+#: Pages that share a payload look up its first page in so many parts.
+SALT = 16
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 16
@@ -31,14 +33,20 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, payload, payload_digest, refers_to (null: a response record).
 
     A null html is an empty payload. Rows that repeat the smallest page_id of a payload are all responses; a null page_id
-    is never referred to.
+    is never referred to. One row for each row; an empty table gives none; other columns, whatever their names, are not
+    read. Payloads meet their notes by page_id and digest; by digest alone only ids are joined, salted, so that a
+    payload that very many pages share gathers nowhere. Few notes are broadcast by Spark, which knows their table's size.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
-    digests = pages.select("page_id", payload.alias("payload")).where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", F.sha2("payload", 256).alias("payload_digest"))
-    first = digests.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
-    joined = rows.join(first, "payload_digest", "left")
-    return joined.select("page_id", "url", "payload", "payload_digest", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
+    ids = rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "payload_digest")
+    first = ids.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("payload_digest", "first")
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    notes = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(salted, ["payload_digest", "salt"])
+    notes = notes.where("page_id is null or page_id <> first").select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), "first").distinct()
+    notes = common.durable(notes, "revisits")
+    joined = rows.join(notes, rows["page_id"].eqNullSafe(notes["_id"]) & (rows["payload_digest"] == notes["_digest"]), "left")
+    return joined.select("page_id", "url", "payload", "payload_digest", F.col("first").alias("refers_to"))
 
 
 def record_id(page_id: int | None, serial: str) -> str:
@@ -65,7 +73,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write with_revisits() rows as .warc.gz files under the folder, a URI that all executors reach; -> path, records, size of each."""
+    """Write with_revisits() rows as .warc.gz files under the folder, a URI that all executors reach; -> path, records, size of each.
+
+    Every row is a record: null and odd URLs are quoted, a null page_id gets a name from its place. A payload is held whole,
+    one at a time. Repeated rows are records of their own. An empty table writes no archive. Other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -149,7 +161,11 @@ def _page(text: str | None) -> int | None:
 
 
 def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """archives (path) -> page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload (null for revisits or if not asked for)."""
+    """archives (path) -> page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload (null for revisits or if not asked for).
+
+    A row for each record, in no order; no archives, no rows. Empty payloads come back empty, not null. Damaged archives are
+    an error, never a shorter result.
+    """
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
