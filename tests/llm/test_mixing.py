@@ -26,9 +26,9 @@ def exact_targets(sizes, weights=(1, 2, 3), cap=3):
         fixed |= {s: Fraction(cap * sizes[s]) for s in over}
 
 
-@pytest.mark.parametrize("shard_words", [4_000_000, 500])
-def test_plan(spark, docs, shard_words, monkeypatch):
-    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words)
+@pytest.mark.parametrize("shard_docs", [4_096, 60])
+def test_plan(spark, docs, shard_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", shard_docs)
     draw = random.Random(3)
     rows = [(i, " ".join(["w"] * draw.randrange(0, 90)), "en", draw.choice(["a", "a", "a", "b", "é", "Z", None, "tiny"] if i % 9 else ["z\U0001f600"])) for i in range(700)]
     rows = [(i, t if s != "tiny" else ("w" if i % 40 == 0 else None), lang, s) for i, t, lang, s in rows] + [(5, "repeated id", "en", "a"), (None, "no id", "en", "b")]
