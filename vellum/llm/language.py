@@ -1,10 +1,11 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all
-its segmentations into pieces, found by a forward pass; single characters outside the vocabulary have a small floor, so
-each word has a segmentation. Piece probabilities are estimated by expectation maximisation (forward and backward
-passes) on the distinct words of a bounded sample of labelled documents per language. A text's score for a language is
-the sum of its words' log probabilities; the prediction is the language of the highest posterior.
+Each language has a probability for every letter piece of a fixed public vocabulary. A word's probability is the sum over
+all its segmentations into pieces, found by a forward pass that is linear in the word's length; single characters outside
+the vocabulary have a small floor, so each word has a segmentation. Sums are rescaled as they grow small, so that runs of
+letters of any length are scored whole. Piece probabilities are estimated by expectation maximisation (forward and
+backward passes) on the distinct words of a bounded sample of labelled documents per language. A text's score for a
+language is the sum of its words' log probabilities; the prediction is the language of the highest posterior.
 """
 
 from __future__ import annotations
@@ -20,28 +21,23 @@ from pyspark.sql import functions as F
 
 from vellum.llm import common
 
-#: Labelled documents read for training, per language at most. Up to 1,000 Spark cuts each task's rows before it shuffles
-#: them by language, so that a language with most of the rows gathers few in one task.
+#: Labelled documents read for training, per language at most.
 SAMPLE_ROWS = 1_000
-#: Runs of letters longer than this are scored in successive parts of this length.
-MAX_WORD = 24
-MAX_PIECE = 8
+#: A model holds one probability for each piece and language and is sent to every task; more languages than this are an error.
+MAX_LANGUAGES = 1_000
 FLOOR = 1e-8
+#: Characters between rescalings of the sums.
+STRIDE = 8
+#: Words of equal length are summed together, this many characters at a time.
+BATCH_CHARS = 200_000
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, each begun by a word mark and cut to bounded parts."""
-    out = []
-    for w in _WORDS.findall((text or "").lower()):
-        if len(w) < MAX_WORD:
-            out.append("▁" + w)
-        else:
-            w = "▁" + w
-            out += [w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-    return out
+    """Lower-cased whole runs of letters, each begun by a word mark; runs of other signs that count as letters, such as fractions, are none."""
+    return ["▁" + w for w in _WORDS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def vocabulary(path: str) -> list[str]:
@@ -50,7 +46,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    return sorted({p for p in found if 1 <= len(p) <= MAX_PIECE and re.fullmatch("▁?[^\\W\\d_]*", p)})
+    return sorted({p for p in found if p and re.fullmatch("▁?[^\\W\\d_]*", p)})
 
 
 def _codes(group: list[str], length: int) -> np.ndarray:
@@ -74,66 +70,68 @@ class Lattice:
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.none = len(pieces)
+        self.longest = max(by_length, default=1)
 
-    def ids(self, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """(start, length) -> the piece that each word has there, or none."""
-        n, length = codes.shape
-        out = {}
+    def ids(self, codes: np.ndarray) -> list[np.ndarray]:
+        """For each piece length from 1 on, the piece that stands at each start of each word, or none; as (start, word)."""
+        length = codes.shape[1]
+        out, h = [], np.zeros((length, len(codes)), np.uint64)
         with np.errstate(over="ignore"):
-            for s in range(length):
-                h = np.zeros(n, np.uint64)
-                for k in range(1, min(MAX_PIECE, length - s) + 1):
-                    h = (h + codes[:, s + k - 1]) * _BASE
-                    at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                    out[s, k] = np.where(self.hashes[at] == h, self.order[at], self.none)
+            for k in range(1, min(self.longest, length) + 1):
+                h = (h[: length - k + 1] + codes.T[k - 1 :]) * _BASE
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1) if self.none else np.zeros(h.shape, int)
+                out.append(np.where(self.hashes[at] == h, self.order[at], self.none) if self.none else at)
         return out
 
-    def forward(self, ids: dict, length: int, table: np.ndarray) -> list[np.ndarray]:
-        """Sums over the segmentations of each beginning; table has a row of probabilities for each piece and a last one for none."""
-        n = len(ids[0, 1])
-        alpha = [np.ones((n, table.shape[1]))]
+    def _sums(self, ids: list[np.ndarray], length: int, table: np.ndarray, backward: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(sum, log of its scale) over the segmentations of each beginning, or of each rest from the end, from none to the whole."""
+        n = ids[0].shape[1]
+        window, log = [np.ones((n, table.shape[1]))], np.zeros((n, table.shape[1]))
+        yield window[0], log
         for e in range(1, length + 1):
-            total = np.zeros((n, table.shape[1]))
-            for k in range(1, min(MAX_PIECE, e) + 1):
-                p = table[ids[e - k, k]]
-                if k == 1:
-                    p = np.maximum(p, FLOOR)
-                total += alpha[e - k] * p
-            alpha.append(total)
-        return alpha
+            total = np.zeros_like(window[0])
+            for k in range(1, min(len(ids), e) + 1):
+                p = table[ids[k - 1][length - e if backward else e - k]]
+                total += window[-k] * (np.maximum(p, FLOOR) if k == 1 else p)
+            window = [*window[-(len(ids) - 1) :], total] if len(ids) > 1 else [total]
+            if e % STRIDE == 0:
+                # The newest sum is above the floor's power of the stride, so the window can be divided by it.
+                log = log + np.log(total)
+                window = [w / total for w in window]
+            yield window[-1], log
 
     def log_likelihood(self, found: list[str], table: np.ndarray) -> np.ndarray:
         out = np.zeros((len(found), table.shape[1]))
-        for length, at in _by_length(found):
-            for i in range(0, len(at), 20_000):
-                part = at[i : i + 20_000]
-                out[part] = np.log(self.forward(self.ids(_codes([found[j] for j in part], length)), length, table)[-1])
+        for length, part in _parts(found):
+            *_, (total, log) = self._sums(self.ids(_codes([found[j] for j in part], length)), length, table)
+            out[part] = np.log(total) + log
         return out
 
     def expected(self, found: list[str], weights: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Expected piece counts over all segmentations, for one language (table with one column)."""
         counts = np.zeros(self.none + 1)
-        for length, at in _by_length(found):
-            for i in range(0, len(at), 20_000):
-                part = at[i : i + 20_000]
-                ids = self.ids(_codes([found[j] for j in part], length))
-                alpha = [a[:, 0] for a in self.forward(ids, length, table)]
-                beta = [np.zeros(len(part)) for _ in range(length)] + [np.ones(len(part))]
-                for s in range(length - 1, -1, -1):
-                    for k in range(1, min(MAX_PIECE, length - s) + 1):
-                        p = table[ids[s, k], 0]
-                        p = np.maximum(p, FLOOR) if k == 1 else p
-                        beta[s] += p * beta[s + k]
-                        counts += np.bincount(ids[s, k], weights[part] * alpha[s] * p * beta[s + k] / alpha[length], minlength=self.none + 1)
+        for length, part in _parts(found):
+            ids = self.ids(_codes([found[j] for j in part], length))
+            alpha, beta = ([np.log(x[:, 0]) + log[:, 0] for x, log in self._sums(ids, length, table, backward)] for backward in (False, True))
+            for k, at in enumerate(ids, 1):
+                for s in range(length - k + 1):
+                    p = table[at[s], 0]
+                    p = np.maximum(p, FLOOR) if k == 1 else p
+                    share = np.exp(np.minimum(alpha[s] + beta[length - s - k] - alpha[length], 700)) * p
+                    counts += np.bincount(at[s], weights[part] * share, minlength=self.none + 1) if p.any() else 0
         counts[self.none] = 0
         return counts
 
 
-def _by_length(found: list[str]) -> Iterator[tuple[int, list[int]]]:
+def _parts(found: list[str]) -> Iterator[tuple[int, list[int]]]:
+    """Length and places of words of equal length, in parts of a bounded number of characters or of one word."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(found):
         groups.setdefault(len(w), []).append(i)
-    return iter(groups.items())
+    for length, at in groups.items():
+        step = max(1, BATCH_CHARS // length)
+        for i in range(0, len(at), step):
+            yield length, at[i : i + step]
 
 
 def fit(frame: pd.DataFrame, pieces: list[str], rounds: int = 3) -> np.ndarray:
@@ -152,25 +150,37 @@ def fit(frame: pd.DataFrame, pieces: list[str], rounds: int = 3) -> np.ndarray:
     return table[:, 0]
 
 
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 8) -> DataFrame:
+    """lang and text of at most `rows` documents of each language: those with the smallest seeded hash.
+
+    Languages are counted first, and only rows under a language's hash threshold, half as many again as are wanted, are
+    ranked; so a language with most of the rows sends no more of them to a task than any other.
+    """
+    known = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(seed)).alias("draw"))
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counted) > MAX_LANGUAGES:
+        raise ValueError(f"there are more than {MAX_LANGUAGES} languages, the most that a model may hold")
+    shares = [(r.lang, min(1.0, 1.5 * (rows + 100) / r.n)) for r in counted]
+    under = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
+    drawn = known.join(under, "lang").where(F.shiftrightunsigned("draw", 11) < F.col("share") * float(1 << 53))
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text")))
+    return ranked.where(F.col("rank") <= rows).select("lang", "text")
+
+
 def train(docs: DataFrame, vocabulary_path: str, rows: int = SAMPLE_ROWS, seed: int = 8) -> dict:
-    """Fit on docs (doc_id, text, lang): per language at most `rows` documents, those with the smallest seeded hash.
+    """Fit on docs (doc_id, text, lang): per language at most `rows` documents. The same rows give the same model.
 
-    Rows whose text or lang is null take no part. Each language is fitted in a task of its own.
+    Rows whose text or lang is null take no part; texts without a letter teach nothing; rows that repeat count singly and
+    ties of their hash go by doc_id and text. An empty table gives a model without languages. Each language is fitted in
+    a task of its own, on whole texts.
     """
     pieces = vocabulary(vocabulary_path)
-    ranked = (
-        docs.where("text is not null and lang is not null")
-        .select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("draw"))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id")))
-        .where(F.col("rank") <= rows)
-    )
-    chosen = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text").join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        table = fit(frame, pieces)
+        table = fit(frame.sort_values("text"), pieces)
         return pd.DataFrame({"lang": [frame.lang.iloc[0]], "n": [len(frame)], "table": [table.astype(np.float32).tobytes()]})
 
-    found = sorted(chosen.groupBy("lang").applyInPandas(one, "lang string, n long, table binary").collect(), key=lambda r: r.lang)
+    found = sorted(sample(docs, rows, seed).groupBy("lang").applyInPandas(one, "lang string, n long, table binary").collect(), key=lambda r: r.lang)
     table = np.stack([np.frombuffer(r.table, np.float32) for r in found], axis=1).astype(np.float64) if found else np.zeros((len(pieces) + 1, 0))
     return {"pieces": pieces, "langs": [r.lang for r in found], "table": table}
 
@@ -193,10 +203,9 @@ class Identifier:
             found = words(t)
             docs.append(np.fromiter(map(ids.__getitem__, found), np.int64, len(found)))
         known = self.lattice.log_likelihood(list(ids), self.table) if self.langs else None
-        letters = np.array([any(c.isalpha() for c in w) for w in ids], bool)
         out = []
         for d in docs:
-            if known is None or not len(d) or not letters[d].any():
+            if known is None or not len(d):
                 out.append((UNDETERMINED, 0.0))
                 continue
             total = known[d].sum(axis=0)
@@ -208,7 +217,8 @@ class Identifier:
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """docs (doc_id, text) -> doc_id, lang_pred, score; `und` with score 0 where the text is null or has no letter.
 
-    One row for each row; ties between languages go to the first by name.
+    One row for each row, repeated ones and those without doc_id too; an empty table gives none. Ties between languages go
+    to the first by name. Very long texts and runs of letters are scored whole. Other columns, also a `lang_pred`, are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -222,7 +232,10 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that have a language with a posterior of `least` or more; texts without a letter go."""
+    """The rows of docs, all columns, that have a language with a posterior of `least` or more; texts without a letter go.
+
+    Null texts go with them. Repeated rows stay or go together, and columns of any name come through as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge():
