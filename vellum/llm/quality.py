@@ -103,7 +103,9 @@ def fit(frame: pd.DataFrame) -> dict:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> dict:
     """Fit on at most `rows` labelled documents of either class (doc_id, quality), chosen by a seeded hash.
 
-    Null labels and texts take no part; a doc_id that is labelled twice counts by its smallest label.
+    Null labels and texts take no part; a doc_id that is labelled twice counts by its smallest label; one whose rows repeat
+    in docs counts with each of them. The sample is sorted, so partitions do not change the model. Without labels, or with
+    those of one class only, every text gets a score that rests on no comparison. Other columns are not read.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     prior = known.agg(F.avg("quality")).first()[0]
@@ -119,7 +121,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, score (probability of a good text), difference. Null and empty texts have difference 0."""
+    """docs (doc_id, text) -> doc_id, score (probability of a good text), difference. Null and empty texts have difference 0.
+
+    One row for each row, repeated ones and those without doc_id too; an empty table gives none. Very long texts are
+    compressed whole, part by part. Equal scores need no order. Other columns, also a `score`, are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,8 +6,8 @@ Dirichlet prior that is proportional to the pooled counts. Only tokens whose con
 chance (a Chernoff bound, corrected for the number of tokens that could pass) keep their score; every other token gets the common,
 slightly negative log-odds of a token outside that list. The linear-time scan for all maximal scoring segments then
 finds the passages of a whole text; a passage counts if its expected number in clean text of that length, K n exp(-lambda S),
-is small. Those expectations, summed over the significant passages, make the document's evidence, which a logistic
-curve fitted on the training rows turns into a probability.
+is small. K and lambda are fitted to the best scores of clean training texts. Those expectations, summed over the
+significant passages, make the document's evidence, which a logistic curve fitted on the training rows turns into a probability.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ PRIOR_WEIGHT = 50.0
 SIGNIFICANT = 0.05
 #: A token's rate in toxic documents is over this multiple of its rate in clean ones.
 MARGIN = 2.0
+#: Best scores of clean texts from TAIL on show how fast chance scores fall off; TAIL_WEIGHT is how many texts the theory counts for.
+TAIL, TAIL_WEIGHT = 1.0, 10
 PREFIXES = (6, 5, 4)
 _TO_SPACE = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
@@ -137,8 +139,19 @@ def _needed(found: list[int], share: float) -> float:
     return least
 
 
+def extreme_values(best: list[tuple[float, int]]) -> tuple[float, float]:
+    """K and lambda of P(best score >= x) = 1 - exp(-K n exp(-lambda x)) from (best score, tokens n) of clean texts.
+
+    Above TAIL best scores fall off exponentially, so lambda is the inverse of their mean excess; it is drawn to 1, its
+    value for log-odds of the true rates, by as much as TAIL_WEIGHT texts would. K makes the expected number above TAIL the one seen.
+    """
+    tail = [s - TAIL for s, _ in best if s >= TAIL]
+    lam = (len(tail) + TAIL_WEIGHT) / (sum(tail) + TAIL_WEIGHT)
+    return max(1e-9, min(1.0, (len(tail) + 0.5) * math.exp(lam * TAIL) / max(1, sum(n for _, n in best)))), lam
+
+
 def fit(frame: pd.DataFrame) -> dict:
-    """Model of a bounded pandas frame with text and toxic (0 or 1)."""
+    """Model of a bounded pandas frame with text and toxic (0 or 1). Rows in the same order give the same model."""
     docs = [(tokens(t), int(y)) for t, y in zip(frame.text, frame.toxic, strict=True)]
     counts, seen = {0: Counter(), 1: Counter()}, set()
     for words, y in docs:
@@ -174,10 +187,7 @@ def fit(frame: pd.DataFrame) -> dict:
     for words, y in docs:
         at = {i: s for i, w in enumerate(words) if (s := scores[w])}
         best.append((y, max((x for *_, x in segments(at, len(words), model["gap"])), default=0.0), max(1, len(words))))
-    clean = [(s, k) for y, s, k in best if y == 0]
-    # Extreme values: P(S >= x) = 1 - exp(-K n exp(-x)); K from the share of clean texts with any passage at all above x = 1.
-    above = sum(s >= 1 for s, _ in clean) + 0.5
-    model["k"] = scorer.k = max(1e-9, min(1.0, above * math.e / max(1, sum(k for _, k in clean))))
+    model["k"], model["lam"] = scorer.k, scorer.lam = extreme_values([(s, k) for y, s, k in best if y == 0])
     x = np.log1p([Scorer.evidence(scorer.passages(t)) for t in frame.text])
     model["a"], model["b"] = (float(v) for v in common.logistic(np.column_stack([np.ones(len(x)), x]), frame.toxic.to_numpy(float)))
     return model
@@ -186,19 +196,27 @@ def fit(frame: pd.DataFrame) -> dict:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 10) -> dict:
     """Fit on at most `rows` rows of labels (doc_id, toxic), chosen by a seeded hash; null labels and texts take no part.
 
-    A doc_id that is labelled twice counts by its largest label.
+    A doc_id that is labelled twice counts by its largest label; one whose rows repeat in docs counts with each of them.
+    The sample is sorted before it is used, so partitions do not change the model. Without labels, or with those of one
+    class only, every text gets the same score. Other columns of either table are not read.
     """
     keys = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     keys = common.bounded_sample(keys, "doc_id", rows, seed)
     sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(keys), "doc_id")
-    found = common.train_once(sample.select("text", "toxic"), lambda f: pd.DataFrame({"model": [json.dumps(fit(f))]}), "model string")
+
+    def fit_sorted(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"model": [json.dumps(fit(frame.sort_values(["doc_id", "text"], ignore_index=True)))]})
+
+    found = common.train_once(sample.select("doc_id", "text", "toxic"), fit_sorted, "model string")
     return json.loads(found[0].model) if found else {"lexicon": {}, "gap": -0.01, "k": 1.0, "lam": 1.0, "a": -4.0, "b": 0.0}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score, evidence, n_passages, passages (first token, end, score).
 
-    Null and empty texts have no passage and get the score of a text without evidence. One row for each row, ties and repeats included.
+    Null and empty texts have no passage and get the score of a text without evidence. One row for each row, repeated ones
+    and those without doc_id too; an empty table gives none. Very long texts are scanned whole. Equal scores need no order,
+    as nothing is ranked. Other columns, also a `score`, are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, score double, evidence double, n_passages int, passages array<struct<first:int,end:int,score:double>>"
@@ -224,7 +242,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose score lies under the threshold; null and empty texts stay."""
+    """The rows of docs, all columns, whose score lies under the threshold; null and empty texts stay.
+
+    Repeated rows stay or go together, and columns of any name come through as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge():
