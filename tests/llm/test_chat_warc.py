@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 
@@ -39,9 +40,21 @@ def test_windows_keep_system_turn_and_history(spark):
         assert parsed[0] == ("system", "rules")
         assert 1 < r.repeated <= 1 + 20 // 10 + 1
         assert len(r.mask) == sum(role == "assistant" for role, _ in parsed[r.repeated :])
+        assert sum(len(said.split()) + 4 for _, said in parsed) <= 60
     assert chat.windows(turns(spark, [])).count() == 0
 
 
+def test_windows_keep_to_the_budget(spark):
+    draw = random.Random(3)
+    rows = [(c, i, "system" if i == 0 and c % 2 else draw.choice(["user", "assistant"]), "w " * draw.choice([1, 3, 20, 30, 45, 70, 200])) for c in range(6) for i in range(60)]
+    found = chat.windows(turns(spark, rows), 100, 20).collect()
+    for r in found:
+        n = [len(said.split()) + 4 for _, said in chat.parse(r.formatted)]
+        assert sum(n) <= 100 or len(n) - r.repeated == 1
+    small = chat.windows(turns(spark, [(1, i, "user", "w w w") for i in range(60)]), 100, 20).collect()
+    assert len(small) <= 60 * 7 // 35 + 1
+
+
 PAGES = [(5, "http://a/é x", "<p>" + "long " * 40), (3, None, "<p>" + "long " * 40), (9, "u", "<p>" + "long " * 40), (1, "u\r\nX: y", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""), (None, "u", "<p>" + "long " * 40), (11, "u", "é" * 300_000), (11, "u", "é" * 300_000)]
 
 

@@ -1,9 +1,11 @@
 """Chat formatting in budgeted windows.
 
 Turns are marked by control strings; backslashes and the beginnings of control strings inside texts are escaped, so that
-formatting can be undone. The tokens before each turn (a prefix sum) choose its window, a span of whole turns of about
-the budget less the history. A window begins with the conversation's system turn and up to the history's tokens of
-turns before it; only assistant turns that are new in a window are under its loss mask, so each is a target once.
+formatting can be undone. The tokens before each turn (a prefix sum) choose its window: what the budget leaves beside the
+system turn and the history is cut in halves, turns that begin in the same half share a window, and a turn longer than
+a half has one of its own, so whole turns never overrun the budget unless one alone does. A window begins with the
+conversation's system turn and up to the history's tokens of turns before it; only assistant turns that are new in a
+window are under its loss mask, so each is a target once.
 """
 
 from __future__ import annotations
@@ -42,21 +44,27 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, coun
 
     `repeated` is the number of leading turns that stand for context only. Null roles and texts are empty. Turns of equal
     number keep the order of role and text; a null number comes last. Rows with a null conv_id form one conversation.
-    A turn beyond the budget stays whole in a window of its own. An empty table gives no rows.
+    A window's tokens keep to the budget but where a single turn, or the system turn and the history, leave no room: a turn
+    beyond it stays whole in a window of its own. Repeated rows are turns of their own. An empty table gives no rows.
+    Other columns, whatever their names, are not read.
     """
-    stride = max(history, budget - history, 1)
     text = F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), count(text).cast("long").alias("n"))
     inside = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     rows = rows.withColumn("pos", F.row_number().over(inside)).withColumn("before", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    rows = rows.withColumn("window", F.floor(F.col("before") / stride).cast("long"))
+    system = (F.col("pos") == 1) & (F.col("role") == "system")
+    said = F.coalesce(F.max(F.when(system, F.col("n"))).over(Window.partitionBy("conv_id")), F.lit(0))
+    half = F.greatest(F.lit(1), F.floor((budget - history - said) / 2))
+    rows = rows.withColumn("long", F.col("n") > half).withColumn("part", F.floor(F.col("before") / half))
+    follows = (F.col("part") == F.lag("part").over(inside)) & ~F.col("long") & ~F.lag("long").over(inside)
+    rows = rows.withColumn("begins", F.when(follows | (F.col("pos") == 1), 0).otherwise(1))
+    rows = rows.withColumn("window", F.sum("begins").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("long", "part", "begins")
     later = Window.partitionBy("conv_id").orderBy(F.col("window").desc()).rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("next", F.max_by(F.struct("window", "before"), -F.col("before")).over(later))
     piece = F.concat(F.lit(START), escaped(F.col("role"), name=True), F.lit("\n"), escaped(F.col("text")), F.lit(END + "\n"))
     # Where the text stands in its piece: after the mark, the role and a line feed.
     rows = rows.withColumn("piece", piece).withColumn("head", F.length(escaped(F.col("role"), name=True)) + len(START) + 1)
     rows = rows.withColumn("body", F.length("piece") - F.col("head") - len(END) - 1)
-    system = (F.col("pos") == 1) & (F.col("role") == "system")
     target = F.col("role") == "assistant"
     parts = ["conv_id", "window", "pos", "new", "piece", "head", "body", "target"]
     new = rows.withColumns({"new": F.lit(True), "target": target}).select(parts)
@@ -95,6 +103,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """windows() -> for each conversation n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read from the windows.
 
     A conversation's windows come to one task in their order and pass through running digests, so none is held as a whole.
+    One row for each conversation, also for one whose conv_id is null; no windows, no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
