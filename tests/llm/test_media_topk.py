@@ -90,3 +90,14 @@ def test_small_tables(spark):
     assert topk.search(table([]), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.search(table([(0, [1.0])]), F.col("vec_id") % 50 == 0).count() == 0
     assert [tuple(r) for r in topk.search(table([(0, [1.0]), (1, [0.5])]), F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 128)]
+
+
+def test_scores_beyond_floating_point_are_exact(spark):
+    rows = [(0, [2e7, 1.0]), (1, [2e7, 0.0]), (2, [1e12, 3.0]), (3, [-1e300, 0.0]), (4, [0.0, 2.0**60 + 2**8]), (50, [1.5, 0.0]), (100, [3e9, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) if abs(256 * x) < 2**53 else int(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))), i) for i, v in whole.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(table, F.col("vec_id") % 50 == 0, 5, 3).collect()) == sorted(want)

@@ -66,8 +66,10 @@ def test_apportion_is_highest_quotients(spark, seed):
 
 def test_mix_repeats_whole_rows(spark, docs):
     rows = [(i, "w " * 30, "en", "a" if i < 40 else "b") for i in range(60)] + [(99, None, "en", "a")]
-    mixed = mixing.mix(docs(rows))
-    assert mixed.columns == docs(rows).columns
+    table = docs(rows).withColumnsRenamed({"score": "times", "key": "_own"})
+    mixed = mixing.mix(table)
+    assert mixed.columns == table.columns
+    assert {r.times for r in mixed.collect()} == {"clash"}
     n = Counter(r.doc_id for r in mixed.collect())
     assert 99 not in n
     assert max(n.values()) <= 3
@@ -88,3 +90,14 @@ def test_mix_keeps_rows_without_doc_id(spark, docs):
     for (source, bare), t in taken.items():
         assert abs(sum(v for k, v in n.items() if (k[2], k[0] is None) == (source, bare)) - t) <= 2
     assert sum(v for k, v in n.items() if k[0] is None) > 15
+
+
+def test_many_sources_are_ranked_by_ranges(spark, docs):
+    draw = random.Random(6)
+    rows = [(i, "w " * draw.randrange(1, 40), "en", f"s{draw.randrange(300):03d}") for i in range(1500)]
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += size(t)
+    targets = exact_targets(sizes)
+    for r in mixing.plan(docs(rows)).collect():
+        assert r.target == pytest.approx(float(targets[r.source]))

@@ -27,9 +27,10 @@ def brute(rows, width, percent=80):
 
 
 @pytest.mark.parametrize("width", [4, 5])
-@pytest.mark.parametrize(("block", "nearest", "few"), [(250_000, 3, 8), (400, 3, 1), (400, 0, 0), (400, 0, 1000)])
-def test_groups_equal_brute_force(spark, docs, width, block, nearest, few, monkeypatch):
-    """Also with blocks alone, and with crossing pairs alone."""
+@pytest.mark.parametrize(("block", "nearest", "few", "most"), [(250_000, 3, 8, 16), (400, 3, 1, 16), (400, 0, 0, 16), (400, 0, 0, 0), (400, 0, 1000, 16)])
+def test_groups_equal_brute_force(spark, docs, width, block, nearest, few, most, monkeypatch):
+    """Also with blocks alone, with blocks of single bands alone, and with crossing pairs alone."""
+    monkeypatch.setattr(near_dedup, "MOST_BLOCKS", most)
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
     monkeypatch.setattr(near_dedup, "NEAREST_LEADERS", nearest)
     monkeypatch.setattr(near_dedup, "FEW_OUTSIDE", few)
@@ -55,6 +56,21 @@ def test_odd_rows_and_empty_table(spark, docs, odd):
     assert kept.columns == docs(odd).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 8, 9, None, 10]))
     assert near_dedup.groups(docs([])).count() == 0
+    assert near_dedup.representatives(docs([])).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark, docs):
+    """Texts of their own stay, copies under another id go, repeated rows come down to one; also next to columns of the operators' own names."""
+    text = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(1, text[0]), (1, text[1]), (2, text[1]), (3, text[2]), (3, text[2]), (5, text[3]), (5, text[3].upper()), (6, None), (6, None), (6, "")]
+    table = docs(rows).withColumnRenamed("score", "text_key").withColumnRenamed("key", "root")
+    kept = near_dedup.representatives(table)
+    assert kept.columns == table.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    five = [r for r in found if r[0] == 5]
+    assert [r for r in found if r[0] != 5] == sorted([(1, text[0]), (1, text[1]), (3, text[2]), (6, None), (6, "")], key=repr)
+    assert len(five) == 1
+    assert {r.component_id for r in near_dedup.groups(table).where("doc_id = 2").collect()} == {1}
 
 
 def test_components(spark):

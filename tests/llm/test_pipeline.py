@@ -71,3 +71,43 @@ def test_run_is_the_stages(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() > 100
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(found.columns)
+
+
+def odd_tables(spark, folder, rows):
+    """documents with nulls, repeats and columns whose names the stages use themselves, and labels for them."""
+    names = ("times", "text_key", "own", "_times", "score", "n", "root")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    spark.createDataFrame([(i, t, lang, s, None, *("clash" for _ in names)) for i, t, lang, s in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, 1, int(i % 10 == 0)) for i, *_ in rows if i is not None] + [(None, 1, 1), (3, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    words = ["the", "and", "which", "thing", "shower", "garden", "window"]
+    plain = [(i, " ".join(f"{words[(i * k) % 7]} {words[(i + k) % 7]}{k}" for k in range(1, 30)) + (" vile rotten vermin" * 3 if i % 10 == 0 else ""), "en", "a" if i % 3 else None) for i in range(1, 90)]
+    odd = [(None, "a text of its own without any id", "en", "a"), (None, None, None, None), (200, None, "en", "b"), (201, "", "en", "b"), (202, " \n", None, "b"), (5, "another text under the same id", "en", "a"), plain[6], plain[6], (203, plain[6][1], None, "b"), (204, "123 456", "en", "b")]
+    folder = odd_tables(spark, tmp_path / "odd", plain + odd)
+    docs = common.table(spark, folder, "documents")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, common.durable(stage(spark, docs, folder), name)
+        kept = [(r.doc_id, r.text) for r in docs.collect()] if name != "byte_bpe" else []
+        assert name == "byte_bpe" or (docs.columns == columns and {r.times for r in docs.collect()} <= {"clash"})
+        if name == "toxicity":
+            assert not any("vermin" in (t or "") for _, t in kept)
+            assert len(kept) == len(plain) + len(odd) - 8
+        if name == "language_id":
+            assert not any(t is None or not any(map(str.isalpha, t)) for _, t in kept)
+            assert {(None, odd[0][1]), (5, odd[5][1])} <= set(kept)
+        if name == "near_dedup":
+            assert kept.count((plain[6][0], plain[6][1])) == 1
+            assert not any(i == 203 for i, _ in kept)
+            assert {(None, odd[0][1]), (5, odd[5][1]), (5, plain[4][1])} <= set(kept)
+        if name == "byte_bpe":
+            assert docs.count() == before.count() > 0
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    folder = odd_tables(spark, tmp_path / "none", [])
+    assert corpus_pipeline.run(spark, folder).count() == 0

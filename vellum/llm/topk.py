@@ -48,8 +48,8 @@ class Index:
         for d in range(coarse.shape[1]):
             at = np.argsort(coarse[:, d], kind="stable").astype(np.int32)
             sorted_values = coarse[at, d]
-            start = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]]) if len(at) else []
-            for a, b in zip(start, [*start[1:], len(at)], strict=True):
+            start = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]][: len(at)])
+            for a, b in zip(start, [*start, len(at)][1:], strict=True):
                 if sorted_values[a]:  # a segment of impact 0 changes no score
                     self.members.append(at[a:b])
                     dims.append(d)
