@@ -258,8 +258,11 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = common.durable(sets.groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.min("row").alias("node")), "classes")
     reps = sets.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "text_key", "n_shingles", "keys")
     linked = graph.components(_links(reps, docs, width, percent), "linked")
-    rooted = classes.join(linked, "node", "left").select("digest", "smallest", F.coalesce("root", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("smallest").alias("component_id")), "root").select("digest", "root", "component_id")
+    # Only linked nodes look up their component's smallest doc_id, salted, as a component may hold a large share of them.
+    members = linked.join(classes.select("node", "smallest"), "node")
+    names = members.groupBy("root").agg(F.min("smallest").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(graph.SALT - 1))))
+    members = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(graph.SALT)).cast("int")).join(names, ["root", "salt"]).select("node", "root", "component_id")
+    named = classes.join(members, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "smallest").alias("component_id"))
     own = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     return own.join(named, "digest", "left").drop("digest")
 
