@@ -76,7 +76,7 @@ def test_sections_links_and_dates_of_whole_texts(spark, folder):
             if h2:
                 own = found[i, k + 1]
                 assert (own.h2, own.h3) == (" ".join(h2), " ".join(h3))
-                assert own.section.split() == p1 + ["étude", "citée"] * (k % 5 == 0) + p2 + dated(i) + ["the"] * (k == len(sections) - 1)
+                assert own.section.split() == p1 + ["étude", "citée"] * (k % 5 == 0) + h3 + p2 + dated(i) + ["the"] * (k == len(sections) - 1)
         assert sum(x.content_id == i and x.section == "body" for x in links) == (len(sections) + 4) // 5
         years = (words or []).count("2019") + len(sections) * any(w[-4:].isdigit() for w in dated(i))
         assert sum(x.content_id == i and x.type == "year" for x in dates) == years

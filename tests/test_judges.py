@@ -1,5 +1,8 @@
 """Golden cases of the judges: inputs written here, results as the rules demand."""
 
+import json
+import ssl
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +31,10 @@ def test_length_bounds_are_inclusive(spark, words, status, rule):
 
 @pytest.mark.parametrize(
     ("kind", "size", "error"),
-    [(None, "LONG", "missing_content_type"), ("poem", None, "unsupported_content_type"), ("quiz", " ", "missing_expected_length"), ("quiz", "HUGE", "unsupported_expected_length")],
+    [
+        (None, "LONG", "missing_content_type"), ("poem", None, "missing_expected_length"), ("poem", "HUGE", "unsupported_content_type"), (" ", "LONG", "unsupported_content_type"),
+        ("quiz", " ", "unsupported_expected_length"), ("quiz", "", "missing_expected_length"), ("quiz", "HUGE", "unsupported_expected_length"),
+    ],
 )
 def test_length_context_errors(spark, kind, size, error):
     assert one(spark, "word_count int, content_type string, expected_length string", (5, kind, size), length.judge).length.error == error
@@ -104,7 +110,7 @@ def test_document_tree(spark):
     assert [(h.level, h.text) for h in page.headings] == [("h2", "A"), ("h3", "B"), ("h2", "In"), ("h2", "conclusion")]
     assert page.introduction == "intro bold"
     assert page.conclusion == "end"
-    assert [(s.h2, s.text) for s in page.h2_sections] == [("A", "one two"), ("In", "deep"), ("conclusion", "end")]
+    assert [(s.h2, s.text) for s in page.h2_sections] == [("A", "one two B"), ("In", "deep"), ("conclusion", "end")]
     assert "var x" not in page.text
     assert page.has_script
     assert (none.text, none.is_empty, none.word_count) == ("", True, 0)
@@ -114,7 +120,9 @@ def test_document_tree(spark):
 def test_cta(spark):
     content = "<p class='lead cta'>Buy <strong>now</strong></p><div><p class='cta'>nested</p></div><h2>Learn more</h2><p>x</p>"
     c = evaluate.preprocess(spark.createDataFrame([(content,)], "content string")).first().signals.cta
-    assert (c.cta_count, c.cta_texts, c.has_strong, c.strong_text, c.complementary_indexes, c.top_level_tag_count) == (1, ["Buy now"], True, "now", [2], 4)
+    assert (c.cta_count, c.cta_texts, c.complementary_indexes, c.top_level_tag_count) == (1, ["Buy now"], [2], 4)
+    assert [(b["index"], b.text, b.tag_name, b.classes, b.has_strong, b.strong_text) for b in c.cta_blocks] == [(0, "Buy now", "p", ["lead", "cta"], True, "now")]
+    assert (c.has_cta, c.has_complementary_reading, c.has_quiz_correction) == (True, True, False)
 
 
 LINKED = '<h2>T</h2><p><a href=" https://other.org/a?utm_x=1&amp;b=" target="_blank" rel="noopener  noreferrer">src</a><a href="https://me.fr/x">in</a><a>none</a></p><h3>Learn more</h3><p><a href="//OTHER.org/z">read more</a></p>'
@@ -137,7 +145,7 @@ def test_tracking(spark, url, names):
     assert spark.createDataFrame([(url,)], "u string").select(links.tracking_parameters(F.col("u")).alias("t")).first().t == names
 
 
-@pytest.mark.parametrize(("code", "status", "error"), [(200, "reachable", None), (404, "unreachable", "http_status_404"), (503, "unknown", None), (418, "unknown", "unhandled_http_status_418"), (None, "unknown", None)])
+@pytest.mark.parametrize(("code", "status", "error"), [(200, "reachable", None), (404, "unreachable", "http_status_404"), (503, "unknown", "http_status_503"), (418, "unknown", "unhandled_http_status_418"), (None, "unknown", None)])
 def test_status_classes(spark, code, status, error):
     r = spark.createDataFrame([(code,)], "c int").select(links.status_class(F.col("c")).alias("s")).first().s
     assert (r.network_status, r.error) == (status, error)
@@ -152,7 +160,13 @@ def test_sources_judge(spark):
         ("site", good, "articles", "LONG", False, ""),
     ]
     df = sources.extract(spark.createDataFrame(rows, schema))
-    statuses = sources.fetch_statuses(df, lambda u: (200, None) if "other" in u else (None, "timeout"))
+
+    def request(method, url, timeout):
+        if "other" not in url:
+            raise TimeoutError
+        return 200
+
+    statuses = sources.fetch_statuses(df, request)
     judged = sources.judge(sources.with_checks(df, "evaluation_id", statuses))
     found = {r.evaluation_id: (r.sources.status, [f.rule_id.split(".")[1] for f in r.sources.findings]) for r in judged.collect()}
     assert found["good"] == ("pass", ["valid"])
@@ -262,11 +276,17 @@ def test_whole_evaluation(spark):
     rows = [("a", "<p>x</p>", None, "articles", "MEDIUM", "fr-FR", "https://me.fr", "DECISION", "x", [], [], "<h2>T</h2>", False), ("b", "y", ["seo", "nope", "length", "seo"], "articles", None, "fr-FR", "https://me.fr", "DECISION", "x", [], [], "", False), (None, "z", [], "articles", "LONG", "fr-FR", "", "DECISION", "x", [], [], "", False)]
     found = {r.evaluation_id: r for r in evaluate.evaluate(spark.createDataFrame(rows, REQUEST)).collect()}
     assert [x.dimension for x in found["a"].results] == list(rules.DEFAULT_JUDGES)
-    assert found["a"].summary == "All judges completed: 5."
+    assert found["a"].summary == "Global evaluation completed with 5 judge result(s)."
+    assert found["b"].summary == "Global evaluation could not be completed."
     assert [(x.dimension, x.error) for x in found["b"].errors] == [("seo", "missing_expected_length"), ("length", "missing_expected_length")]
-    assert found["b"].skipped == ["nope"]
+    assert found["b"].metadata.skipped_judges == ["nope"]
+    assert (found["b"].metadata.profile, found["b"].metadata.enabled_judges) == ("default", ["seo", "length"])
+    shown = {x.dimension: x for x in found["a"].results}
+    assert json.loads(shown["seo"].subscores)["semantic"] == 0
+    assert json.loads(shown["seo"].semantic_signals)["available"] is False
+    assert shown["length"].subscores == "{}"
     third = next(r for k, r in found.items() if k not in ("a", "b"))
-    assert (third.evaluation_id[:11], third.summary, third.results) == ("evaluation-", "No judge was run.", [])
+    assert (third.evaluation_id[:11], third.summary, third.results) == ("evaluation-", "Global evaluation completed with 0 judge result(s).", [])
 
 
 def test_tokenizer_rules():
@@ -274,3 +294,119 @@ def test_tokenizer_rules():
     tags = [(e["tag"], e["parent"], e["text"]) for e in tree["elements"]]
     assert tags == [("p", -1, "one two x y z wé!"), ("p", 0, "two"), ("br", 0, ""), ("b", 0, "y z"), ("i", 3, "z")]
     assert tree["elements"][0]["classes"] == "a b"
+
+
+def test_requests_of_one_name_stay_apart(spark):
+    rows = [("same", content, ["length"], "articles", "MEDIUM", "fr-FR", "https://me.fr", "DECISION", "x", [], [], "", False) for content in ("<p>a</p>", "<p>" + "w " * 1500 + "</p>")]
+    found = evaluate.evaluate(spark.createDataFrame(rows, REQUEST)).collect()
+    assert sorted(r.results[0].status for r in found) == ["fail", "pass"]
+    assert {r.evaluation_id for r in found} == {"same"}
+
+
+READING = [
+    ("<p>a</p><h2>Learn more</h2><p>2020</p>bare 2010<h3>Next</h3><p>1999</p>", "a bare 2010 Next 1999"),
+    ("<div><h2>Lecture compl&eacute;mentaire</h2><p>2011</p>bare 2010</div><p>kept 2012</p>", "bare 2010 kept 2012"),
+    ("<h2>Learn  more</h2><p>stays</p>", "Learn more stays"), ("x<h2>LEARN MORE</h2>y<br>z", "xyz"), ("<!-- a > b -->&lt;i&gt;", "b --><i>"), ("", ""),
+]
+
+
+@pytest.mark.parametrize(("content", "left"), READING)
+def test_further_reading_goes_but_bare_text_stays(content, left):
+    assert html.reading(content)[0] == left
+
+
+def test_values_in_links_are_sources(spark):
+    content = "<p>mars 2021</p><h2>Learn more</h2><p><a>Bilan MARS 2021</a></p>"
+    found = spark.createDataFrame([(content,)], "c string").select(evergreen.temporal_references(F.col("c"), F.lit("fr-FR"), F.array().cast("array<string>")).alias("r")).first().r
+    assert [(x.type, x.value, x.in_source_context) for x in found] == [("year", "2021", True), ("month_year", "mars 2021", True)]
+
+
+def test_sections_hold_their_h3_headings(spark):
+    content = "<title>Ti Tle</title><h2>A</h2><p>one</p><h3>Bee leaf</h3><p>two</p><h2>leaf care</h2><p>none</p>"
+    s = evaluate.preprocess(spark.createDataFrame([(content,)], "content string")).first().signals
+    assert [(x.h2, x.h3_headings, x.text) for x in s.h2_sections] == [("A", ["Bee leaf"], "one Bee leaf two"), ("leaf care", [], "none")]
+    assert (s.text, s.word_count) == ("Ti Tle A one Bee leaf two leaf care none", 10)
+    assert [h["index"] for h in s.headings] == [0, 1, 2]
+    assert s.headings_h2_h3 == ["A", "Bee leaf", "leaf care"]
+    r = seo.lexical(spark.createDataFrame([tuple(seo_row(content=content).values())], SEO)).first()
+    assert [(x.h2, x.matched) for x in r.lexical_distribution] == [("A", ["leaf"]), ("leaf care", [])]
+    assert r.lexical_concentrated
+
+
+def test_conclusions_by_folded_title(spark):
+    content = "<h2>One</h2><p>last</p><h2>LECTURE Complémentaire</h2><p>more</p>"
+    page = spark.createDataFrame([(content.replace("é", "e\u0301"),)], "c string").select(html.parse(F.col("c")).alias("p"))
+    found = page.select(html.conclusion(F.col("p.sections"), rules.COMPLEMENTARY_TITLES, folded=True).alias("a"), html.conclusion(F.col("p.sections"), rules.COMPLEMENTARY_TITLES).alias("b")).first()
+    assert (found.a, found.b) == ("last", "more")
+
+
+def test_site_without_scheme_has_no_host(spark):
+    df = spark.createDataFrame([('<a href="https://me.fr/x">a</a><a href="/y">b</a>', "me.fr")], "content string, organization_website string")
+    assert [x.is_external for x in sources.extract(df).first().links] == [True, False]
+
+
+@pytest.mark.parametrize(
+    ("kind", "size", "site", "error"),
+    [("poem", "LONG", "https://me.fr", "unsupported_content_type"), ("poem", "LONG", " ", "missing_organization_website"), (" ", None, "", "missing_content_type"), ("quiz", "", "", "missing_expected_length"), ("quiz", "HUGE", "https://me.fr", "unsupported_expected_length"), (" quiz ", "LONG", "https://me.fr", None)],
+)
+def test_sources_context_errors(spark, kind, size, site, error):
+    schema = "evaluation_id string, content string, content_type string, expected_length string, require_sources boolean, organization_website string"
+    df = sources.extract(spark.createDataFrame([("a", "<p>x</p>", kind, size, False, site)], schema))
+    assert sources.judge(sources.with_checks(df, "evaluation_id")).first().sources.error == error
+
+
+def test_url_requests():
+    def request(method, url, timeout):
+        if method == "HEAD":
+            raise ssl.SSLError
+        if url == "b":
+            raise ConnectionRefusedError
+        if url == "c":
+            raise UnicodeError
+        return 204
+
+    assert [sources.fetch_status(u, request, ["HEAD", "GET"], 5) for u in "abc"] == [(204, None), (None, "connection_error"), (None, "request_error:UnicodeError")]
+    assert sources.fetch_status("a", request, ["HEAD"], 5) == (None, "ssl_error")
+    assert sources.normalized_methods([" get ", "HEAD"]) == ["GET", "HEAD"]
+    for wrong in ("GET", [], ["POST"], None):
+        with pytest.raises(ValueError, match="methods"):
+            sources.normalized_methods(wrong)
+
+
+def test_python_encoders(spark):
+    asked = []
+    near = seo.python_encoder(lambda texts: [[1.0, 0.0] if "tea" in t.lower() else [0.0, 1.0] for t in texts])
+    r = judged_seo(spark, near, content="<p>Intro.</p><h2>Green</h2><p>A cup of téa. Leaf tea now. More.</p>", main_keyword="blue tea")
+    assert r.seo_signals.semantic.available
+    assert r.seo_signals.semantic.best_similarity == 1.0
+    assert r.seo_signals.overoptimization.occurrences == 1
+    assert [x.keyword for x in r.seo_signals.secondary_occurrences] == ["leaf"]
+
+    def broken(texts):
+        raise RuntimeError(asked)
+
+    r = judged_seo(spark, seo.python_encoder(broken))
+    assert [f.rule_id for f in r.seo.findings][:2] == ["seo.semantic_unavailable", "seo.overoptimization_semantic_unavailable"]
+
+
+def test_settings_and_rules_from_outside(spark):
+    one_vector = lambda texts: F.transform(texts, lambda t: F.array(F.lit(1.0)))
+    rows = spark.createDataFrame([tuple(seo_row(content="<p>" + "word " * 50 + "</p>").values())], SEO)
+    r = seo.judge(rows, one_vector, chunk_words=10, chunk_overlap=2, top_chunks=2).first().seo_signals.semantic
+    assert [(c.chunk.chunk_id, c.chunk.word_count) for c in r.top_chunks] == [(1, 10), (2, 10)]
+    r = one(spark, "word_count int, content_type string, expected_length string", (5, "poem", "TINY"), lambda df: length.judge(df, ranges_by_type={"poem": {"TINY": (4, 6)}}))
+    assert r.length.status == "pass"
+
+
+def test_typography_signals(spark):
+    r = spark.createDataFrame([("a <b> x</b>&amp;\r\nb<br>",), (None,)], "c string").select(typography.signals(F.col("c")).alias("s")).collect()
+    s = r[0].s
+    assert (s.text_without_html, s.decoded_text, s.decoded_text_no_newlines, s.normalized_text) == ("a x &amp;\r\nb ", "a x &\r\nb ", "a x &  b ", "a x & b")
+    assert (s.br_tag_count, s.anchor_tag_count, s.is_empty, r[1].s.is_empty) == (1, 0, False, True)
+
+
+def test_evergreen_prompt_and_model(spark):
+    df = spark.createDataFrame([("body", [("year", "2020")])], "c string, r array<struct<type:string,value:string>>")
+    asked = df.select(evergreen.prompt("Read {{CONTENT}} with {{TEMPORAL_SIGNALS}}", F.col("c"), F.col("r")).alias("prompt"))
+    assert asked.first().prompt == 'Read body with [{"type":"year","value":"2020"}]'
+    assert evergreen.ask(asked, lambda prompts: [p.upper() for p in prompts]).first().llm_raw_response.startswith("READ BODY")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -10,14 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from vellum.functions import rules, text
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
 #: Containers whose text is that of the whole page or nearly so; it isn't repeated for them.
 _BULKY = frozenset(("html", "head", "body", "div", "section", "article", "main"))
+_HEADS = frozenset(("h2", "h3"))
+_TAG = re.compile(r"<[^>]+>")
 
 
-def squeeze(text: str) -> str:
-    return " ".join(html.unescape(text).split())
+def squeeze(found: str) -> str:
+    return " ".join(html.unescape(found).split())
 
 
 class _Tree(HTMLParser):
@@ -54,7 +60,7 @@ class _Tree(HTMLParser):
         self.elements.append({
             "pos": pos, "last": pos, "parent": self.open[-1] if self.open else -1, "tag": tag,
             "href": found.get("href"), "target": found.get("target"), "rel": " ".join(found["rel"].split()) if "rel" in found else None,
-            "classes": " ".join(found["class"].split()) if "class" in found else None, "styled": "style" in found, "text": None,
+            "classes": " ".join(found["class"].split()) if "class" in found else None, "styled": "style" in found, "text": None, "further": None,
         })
         self.spans.append([len(self.texts), len(self.texts)])
         if tag not in _VOID:
@@ -80,17 +86,101 @@ class _Tree(HTMLParser):
         self.hidden -= tag in _HIDDEN
         return tag
 
-    def finish(self) -> dict:
+    def end(self) -> None:
         self.close()
         self.settle()
         while self.open:
             self.shut()
+
+    def plain(self, pos: int) -> str:
+        """Text of an element, its strings stripped and joined."""
+        return html.unescape(" ".join(self.texts[slice(*self.spans[pos])]))
+
+    def finish(self) -> dict:
+        self.end()
+        further = False
         for e, (a, b) in zip(self.elements, self.spans, strict=True):
             if e["tag"] not in _BULKY:
                 e["text"] = squeeze(" ".join(self.texts[a:b]))
-        root = next((e for e in self.elements if e["tag"] == "body"), None)
-        at, span = (root["pos"], self.spans[root["pos"]]) if root else (-1, [0, len(self.texts)])
-        return {"text": squeeze(" ".join(self.texts[slice(*span)])), "root": at, "elements": self.elements}
+            if e["tag"] in _HEADS:
+                further = self.plain(e["pos"]).strip().lower() in rules.COMPLEMENTARY_TITLES
+            elif e["tag"] == "a":
+                e["further"] = further
+        root = next((e["pos"] for e in self.elements if e["tag"] == "body"), -1)
+        return {"text": squeeze(" ".join(self.texts)), "root": root, "elements": self.elements, "sections": self.sections()}
+
+    def sections(self) -> list[dict]:
+        """What follows each h2 among its siblings, up to the next h2 among them: h3 headings, text with and without them."""
+        current: dict[int, tuple] = {}
+        found = []
+        for e in self.elements:
+            if e["tag"] == "h2":
+                current[e["parent"]] = own = (e["text"], [], [], [])
+                found.append(own)
+            elif e["parent"] in current and e["text"]:
+                _, heads, whole, blocks = current[e["parent"]]
+                if e["tag"] == "h3":
+                    heads.append(e["text"])
+                    whole.append(e["text"])
+                elif e["tag"] in rules.TEXT_BLOCKS:
+                    whole.append(e["text"])
+                    blocks.append(e["text"])
+        return [{"h2": h2, "h3_headings": heads, "text": " ".join(whole), "blocks": " ".join(blocks)} for h2, heads, whole, blocks in found]
+
+
+class _Reading(_Tree):
+    """Also the source without its tags, piece by piece, so that elements can be taken out of it."""
+
+    def __init__(self):
+        super().__init__()
+        self.pieces: list[str] = []
+        self.places: list[list[int]] = []
+
+    def settle(self) -> None:
+        data = "".join(self.buffer)
+        if data:
+            raw = self.open and self.elements[self.open[-1]]["tag"] in ("script", "style")
+            self.pieces.append(html.unescape(_TAG.sub(" ", data)) if raw else data)
+        super().settle()
+
+    def handle_comment(self, data: str) -> None:
+        self.settle()
+        self.pieces.append(_TAG.sub(" ", f"<!--{data}-->"))
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        super().handle_starttag(tag, attrs)
+        self.places.append([len(self.pieces), len(self.pieces) + 1])
+        self.pieces.append(" ")
+
+    def shut(self) -> str:
+        i = self.open[-1]
+        self.pieces.append(" ")
+        self.places[i][1] = len(self.pieces)
+        return super().shut()
+
+    def lasting(self) -> str:
+        """The text without sections for further reading: their heading and the sibling elements after it up to the next h2 or h3; bare text stays."""
+        below = defaultdict(list)
+        for e in self.elements:
+            below[e["parent"]].append(e)
+        gone = bytearray(len(self.pieces))
+        for siblings in below.values():
+            inside = False
+            for e in siblings:
+                if e["tag"] in _HEADS:
+                    inside = self.plain(e["pos"]).lower() in rules.COMPLEMENTARY_TITLES
+                if inside:
+                    a, b = self.places[e["pos"]]
+                    gone[a:b] = b"\1" * (b - a)
+        return " ".join("".join(p for p, out in zip(self.pieces, gone, strict=True) if not out).split())
+
+
+def reading(content: str) -> tuple[str, list[str]]:
+    """The text without sections for further reading, and the texts of all links."""
+    tree = _Reading()
+    tree.feed(content)
+    tree.end()
+    return tree.lasting(), [tree.plain(e["pos"]) for e in tree.elements if e["tag"] == "a"]
 
 
 def tokenize(content: str) -> dict:
@@ -101,13 +191,14 @@ def tokenize(content: str) -> dict:
 
 _KIND = pa.struct([
     ("text", pa.string()), ("root", pa.int32()),
-    ("elements", pa.list_(pa.struct([("pos", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("href", pa.string()), ("target", pa.string()), ("rel", pa.string()), ("classes", pa.string()), ("styled", pa.bool_()), ("text", pa.string())]))),
+    ("elements", pa.list_(pa.struct([("pos", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("href", pa.string()), ("target", pa.string()), ("rel", pa.string()), ("classes", pa.string()), ("styled", pa.bool_()), ("text", pa.string()), ("further", pa.bool_())]))),
+    ("sections", pa.list_(pa.struct([("h2", pa.string()), ("h3_headings", pa.list_(pa.string())), ("text", pa.string()), ("blocks", pa.string())]))),
 ])
 
 
 @F.arrow_udf(from_arrow_type(_KIND))
 def parse(contents: pa.Array) -> pa.Array:
-    """content -> text below the body (or all), position of the body (or -1), and the elements in document order."""
+    """content -> all its text, position of the body (or -1), the elements in document order, and the sections of its h2 headings."""
     return pa.array([tokenize(c or "") for c in contents.to_pylist()], _KIND)
 
 
@@ -124,10 +215,10 @@ def texts(elements: Column) -> Column:
 
 
 def headings(page: Column, tags: tuple[str, ...], empty: bool = True) -> Column:
-    """Structs of index, level and text of the headings in order; empty ones only if asked for."""
+    """Structs of index (from 0), level and text of the headings in order; empty ones only if asked for."""
     found = named(page, tags)
     found = found if empty else F.filter(found, lambda e: e["text"] != "")
-    return F.transform(found, lambda e, i: F.struct((i + 1).alias("index"), e["tag"].alias("level"), e["text"].alias("text")))
+    return F.transform(found, lambda e, i: F.struct(i.alias("index"), e["tag"].alias("level"), e["text"].alias("text")))
 
 
 def _blocks(elements: Column, blocks: tuple[str, ...]) -> Column:
@@ -141,25 +232,12 @@ def introduction(page: Column, parent: Column, blocks: tuple[str, ...]) -> Colum
     return _blocks(F.filter(below, lambda e: first.isNull() | (e["pos"] < first)), blocks)
 
 
-def sections(page: Column, blocks: tuple[str, ...]) -> Column:
-    """Structs of h2, h3 headings and text: what follows each h2 among its siblings up to the next h2 among them."""
-    elements = page["elements"]
-
-    def section(h: Column) -> Column:
-        after = F.filter(elements, lambda e: (e["parent"] == h["parent"]) & (e["pos"] > h["pos"]))
-        end = F.array_min(F.transform(F.filter(after, lambda e: e["tag"] == "h2"), lambda e: e["pos"]))
-        own = F.filter(after, lambda e: end.isNull() | (e["pos"] < end))
-        return F.struct(h["text"].alias("h2"), texts(F.filter(own, lambda e: e["tag"] == "h3")).alias("h3_headings"), _blocks(own, blocks).alias("text"))
-
-    return F.transform(named(page, ("h2",)), section)
-
-
-def conclusion(found: Column, excluded: tuple[str, ...]) -> Column:
-    """Text of the section titled so, else of the last whose title isn't excluded, else of the last."""
-    title = lambda s: F.lower(F.trim(s["h2"]))
+def conclusion(found: Column, excluded: tuple[str, ...], folded: bool = False) -> Column:
+    """Text of the section titled so, else of the last whose title isn't excluded, else of the last; titles are compared in lower case or folded."""
+    title = lambda s: text.fold_plain(s["h2"]) if folded else F.lower(F.trim(s["h2"]))
     explicit = F.filter(found, lambda s: title(s) == "conclusion")
     kept = F.filter(found, lambda s: ~title(s).isin(*excluded))
-    return F.coalesce(F.get(explicit, F.lit(0))["text"], F.try_element_at(kept, F.lit(-1))["text"], F.try_element_at(found, F.lit(-1))["text"], F.lit(""))
+    return F.coalesce(F.get(explicit, F.lit(0))["blocks"], F.try_element_at(kept, F.lit(-1))["blocks"], F.try_element_at(found, F.lit(-1))["blocks"], F.lit(""))
 
 
 def used_tags(page: Column) -> Column:
@@ -176,19 +254,23 @@ def styled_outside_tables(page: Column, tables: tuple[str, ...]) -> Column:
 
 def cta_signals(page: Column, complementary: tuple[str, ...]) -> Column:
     """Calls to action among the elements right below the root: paragraphs of class cta, and what surrounds them."""
-    below = children(page, page["root"])
-    cta = F.filter(below, lambda e: (e["tag"] == "p") & F.array_contains(F.split(F.coalesce(e["classes"], F.lit("")), " "), "cta"))
-    strong = named(page, ("strong",))
-    first = F.get(cta, F.lit(0))
-    inside = F.filter(strong, lambda s: (s["pos"] > first["pos"]) & (s["pos"] <= first["last"]))
-    at = lambda test: F.filter(F.transform(below, lambda e, i: F.when(test(e), i)), lambda i: i.isNotNull())
-    is_heading = lambda e: e["tag"].isin("h1", "h2", "h3", "h4")
+    below = F.transform(children(page, page["root"]), lambda e, i: F.struct(i.alias("index"), e.alias("e")))
+    classes = lambda e: F.split(F.coalesce(e["classes"], F.lit("")), " ")
+    cta = F.filter(below, lambda x: (x["e"]["tag"] == "p") & F.array_contains(classes(x["e"]), "cta"))
+    strong = lambda e: F.filter(page["elements"], lambda s: (s["tag"] == "strong") & (s["pos"] > e["pos"]) & (s["pos"] <= e["last"]))
+
+    def block(x: Column) -> Column:
+        first = F.get(strong(x["e"]), F.lit(0))
+        return F.struct(
+            x["index"].alias("index"), x["e"]["text"].alias("text"), x["e"]["tag"].alias("tag_name"), classes(x["e"]).alias("classes"),
+            first.isNotNull().alias("has_strong"), first["text"].alias("strong_text"),
+        )
+
+    at = lambda *titles: F.transform(F.filter(below, lambda x: x["e"]["tag"].isin("h2", "h3", "h4") & F.lower(x["e"]["text"]).isin(*titles)), lambda x: x["index"])
+    further, key = at(*complementary), at("corrigé du quiz")
     return F.struct(
-        F.size(cta).alias("cta_count"),
-        texts(cta).alias("cta_texts"),
-        (F.size(F.coalesce(inside, F.array())) > 0).alias("has_strong"),
-        F.coalesce(F.get(inside, F.lit(0))["text"], F.lit("")).alias("strong_text"),
-        at(lambda e: is_heading(e) & F.lower(e["text"]).isin(*complementary)).alias("complementary_indexes"),
-        at(lambda e: is_heading(e) & (F.lower(e["text"]) == "corrigé du quiz")).alias("quiz_key_indexes"),
-        F.size(below).alias("top_level_tag_count"),
-    )
+        F.size(below).alias("top_level_tag_count"), F.transform(cta, block).alias("cta_blocks"), F.size(cta).alias("cta_count"),
+        F.transform(cta, lambda x: x["e"]["text"]).alias("cta_texts"), (F.size(cta) > 0).alias("has_cta"),
+        (F.size(further) > 0).alias("has_complementary_reading"), further.alias("complementary_indexes"),
+        (F.size(key) > 0).alias("has_quiz_correction"), key.alias("quiz_key_indexes"),
+    )

@@ -7,15 +7,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import rules
 
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
-RAW_URL = r"(?U)(?<![\"'=])(https?://[^\s<>\"]+)"
-MARKDOWN_LINK = r"\[[^\]]+\]\(https?://[^)]+\)"
-ATTACHED_ANCHOR = r"(?iU)\w<a\s+"
-
-
 def netloc(url: Column) -> Column:
     """Host with port and user as they stand, empty if there is none."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), _AUTHORITY, 1)
+    return F.regexp_extract(F.coalesce(url, F.lit("")), rules.AUTHORITY, 1)
 
 
 def origin(url: Column) -> Column:
@@ -27,19 +21,14 @@ def origin(url: Column) -> Column:
 def links(page: Column, internal_domain: Column) -> Column:
     """Structs of index, href, anchor_text, target, rel, is_external and section, in document order.
 
-    A link's section is that of the nearest h2 or h3 before it, found by the last heading position below its own.
+    A link's section is that of the nearest h2 or h3 before it. A domain without `//` has no host, so every link with one is external.
     """
-    heads = F.filter(page["elements"], lambda e: e["tag"].isin("h2", "h3"))
-    own = netloc(internal_domain)
-    own = F.when(own == "", F.coalesce(internal_domain, F.lit(""))).otherwise(own)
 
     def link(a: Column, i: Column) -> Column:
         href = F.trim(F.coalesce(a["href"], F.lit("")))
-        before = F.try_element_at(F.filter(heads, lambda h: h["pos"] < a["pos"]), F.lit(-1))["text"]
         return F.struct(
             (i + 1).alias("index"), href.alias("href"), F.coalesce(a["text"], F.lit("")).alias("anchor_text"), F.coalesce(a["target"], F.lit("")).alias("target"), F.coalesce(a["rel"], F.lit("")).alias("rel"),
-            ((netloc(href) != "") & (netloc(href) != own)).alias("is_external"),
-            F.when(F.lower(F.trim(before)).isin(*rules.COMPLEMENTARY_TITLES), "complementary_reading").otherwise("body").alias("section"),
+            ((netloc(href) != "") & (netloc(href) != netloc(internal_domain))).alias("is_external"), F.when(a["further"], "complementary_reading").otherwise("body").alias("section"),
         )
 
     return F.transform(F.filter(page["elements"], lambda e: e["tag"] == "a"), link)
@@ -62,7 +51,7 @@ def tracking_parameters(url: Column, patterns: tuple[str, ...] = rules.TRACKING_
 def status_class(code: Column) -> Column:
     """Struct of network_status and error for an HTTP status code; unknown without a code."""
     status = F.when(code.isin(*rules.STATUS_ALLOWED), "reachable").when(code.isin(*rules.STATUS_FORBIDDEN), "unreachable").otherwise("unknown")
-    error = F.when(code.isin(*rules.STATUS_FORBIDDEN), F.concat(F.lit("http_status_"), code)).when(code.isNotNull() & ~code.isin(*rules.STATUS_ALLOWED, *rules.STATUS_UNKNOWN), F.concat(F.lit("unhandled_http_status_"), code))
+    error = F.when(code.isin(*rules.STATUS_FORBIDDEN, *rules.STATUS_UNKNOWN), F.concat(F.lit("http_status_"), code)).when(~code.isin(*rules.STATUS_ALLOWED), F.concat(F.lit("unhandled_http_status_"), code))
     return F.struct(status.alias("network_status"), error.alias("error"))
 
 

@@ -47,10 +47,32 @@ REQUIRED_TARGET, REQUIRED_REL = "_blank", ("noopener", "noreferrer")
 FORBIDDEN_ANCHORS = ("cliquez ici", "lire plus", "click here", "read more")
 TRACKING_PATTERNS = ("utm_*", "ref", "trk", "src", "source", "campaign", "mc_cid", "mc_eid", "gclid", "fbclid", "msclkid")
 STATUS_ALLOWED, STATUS_FORBIDDEN, STATUS_UNKNOWN = (200, 301, 302), (400, 404, 410), (401, 403, 406, 202, 500, 502, 503)
+METHODS, TIMEOUT_SECONDS, MAX_CONCURRENCY = ("HEAD", "GET"), 5, 5
+ALLOWED_TYPES = ("articles", "practicalGuide", "caseStudy", "whiteBook", "comparative")
 CAUTION_TYPES, FORBIDDEN_TYPES = ("audioScript", "videoScript"), ("questAnswers", "quiz")
 # References by expected length: most in all, least for each section.
 REFERENCE_LIMITS = {"SIMPLE": (1, None), "MEDIUM": (None, 1), "LONG": (None, None)}
 
+# Patterns of URLs, links and dates.
+AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+RAW_URL = r"(?U)(?<![\"'=])(https?://[^\s<>\"]+)"
+MARKDOWN_LINK = r"\[[^\]]+\]\(https?://[^)]+\)"
+ATTACHED_ANCHOR = r"(?iU)\w<a\s+"
+FULL_DATE = r"\b\d{1,2}[/-]\d{1,2}[/-](?:19|20)\d{2}\b"
+YEAR = r"\b(?:19|20)\d{2}\b"
+
+# Typography: rule, severity, the text that it looks at, pattern, message.
+TYPOGRAPHY = (
+    ("double_spaces", "minor", "decoded", r" {2,}", "Two or more spaces stand in a row."),
+    ("trailing_spaces", "minor", "lines", r"[ \t]+$", "Lines end in blanks."),
+    ("space_before_dot", "minor", "decoded", r"(?U)[\s\x1c-\x1f]+\.", "White space stands before a full stop."),
+    ("space_before_comma", "minor", "decoded", r"(?U)[\s\x1c-\x1f]+,", "White space stands before a comma."),
+    ("french_nbsp_before_double_punctuation", "major", "decoded", r"(?<!\x{00A0})[:;!?%]", "A no-break space is missing before double punctuation."),
+    ("multiple_punctuation", "minor", "decoded", r"[!?.,;:]{2,}", "Punctuation marks are repeated."),
+    ("attached_links", "minor", "raw", r"(?iU)\w<a\b", "A link is attached to the word before it."),
+    ("repeated_line_breaks", "minor", "raw", r"(?iU)(<br\s*/?>\s*){2,}", "Line breaks are repeated."),
+)
+
 # Temporal expressions and context markers by language.
 MONTHS = {
     "fr": ("janvier", "février", "fevrier", "mars", "avril", "mai", "juin", "juillet", "août", "aout", "septembre", "octobre", "novembre", "décembre", "decembre"),
@@ -75,4 +97,6 @@ HISTORY_MARKERS = {"fr": ("depuis", "historiquement", "dans les années", "au co
 CONTEXT_CHARS = 80
 
 # The judges of a whole evaluation, in their order.
-DEFAULT_JUDGES = ("length", "typography", "structure", "seo", "sources")
+DEFAULT_JUDGES = ("length", "typography", "seo", "structure", "sources")
+# Summaries of a whole evaluation: nothing but errors, some errors, none.
+SUMMARIES = ("Global evaluation could not be completed.", "Global evaluation completed with some technical errors.", "Global evaluation completed with %d judge result(s).")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -43,9 +44,14 @@ def word_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, " ", -1)))
 
 
+def without_tags(content: Column) -> Column:
+    """Runs of tags with the blanks around them as one space; line ends and outer space stay."""
+    return F.regexp_replace(F.coalesce(content, F.lit("")), r"[ \t]*<[^>]+>(?:[ \t]*<[^>]+>)*[ \t]*", " ")
+
+
 def decoded_text(content: Column) -> Column:
-    """Runs of tags with the blanks around them as one space, entities decoded; line ends and outer space stay."""
-    return unescape(F.regexp_replace(F.coalesce(content, F.lit("")), r"[ \t]*<[^>]+>(?:[ \t]*<[^>]+>)*[ \t]*", " "))
+    """without_tags() with entities decoded."""
+    return unescape(without_tags(content))
 
 
 def escaped_payload(content: Column) -> Column:
@@ -92,22 +98,29 @@ def phrase_count(folded: Column, phrase: Column) -> Column:
     return F.when(phrase == "", 0).otherwise(F.regexp_count(folded, quoted))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def chunks(text: Column, size: int, overlap: int) -> Column:
     """Overlapping runs of words of a text whose entities are decoded: structs of chunk_id, text, start_word, end_word, word_count; the last ends with the text."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap at least 0 and below size")
-    words = F.filter(F.split(collapse(text), " ", -1), lambda w: w != "")
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.greatest(F.size(words) - overlap - 1, F.lit(0)), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda s, i: F.struct(
-            (i + 1).alias("chunk_id"),
-            F.array_join(F.slice(words, s + 1, F.lit(size)), " ").alias("text"),
-            s.alias("start_word"),
-            F.least(s + size, F.size(words)).alias("end_word"),
-            (F.least(s + size, F.size(words)) - s).alias("word_count"),
-        ),
-    )
+    step = size - overlap
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            starts,
+            lambda s, i: F.struct(
+                (i + 1).alias("chunk_id"), F.array_join(F.slice(words, s + 1, F.lit(size)), " ").alias("text"), s.alias("start_word"),
+                F.least(s + size, n).alias("end_word"), (F.least(s + size, n) - s).alias("word_count"),
+            ),
+        )
+
+    return bind(F.filter(F.split(collapse(text), " ", -1), lambda w: w != ""), cut)
 
 
 def finding(rule_id: str, severity: str | Column, message: str, **evidence: Column) -> Column:

@@ -16,52 +16,39 @@ _KIND = pa.struct([
     ("value", pa.string()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.string()),
     ("in_source_context", pa.bool_()), ("in_historical_context", pa.bool_()), ("in_input", pa.bool_()),
 ])
-_DATE = re.compile(r"\b\d{1,2}[/-]\d{1,2}[/-](?:19|20)\d{2}\b")
-_YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
 _PATTERNS = {
-    lang: [("full_date", _DATE), ("year", _YEAR), ("month_year", re.compile(rf"\b(?:{'|'.join(rules.MONTHS[lang])})\s+(?:19|20)\d{{2}}\b", re.I))]
+    lang: [("full_date", re.compile(rules.FULL_DATE)), ("year", re.compile(rules.YEAR)), ("month_year", re.compile(rf"\b(?:{'|'.join(rules.MONTHS[lang])})\s+(?:19|20)\d{{2}}\b", re.I))]
     + [(kind, re.compile(rf"\b{re.escape(x)}\b", re.I)) for kind, by in rules.EXPRESSIONS.items() for x in by[lang]]
     for lang in ("fr", "en")
 }
 
 
 @F.arrow_udf(from_arrow_type(pa.list_(_KIND)))
-def _references(texts: pa.Array, locales: pa.Array, anchors: pa.Array, allowed: pa.Array) -> pa.Array:
+def temporal_references(contents: pa.Array, locales: pa.Array, allowed: pa.Array) -> pa.Array:
+    """Dates, years, months and time expressions of a content (HTML) in that order, with places, contexts and what excuses them.
+
+    Arguments: content, locale, allowed values. Sections for further reading are left out, but the links in them count as
+    sources. Text of scripts stays, as only tags are removed.
+    """
     out = []
-    for t, locale, links, given in zip(*(x.to_pylist() for x in (texts, locales, anchors, allowed)), strict=True):
-        t, lang = t or "", "en" if (locale or "").lower().startswith("en") else "fr"
-        known = {x.lower() for x in given or () if x}
+    for content, locale, given in zip(*(x.to_pylist() for x in (contents, locales, allowed)), strict=True):
+        t, links = html.reading(content or "")
+        links = [x.lower() for x in links]
+        lang, known = "en" if (locale or "").lower().startswith("en") else "fr", {x.lower() for x in given or () if x}
         found = []
         for kind, pattern in _PATTERNS[lang]:
             for m in pattern.finditer(t):
                 around = t[max(0, m.start() - rules.CONTEXT_CHARS) : m.end() + rules.CONTEXT_CHARS].strip()
-                low = around.lower()
+                low, value = around.lower(), m[0].lower()
                 found.append({
                     "value": m[0], "type": kind, "start": m.start(), "end": m.end(), "context": around,
-                    "in_source_context": any(x in low for x in rules.SOURCE_MARKERS[lang]) or any(m[0] in (a or "") for a in links or ()),
-                    "in_historical_context": any(x in low for x in rules.HISTORY_MARKERS[lang]), "in_input": m[0].lower() in known,
+                    "in_source_context": any(x in low for x in rules.SOURCE_MARKERS[lang]) or any(value in a for a in links),
+                    "in_historical_context": any(x in low for x in rules.HISTORY_MARKERS[lang]), "in_input": value in known,
                 })
         out.append(found)
     return pa.array(out, pa.list_(_KIND))
 
 
-def temporal_references(content: Column, locale: Column, allowed: Column) -> Column:
-    """Dates, years, months and time expressions of a content in that order, with places, contexts and what excuses them.
-
-    Sections for further reading are left out; text of scripts stays, as only tags are removed.
-    """
-    bare = without_complementary(F.coalesce(content, F.lit("")))
-    plain = text.normalize(F.regexp_replace(bare, r"<[^>]+>", " "))
-    anchors = html.texts(html.named(html.parse(bare), ("a",)))
-    return _references(plain, locale, anchors, allowed)
-
-
-def without_complementary(content: Column) -> Column:
-    """The content without sections for further reading: from their heading to before the next h2 or h3, or the end."""
-    titles = "|".join(t.replace(" ", r"\s+") for t in rules.COMPLEMENTARY_TITLES)
-    return F.regexp_replace(content, rf"(?isU)<h([23])\b[^>]*>\s*(?:<[^>]+>\s*)*(?:{titles})\s*(?:<[^>]+>\s*)*</h\1\s*>.*?(?=<h[23]\b|\z)", "")
-
-
 def prompt(template: str, content: Column, references: Column) -> Column:
     """A request for a language model: the content and its temporal signals put into a template."""
     return F.replace(F.replace(F.lit(template), F.lit("{{CONTENT}}"), content), F.lit("{{TEMPORAL_SIGNALS}}"), F.to_json(references))

@@ -8,29 +8,33 @@ from pyspark.sql import functions as F
 from vellum.functions import rules, text
 
 
-def ranges(spark: SparkSession) -> DataFrame:
-    """The rule table: 27 rows, of a fixed size."""
-    rows = [(kind, length, least, most) for kind, by in rules.LENGTH_RANGES.items() for length, (least, most) in by.items()]
+Ranges = dict[str, dict[str, tuple[int, int | None]]]
+
+
+def ranges(spark: SparkSession, table: Ranges = rules.LENGTH_RANGES) -> DataFrame:
+    """The rule table, a few rows: word ranges (least, most) by content type and expected length."""
+    rows = [(kind, length, least, most) for kind, by in table.items() for length, (least, most) in by.items()]
     return spark.createDataFrame(rows, "content_type string, expected_length string, min_words int, max_words int")
 
 
-def resolution_error(content_type: Column, expected_length: Column) -> Column:
-    """Code of the first thing wrong with the context, null if nothing is."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+def resolution_error(content_type: Column, expected_length: Column, table: Ranges = rules.LENGTH_RANGES) -> Column:
+    """Code of the first thing wrong with the context, null if nothing is. Blanks are values, though none that a rule knows."""
+    missing = lambda c: F.coalesce(c, F.lit("")) == ""
+    known = F.coalesce(*(F.when(content_type == kind, expected_length.isin(*by)) for kind, by in table.items()), F.lit(False))
     return (
-        F.when(blank(content_type), "missing_content_type")
-        .when(~content_type.isin(*rules.LENGTH_RANGES), "unsupported_content_type")
-        .when(blank(expected_length), "missing_expected_length")
-        .when(~expected_length.isin(*rules.EXPECTED_LENGTHS), "unsupported_expected_length")
+        F.when(missing(content_type), "missing_content_type")
+        .when(missing(expected_length), "missing_expected_length")
+        .when(~content_type.isin(*table), "unsupported_content_type")
+        .when(~known, "unsupported_expected_length")
     )
 
 
-def judge(df: DataFrame, tolerance_pct: float = rules.LENGTH_TOLERANCE_PCT, column: str = "length") -> DataFrame:
+def judge(df: DataFrame, tolerance_pct: float = rules.LENGTH_TOLERANCE_PCT, column: str = "length", ranges_by_type: Ranges = rules.LENGTH_RANGES) -> DataFrame:
     """df (word_count, content_type, expected_length) -> also `length`: status, score, findings, error; and `length_rule`, the range applied.
 
     Bounds are inclusive after the tolerance. Rows whose context has no rule carry an error instead of a result.
     """
-    table = F.broadcast(ranges(df.sparkSession).withColumnsRenamed({"content_type": "_type", "expected_length": "_length"}))
+    table = F.broadcast(ranges(df.sparkSession, ranges_by_type).withColumnsRenamed({"content_type": "_type", "expected_length": "_length"}))
     joined = df.join(table, (df.content_type == table._type) & (df.expected_length == table._length), "left").drop("_type", "_length")
     least = (F.col("min_words") * F.lit(1 - tolerance_pct / 100.0)).cast("int")
     most = (F.col("max_words") * F.lit(1 + tolerance_pct / 100.0)).cast("int")
@@ -42,7 +46,7 @@ def judge(df: DataFrame, tolerance_pct: float = rules.LENGTH_TOLERANCE_PCT, colu
         .when(long, text.finding("length.too_long", "major", "The text has more words than the tolerated range allows.", **proof))
         .otherwise(text.finding("length.valid", "info", "The number of words lies in the tolerated range.", **proof))
     )
-    error = resolution_error(F.col("content_type"), F.col("expected_length"))
+    error = resolution_error(F.col("content_type"), F.col("expected_length"), ranges_by_type)
     ok = error.isNull()
     bad = short | long
     result = F.struct(

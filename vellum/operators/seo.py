@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,45 +28,68 @@ def weighted_score(similarities: Column) -> Column:
     return F.when(F.size(similarities) == 0, 0).otherwise(F.bround(100 * add(used) / add(weights)).cast("int"))
 
 
-def sections(page: Column) -> Column:
-    return html.sections(page, rules.TEXT_BLOCKS)
-
-
 def utility(title: Column) -> Column:
     return text.fold_plain(title).isin(*rules.UTILITY_TITLES)
 
 
-def lexical(df: DataFrame, content: str = "content") -> DataFrame:
-    """df (content, main_keyword, secondary_keywords, long_tail_keywords) -> also the keyword signals as columns `lexical_...`."""
-    page = F.col("_page")
+def python_encoder(encode: Callable[[list[str]], list[list[float]]]) -> Encoder:
+    """An encoder from a Python function of texts, called once for the distinct texts of each Arrow batch.
+
+    Where it fails, the rows of that batch have null vectors: nothing semantic is available for them.
+    """
+
+    @F.arrow_udf("array<array<double>>")
+    def run(asked: pa.Array) -> pa.Array:
+        rows = asked.to_pylist()
+        distinct = list(dict.fromkeys(t for r in rows for t in r or ()))
+        try:
+            known = dict(zip(distinct, encode(distinct), strict=True)) if distinct else {}
+        except Exception:  # noqa: BLE001 - whatever a model raises concerns these rows alone
+            return pa.nulls(len(rows), pa.list_(pa.list_(pa.float64())))
+        return pa.array([None if r is None else [[float(x) for x in known[t]] for t in r] for r in rows], pa.list_(pa.list_(pa.float64())))
+
+    return run
+
+
+def lexical(df: DataFrame, content: str = "content", page: str | None = None) -> DataFrame:
+    """df (content, main_keyword, secondary_keywords, long_tail_keywords) -> also the keyword signals as columns `lexical_...`.
+
+    `page` names a column that holds the parsed content already.
+    """
     none = F.array().cast("array<string>")
-    df = df.withColumn("_page", html.parse(F.col(content)))
-    df = df.withColumn("_sections", sections(page)).withColumn("_intro", html.introduction(page, F.lit(-1), rules.TEXT_BLOCKS))
-    df = df.withColumn("_heads", html.headings(page, ("h2", "h3"), empty=False)).withColumn("_end", html.conclusion(F.col("_sections"), rules.COMPLEMENTARY_TITLES))
-    df = df.withColumn("_key", text.fold(F.col("main_keyword")))
-    df = df.withColumn("_minor", F.transform(F.array_distinct(F.concat(F.coalesce("secondary_keywords", none), F.coalesce("long_tail_keywords", none))), lambda k: F.struct(k.alias("keyword"), text.fold_plain(k).alias("folded"))))
-    key, zone = F.col("_key"), text.fold_plain
-    count = lambda c: text.phrase_count(zone(c), key)
-    in_heads = F.aggregate(F.transform("_heads", lambda h: count(h["text"])), F.lit(0), lambda s, n: s + n)
+    given = lambda c: F.coalesce(F.col(c), none)
+    key = F.col("_key")
+    # Columns one upon the other, so that each fold and each pattern is computed once for a row.
+    df = df.withColumn("_page", F.col(page) if page else html.parse(F.col(content)))
+    df = df.withColumns({"_sections": F.col("_page.sections"), "_body": F.col("_page.text"), "_intro": html.introduction(F.col("_page"), F.lit(-1), rules.TEXT_BLOCKS), "lexical_keyword": text.normalize(F.col("main_keyword"))})
+    df = df.withColumn("_key", text.fold_plain(F.col("lexical_keyword")))
+    df = df.withColumns({
+        "_end": html.conclusion(F.col("_sections"), rules.COMPLEMENTARY_TITLES, folded=True), "_body_folded": text.fold_plain(F.col("_body")), "_intro_folded": text.fold_plain(F.col("_intro")),
+        "_heads": F.transform(html.headings(F.col("_page"), ("h2", "h3"), empty=False), lambda h: text.fold_plain(h["text"])),
+        "_folded_sections": F.transform("_sections", lambda s: F.struct(s["h2"].alias("h2"), utility(s["h2"]).alias("utility"), text.fold_plain(s["text"]).alias("folded"))),
+        "_keywords": F.transform(F.array_distinct(F.concat(given("secondary_keywords"), given("long_tail_keywords"))), lambda k: F.struct(k.alias("keyword"), text.fold_plain(k).alias("folded"))),
+        "_marked": F.transform(F.flatten(F.array(*(html.named(F.col("_page"), (t,)) for t in rules.EMPHASIS_TAGS))), lambda e: F.struct(e["tag"].alias("tag"), e["text"].alias("text"), text.fold_plain(e["text"]).alias("folded"))),
+    })
     spread = F.transform(
-        F.filter("_sections", lambda s: ~utility(s["h2"])),
-        lambda s: F.struct(s["h2"].alias("h2"), F.transform(F.filter(F.col("_minor"), lambda k: text.phrase_count(zone(F.concat_ws(" ", s["h2"], s["text"])), k["folded"]) > 0), lambda k: k["keyword"]).alias("matched")),
+        F.filter("_folded_sections", lambda s: ~s["utility"]),
+        lambda s: F.struct(s["h2"].alias("h2"), F.transform(F.filter(F.col("_keywords"), lambda k: text.phrase_count(s["folded"], k["folded"]) > 0), lambda k: k["keyword"]).alias("matched")),
     )
-    every = F.concat(F.array(F.struct(F.col("main_keyword").alias("keyword"), key.alias("folded"))), F.col("_minor"))
-    emphasised = F.flatten(F.transform(
-        F.flatten(F.array(*(html.named(page, (t,)) for t in rules.EMPHASIS_TAGS))),
-        lambda e: F.transform(F.filter(every, lambda k: text.phrase_count(zone(e["text"]), k["folded"]) > 0), lambda k: F.struct(e["tag"].alias("tag"), k["keyword"].alias("keyword"), e["text"].alias("text"))),
-    ))
-    out = df.withColumn("_spread", spread)
+    counted = F.transform("_keywords", lambda k: F.struct(k["keyword"].alias("keyword"), text.phrase_count(F.col("_body_folded"), k["folded"]).alias("n")))
+    every = F.concat(F.array("main_keyword"), given("secondary_keywords"), given("long_tail_keywords"))
+    emphasised = F.flatten(F.transform("_marked", lambda e: F.transform(F.filter(every, lambda k: text.phrase_count(e["folded"], text.fold_plain(k)) > 0), lambda k: F.struct(e["tag"].alias("tag"), k.alias("keyword"), e["text"].alias("text")))))
+    out = df.withColumns({"_spread": spread, "_counted": counted})
+    of = lambda c: F.filter("_counted", lambda k: F.array_contains(given(c), k["keyword"]))
     matched = F.size(F.filter("_spread", lambda s: F.size(s["matched"]) > 0))
     # Separate columns rather than a struct: the optimizer copies a struct's expressions to wherever a field is read.
     found = {
-        "body": count(page["text"]), "introduction": count(F.col("_intro")), "headings": in_heads, "conclusion": count(F.col("_end")),
-        "minor": F.transform("_minor", lambda k: F.struct(k["keyword"].alias("keyword"), text.phrase_count(zone(page["text"]), k["folded"]).alias("n"))),
+        "body": text.phrase_count(F.col("_body_folded"), key), "introduction": text.phrase_count(F.col("_intro_folded"), key),
+        "headings": F.aggregate(F.transform("_heads", lambda h: text.phrase_count(h, key)), F.lit(0), lambda s, n: s + n), "conclusion": text.phrase_count(text.fold_plain(F.col("_end")), key),
+        "minor": F.col("_counted"), "secondary": of("secondary_keywords"), "long_tail": of("long_tail_keywords"),
         "distribution": F.col("_spread"), "concentrated": (matched == 1) & (F.size("_spread") > 1), "emphasis": emphasised,
-        "introduction_text": F.col("_intro"), "sections": F.col("_sections"), "body_text": page["text"],
+        "introduction_text": F.col("_intro"), "sections": F.col("_sections"), "body_text": F.col("_body"),
     }
-    return out.withColumns({f"lexical_{k}": v for k, v in found.items()}).drop("_page", "_sections", "_intro", "_heads", "_end", "_key", "_minor", "_spread")
+    hidden = ("_page", "_sections", "_body", "_intro", "_heads", "_end", "_key", "_keywords", "_marked", "_spread", "_counted", "_body_folded", "_intro_folded", "_folded_sections")
+    return out.withColumns({f"lexical_{k}": v for k, v in found.items()}).drop(*hidden)
 
 
 class _Lexical:
@@ -78,7 +102,8 @@ class _Lexical:
 def semantic_text(lexical_signals: _Lexical) -> Column:
     """The introduction and "title. text" of each section that is neither utility nor empty; the body if that is nothing."""
     kept = F.filter(lexical_signals["sections"], lambda s: ~utility(s["h2"]) & (s["text"] != ""))
-    parts = F.concat(F.filter(F.array(lexical_signals["introduction_text"]), lambda t: t != ""), F.transform(kept, lambda s: F.concat(s["h2"], F.lit(". "), s["text"])))
+    titled = F.transform(kept, lambda s: F.concat(F.when(s["h2"] == "", "").otherwise(F.concat(s["h2"], F.lit(". "))), s["text"]))
+    parts = F.concat(F.filter(F.array(lexical_signals["introduction_text"]), lambda t: t != ""), titled)
     return F.coalesce(F.nullif(F.array_join(parts, " "), F.lit("")), lexical_signals["body_text"])
 
 
@@ -115,7 +140,12 @@ def overoptimization(matches: Column, words: Column) -> Column:
     r = _band(most, (1, 2, 3), (100, 75, 45, 20))
     score = F.when(total == 0, 100).otherwise(F.bround(0.40 * d + 0.35 * c + 0.25 * r).cast("int"))
     risk = F.when(total == 0, "not_applicable").when(score >= 85, "low").when(score >= 70, "medium_low").when(score >= 50, "medium_high").otherwise("high")
-    return F.struct(total.alias("occurrences"), F.when(words > 0, density).otherwise(0.0).alias("density"), d.alias("density_score"), ratio.alias("concentration_ratio"), c.alias("concentration_score"), most.alias("max_local_repetition"), r.alias("local_score"), score.alias("score"), risk.alias("risk"))
+    level = lambda score: F.element_at(F.create_map(*map(F.lit, (100, "low", 75, "medium", 45, "high", 20, "very_high"))), score)
+    return F.struct(
+        total.alias("occurrences"), F.when(words > 0, density).otherwise(0.0).alias("density"), F.when(words <= 0, "none").otherwise(level(d)).alias("density_level"), d.alias("density_score"),
+        F.size(F.filter(matches, lambda n: n > 0)).alias("paragraphs_with_matches"), F.bround(ratio, 4).alias("concentration_ratio"), F.when(total <= 0, "none").otherwise(level(c)).alias("concentration_level"), c.alias("concentration_score"),
+        most.alias("max_local_repetition"), level(r).alias("local_repetition_level"), r.alias("local_score"), score.alias("score"), risk.alias("risk"), (total > 0).alias("applicable"),
+    )
 
 
 def resolution_error() -> Column:
@@ -130,30 +160,52 @@ def resolution_error() -> Column:
     )
 
 
-def judge(df: DataFrame, encoder: Encoder | None = None, column: str = "seo") -> DataFrame:
+def judge(
+    df: DataFrame,
+    encoder: Encoder | None = None,
+    column: str = "seo",
+    page: str | None = None,
+    chunk_words: int = rules.CHUNK_WORDS,
+    chunk_overlap: int = rules.CHUNK_OVERLAP,
+    top_chunks: int = rules.TOP_CHUNKS,
+) -> DataFrame:
     """df (content, content_type, expected_length, funnel_stage, main_keyword, secondary_keywords, long_tail_keywords)
-    -> also `seo`: status, score, findings, error; and `seo_scores`, its parts.
+    -> also `seo`: status, score, findings, error; `seo_scores`, its parts; and `seo_signals`, what they rest on.
 
-    Without an encoder nothing semantic is available: the semantic score is 0 and over-optimisation not applicable.
+    The encoder is called once for a row, with the keyword, the chunks and the sentences. Without one, or where it gives
+    null, nothing semantic is available: the semantic score is 0 and over-optimisation not applicable.
     """
     simple = (F.col("funnel_stage") == "AWARENESS") & (F.col("expected_length") == "SIMPLE")
     own = df.withColumn("_long", F.col("long_tail_keywords")).withColumn("long_tail_keywords", F.when(simple, F.array().cast("array<string>")).otherwise(F.col("long_tail_keywords")))
-    own = lexical(own)
+    own = lexical(own, page=page)
     lex, key = _Lexical(), F.col("_folded")
-    own = own.withColumn("_folded", text.fold(F.col("main_keyword")))
+    own = own.withColumn("_folded", text.fold_plain(lex["keyword"]))
     own = own.withColumn("_paragraphs", paragraphs(lex, key))
-    if encoder is None:
-        own = own.withColumn("_similar", F.array().cast("array<double>")).withColumn("_matches", F.transform("_paragraphs", lambda p: F.lit(0)))
-    else:
-        parts = F.transform(text.chunks(semantic_text(lex), rules.CHUNK_WORDS, rules.CHUNK_OVERLAP), lambda c: c["text"])
-        own = own.withColumn("_asked", encoder(F.concat(F.array(text.normalize(F.col("main_keyword"))), parts)))
-        near = F.transform(F.slice("_asked", F.lit(2), F.greatest(F.size("_asked") - 1, F.lit(0))), lambda v: cosine(F.get("_asked", F.lit(0)), v))
-        own = own.withColumn("_similar", F.slice(F.sort_array(near, False), 1, rules.TOP_CHUNKS))
-        spoken = F.flatten(F.transform("_paragraphs", lambda p: F.transform(p["sentences"], lambda s: s["text"])))
-        own = own.withColumn("_said", encoder(spoken)).withColumn("_key_vector", F.get("_asked", F.lit(0)))
-        exact = F.flatten(F.transform("_paragraphs", lambda p: F.transform(p["sentences"], lambda s: F.struct(p["paragraph_id"].alias("p"), s["exact"].alias("exact")))))
-        hits = F.zip_with(exact, F.col("_said"), lambda e, v: F.struct(e["p"].alias("p"), (e["exact"] | (cosine(F.col("_key_vector"), v) >= rules.SENTENCE_SIMILARITY)).alias("hit")))
-        own = own.withColumn("_hits", hits).withColumn("_matches", F.transform("_paragraphs", lambda p: F.size(F.filter("_hits", lambda h: (h["p"] == p["paragraph_id"]) & h["hit"]))))
+    sentences = F.flatten(F.transform("_paragraphs", lambda p: F.transform(p["sentences"], lambda s: F.struct(p["paragraph_id"].alias("p"), s["text"].alias("text"), s["exact"].alias("exact")))))
+    own = own.withColumns({"_sentences": sentences, "_chunks": text.chunks(semantic_text(lex), chunk_words, chunk_overlap)})
+    vectors = F.lit(None).cast("array<array<double>>")
+    if encoder is not None:
+        asked = F.concat(F.array(lex["keyword"]), F.transform("_chunks", lambda c: c["text"]), F.transform("_sentences", lambda s: s["text"]))
+        # An array of one, taken apart again: the optimizer leaves that where it is, so the encoder gets a plain column.
+        own = own.withColumn("_asked", F.explode(F.array(asked)))
+        vectors = encoder(F.col("_asked"))
+    own = own.withColumn("_vectors", vectors)
+    # The keyword's closeness to each chunk, then to each sentence.
+    own = own.withColumn("_near", F.transform(F.slice("_vectors", F.lit(2), F.greatest(F.size("_vectors") - 1, F.lit(0))), lambda v: cosine(F.get("_vectors", F.lit(0)), v)))
+    ranked = F.zip_with("_chunks", F.slice("_near", F.lit(1), F.size("_chunks")), lambda c, s: F.struct(s.alias("similarity"), (-c["chunk_id"]).alias("later"), c.alias("chunk")))
+    best = F.transform(F.slice(F.sort_array(ranked, False), 1, top_chunks), lambda x: F.struct(x["chunk"].alias("chunk"), x["similarity"].alias("similarity")))
+    spoken = F.slice("_near", F.size("_chunks") + 1, F.size("_sentences"))
+    hits = F.zip_with("_sentences", spoken, lambda e, s: F.struct(e["p"].alias("p"), s.alias("similarity"), (e["exact"] | (s >= rules.SENTENCE_SIMILARITY)).alias("hit")))
+    # Without chunks or sentences there is nothing to ask for, so nothing that is unavailable.
+    own = own.withColumns({
+        "_available": F.col("_vectors").isNotNull() | (F.size("_chunks") == 0), "_spoken": F.col("_vectors").isNotNull() | (F.size("_sentences") == 0),
+        "_top": F.coalesce(best, F.array().cast("array<struct<chunk:struct<chunk_id:int,text:string,start_word:int,end_word:int,word_count:int>,similarity:double>>")), "_hits": hits,
+    })
+    own = own.withColumns({
+        "_similar": F.transform("_top", lambda x: x["similarity"]),
+        "_matches": F.transform("_paragraphs", lambda p: F.coalesce(F.size(F.filter("_hits", lambda h: (h["p"] == p["paragraph_id"]) & h["hit"])), F.lit(0))),
+    })
+    own = own.withColumn("_matches", F.when(F.col("_hits").isNull(), F.transform("_paragraphs", lambda p: F.lit(0))).otherwise(F.col("_matches")))
     total = F.aggregate("_paragraphs", F.lit(0), lambda s, p: s + p["word_count"])
     own = own.withColumn("_words", F.coalesce(F.nullif(total, F.lit(0)), text.word_count(lex["body_text"])))
     own = own.withColumn("_over", overoptimization(F.col("_matches"), F.col("_words")))
@@ -180,10 +232,10 @@ def judge(df: DataFrame, encoder: Encoder | None = None, column: str = "seo") ->
         (over["risk"].isin("medium_high", "high"), f("seo.over_optimization", "major", "The text repeats the keyword too much.", risk=over["risk"], score=over["score"]), F.when(over["risk"] == "high", 20).otherwise(10)),
         (emphasis, f("seo.formatting_constraints", "minor", "Keywords are emphasised.", count=F.size(lex["emphasis"])), F.lit(10)),
     )
-    unavailable = () if encoder is not None else (
-        (F.lit(True), f("seo.semantic_unavailable", "minor", "Semantic closeness could not be measured.")),
-        (F.lit(True), f("seo.overoptimization_semantic_unavailable", "minor", "Semantic over-optimisation could not be measured.")),
-    )
+    unavailable = (
+        (~F.col("_available"), f("seo.semantic_unavailable", "minor", "Semantic closeness could not be measured.")),
+        (~F.col("_spoken"), f("seo.overoptimization_semantic_unavailable", "minor", "Semantic over-optimisation could not be measured.")),
+    )
     own = own.withColumn("_judged", text.findings(*((c, x) for c, x, _ in checks)))
     penalty = sum((F.when(c, p).otherwise(0) for c, _, p in checks), F.lit(0))
     own = own.withColumn("_lexical", F.greatest(100 - penalty, F.lit(0)))
@@ -195,9 +247,15 @@ def judge(df: DataFrame, encoder: Encoder | None = None, column: str = "seo") ->
     status = F.when(n == 0, "fail").when((F.col("_score") >= 85) & (F.size("_judged") == 0), "pass").when(F.col("_score") >= 60, "warn").otherwise("fail")
     result = F.struct(
         F.when(ok, status).alias("status"), F.when(ok, F.col("_score")).alias("score"),
-        F.when(ok, F.concat(text.findings(*unavailable), F.col("_judged")) if unavailable else F.col("_judged")).otherwise(F.array().cast(f"array<{text.FINDING}>")).alias("findings"),
+        F.when(ok, F.concat(text.findings(*unavailable), F.col("_judged"))).otherwise(F.array().cast(f"array<{text.FINDING}>")).alias("findings"),
         error.alias("error"),
     )
-    hidden = [c for c in own.columns if c.startswith(("_", "lexical_")) and c != "_long"]
-    parts = F.when(ok, F.struct(F.col("_lexical").alias("lexical"), F.col("_semantic").alias("semantic"), over["score"].alias("overoptimization"), over["risk"].alias("overoptimization_risk")))
-    return own.withColumns({column: result, f"{column}_scores": parts}).drop(*hidden, "long_tail_keywords").withColumnRenamed("_long", "long_tail_keywords")
+    hidden = [c for c in own.columns if c not in (*df.columns, "_long")]
+    parts = F.when(ok, F.struct(F.col("_lexical").alias("lexical"), F.col("_semantic").alias("semantic"), over["score"].alias("overoptimization"), over["risk"].alias("overoptimization_risk"), over["applicable"].alias("overoptimization_applicable")))
+    level = F.when(reduction == 10, "strong").when(reduction == 5, "medium").otherwise("none")
+    signals = F.when(ok, F.struct(
+        F.struct(F.col("main_keyword"), F.col("_top").alias("top_chunks"), F.coalesce(F.get("_similar", F.lit(0)), F.lit(0.0)).alias("best_similarity"), semantic.alias("semantic_score"), F.col("_available").alias("available")).alias("semantic"),
+        F.struct(level.alias("level"), reduction.alias("penalty_reduction"), (reduction > 0).alias("compensated")).alias("compensation"),
+        over.alias("overoptimization"), lex["secondary"].alias("secondary_occurrences"), lex["long_tail"].alias("long_tail_occurrences"),
+    ))
+    return own.withColumns({column: result, f"{column}_scores": parts, f"{column}_signals": signals}).drop(*hidden, "long_tail_keywords").withColumnRenamed("_long", "long_tail_keywords")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import socket
+import ssl
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,19 +15,23 @@ from pyspark.sql import functions as F
 
 from vellum.functions import html, links, rules, text
 
-STATUS = "struct<url:string,code:int,failure:string>"
+#: method, URL, seconds -> status code
+Request = Callable[[str, str, float], int]
 
 
-def extract(df: DataFrame, default_website: str = "", content: str = "content", website: str = "organization_website") -> DataFrame:
-    """df -> also `links`, `raw_urls`, `markdown_links`, `attached_anchors`, from the content with escaped quotes undone."""
+def extract(df: DataFrame, default_website: str = "", content: str = "content", website: str = "organization_website", page: str | None = None) -> DataFrame:
+    """df -> also `links`, `raw_urls`, `markdown_links`, `attached_anchors`, from the content with escaped quotes undone.
+
+    `page` names a column that holds that content parsed already.
+    """
     payload = text.escaped_payload(F.coalesce(F.col(content), F.lit("")))
     domain = F.when(F.coalesce(F.trim(website), F.lit("")) == "", F.lit(default_website)).otherwise(F.col(website))
-    out = df.withColumn("_payload", payload).withColumn("_page", html.parse(F.col("_payload")))
+    out = df.withColumn("_payload", payload).withColumn("_page", F.col(page) if page else html.parse(F.col("_payload")))
     return out.withColumns({
         "links": links.links(F.col("_page"), domain),
-        "raw_urls": F.regexp_extract_all("_payload", F.lit(links.RAW_URL), 1),
-        "markdown_links": F.regexp_extract_all("_payload", F.lit(links.MARKDOWN_LINK), 0),
-        "attached_anchors": F.regexp_count("_payload", F.lit(links.ATTACHED_ANCHOR)),
+        "raw_urls": F.regexp_extract_all("_payload", F.lit(rules.RAW_URL), 1),
+        "markdown_links": F.regexp_extract_all("_payload", F.lit(rules.MARKDOWN_LINK), 0),
+        "attached_anchors": F.regexp_count("_payload", F.lit(rules.ATTACHED_ANCHOR)),
     }).drop("_payload", "_page")
 
 
@@ -41,19 +50,69 @@ def partitions(found: Column) -> Column:
     return F.struct(*(F.size(F.filter(found, f)).alias(f"{name}_count") for name, f in parts.items()))
 
 
-def fetch_statuses(df: DataFrame, fetch: Callable[[str], tuple[int | None, str | None]], tasks: int = 64) -> DataFrame:
+def normalized_methods(methods: object) -> list[str]:
+    """The HTTP methods to try in order; anything but a filled list of HEAD and GET is an error."""
+    if not isinstance(methods, (list, tuple)) or not methods:
+        raise ValueError("methods must be a list that isn't empty")
+    found = [str(m).upper().strip() for m in methods]
+    if wrong := [m for m in found if m not in rules.METHODS]:
+        raise ValueError(f"unsupported HTTP methods: {wrong}")
+    return found
+
+
+def http_request(method: str, url: str, timeout: float) -> int:
+    """Status code of a request that follows redirects; raises what the network raises."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, method=method), timeout=timeout) as answer:  # noqa: S310
+            return answer.status
+    except urllib.error.HTTPError as e:
+        return e.code
+    except urllib.error.URLError as e:
+        raise e.reason if isinstance(e.reason, Exception) else e from e
+
+
+def failure_name(e: Exception) -> str:
+    if isinstance(e, TimeoutError):
+        return "timeout"
+    if isinstance(e, ssl.SSLError):
+        return "ssl_error"
+    if isinstance(e, (ConnectionError, socket.gaierror)):
+        return "connection_error"
+    return f"request_error:{type(e).__name__}"
+
+
+def fetch_status(url: str, request: Request, methods: list[str], timeout: float) -> tuple[int | None, str | None]:
+    """The code of the first method that is answered, or else the name of the last failure."""
+    failure = None
+    for method in methods:
+        try:
+            return request(method, url, timeout), None
+        except Exception as e:  # noqa: BLE001 - whatever a request raises is its result
+            failure = failure_name(e)
+    return None, failure
+
+
+def fetch_statuses(
+    df: DataFrame,
+    request: Request = http_request,
+    methods: object = rules.METHODS,
+    timeout: float = rules.TIMEOUT_SECONDS,
+    concurrency: int = rules.MAX_CONCURRENCY,
+) -> DataFrame:
     """Status table (url, code, failure) of the distinct valid URLs of df (links): each is fetched once for the whole table.
 
-    fetch(url) returns a status code, or None and the name of the failure; network access is the caller's.
+    request(method, url, timeout) returns a status code or raises. Each task has up to `concurrency` requests under way.
     """
-    distinct = df.select(F.explode(urls(F.col("links"))).alias("url")).distinct().where(links.allowed_scheme(F.col("url")))
+    tried = normalized_methods(methods)
+    distinct = df.select(F.explode(urls(F.col("links"))).alias("url")).where(links.allowed_scheme(F.col("url"))).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fetch(u) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in found], pa.int32()), pa.array([f for _, f in found], pa.string())], ["url", "code", "failure"])
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                found = list(pool.map(lambda u: fetch_status(u, request, tried, timeout), batch.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in found], pa.int32()), pa.array([f for _, f in found], pa.string())], ["url", "code", "failure"])
 
-    return distinct.repartition(tasks, "url").mapInArrow(run, "url string, code int, failure string")
+    return distinct.mapInArrow(run, "url string, code int, failure string")
 
 
 def with_checks(df: DataFrame, key: str, statuses: DataFrame | None = None, enabled: bool = True) -> DataFrame:
@@ -78,7 +137,7 @@ def judge(df: DataFrame, column: str = "sources") -> DataFrame:
     away = F.filter(all_links, lambda x: x["is_external"] & (x["section"] == "complementary_reading"))
     required = F.coalesce(F.col("require_sources"), F.lit(False))
     sourced = (n["body_external_count"] > 0) | (n["complementary_count"] > 0)
-    kind, length = F.col("content_type"), F.col("expected_length")
+    kind, length = F.trim("content_type"), F.trim("expected_length")
     limit = lambda i: F.coalesce(*(F.when(length == k, F.lit(v[i]).cast("int")) for k, v in rules.REFERENCE_LIMITS.items()))
     some, most, least = n["external_count"] > 0, limit(0), limit(1)
     f = text.finding
@@ -116,8 +175,11 @@ def judge(df: DataFrame, column: str = "sources") -> DataFrame:
         )
 
     found = F.concat(whole, F.flatten(F.transform(external, per_link)), doubled, F.flatten(F.transform(checks, per_check)))
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    error = F.when(blank(kind), "missing_content_type").when(blank(length), "missing_expected_length").when(~length.isin(*rules.EXPECTED_LENGTHS), "unsupported_expected_length").when(blank(F.col("organization_website")), "missing_organization_website")
+    missing = lambda c: F.coalesce(c, F.lit("")) == ""
+    error = (
+        F.when(missing(kind), "missing_content_type").when(missing(length), "missing_expected_length").when(missing(F.trim("organization_website")), "missing_organization_website")
+        .when(~kind.isin(*rules.ALLOWED_TYPES, *rules.CAUTION_TYPES, *rules.FORBIDDEN_TYPES), "unsupported_content_type").when(~length.isin(*rules.REFERENCE_LIMITS), "unsupported_expected_length")
+    )
     ok, none = error.isNull(), F.size("_f") == 0
     major = F.exists("_f", lambda x: x["severity"] == "major")
     valid = F.array(f("sources.valid", "info", "Links and sources follow the rules."))

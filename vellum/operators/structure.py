@@ -25,33 +25,34 @@ def without_trailing(found: Column, titles: tuple[str, ...] = rules.TRAILING_TIT
     return F.when(last.isin(*(t.lower() for t in titles)), F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found)
 
 
-def judge(df: DataFrame, expected: str = "expected_outline_html", content: str = "content", column: str = "structure", enabled: dict[str, bool] | None = None) -> DataFrame:
+def judge(df: DataFrame, expected: str = "expected_outline_html", content: str = "content", column: str = "structure", enabled: dict[str, bool] | None = None, page: str | None = None) -> DataFrame:
     """df (expected_outline_html, content) -> also `structure`: status, score, findings, error.
 
     Any finding fails. An outline that is null or blank is an error. Rules set to False in `enabled` find nothing.
+    `page` names a column that holds the parsed content already.
     """
     on = lambda rule: F.lit((enabled or {}).get(rule, True))
-    parsed = df.withColumn("_e", html.parse(F.col(expected))).withColumn("_g", html.parse(F.col(content)))
+    parsed = df.withColumn("_e", html.parse(F.col(expected))).withColumn("_g", F.col(page) if page else html.parse(F.col(content)))
     parsed = parsed.withColumn("_eh", html.headings(F.col("_e"), rules.HEADING_TAGS)).withColumn("_gh", without_trailing(html.headings(F.col("_g"), rules.HEADING_TAGS)))
     field = lambda c, f: F.transform(c, lambda h: F.trim(h[f]) if f == "text" else h[f])
     e_text, g_text, e_level, g_level = (field(F.col(c), f) for f in ("text", "level") for c in ("_eh", "_gh"))
-    page = F.col("_g")
+    generated = F.col("_g")
     counts = {"expected_count": F.size("_eh"), "generated_count": F.size("_gh")}
-    tags = F.array_except(html.used_tags(page), F.array(*map(F.lit, rules.HEADING_TAGS + rules.BODY_TAGS)))
+    tags = F.array_except(html.used_tags(generated), F.array(*map(F.lit, rules.HEADING_TAGS + rules.BODY_TAGS)))
     # h1, script and span have rules of their own but are unauthorised as well.
-    leaked = leaked_comments(page["text"])
+    leaked = leaked_comments(generated["text"])
     checks = (
         ("heading_order", e_text != g_text, "The headings come in another order than in the outline.", {"expected": e_text, "generated": g_text}),
         ("heading_levels", e_level != g_level, "The heading levels differ from those of the outline.", {"expected": e_level, "generated": g_level}),
         ("heading_text", F.array_sort(e_text) != F.array_sort(g_text), "The heading texts differ from those of the outline.", {"expected": F.array_sort(e_text), "generated": F.array_sort(g_text)}),
         ("no_added_sections", F.size("_gh") > F.size("_eh"), "Sections were added to the outline.", counts),
         ("no_removed_sections", F.size("_gh") < F.size("_eh"), "Sections of the outline are missing.", counts),
-        ("no_h1_in_body", html.has(page, "h1"), "The body holds a heading of the first level.", {}),
+        ("no_h1_in_body", html.has(generated, "h1"), "The body holds a heading of the first level.", {}),
         ("no_internal_outline_comments_exposed", F.size(leaked) > 0, "Notes of the outline show in the text.", {"patterns": leaked}),
         ("allowed_tags_only", F.size(tags) > 0, "Tags are used that the rules don't allow.", {"tags": tags}),
-        ("no_scripts", html.has(page, "script"), "The content holds a script.", {}),
-        ("no_decorative_spans", html.has(page, "span"), "The content holds decorative spans.", {}),
-        ("no_inline_styles_except_tables", html.styled_outside_tables(page, rules.TABLE_TAGS), "Inline styles stand outside tables.", {}),
+        ("no_scripts", html.has(generated, "script"), "The content holds a script.", {}),
+        ("no_decorative_spans", html.has(generated, "span"), "The content holds decorative spans.", {}),
+        ("no_inline_styles_except_tables", html.styled_outside_tables(generated, rules.TABLE_TAGS), "Inline styles stand outside tables.", {}),
     )
     found = text.findings(*((c & on(rule), text.finding(f"structure.{rule}", SEVERITY[rule], message, **proof)) for rule, c, message, proof in checks))
     error = F.when(F.coalesce(F.trim(expected), F.lit("")) == "", "missing_expected_outline_html")

@@ -7,48 +7,38 @@ from pyspark.sql import functions as F
 
 from vellum.functions import rules, text
 
-# Rule, severity, the text it looks at, pattern, message.
-CHECKS = (
-    ("double_spaces", "minor", "decoded", r" {2,}", "Two or more spaces stand in a row."),
-    ("trailing_spaces", "minor", "lines", r"[ \t]+$", "Lines end in blanks."),
-    ("space_before_dot", "minor", "decoded", text.SPACE + r"+\.", "White space stands before a full stop."),
-    ("space_before_comma", "minor", "decoded", text.SPACE + r"+,", "White space stands before a comma."),
-    ("french_nbsp_before_double_punctuation", "major", "decoded", r"(?<!\x{00A0})[:;!?%]", "A no-break space is missing before double punctuation."),
-    ("multiple_punctuation", "minor", "decoded", r"[!?.,;:]{2,}", "Punctuation marks are repeated."),
-    ("attached_links", "minor", "raw", r"(?iU)[\wÀ-ÖØ-öø-ÿ0-9]<a\b", "A link is attached to the word before it."),
-    ("repeated_line_breaks", "minor", "raw", r"(?iU)(<br\s*/?>\s*){2,}", "Line breaks are repeated."),
-)
+CHECKS = rules.TYPOGRAPHY
 
 
-def count(content: Column, rule: str) -> Column:
-    """How often a rule finds its fault in a content."""
+def _counted(content: Column, decoded: Column, rule: str) -> Column:
     _, _, where, pattern, _ = next(c for c in CHECKS if c[0] == rule)
-    content = F.coalesce(content, F.lit(""))
     if where == "lines":
         return F.size(F.filter(text.lines(content), lambda x: x.rlike(pattern)))
-    return F.regexp_count(text.decoded_text(content) if where == "decoded" else content, F.lit(pattern))
+    return F.regexp_count(decoded if where == "decoded" else content, F.lit(pattern))
+
+
+def count(content: Column, rule: str) -> Column:
+    """How often a rule finds its fault in a content."""
+    return _counted(F.coalesce(content, F.lit("")), text.decoded_text(content), rule)
 
 
 def signals(content: Column) -> Column:
     """The texts and counts that the rules rest on."""
     content = F.coalesce(content, F.lit(""))
-    decoded = text.decoded_text(content)
+    bare, decoded, plain = text.without_tags(content), text.decoded_text(content), text.collapse(text.decoded_text(content))
     return F.struct(
-        decoded.alias("decoded_text"),
-        text.normalize(content).alias("normalized_text"),
-        F.regexp_replace(decoded, r"[\r\n]+", " ").alias("no_newlines"),
-        text.lines(content).alias("original_lines"),
-        text.lines(decoded).alias("decoded_lines"),
-        F.regexp_count(content, F.lit(r"(?iU)<br\s*/?>")).alias("br_count"),
-        F.regexp_count(content, F.lit(r"(?iU)<a\b")).alias("anchor_count"),
-    )
+        bare.alias("text_without_html"), decoded.alias("decoded_text"), F.regexp_replace(decoded, r"[\r\n]", " ").alias("decoded_text_no_newlines"), plain.alias("normalized_text"),
+        text.lines(content).alias("original_lines"), text.lines(decoded).alias("decoded_lines"), F.regexp_count(content, F.lit(r"(?iU)<br\s*/?>")).alias("br_tag_count"),
+        F.regexp_count(content, F.lit(r"(?iU)<a\b")).alias("anchor_tag_count"), (plain == "").alias("is_empty"),
+    )
 
 
 def judge(df: DataFrame, content: str = "content", locale: str = "locale", column: str = "typography") -> DataFrame:
     """df (content, locale) -> also `typography`: status, score, findings, error. A null content is empty."""
     code = F.col(locale)
     error = F.when(F.coalesce(F.trim(code), F.lit("")) == "", "missing_locale").when(~code.isin(*rules.TYPOGRAPHY_LOCALES), "unsupported_locale")
-    counted = df.withColumns({f"_n_{c[0]}": count(F.col(content), c[0]) for c in CHECKS})
+    # The decoded text is a column of its own, so that it is made once for all rules.
+    counted = df.withColumn("_decoded", text.decoded_text(F.col(content))).withColumns({f"_n_{c[0]}": _counted(F.coalesce(F.col(content), F.lit("")), F.col("_decoded"), c[0]) for c in CHECKS})
     found = text.findings(*((F.col(f"_n_{rule}") > 0, text.finding(f"typography.{rule}", severity, message, count=F.col(f"_n_{rule}"))) for rule, severity, _, _, message in CHECKS))
     majors, minors = (F.size(F.filter("_f", lambda f: f["severity"] == kind)) for kind in ("major", "minor"))
     valid = F.array(text.finding("typography.valid", "info", "No fault of spacing or punctuation was found."))
@@ -60,4 +50,4 @@ def judge(df: DataFrame, content: str = "content", locale: str = "locale", colum
         F.when(ok, F.when(none, valid).otherwise(F.col("_f"))).otherwise(F.array().cast(f"array<{text.FINDING}>")).alias("findings"),
         error.alias("error"),
     )
-    return counted.withColumn("_f", found).withColumn(column, result).drop("_f", *(f"_n_{c[0]}" for c in CHECKS))
+    return counted.withColumn("_f", found).withColumn(column, result).drop("_f", "_decoded", *(f"_n_{c[0]}" for c in CHECKS))

@@ -167,7 +167,7 @@ def q16_headings(spark: SparkSession, sf_dir: str, articles: Articles = corpus.a
 
 
 _SECTION_ROWS = """
-    SELECT content_id, 1 AS "at", h_a AS h2, h_b AS h3, concat_ws(' ', nullif(trim(concat(p_a, ' étude citée')), ''), nullif(trim(concat(p_b, dated)), '')) AS section FROM ({art})
+    SELECT content_id, 1 AS "at", h_a AS h2, h_b AS h3, concat_ws(' ', nullif(trim(concat(p_a, ' étude citée')), ''), nullif(h_b, ''), nullif(trim(concat(p_b, dated)), '')) AS section FROM ({art})
     UNION ALL SELECT content_id, 2, h_c, '', trim(concat(p_c, ' the')) FROM ({art})
     UNION ALL SELECT content_id, 3, 'Conclusion', '', p_d FROM ({art})
     UNION ALL SELECT content_id, 4, 'Lecture complémentaire', '', 'suite' FROM ({art}) WHERE content_id % 3 = 0
@@ -177,7 +177,7 @@ _SECTION_ROWS = """
 @_query(_SECTION_ROWS)
 def q17_sections(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     rows = articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
-    rows = rows.select("content_id", F.posexplode(seo.sections(F.col("page"))).alias("at", "s"))
+    rows = rows.select("content_id", F.posexplode("page.sections").alias("at", "s"))
     return rows.select("content_id", (F.col("at") + 1).alias("at"), "s.h2", _joined(F.col("s.h3_headings")).alias("h3"), F.col("s.text").alias("section"))
 
 
@@ -190,8 +190,7 @@ def q18_introduction(spark: SparkSession, sf_dir: str, articles: Articles = corp
 @_query(f"SELECT content_id, p_d AS conclusion FROM ({_ART})")
 def q19_conclusion(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     rows = articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
-    rows = rows.select("content_id", seo.sections(F.col("page")).alias("sections"))
-    return rows.select("content_id", html.conclusion(F.col("sections"), rules.COMPLEMENTARY_TITLES).alias("conclusion"))
+    return rows.select("content_id", html.conclusion(F.col("page.sections"), rules.COMPLEMENTARY_TITLES, folded=True).alias("conclusion"))
 
 
 @_query(f"""
@@ -211,7 +210,7 @@ def q21_cta_signals(spark: SparkSession, sf_dir: str, articles: Articles = corpu
     call = F.concat(F.lit("<p class='"), F.when(F.col("content_id") % 2 == 1, "lead cta").otherwise("ctas"), F.lit("'>go <strong>"), F.col("h_a"), F.lit("</strong></p>"))
     rows = articles(spark, sf_dir).select("content_id", html.parse(F.concat(F.col("content"), call)).alias("page"))
     rows = rows.select("content_id", html.cta_signals(F.col("page"), rules.COMPLEMENTARY_TITLES).alias("c"))
-    return rows.select("content_id", "c.cta_count", "c.strong_text", _joined(F.transform("c.complementary_indexes", lambda i: i.cast("string"))).alias("complementary"), F.col("c.top_level_tag_count").alias("top_level"))
+    return rows.select("content_id", "c.cta_count", F.coalesce(F.get("c.cta_blocks", F.lit(0))["strong_text"], F.lit("")).alias("strong_text"), _joined(F.transform("c.complementary_indexes", lambda i: i.cast("string"))).alias("complementary"), F.col("c.top_level_tag_count").alias("top_level"))
 
 
 # ---- links and sources ----
@@ -277,7 +276,7 @@ _IN = lambda codes: ", ".join(map(str, codes))
 
 @_query(f"""
     SELECT page_id, code, CASE WHEN code IN ({_IN(rules.STATUS_ALLOWED)}) THEN 'reachable' WHEN code IN ({_IN(rules.STATUS_FORBIDDEN)}) THEN 'unreachable' ELSE 'unknown' END AS network_status,
-           CASE WHEN code IN ({_IN(rules.STATUS_FORBIDDEN)}) THEN concat('http_status_', code) WHEN code NOT IN ({_IN(rules.STATUS_ALLOWED + rules.STATUS_UNKNOWN)}) THEN concat('unhandled_http_status_', code) END AS error
+           CASE WHEN code IN ({_IN(rules.STATUS_FORBIDDEN + rules.STATUS_UNKNOWN)}) THEN concat('http_status_', code) WHEN code NOT IN ({_IN(rules.STATUS_ALLOWED)}) THEN concat('unhandled_http_status_', code) END AS error
     FROM (SELECT page_id, ([{_IN(_CODES)}])[(page_id % {len(_CODES)} + 1)::INT]::INT AS code FROM pages)
 """)
 def q27_url_status_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,7 +345,7 @@ _MATCHED = "array_to_string(list_filter(['of', 'que'], lambda k: CASE k WHEN 'of
 
 @_query(f"""
     SELECT content_id, ("at" - 1)::INT AS "at", h2, {_MATCHED} AS matched, sum((n_of + n_que > 0)::INT) OVER (PARTITION BY content_id) = 1 AS concentrated
-    FROM (SELECT content_id, "at", h2, {_count_sql("concat_ws(' ', h2, section)", 'of')} AS n_of, {_count_sql("concat_ws(' ', h2, section)", 'que')} AS n_que FROM ({_SECTION_ROWS}) WHERE "at" < 4)
+    FROM (SELECT content_id, "at", h2, {_count_sql("section", 'of')} AS n_of, {_count_sql("section", 'que')} AS n_que FROM ({_SECTION_ROWS}) WHERE "at" < 4)
 """)
 def q32_section_distribution(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     rows = seo.lexical(_seo_rows(spark, sf_dir, articles)).select("content_id", "lexical_concentrated", F.posexplode("lexical_distribution").alias("at", "s"))

@@ -9,30 +9,40 @@ from pyspark.sql import functions as F
 
 from vellum.functions import html, rules, text
 from vellum.operators import length, seo, sources, structure, typography
+from vellum.plans import scratch
 
 CONTEXT = (
     "content_type string, expected_length string, locale string, organization_website string, funnel_stage string, main_keyword string, "
     "secondary_keywords array<string>, long_tail_keywords array<string>, expected_outline_html string, require_sources boolean, evergreen_required boolean"
 )
 RESULT = f"struct<status:string,score:int,findings:array<{text.FINDING}>,error:string>"
-
-
-def preprocess(df: DataFrame, content: str = "content", column: str = "signals") -> DataFrame:
-    """df -> also the signals that judges of a whole evaluation share."""
-    page, found = F.col("_page"), F.col("_sections")
-    out = df.withColumn("_page", html.parse(text.escaped_payload(F.coalesce(F.col(content), F.lit("")))))
-    out = out.withColumn("_sections", html.sections(page, rules.TEXT_BLOCKS))
-    body = page["text"]
+EXTRAS = "struct<subscores:string,semantic_signals:string,semantic_compensation:string,overoptimization_signals:string>"
+
+
+def preprocess(df: DataFrame, content: str = "content", column: str = "signals", internal_domain: str = "", page: str | None = None) -> DataFrame:
+    """df -> also the signals that judges of a whole evaluation share. `page` names a column that holds the parsed, unescaped content already."""
+    parsed = F.col("_parsed")
+    out = df.withColumn("_norm", text.escaped_payload(F.coalesce(F.col(content), F.lit(""))))
+    out = sources.extract(out.withColumn("_parsed", F.col(page) if page else html.parse(F.col("_norm"))).withColumn("_site", F.lit(internal_domain)), content=content, website="_site", page="_parsed")
+    body, found = parsed["text"], F.col("links")
+    part = lambda test: F.filter(found, test)
+    external, in_body = (lambda x: x["is_external"]), (lambda x: x["section"] == "body")
+    linked = F.struct(
+        found.alias("all"), part(external).alias("external"), part(lambda x: ~external(x)).alias("internal"), part(in_body).alias("body"), part(lambda x: ~in_body(x)).alias("complementary_reading"),
+        F.col("raw_urls"), F.col("markdown_links"), F.col("attached_anchors"), F.size(found).alias("links_count"), F.size(part(external)).alias("external_links_count"), F.size("raw_urls").alias("raw_urls_count"),
+        F.size("markdown_links").alias("markdown_links_count"), (F.size(found) > 0).alias("has_links"), (F.size(part(external)) > 0).alias("has_external_links"),
+    )
     signals = F.struct(
+        F.coalesce(F.col(content), F.lit("")).alias("original_content"), F.col("_norm").alias("normalized_content"),
         body.alias("text"), text.word_count(body).alias("word_count"), (body == "").alias("is_empty"),
-        html.texts(F.filter(html.named(page, ("p",)), lambda e: e["text"] != "")).alias("paragraphs"),
-        html.headings(page, ("h1", "h2", "h3", "h4")).alias("headings"), html.headings(page, ("h2", "h3")).alias("headings_h2_h3"),
-        html.introduction(page, page["root"], rules.TEXT_BLOCKS).alias("introduction"), html.conclusion(found, rules.GLOBAL_TRAILING_TITLES).alias("conclusion"),
-        found.alias("h2_sections"), html.cta_signals(page, rules.COMPLEMENTARY_TITLES).alias("cta"), html.used_tags(page).alias("used_tags"),
-        html.has(page, "h1").alias("has_h1"), html.has(page, "script").alias("has_script"), html.has(page, "span").alias("has_span"), html.has(page, "p").alias("has_intro_paragraph"),
-        html.styled_outside_tables(page, rules.TABLE_TAGS).alias("styled_outside_tables"),
+        html.texts(F.filter(html.named(parsed, ("p",)), lambda e: e["text"] != "")).alias("paragraphs"),
+        html.headings(parsed, ("h1", "h2", "h3", "h4")).alias("headings"), F.transform(html.headings(parsed, ("h2", "h3")), lambda h: h["text"]).alias("headings_h2_h3"),
+        html.introduction(parsed, parsed["root"], rules.TEXT_BLOCKS).alias("introduction"), html.conclusion(parsed["sections"], rules.GLOBAL_TRAILING_TITLES).alias("conclusion"),
+        F.transform(parsed["sections"], lambda s: s.dropFields("blocks")).alias("h2_sections"), linked.alias("links"), html.cta_signals(parsed, rules.COMPLEMENTARY_TITLES).alias("cta"), html.used_tags(parsed).alias("used_tags"),
+        html.has(parsed, "h1").alias("has_h1"), html.has(parsed, "script").alias("has_script"), html.has(parsed, "span").alias("has_span"), html.has(parsed, "p").alias("has_intro_paragraph"),
+        html.styled_outside_tables(parsed, rules.TABLE_TAGS).alias("styled_outside_tables"), typography.signals(F.col(content)).alias("typography"),
     )
-    return out.withColumn(column, signals).drop("_page", "_sections")
+    return out.withColumn(column, signals).drop("_parsed", "_norm", "_site", "links", "raw_urls", "markdown_links", "attached_anchors")
 
 
 def selected(enabled: Column) -> Column:
@@ -51,51 +61,72 @@ def blocking(judge: Column, result: Column) -> Column:
     return F.when(result["status"] == "fail", found).otherwise(F.array().cast(f"array<{text.FINDING}>"))
 
 
-def judges(encoder: seo.Encoder | None = None, statuses: DataFrame | None = None, default_website: str = "") -> dict[str, Callable[[DataFrame], DataFrame]]:
-    """The judges by name: each adds a column of its name to rows of evaluation_id, content and context."""
+def judges(encoder: seo.Encoder | None = None, statuses: DataFrame | None = None, default_website: str = "", key: str = "evaluation_id", page: str | None = None, raw_page: str | None = None) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The judges by name: each adds a column of its name to rows of a unique key, content and context.
+
+    `page` and `raw_page` name columns that hold the content, unescaped and as it is, parsed already.
+    """
 
     def counted(df: DataFrame) -> DataFrame:
-        page = html.parse(text.escaped_payload(F.coalesce("content", F.lit(""))))
-        return length.judge(df.withColumn("_page", page).withColumn("word_count", text.word_count(F.col("_page.text"))))
+        parsed = F.col(page) if page else html.parse(text.escaped_payload(F.coalesce("content", F.lit(""))))
+        return length.judge(df.withColumn("_parsed", parsed).withColumn("word_count", text.word_count(F.col("_parsed.text"))))
 
     def linked(df: DataFrame) -> DataFrame:
-        return sources.judge(sources.with_checks(sources.extract(df, default_website), "evaluation_id", statuses, enabled=statuses is not None))
+        return sources.judge(sources.with_checks(sources.extract(df, default_website, page=page), key, statuses, enabled=statuses is not None))
 
-    return {"length": counted, "typography": typography.judge, "structure": structure.judge, "seo": lambda df: seo.judge(df, encoder), "sources": linked}
+    return {"length": counted, "typography": typography.judge, "seo": lambda df: seo.judge(df, encoder, page=raw_page), "structure": lambda df: structure.judge(df, page=raw_page), "sources": linked}
 
 
 def evaluate(requests: DataFrame, encoder: seo.Encoder | None = None, statuses: DataFrame | None = None, default_website: str = "") -> DataFrame:
-    """requests (request_id, content, enabled_judges, context columns) -> evaluation_id, status, score, summary, results, errors, skipped.
+    """requests (request_id, content, enabled_judges, context columns, maybe profile) -> evaluation_id, status, score, summary, results, errors, metadata.
 
-    A report is always complete and has no score of its own. A context that a judge can't use becomes a technical error
-    of that judge, after the results of the others. Without request_id a report is named by a digest of its request, and
-    requests of equal name give one report. Each judge reads only the requests that ask for it; their results, a few
-    small rows for each request, meet in one shuffle.
+    One report for each row, complete and without a score of its own. A context that a judge can't use becomes a technical
+    error of that judge, after the results of the others. Without request_id a report is named by a digest of its request;
+    rows are told apart by a key of their own, whatever their names. Contents are parsed once and written with it to the
+    shared folder; each judge reads only the rows that ask for it, and their results, a few small rows for each request,
+    meet in one shuffle.
     """
     digest = F.concat(F.lit("evaluation-"), F.substring(F.sha2(F.to_json(F.struct(*(c for c in requests.columns if c != "request_id"))), 256), 1, 32))
-    named = requests.withColumn("evaluation_id", F.coalesce("request_id", digest))
+    profile = F.coalesce("profile", F.lit("default")) if "profile" in requests.columns else F.lit("default")
+    content = F.coalesce("content", F.lit(""))
+    named = requests.withColumns({"evaluation_id": F.coalesce("request_id", digest), "_profile": profile, "_row": F.monotonically_increasing_id()})
+    # Most contents have nothing escaped, so that one parse serves both forms.
+    named = named.withColumn("_raw_page", html.parse(content)).withColumn("_differs", text.escaped_payload(content) != content)
+    named = named.withColumn("_other", html.parse(F.when(F.col("_differs"), text.escaped_payload(content)).otherwise("")))
+    named = scratch.durable(named.withColumn("_norm_page", F.when(F.col("_differs"), F.col("_other")).otherwise(F.col("_raw_page"))).drop("_other", "_differs"), "requests")
     asked = selected(F.col("enabled_judges"))
-    rows = named.select("evaluation_id", F.lit(None).cast("int").alias("place"), F.lit(None).cast("string").alias("dimension"), F.lit(None).cast(RESULT).alias("result"), skipped(F.col("enabled_judges")).alias("skipped"))
-    for name, judge in judges(encoder, statuses, default_website).items():
+    meta = F.struct(F.col("evaluation_id"), F.col("_profile").alias("profile"), asked.alias("enabled_judges"), skipped(F.col("enabled_judges")).alias("skipped_judges"))
+    none = F.lit(None)
+    rows = named.select("_row", none.cast("int").alias("place"), none.cast("string").alias("dimension"), none.cast(RESULT).alias("result"), none.cast(EXTRAS).alias("extras"), meta.alias("meta"))
+    for name, judge in judges(encoder, statuses, default_website, "_row", "_norm_page", "_raw_page").items():
         own = judge(named.where(F.array_contains(asked, name)))
-        place = F.array_position(asked, name).cast("int")
-        rows = rows.unionByName(own.select("evaluation_id", place.alias("place"), F.lit(name).alias("dimension"), F.col(name).cast(RESULT).alias("result"), F.lit(None).cast("array<string>").alias("skipped")))
-    found = F.when(F.col("place").isNotNull(), F.struct("place", "dimension", "result"))
-    grouped = rows.groupBy("evaluation_id").agg(F.array_sort(F.collect_set(found)).alias("_all"), F.max("skipped").alias("skipped"))
+        extras = F.struct(F.lit(""), F.lit(""), F.lit(""), F.lit(""))
+        if name == "seo":
+            extras = F.struct(F.to_json("seo_scores"), F.to_json("seo_signals.semantic"), F.to_json("seo_signals.compensation"), F.to_json("seo_signals.overoptimization"))
+        own = own.select("_row", F.array_position(asked, name).cast("int").alias("place"), F.lit(name).alias("dimension"), F.col(name).cast(RESULT).alias("result"), extras.cast(EXTRAS).alias("extras"), none.cast(meta_type(named, meta)).alias("meta"))
+        rows = rows.unionByName(own)
+    found = F.when(F.col("place").isNotNull(), F.struct("place", "dimension", "result", "extras"))
+    grouped = rows.groupBy("_row").agg(F.array_sort(F.collect_list(found)).alias("_all"), F.first("meta", ignorenulls=True).alias("_meta"))
     shown = F.transform("_all", lambda x: F.struct(
-        x["dimension"].alias("dimension"), x["result"]["status"].alias("status"), x["result"]["score"].alias("score"), x["result"]["findings"].alias("findings"),
-        blocking(x["dimension"], x["result"]).alias("blocking"), x["result"]["error"].alias("error"),
+        x["dimension"].alias("dimension"), x["result"]["status"].alias("status"), x["result"]["score"].alias("score"),
+        *(F.coalesce(F.nullif(x["extras"][f], F.lit("")), F.lit("{}")).alias(f) for f in ("subscores", "semantic_signals", "semantic_compensation", "overoptimization_signals")),
+        x["result"]["findings"].alias("findings"), blocking(x["dimension"], x["result"]).alias("blocking"), x["result"]["error"].alias("error"),
     ))
     out = grouped.withColumn("_shown", shown)
     good, bad = F.filter("_shown", lambda r: r["error"].isNull()), F.filter("_shown", lambda r: r["error"].isNotNull())
-    n = F.size(good)
-    summary = F.when(F.size("_shown") == 0, "No judge was run.").when(F.size(bad) == 0, F.concat(F.lit("All judges completed: "), n, F.lit("."))).otherwise(F.concat(n, F.lit(" judges completed and "), F.size(bad), F.lit(" could not run.")))
+    failed, partly, done = rules.SUMMARIES
+    summary = F.when(F.size(bad) == 0, F.format_string(done, F.size(good))).when(F.size(good) == 0, failed).otherwise(partly)
     return out.select(
-        "evaluation_id", F.lit("completed").alias("status"), F.lit(None).cast("int").alias("score"), summary.alias("summary"),
-        F.concat(good, bad).alias("results"), F.transform(bad, lambda r: F.struct(r["dimension"].alias("dimension"), r["error"].alias("error"))).alias("errors"), "skipped",
+        "_meta.evaluation_id", F.lit("completed").alias("status"), F.lit(None).cast("int").alias("score"), summary.alias("summary"),
+        F.concat(good, bad).alias("results"), F.transform(bad, lambda r: F.struct(r["dimension"].alias("dimension"), r["error"].alias("error"))).alias("errors"),
+        F.col("_meta").dropFields("evaluation_id").alias("metadata"),
     )
 
 
+def meta_type(df: DataFrame, meta: Column) -> str:
+    return df.select(meta.alias("m")).schema["m"].dataType.simpleString()
+
+
 def report(evaluations: DataFrame) -> DataFrame:
     """Number of evaluations by judge and status, over all of them."""
     rows = evaluations.select(F.explode("results").alias("r"))
