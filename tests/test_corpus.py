@@ -68,7 +68,7 @@ def test_queries_see_whole_texts(spark, folder):
 def test_sections_links_and_dates_of_whole_texts(spark, folder):
     found = {(r.content_id, r["at"]): r for r in catalog.queries()["q17_sections_whole"](spark, folder).collect()}
     links = catalog.queries()["q22_links_whole"](spark, folder).collect()
-    dates = catalog.queries()["q38_temporal_refs"](spark, folder).collect()
+    dates = catalog.queries()["q38_temporal_refs_whole"](spark, folder).collect()
     for i, words in WORDS.items():
         _, sections, _ = parts(words)
         assert sum(k[0] == i for k in found) == len([s for s in sections if s[0]] or [0]) + 1 + (i % 3 == 0)

@@ -307,6 +307,16 @@ def q28_duplicate_links(spark: SparkSession, sf_dir: str, articles: Articles = c
     return rows.groupBy(F.col("x.href").alias("href")).agg(F.count("*").alias("n")).where("n > 1")
 
 
+@_query(f"SELECT content_id, content_id % 2 = 0 AS duplicated FROM ({_ART})")
+def q43_duplicate_links_in_text(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    """Articles of which every other one links its first source again."""
+    again = F.when(F.col("content_id") % 2 == 0, F.concat(F.lit('<p><a href="'), F.col("href_a"), F.lit('">encore</a></p>'))).otherwise("")
+    rows = sources.extract(articles(spark, sf_dir).select("content_id", F.concat("content", again).alias("content"), F.lit(WEBSITE).alias("organization_website")))
+    rows = rows.withColumns({"content_type": F.lit("articles"), "expected_length": F.lit("LONG"), "require_sources": F.lit(False)})
+    out = sources.judge(sources.with_checks(rows, "content_id"))
+    return out.select("content_id", F.array_contains("sources.findings.rule_id", "sources.no_duplicate_links").alias("duplicated"))
+
+
 # ---- keywords and meaning ----
 _KEYWORDS = ("the", "de la", "und", "in")
 
@@ -340,6 +350,12 @@ def q31_keyword_signals(spark: SparkSession, sf_dir: str, articles: Articles = c
     return rows.select("content_id", "lexical_body", "lexical_introduction", "lexical_headings", "lexical_conclusion", F.size("lexical_emphasis").alias("emphasis"))
 
 
+@_query(f"SELECT content_id, 'strong' AS tag, 'the' AS keyword, 'the' AS text FROM ({_ART})")
+def q33_keyword_emphasis(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = seo.lexical(_seo_rows(spark, sf_dir, articles)).select("content_id", F.explode("lexical_emphasis").alias("e"))
+    return rows.select("content_id", "e.tag", "e.keyword", "e.text")
+
+
 _MATCHED = "array_to_string(list_filter(['of', 'que'], lambda k: CASE k WHEN 'of' THEN n_of ELSE n_que END > 0), '|')"
 
 
@@ -412,10 +428,16 @@ def q37_seo_judge(spark: SparkSession, sf_dir: str, articles: Articles = corpus.
     return rows.select("content_id", "seo.status", "seo.score", "seo_scores.lexical", _joined(F.col("seo.findings.rule_id")).alias("rules"))
 
 
-@_query()
-def q38_temporal_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.whole_articles(spark, sf_dir).select("content_id", F.explode(evergreen.temporal_references(F.col("content"), F.lit("fr-FR"), F.array(F.lit("2019")))).alias("r"))
-    return rows.select("content_id", "r.type", "r.value", "r.in_source_context", "r.in_historical_context", "r.in_input")
+_READ = "concat_ws(' ', intro, h_a, p_a, 'étude citée', h_b, p_b || dated, h_c, p_c, 'the', 'Conclusion', p_d)"
+_DATES = [("full_date", rules.FULL_DATE), ("year", rules.YEAR), ("month_year", rf"(?i)\b(?:{'|'.join(rules.MONTHS['fr'])})\s+(?:19|20)\d{{2}}\b")]
+_DATES += [(kind, rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])({x})(?:$|[^\p{{L}}\p{{N}}_])".replace("'", "''")) for kind, by in rules.EXPRESSIONS.items() for x in by["fr"]]
+_FOUND = " UNION ALL ".join(f"SELECT content_id, '{kind}' AS type, unnest(regexp_extract_all(t, '{pattern}', {int('(' in pattern.replace('(?', ''))})) AS value FROM texts" for kind, pattern in _DATES)
+
+
+@_query(f"WITH texts AS (SELECT content_id, trim(regexp_replace({_READ}, '{_SPACES}+', ' ', 'g')) AS t FROM ({_ART})) SELECT content_id, type, value, lower(value) = '2019' AS in_input FROM ({_FOUND})")
+def q38_temporal_refs(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    rows = articles(spark, sf_dir).select("content_id", F.explode(evergreen.temporal_references(F.col("content"), F.lit("fr-FR"), F.array(F.lit("2019")))).alias("r"))
+    return rows.select("content_id", "r.type", "r.value", "r.in_input")
 
 
 @_query(f"""
@@ -465,7 +487,7 @@ def _whole(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFra
 # The queries whose SQL starts from the parts of shortened articles, over whole ones; without SQL.
 for _f in (
     q16_headings, q17_sections, q18_introduction, q19_conclusion, q20_structure_judge, q21_cta_signals, q22_links, q24_link_partitions, q25_raw_markdown_urls,
-    q28_duplicate_links, q29_sources_judge, q31_keyword_signals, q32_section_distribution, q36_overoptimisation, q37_seo_judge, q39_evergreen_judge,
+    q28_duplicate_links, q29_sources_judge, q31_keyword_signals, q32_section_distribution, q33_keyword_emphasis, q36_overoptimisation, q37_seo_judge, q38_temporal_refs, q39_evergreen_judge, q43_duplicate_links_in_text,
 ):
     _query()(_whole(_f))
 
