@@ -162,7 +162,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, block_rows: int = B
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
-    dealt = base.unionByName(asked).repartition(n_blocks, "block").sortWithinPartitions("block", "asks")
+    # More tasks than blocks, so that few blocks share one; tasks without a block cost next to nothing.
+    dealt = base.unionByName(asked).repartition(4 * n_blocks, "block").sortWithinPartitions("block", "asks")
     near = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
