@@ -35,7 +35,9 @@ def export(tmp_path):
     return path
 
 
-def test_requests_of_an_export(spark, export):
+@pytest.mark.parametrize("batch_chars", [4 << 20, 1])
+def test_requests_of_an_export(spark, export, batch_chars, monkeypatch):
+    monkeypatch.setattr(company_export, "BATCH_CHARS", batch_chars)
     documents = company_export.read_zip(spark, str(export.parent))
     assert documents.count() == 9
     found = {r.request_id: r for r in company_export.requests(documents, "https://default.example").collect()}
@@ -59,6 +61,11 @@ def test_text_files_and_keywords(spark, tmp_path):
     assert df.first().k == ["a", "b", "c"]
 
 
+def test_reports_are_written(spark, tmp_path):
+    text_files.write_reports(spark.createDataFrame([("a", 1)], "name string, n int"), str(tmp_path / "reports"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "reports")).select("name", "n").collect()] == [("a", 1)]
+
+
 def test_website(spark):
     df = spark.createDataFrame([(None,), (" ",), ("https://a.b/c?d#e",), ("a.b/c",)], "u string").select(company_export.website(F.col("u"), "D").alias("w"))
     assert [r.w for r in df.collect()] == ["D", "D", "https://a.b", "a.b/c"]

@@ -15,6 +15,8 @@ from vellum.functions import links
 
 #: Folders of an export.
 FOLDERS = ("organization", "topic", "content", "contentVersion", "plan", "persona", "theme")
+#: Characters of documents after which a batch of them leaves the reader.
+BATCH_CHARS = 4 << 20
 #: Judges that such a request asks for, in order.
 JUDGES = ("length", "typography", "seo", "structure", "sources")
 
@@ -26,6 +28,9 @@ def read_zip(spark: SparkSession, path: str, folders: tuple[str, ...] = FOLDERS)
     is no archive is an error.
     """
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["archive", "folder", "entry", "document"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -33,7 +38,7 @@ def read_zip(spark: SparkSession, path: str, folders: tuple[str, ...] = FOLDERS)
                     opened = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile as e:
                     raise ValueError(f"{archive} is not a ZIP archive") from e
-                rows = []
+                rows, size = [], 0
                 for i, name in enumerate(opened.namelist()):
                     folder = name.split("/", 1)[0]
                     if not name.endswith(".json") or folder not in folders:
@@ -44,8 +49,12 @@ def read_zip(spark: SparkSession, path: str, folders: tuple[str, ...] = FOLDERS)
                         continue
                     if isinstance(document, dict):
                         rows.append((archive, folder, i, json.dumps(document, ensure_ascii=False)))
+                        size += len(rows[-1][-1])
+                    if size >= BATCH_CHARS:
+                        yield batch_of(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["archive", "folder", "entry", "document"])
+                    yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, "archive string, folder string, entry long, document string")
