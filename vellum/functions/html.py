@@ -202,6 +202,10 @@ def parse(contents: pa.Array) -> pa.Array:
     return pa.array([tokenize(c or "") for c in contents.to_pylist()], _KIND)
 
 
+# Filters over its result, such as those that explode() implies, would else move below it and parse every document again.
+parse = parse.asNondeterministic()
+
+
 def named(page: Column, tags: tuple[str, ...]) -> Column:
     return F.filter(page["elements"], lambda e: e["tag"].isin(*tags))
 

@@ -1,7 +1,7 @@
 """Registered queries over the driver tables, each with DuckDB SQL for the same rows where SQL can express them.
 
 Queries on assembled articles (vellum.plans.corpus) take apart their HTML; the SQL beside them starts from the parts that
-the articles are made of. Those are shortened; each of these queries has a second one, `..._whole`, over the whole texts.
+the articles are made of. Each of these queries has a second one, `..._whole`, over articles with a section for each run of words.
 Arrays are joined to strings, so that either engine shows them alike.
 """
 
@@ -484,7 +484,7 @@ def _whole(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFra
     return query
 
 
-# The queries whose SQL starts from the parts of shortened articles, over whole ones; without SQL.
+# The queries whose SQL starts from the parts of articles, over articles of many sections; without SQL.
 for _f in (
     q16_headings, q17_sections, q18_introduction, q19_conclusion, q20_structure_judge, q21_cta_signals, q22_links, q24_link_partitions, q25_raw_markdown_urls,
     q28_duplicate_links, q29_sources_judge, q31_keyword_signals, q32_section_distribution, q33_keyword_emphasis, q36_overoptimisation, q37_seo_judge, q38_temporal_refs, q39_evergreen_judge, q43_duplicate_links_in_text,

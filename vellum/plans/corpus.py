@@ -1,7 +1,7 @@
 """Assembled articles: deterministic HTML built from documents, so that headings, sections, links and dates are there to judge.
 
-Two kinds: articles() cuts fixed parts from the first 113 words of a text by one SQL template for Spark and DuckDB (only word
-lists and slices differ), and leaves out null texts; whole_articles() holds every word of every text, for Spark only.
+Both kinds hold every word of every text, and a null text is an article without words. articles() has three headings, by one
+SQL template for Spark and DuckDB (only word lists and slices differ); whole_articles() has a section for each run of words, for Spark only.
 """
 
 from __future__ import annotations
@@ -13,17 +13,18 @@ _WORDS = {
     "spark": "filter(split(translate(text, '&<>' || chr(9) || chr(10) || chr(13), '      '), ' '), x -> x <> '')",
     "duckdb": "list_filter(string_split(translate(text, '&<>' || chr(9) || chr(10) || chr(13), '      '), ' '), lambda x: x <> '')",
 }
-# First word and number of words of each part.
-_PARTS = {"intro": (1, 20), "h_a": (21, 3), "p_a": (24, 30), "h_b": (54, 2), "p_b": (56, 20), "h_c": (76, 3), "p_c": (79, 20), "p_d": (99, 15)}
+# First and last word of each part; `tail` is the first of the last 15 words, or word 79 of a text with fewer than 93.
+_PARTS = {"intro": (1, 20), "h_a": (21, 23), "p_a": (24, 53), "h_b": (54, 55), "p_b": (56, 75), "h_c": (76, 78), "p_c": (79, "tail - 1"), "p_d": ("tail", "greatest(tail, n)")}
 
 
-def _slice(dialect: str, first: int, n: int) -> str:
-    return f"array_join(slice(w, {first}, {n}), ' ')" if dialect == "spark" else f"array_to_string(w[{first}:{first + n - 1}], ' ')"
+def _slice(dialect: str, first: int | str, last: int | str) -> str:
+    return f"array_join(slice(w, {first}, {last} - {first} + 1), ' ')" if dialect == "spark" else f"array_to_string(w[{first}:{last}], ' ')"
 
 
 def sql(dialect: str, documents: str = "documents") -> str:
     """A query for content_id, the parts, content, outline and contexts of all articles."""
     parts = ", ".join(f"{_slice(dialect, *at)} AS {name}" for name, at in _PARTS.items())
+    size, none = ("size", "CAST(array() AS array<string>)") if dialect == "spark" else ("len", "CAST([] AS VARCHAR[])")
     return f"""
     SELECT *,
       concat('<p>', intro, '</p><h2>', h_a, '</h2><p>', p_a, ' ', link_a, '</p><h3>', h_b, '</h3><p>', p_b, dated, '</p><h2>', h_c, '</h2><p>', p_c,
@@ -38,7 +39,9 @@ def sql(dialect: str, documents: str = "documents") -> str:
       FROM (SELECT doc_id AS content_id, lang, {parts}, 'the' AS keyword,
           concat('https://www.example.org/p/', CAST(doc_id AS string), CASE WHEN doc_id % 4 = 0 THEN '?utm_source=x' ELSE '' END) AS href_a,
           CASE WHEN doc_id % 5 = 0 THEN concat('https://autre.example/', CAST(doc_id % 7 AS string)) ELSE concat('/interne/', CAST(doc_id % 7 AS string)) END AS href_b
-        FROM (SELECT doc_id, lang, {_WORDS[dialect]} AS w FROM {documents} WHERE text IS NOT NULL) AS split_words) AS cut) AS linked
+        FROM (SELECT *, greatest(79, n - 14) AS tail
+          FROM (SELECT *, {size}(w) AS n
+            FROM (SELECT doc_id, lang, coalesce({_WORDS[dialect]}, {none}) AS w FROM {documents}) AS split_words) AS counted) AS ended) AS cut) AS linked
     """
 
 
