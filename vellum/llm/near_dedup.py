@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,14 +177,16 @@ def _confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int)
     dealt = partners.unionByName(hubs).join(texts, "doc_id").select("hub", "part", "doc_id", "text")
     shingler = Shingler(width)
 
-    def confirm(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingler.shingles(t) for t in frame.text]
-        is_hub = (frame.doc_id == frame.hub).tolist()
+    # Most groups are a few rows, for which Arrow tables cost less than pandas frames.
+    def confirm(rows: pa.Table) -> pa.Table:
+        sets = [shingler.shingles(t) for t in rows["text"].to_pylist()]
+        ids, hubs = rows["doc_id"].to_numpy(), rows["hub"].to_numpy()
+        is_hub = (ids == hubs).tolist()
         centres = [s for s, h in zip(sets, is_hub, strict=True) if h]
-        linked = [not h and any(_similar(s, c, percent) for c in centres) for s, h in zip(sets, is_hub, strict=True)]
-        return pd.DataFrame({"u": frame.doc_id[linked], "v": frame.hub[linked]})
+        linked = np.array([not h and any(_similar(s, c, percent) for c in centres) for s, h in zip(sets, is_hub, strict=True)], bool)
+        return pa.table({"u": ids[linked], "v": hubs[linked]})
 
-    return dealt.groupBy("hub", "part").applyInPandas(confirm, "u long, v long")
+    return dealt.groupBy("hub", "part").applyInArrow(confirm, "u long, v long")
 
 
 def _confirm_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -196,14 +197,14 @@ def _confirm_blocks(members: DataFrame, texts: DataFrame, width: int, percent: i
     dealt = placed.join(texts, "doc_id").select("doc_id", "text", "root", "block", F.explode(meets).alias("meet")).select("doc_id", "text", "block", "root", "meet.x", "meet.y")
     shingler = Shingler(width)
 
-    def confirm(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("doc_id", ignore_index=True)
-        found = links_within([shingler.shingles(t) for t in frame.text], frame.block.to_numpy(), percent)
-        ids = frame.doc_id.to_numpy()
+    def confirm(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        found = links_within([shingler.shingles(t) for t in rows["text"].to_pylist()], rows["block"].to_numpy(), percent)
+        ids = rows["doc_id"].to_numpy()
         linked = found != np.arange(len(found))
-        return pd.DataFrame({"u": ids[linked], "v": ids[found[linked]]})
+        return pa.table({"u": ids[linked], "v": ids[found[linked]]})
 
-    return dealt.groupBy("root", "x", "y").applyInPandas(confirm, "u long, v long")
+    return dealt.groupBy("root", "x", "y").applyInArrow(confirm, "u long, v long")
 
 
 def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
