@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import byte_bpe, chat, common, language, media, mixing, near_dedup, quality, topk, toxicity, warc
+from vellum.llm import byte_bpe, chat, common, language, media, merkle, mixing, near_dedup, quality, topk, toxicity, warc
 
 
 @common.small_batches
@@ -77,6 +77,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "n_passages")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = merkle.digest(*(lower if f == "text" else F.col(f) for f in merkle.FIELDS))
+    # Tampered rows: what is recomputed there is another leaf.
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.unhex(changed))
+    found = merkle.proofs(common.table(spark, sf_dir, "documents"), carry={"tampered": tampered})
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce(F.lower(F.hex("tampered")), "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_near_dedup": op2_near_dedup,
@@ -88,6 +98,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_topk_search": op9_topk_search,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
