@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import byte_bpe, chat, common, language, media, merkle, mixing, near_dedup, quality, topk, toxicity, warc
+from vellum.llm import byte_bpe, chat, common, language, media, merkle, mixing, near_dedup, packing, quality, topk, toxicity, warc, whitening
 
 
 @common.small_batches
@@ -87,6 +87,20 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    found = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    share = F.element_at(F.array(*(F.lit(float(e / model.trace)) for e in model.values)).cast("array<double>"), F.col("at") + 1)
+    return found.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
+@common.small_batches
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_near_dedup": op2_near_dedup,
@@ -99,6 +113,8 @@ QUERIES = {
     "op9_topk_search": op9_topk_search,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_whitening": op12_whitening,
+    "op13_packing": op13_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
