@@ -116,7 +116,51 @@ QUERIES = {
     "op12_whitening": op12_whitening,
     "op13_packing": op13_packing,
 }
+#: Levels that the SQL of op11 unrolls, enough for 16 to that power of rows in a source.
+_DEPTH = 6
+
+
+def _fields(text: str) -> str:
+    parts = (f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')" for x in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(parts)})"
+
+
+def _climbed(name: str, start: str) -> str:
+    """Relations {name}0 to {name}_DEPTH: the nodes of each level with the siblings on either side; a tree of one node stays as it is."""
+    run = "(PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN {})"
+    beside = ", ".join(f"CASE WHEN n = 1 THEN '' ELSE coalesce(string_agg(d, '') OVER {run.format(rows)}, '') END AS {side}" for rows, side in (("UNBOUNDED PRECEDING AND 1 PRECEDING", "l"), ("1 FOLLOWING AND UNBOUNDED FOLLOWING", "r")))
+    levels = [f"{name}0 AS (SELECT *, {beside} FROM ({start}))"]
+    for k in range(_DEPTH):
+        up = f"SELECT tree, pos // 16 AS pos, any_value((n + 15) // 16) AS n, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d FROM {name}{k} GROUP BY tree, pos // 16"
+        levels.append(f"{name}{k + 1} AS (SELECT *, {beside} FROM ({up}))")
+    return ", ".join(levels)
+
+
+def _folded(start: str, sides: list[str]) -> str:
+    """A row's digest folded level by level: x[1] is what has been folded, x[2] a level's siblings and whether it has any."""
+    steps = ", ".join(f"{{'d': '', 'l': {s}.l, 'r': {s}.r, 'n': {s}.n}}" for s in sides)
+    return f"list_reduce([{{'d': {start}, 'l': '', 'r': '', 'n': 1::BIGINT}}, {steps}], lambda a, b: {{'d': CASE WHEN b.n = 1 THEN a.d ELSE sha256(b.l || a.d || b.r) END, 'l': '', 'r': '', 'n': 1::BIGINT}}).d"
+
+
+def _merkle_sql() -> str:
+    sides = [f"a{k}" for k in range(_DEPTH)] + [f"b{k}" for k in range(_DEPTH)]
+    joins = "".join(f" JOIN s{k} a{k} ON a{k}.tree = p.tree AND a{k}.pos = p.pos // {16**k}" for k in range(_DEPTH)) + "".join(f" JOIN t{k} b{k} ON b{k}.pos = p.tree // {16**k}" for k in range(_DEPTH))
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"
+    proof = " || ".join(f"{s}.l || {s}.r" for s in sides)
+    return f"""
+        WITH p AS (
+          SELECT *, dense_rank() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+          FROM (SELECT doc_id, source, {_fields("text")} AS leaf, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN {_fields("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents)
+        ), {_climbed("s", "SELECT tree, pos, n, leaf AS d FROM p")},
+        {_climbed("t", f"SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, d FROM s{_DEPTH}")},
+        f AS (SELECT p.*, sha256({proof}) AS proof_sha256, {_folded("coalesce(p.other, p.leaf)", sides)} AS folded_root FROM p{joins})
+        SELECT f.doc_id, f.leaf, s{_DEPTH}.d AS subroot, t{_DEPTH}.d AS root, f.proof_sha256, f.folded_root, f.folded_root = t{_DEPTH}.d AS verified
+        FROM f JOIN s{_DEPTH} ON s{_DEPTH}.tree = f.tree CROSS JOIN t{_DEPTH}
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _merkle_sql(),
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
