@@ -291,7 +291,7 @@ def test_whole_evaluation(spark):
 
 def test_tokenizer_rules():
     tree = html.tokenize("<P Class='a  b'>one<p>two</i></p><br/>x<b>y<i>z</b>w&eacute;&#33;")
-    tags = [(e["tag"], e["parent"], e["text"]) for e in tree["elements"]]
+    tags = [(e["tag"], e["parent"], " ".join(tree["pieces"][e["first"] : e["end"]])) for e in tree["elements"]]
     assert tags == [("p", -1, "one two x y z wé!"), ("p", 0, "two"), ("br", 0, ""), ("b", 0, "y z"), ("i", 3, "z")]
     assert tree["elements"][0]["classes"] == "a b"
 
@@ -336,7 +336,7 @@ def test_sections_hold_their_h3_headings(spark):
 def test_conclusions_by_folded_title(spark):
     content = "<h2>One</h2><p>last</p><h2>LECTURE Complémentaire</h2><p>more</p>"
     page = spark.createDataFrame([(content.replace("é", "e\u0301"),)], "c string").select(html.parse(F.col("c")).alias("p"))
-    found = page.select(html.conclusion(F.col("p.sections"), rules.COMPLEMENTARY_TITLES, folded=True).alias("a"), html.conclusion(F.col("p.sections"), rules.COMPLEMENTARY_TITLES).alias("b")).first()
+    found = page.select(html.conclusion(html.sections(F.col("p")), rules.COMPLEMENTARY_TITLES, folded=True).alias("a"), html.conclusion(html.sections(F.col("p")), rules.COMPLEMENTARY_TITLES).alias("b")).first()
     assert (found.a, found.b) == ("last", "more")
 
 

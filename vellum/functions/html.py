@@ -1,10 +1,15 @@
-"""The one HTML boundary: a document becomes a flat array of its elements; all that follows are column expressions over it."""
+"""The one HTML boundary: a document becomes a span table, and all that follows are column expressions over it.
+
+Every text stands in it once, as an array of pieces. An element is a row of the table with the range of pieces below it, so
+that elements within elements share their texts; a judge cuts the slices that it reads. Time and memory of a parse grow with
+the document, however its tags are nested. A document that can't be parsed is a row with an error and no elements.
+"""
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -16,14 +21,13 @@ from vellum.functions import rules, text
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
-#: Containers whose text is that of the whole page or nearly so; it isn't repeated for them.
-_BULKY = frozenset(("html", "head", "body", "div", "section", "article", "main"))
+_RAW = frozenset(("script", "style"))
 _HEADS = frozenset(("h2", "h3"))
 _TAG = re.compile(r"<[^>]+>")
-
-
-def squeeze(found: str) -> str:
-    return " ".join(html.unescape(found).split())
+#: Words in a title for further reading at most.
+_TITLE_WORDS = max(len(t.split()) for t in rules.COMPLEMENTARY_TITLES)
+#: Characters that a document may give out as source of links and calls to action; nested ones repeat what they hold.
+MOST_SOURCE = 64 << 20
 
 
 class _Tree(HTMLParser):
@@ -33,22 +37,31 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.open: list[int] = []
+        self.names: Counter[str] = Counter()
+        #: Texts, stripped, and the ranges of them that elements hold.
         self.texts: list[str] = []
         self.spans: list[list[int]] = []
+        #: What was read, in order, for elements whose source is asked for: their source is a range of it.
+        self.source: list[str] = []
+        self.sources: list[list[int]] = []
         self.buffer: list[str] = []
         self.hidden = 0
 
     def settle(self) -> None:
-        text = "".join(self.buffer).strip()
+        data = "".join(self.buffer)
         self.buffer.clear()
-        if text and not self.hidden:
-            self.texts.append(text)
+        if data:
+            self.source.append(data if self.open and self.elements[self.open[-1]]["tag"] in _RAW else _escaped(data))
+        data = data.strip()
+        if data and not self.hidden:
+            self.texts.append(html.unescape(data))
 
     def handle_data(self, data: str) -> None:
         self.buffer.append(data)
 
     def handle_comment(self, data: str) -> None:
         self.settle()
+        self.source.append(f"<!--{data}-->")
 
     handle_decl = handle_pi = unknown_decl = handle_comment
 
@@ -57,14 +70,19 @@ class _Tree(HTMLParser):
         # Of attributes that repeat, the last counts.
         found = {k: v or "" for k, v in attrs}
         pos = len(self.elements)
+        classes = " ".join(found["class"].split()) if "class" in found else None
         self.elements.append({
             "pos": pos, "last": pos, "parent": self.open[-1] if self.open else -1, "tag": tag,
             "href": found.get("href"), "target": found.get("target"), "rel": " ".join(found["rel"].split()) if "rel" in found else None,
-            "classes": " ".join(found["class"].split()) if "class" in found else None, "styled": "style" in found, "text": None, "further": None,
+            "classes": classes, "styled": "style" in found, "first": 0, "end": 0, "further": None, "html": None,
         })
         self.spans.append([len(self.texts), len(self.texts)])
+        self.sources.append([len(self.source), len(self.source) + 1])
+        listed = {k: " ".join(v.split()) if k in ("class", "rel") else v for k, v in found.items()}
+        self.source.append("".join(("<", tag, *(f" {k}={_quoted(v)}" for k, v in listed.items()), "/>" if tag in _VOID else ">")))
         if tag not in _VOID:
             self.open.append(pos)
+            self.names[tag] += 1
             self.hidden += tag in _HIDDEN
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -74,7 +92,7 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.settle()
-        if any(self.elements[i]["tag"] == tag for i in self.open):
+        if self.names[tag]:
             while self.shut() != tag:
                 pass
 
@@ -83,6 +101,9 @@ class _Tree(HTMLParser):
         self.elements[i]["last"] = len(self.elements) - 1
         self.spans[i][1] = len(self.texts)
         tag = self.elements[i]["tag"]
+        self.source.append(f"</{tag}>")
+        self.sources[i][1] = len(self.source)
+        self.names[tag] -= 1
         self.hidden -= tag in _HIDDEN
         return tag
 
@@ -91,41 +112,65 @@ class _Tree(HTMLParser):
         self.settle()
         while self.open:
             self.shut()
+        #: Texts that have words, each a piece, and for each text the number of pieces before it.
+        self.pieces, self.before = [], [0]
+        self.at: list[int] = []
+        for i, t in enumerate(self.texts):
+            words = t.split()
+            if words:
+                self.pieces.append(" ".join(words))
+                self.at.append(i)
+            self.before.append(len(self.pieces))
+
+    def complementary(self, pos: int) -> bool:
+        """Whether an element's text is a title for further reading; only few pieces are looked at, however many it holds."""
+        a, b = (self.before[x] for x in self.spans[pos])
+        if not 0 < b - a <= _TITLE_WORDS or self.at[b - 1] - self.at[a] >= _TITLE_WORDS:
+            return False
+        return " ".join(self.texts[self.at[a] : self.at[b - 1] + 1]).strip().lower() in rules.COMPLEMENTARY_TITLES
 
     def plain(self, pos: int) -> str:
         """Text of an element, its strings stripped and joined."""
-        return html.unescape(" ".join(self.texts[slice(*self.spans[pos])]))
+        return " ".join(self.texts[slice(*self.spans[pos])])
 
     def finish(self) -> dict:
         self.end()
-        further = False
-        for e, (a, b) in zip(self.elements, self.spans, strict=True):
-            if e["tag"] not in _BULKY:
-                e["text"] = squeeze(" ".join(self.texts[a:b]))
+        further, given = False, 0
+        for e, (a, b), (c, d) in zip(self.elements, self.spans, self.sources, strict=True):
+            e["first"], e["end"] = self.before[a], self.before[b]
             if e["tag"] in _HEADS:
-                further = self.plain(e["pos"]).strip().lower() in rules.COMPLEMENTARY_TITLES
+                further = self.complementary(e["pos"])
             elif e["tag"] == "a":
                 e["further"] = further
+            if e["tag"] == "a" or (e["tag"] == "p" and "cta" in (e["classes"] or "").split()):
+                e["html"] = "".join(self.source[c:d])
+                given += len(e["html"])
+                if given > MOST_SOURCE:
+                    raise OverflowError("links or calls to action within one another")
         root = next((e["pos"] for e in self.elements if e["tag"] == "body"), -1)
-        return {"text": squeeze(" ".join(self.texts)), "root": root, "elements": self.elements, "sections": self.sections()}
+        return {"error": None, "pieces": self.pieces, "root": root, "elements": self.elements, "sections": self.sections()}
 
     def sections(self) -> list[dict]:
-        """What follows each h2 among its siblings, up to the next h2 among them: h3 headings, text with and without them."""
-        current: dict[int, tuple] = {}
+        """What follows each h2 among its siblings, up to the next h2 among them: places of h3 headings and of blocks that have a text."""
+        current: dict[int, list[int]] = {}
         found = []
         for e in self.elements:
             if e["tag"] == "h2":
-                current[e["parent"]] = own = (e["text"], [], [], [])
-                found.append(own)
-            elif e["parent"] in current and e["text"]:
-                _, heads, whole, blocks = current[e["parent"]]
-                if e["tag"] == "h3":
-                    heads.append(e["text"])
-                    whole.append(e["text"])
-                elif e["tag"] in rules.TEXT_BLOCKS:
-                    whole.append(e["text"])
-                    blocks.append(e["text"])
-        return [{"h2": h2, "h3_headings": heads, "text": " ".join(whole), "blocks": " ".join(blocks)} for h2, heads, whole, blocks in found]
+                current[e["parent"]] = members = []
+                found.append({"pos": e["pos"], "members": members})
+            elif e["parent"] in current and e["end"] > e["first"] and (e["tag"] == "h3" or e["tag"] in rules.TEXT_BLOCKS):
+                current[e["parent"]].append(e["pos"])
+        return found
+
+
+def _escaped(data: str) -> str:
+    return data.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def _quoted(value: str) -> str:
+    """An attribute's value in double quotes; in single ones if only it holds double ones."""
+    value = _escaped(value)
+    return f"'{value}'" if '"' in value and "'" not in value else '"' + value.replace('"', "&quot;") + '"'
 
 
 class _Reading(_Tree):
@@ -133,29 +178,31 @@ class _Reading(_Tree):
 
     def __init__(self):
         super().__init__()
-        self.pieces: list[str] = []
+        self.bare: list[str] = []
         self.places: list[list[int]] = []
 
     def settle(self) -> None:
         data = "".join(self.buffer)
         if data:
-            raw = self.open and self.elements[self.open[-1]]["tag"] in ("script", "style")
-            self.pieces.append(html.unescape(_TAG.sub(" ", data)) if raw else data)
+            raw = self.open and self.elements[self.open[-1]]["tag"] in _RAW
+            self.bare.append(html.unescape(_TAG.sub(" ", data)) if raw else data)
         super().settle()
 
     def handle_comment(self, data: str) -> None:
-        self.settle()
-        self.pieces.append(_TAG.sub(" ", f"<!--{data}-->"))
+        super().handle_comment(data)
+        self.bare.append(_TAG.sub(" ", f"<!--{data}-->"))
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         super().handle_starttag(tag, attrs)
-        self.places.append([len(self.pieces), len(self.pieces) + 1])
-        self.pieces.append(" ")
+        self.places.append([len(self.bare), len(self.bare) + 1])
+        self.bare.append(" ")
 
     def shut(self) -> str:
         i = self.open[-1]
-        self.pieces.append(" ")
-        self.places[i][1] = len(self.pieces)
+        self.bare.append(" ")
+        self.places[i][1] = len(self.bare)
         return super().shut()
 
     def lasting(self) -> str:
@@ -163,42 +210,50 @@ class _Reading(_Tree):
         below = defaultdict(list)
         for e in self.elements:
             below[e["parent"]].append(e)
-        gone = bytearray(len(self.pieces))
+        gone = bytearray(len(self.bare))
         for siblings in below.values():
             inside = False
             for e in siblings:
                 if e["tag"] in _HEADS:
-                    inside = self.plain(e["pos"]).lower() in rules.COMPLEMENTARY_TITLES
+                    inside = self.complementary(e["pos"])
                 if inside:
                     a, b = self.places[e["pos"]]
                     gone[a:b] = b"\1" * (b - a)
-        return " ".join("".join(p for p, out in zip(self.pieces, gone, strict=True) if not out).split())
+        return " ".join("".join(p for p, out in zip(self.bare, gone, strict=True) if not out).split())
 
 
 def reading(content: str) -> tuple[str, list[str]]:
-    """The text without sections for further reading, and the texts of all links."""
+    """The text without sections for further reading, and the texts of all links; raises what the parser raises."""
     tree = _Reading()
     tree.feed(content)
     tree.end()
     return tree.lasting(), [tree.plain(e["pos"]) for e in tree.elements if e["tag"] == "a"]
 
 
+def failure(e: Exception) -> str:
+    return f"html_parse_error:{type(e).__name__}"
+
+
 def tokenize(content: str) -> dict:
+    """The span table of a document; one that the parser rejects is a table of nothing, with an error."""
     tree = _Tree()
-    tree.feed(content)
-    return tree.finish()
+    try:
+        tree.feed(content)
+        return tree.finish()
+    except Exception as e:  # noqa: BLE001 - whatever a document makes the parser raise concerns its row alone
+        return {"error": failure(e), "pieces": [], "root": -1, "elements": [], "sections": []}
 
 
 _KIND = pa.struct([
-    ("text", pa.string()), ("root", pa.int32()),
-    ("elements", pa.list_(pa.struct([("pos", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("href", pa.string()), ("target", pa.string()), ("rel", pa.string()), ("classes", pa.string()), ("styled", pa.bool_()), ("text", pa.string()), ("further", pa.bool_())]))),
-    ("sections", pa.list_(pa.struct([("h2", pa.string()), ("h3_headings", pa.list_(pa.string())), ("text", pa.string()), ("blocks", pa.string())]))),
+    ("error", pa.string()), ("pieces", pa.list_(pa.string())), ("root", pa.int32()),
+    ("elements", pa.list_(pa.struct([("pos", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()), ("href", pa.string()), ("target", pa.string()), ("rel", pa.string()), ("classes", pa.string()), ("styled", pa.bool_()), ("first", pa.int32()), ("end", pa.int32()), ("further", pa.bool_()), ("html", pa.string())]))),
+    ("sections", pa.list_(pa.struct([("pos", pa.int32()), ("members", pa.list_(pa.int32()))]))),
 ])
 
 
 @F.arrow_udf(from_arrow_type(_KIND))
 def parse(contents: pa.Array) -> pa.Array:
-    """content -> all its text, position of the body (or -1), the elements in document order, and the sections of its h2 headings."""
+    """content -> its span table: error, pieces of text, place of the body (or -1), elements in document order, sections of its h2 headings."""
     return pa.array([tokenize(c or "") for c in contents.to_pylist()], _KIND)
 
 
@@ -206,6 +261,31 @@ def parse(contents: pa.Array) -> pa.Array:
 parse = parse.asNondeterministic()
 
 
+def body(page: Column) -> Column:
+    """All text."""
+    return F.array_join(page["pieces"], " ")
+
+
+def text_of(page: Column, element: Column) -> Column:
+    """The text below an element."""
+    return F.array_join(F.slice(page["pieces"], element["first"] + 1, element["end"] - element["first"]), " ")
+
+
+def _filled(element: Column) -> Column:
+    return element["end"] > element["first"]
+
+
+def sections(page: Column) -> Column:
+    """Structs of h2, h3_headings, text (of h3 headings and blocks) and blocks of the sections."""
+    at = lambda pos: F.get(page["elements"], pos)
+    cut = lambda members: F.transform(members, lambda m: text_of(page, at(m)))
+    heads = lambda s: F.filter(s["members"], lambda m: at(m)["tag"] == "h3")
+    blocks = lambda s: F.filter(s["members"], lambda m: at(m)["tag"] != "h3")
+    return F.transform(page["sections"], lambda s: F.struct(
+        text_of(page, at(s["pos"])).alias("h2"), cut(heads(s)).alias("h3_headings"), F.array_join(cut(s["members"]), " ").alias("text"), F.array_join(cut(blocks(s)), " ").alias("blocks"),
+    ))
+
+
 def named(page: Column, tags: tuple[str, ...]) -> Column:
     return F.filter(page["elements"], lambda e: e["tag"].isin(*tags))
 
@@ -214,26 +294,23 @@ def children(page: Column, parent: Column) -> Column:
     return F.filter(page["elements"], lambda e: e["parent"] == parent)
 
 
-def texts(elements: Column) -> Column:
-    return F.transform(elements, lambda e: e["text"])
+def texts(page: Column, elements: Column) -> Column:
+    return F.transform(elements, lambda e: text_of(page, e))
 
 
 def headings(page: Column, tags: tuple[str, ...], empty: bool = True) -> Column:
     """Structs of index (from 0), level and text of the headings in order; empty ones only if asked for."""
     found = named(page, tags)
-    found = found if empty else F.filter(found, lambda e: e["text"] != "")
-    return F.transform(found, lambda e, i: F.struct(i.alias("index"), e["tag"].alias("level"), e["text"].alias("text")))
-
-
-def _blocks(elements: Column, blocks: tuple[str, ...]) -> Column:
-    return F.array_join(texts(F.filter(elements, lambda e: e["tag"].isin(*blocks) & (e["text"] != ""))), " ")
+    found = found if empty else F.filter(found, _filled)
+    return F.transform(found, lambda e, i: F.struct(i.alias("index"), e["tag"].alias("level"), text_of(page, e).alias("text")))
 
 
 def introduction(page: Column, parent: Column, blocks: tuple[str, ...]) -> Column:
     """Text of the blocks right below the parent that come before the first h2 there."""
     below = children(page, parent)
     first = F.array_min(F.transform(F.filter(below, lambda e: e["tag"] == "h2"), lambda e: e["pos"]))
-    return _blocks(F.filter(below, lambda e: first.isNull() | (e["pos"] < first)), blocks)
+    kept = F.filter(below, lambda e: (first.isNull() | (e["pos"] < first)) & e["tag"].isin(*blocks) & _filled(e))
+    return F.array_join(texts(page, kept), " ")
 
 
 def conclusion(found: Column, excluded: tuple[str, ...], folded: bool = False) -> Column:
@@ -266,15 +343,15 @@ def cta_signals(page: Column, complementary: tuple[str, ...]) -> Column:
     def block(x: Column) -> Column:
         first = F.get(strong(x["e"]), F.lit(0))
         return F.struct(
-            x["index"].alias("index"), x["e"]["text"].alias("text"), x["e"]["tag"].alias("tag_name"), classes(x["e"]).alias("classes"),
-            first.isNotNull().alias("has_strong"), first["text"].alias("strong_text"),
+            x["index"].alias("index"), x["e"]["html"].alias("html"), text_of(page, x["e"]).alias("text"), x["e"]["tag"].alias("tag_name"), classes(x["e"]).alias("classes"),
+            first.isNotNull().alias("has_strong"), F.when(first.isNotNull(), text_of(page, first)).alias("strong_text"),
         )
 
-    at = lambda *titles: F.transform(F.filter(below, lambda x: x["e"]["tag"].isin("h2", "h3", "h4") & F.lower(x["e"]["text"]).isin(*titles)), lambda x: x["index"])
+    at = lambda *titles: F.transform(F.filter(below, lambda x: x["e"]["tag"].isin("h2", "h3", "h4") & F.lower(text_of(page, x["e"])).isin(*titles)), lambda x: x["index"])
     further, key = at(*complementary), at("corrigé du quiz")
     return F.struct(
         F.size(below).alias("top_level_tag_count"), F.transform(cta, block).alias("cta_blocks"), F.size(cta).alias("cta_count"),
-        F.transform(cta, lambda x: x["e"]["text"]).alias("cta_texts"), (F.size(cta) > 0).alias("has_cta"),
+        F.transform(cta, lambda x: text_of(page, x["e"])).alias("cta_texts"), (F.size(cta) > 0).alias("has_cta"),
         (F.size(further) > 0).alias("has_complementary_reading"), further.alias("complementary_indexes"),
         (F.size(key) > 0).alias("has_quiz_correction"), key.alias("quiz_key_indexes"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions import rules
+from vellum.functions import html, rules
 
 def netloc(url: Column) -> Column:
     """Host with port and user as they stand, empty if there is none."""
@@ -27,8 +27,8 @@ def links(page: Column, internal_domain: Column) -> Column:
     def link(a: Column, i: Column) -> Column:
         href = F.trim(F.coalesce(a["href"], F.lit("")))
         return F.struct(
-            (i + 1).alias("index"), href.alias("href"), F.coalesce(a["text"], F.lit("")).alias("anchor_text"), F.coalesce(a["target"], F.lit("")).alias("target"), F.coalesce(a["rel"], F.lit("")).alias("rel"),
-            ((netloc(href) != "") & (netloc(href) != netloc(internal_domain))).alias("is_external"), F.when(a["further"], "complementary_reading").otherwise("body").alias("section"),
+            (i + 1).alias("index"), href.alias("href"), html.text_of(page, a).alias("anchor_text"), F.coalesce(a["target"], F.lit("")).alias("target"), F.coalesce(a["rel"], F.lit("")).alias("rel"),
+            ((netloc(href) != "") & (netloc(href) != netloc(internal_domain))).alias("is_external"), F.when(a["further"], "complementary_reading").otherwise("body").alias("section"), a["html"].alias("html"),
         )
 
     return F.transform(F.filter(page["elements"], lambda e: e["tag"] == "a"), link)

@@ -28,11 +28,15 @@ def temporal_references(contents: pa.Array, locales: pa.Array, allowed: pa.Array
     """Dates, years, months and time expressions of a content (HTML) in that order, with places, contexts and what excuses them.
 
     Arguments: content, locale, allowed values. Sections for further reading are left out, but the links in them count as
-    sources. Text of scripts stays, as only tags are removed.
+    sources. Text of scripts stays, as only tags are removed. Null for a content that can't be parsed.
     """
     out = []
     for content, locale, given in zip(*(x.to_pylist() for x in (contents, locales, allowed)), strict=True):
-        t, links = html.reading(content or "")
+        try:
+            t, links = html.reading(content or "")
+        except Exception:  # noqa: BLE001 - whatever a document makes the parser raise concerns its row alone
+            out.append(None)
+            continue
         links = [x.lower() for x in links]
         lang, known = "en" if (locale or "").lower().startswith("en") else "fr", {x.lower() for x in given or () if x}
         found = []

@@ -32,7 +32,8 @@ def resolution_error(content_type: Column, expected_length: Column, table: Range
 def judge(df: DataFrame, tolerance_pct: float = rules.LENGTH_TOLERANCE_PCT, column: str = "length", ranges_by_type: Ranges = rules.LENGTH_RANGES) -> DataFrame:
     """df (word_count, content_type, expected_length) -> also `length`: status, score, findings, error; and `length_rule`, the range applied.
 
-    Bounds are inclusive after the tolerance. Rows whose context has no rule carry an error instead of a result.
+    Bounds are inclusive after the tolerance. Rows whose context has no rule, and those with a parse_error if there is such a
+    column, carry an error instead of a result.
     """
     table = F.broadcast(ranges(df.sparkSession, ranges_by_type).withColumnsRenamed({"content_type": "_type", "expected_length": "_length"}))
     joined = df.join(table, (df.content_type == table._type) & (df.expected_length == table._length), "left").drop("_type", "_length")
@@ -47,6 +48,8 @@ def judge(df: DataFrame, tolerance_pct: float = rules.LENGTH_TOLERANCE_PCT, colu
         .otherwise(text.finding("length.valid", "info", "The number of words lies in the tolerated range.", **proof))
     )
     error = resolution_error(F.col("content_type"), F.col("expected_length"), ranges_by_type)
+    if "parse_error" in df.columns:
+        error = F.coalesce(error, F.col("parse_error"))
     ok = error.isNull()
     bad = short | long
     result = F.struct(

@@ -61,14 +61,14 @@ def lexical(df: DataFrame, content: str = "content", page: str | None = None) ->
     key = F.col("_key")
     # Columns one upon the other, so that each fold and each pattern is computed once for a row.
     df = df.withColumn("_page", F.col(page) if page else html.parse(F.col(content)))
-    df = df.withColumns({"_sections": F.col("_page.sections"), "_body": F.col("_page.text"), "_intro": html.introduction(F.col("_page"), F.lit(-1), rules.TEXT_BLOCKS), "lexical_keyword": text.normalize(F.col("main_keyword"))})
+    df = df.withColumns({"_sections": html.sections(F.col("_page")), "_body": html.body(F.col("_page")), "_intro": html.introduction(F.col("_page"), F.lit(-1), rules.TEXT_BLOCKS), "lexical_keyword": text.normalize(F.col("main_keyword"))})
     df = df.withColumn("_key", text.fold_plain(F.col("lexical_keyword")))
     df = df.withColumns({
         "_end": html.conclusion(F.col("_sections"), rules.COMPLEMENTARY_TITLES, folded=True), "_body_folded": text.fold_plain(F.col("_body")), "_intro_folded": text.fold_plain(F.col("_intro")),
         "_heads": F.transform(html.headings(F.col("_page"), ("h2", "h3"), empty=False), lambda h: text.fold_plain(h["text"])),
         "_folded_sections": F.transform("_sections", lambda s: F.struct(s["h2"].alias("h2"), utility(s["h2"]).alias("utility"), text.fold_plain(s["text"]).alias("folded"))),
         "_keywords": F.transform(F.array_distinct(F.concat(given("secondary_keywords"), given("long_tail_keywords"))), lambda k: F.struct(k.alias("keyword"), text.fold_plain(k).alias("folded"))),
-        "_marked": F.transform(F.flatten(F.array(*(html.named(F.col("_page"), (t,)) for t in rules.EMPHASIS_TAGS))), lambda e: F.struct(e["tag"].alias("tag"), e["text"].alias("text"), text.fold_plain(e["text"]).alias("folded"))),
+        "_marked": F.transform(F.flatten(F.array(*(html.named(F.col("_page"), (t,)) for t in rules.EMPHASIS_TAGS))), lambda e: F.struct(e["tag"].alias("tag"), html.text_of(F.col("_page"), e).alias("text"), text.fold_plain(html.text_of(F.col("_page"), e)).alias("folded"))),
     })
     spread = F.transform(
         F.filter("_folded_sections", lambda s: ~s["utility"]),
@@ -86,7 +86,7 @@ def lexical(df: DataFrame, content: str = "content", page: str | None = None) ->
         "headings": F.aggregate(F.transform("_heads", lambda h: text.phrase_count(h, key)), F.lit(0), lambda s, n: s + n), "conclusion": text.phrase_count(text.fold_plain(F.col("_end")), key),
         "minor": F.col("_counted"), "secondary": of("secondary_keywords"), "long_tail": of("long_tail_keywords"),
         "distribution": F.col("_spread"), "concentrated": (matched == 1) & (F.size("_spread") > 1), "emphasis": emphasised,
-        "introduction_text": F.col("_intro"), "sections": F.col("_sections"), "body_text": F.col("_body"),
+        "parse_error": F.col("_page.error"), "introduction_text": F.col("_intro"), "sections": F.col("_sections"), "body_text": F.col("_body"),
     }
     hidden = ("_page", "_sections", "_body", "_intro", "_heads", "_end", "_key", "_keywords", "_marked", "_spread", "_counted", "_body_folded", "_intro_folded", "_folded_sections")
     return out.withColumns({f"lexical_{k}": v for k, v in found.items()}).drop(*hidden)
@@ -242,7 +242,7 @@ def judge(
     with_over = F.bround(0.55 * F.col("_lexical") + 0.30 * F.col("_semantic") + 0.15 * over["score"])
     score = F.when(over["risk"] == "not_applicable", F.bround(0.65 * F.col("_lexical") + 0.35 * F.col("_semantic"))).otherwise(with_over).cast("int")
     own = own.withColumn("_score", score)
-    error = resolution_error()
+    error = F.coalesce(resolution_error(), lex["parse_error"])
     ok = error.isNull()
     status = F.when(n == 0, "fail").when((F.col("_score") >= 85) & (F.size("_judged") == 0), "pass").when(F.col("_score") >= 60, "warn").otherwise("fail")
     result = F.struct(

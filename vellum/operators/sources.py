@@ -20,7 +20,7 @@ Request = Callable[[str, str, float], int]
 
 
 def extract(df: DataFrame, default_website: str = "", content: str = "content", website: str = "organization_website", page: str | None = None) -> DataFrame:
-    """df -> also `links`, `raw_urls`, `markdown_links`, `attached_anchors`, from the content with escaped quotes undone.
+    """df -> also `links`, `raw_urls`, `markdown_links`, `attached_anchors`, from the content with escaped quotes undone; and `parse_error`.
 
     `page` names a column that holds that content parsed already.
     """
@@ -32,6 +32,7 @@ def extract(df: DataFrame, default_website: str = "", content: str = "content",
         "raw_urls": F.regexp_extract_all("_payload", F.lit(rules.RAW_URL), 1),
         "markdown_links": F.regexp_extract_all("_payload", F.lit(rules.MARKDOWN_LINK), 0),
         "attached_anchors": F.regexp_count("_payload", F.lit(rules.ATTACHED_ANCHOR)),
+        "parse_error": F.col("_page.error"),
     }).drop("_payload", "_page")
 
 
@@ -130,6 +131,8 @@ def with_checks(df: DataFrame, key: str, statuses: DataFrame | None = None, enab
 def judge(df: DataFrame, column: str = "sources") -> DataFrame:
     """df (links, raw_urls, markdown_links, attached_anchors, url_checks, content_type, expected_length, require_sources,
     organization_website) -> also `sources`: status, score, findings, error.
+
+    Rows with a parse_error, if there is such a column, carry it as their error unless their context has one.
     """
     all_links, checks = F.col("links"), F.col("url_checks")
     n = partitions(all_links)
@@ -180,6 +183,8 @@ def judge(df: DataFrame, column: str = "sources") -> DataFrame:
         F.when(missing(kind), "missing_content_type").when(missing(length), "missing_expected_length").when(missing(F.trim("organization_website")), "missing_organization_website")
         .when(~kind.isin(*rules.ALLOWED_TYPES, *rules.CAUTION_TYPES, *rules.FORBIDDEN_TYPES), "unsupported_content_type").when(~length.isin(*rules.REFERENCE_LIMITS), "unsupported_expected_length")
     )
+    if "parse_error" in df.columns:
+        error = F.coalesce(error, F.col("parse_error"))
     ok, none = error.isNull(), F.size("_f") == 0
     major = F.exists("_f", lambda x: x["severity"] == "major")
     valid = F.array(f("sources.valid", "info", "Links and sources follow the rules."))

@@ -28,7 +28,7 @@ def without_trailing(found: Column, titles: tuple[str, ...] = rules.TRAILING_TIT
 def judge(df: DataFrame, expected: str = "expected_outline_html", content: str = "content", column: str = "structure", enabled: dict[str, bool] | None = None, page: str | None = None) -> DataFrame:
     """df (expected_outline_html, content) -> also `structure`: status, score, findings, error.
 
-    Any finding fails. An outline that is null or blank is an error. Rules set to False in `enabled` find nothing.
+    Any finding fails. An outline that is null or blank, and an outline or content that can't be parsed, is an error. Rules set to False in `enabled` find nothing.
     `page` names a column that holds the parsed content already.
     """
     on = lambda rule: F.lit((enabled or {}).get(rule, True))
@@ -40,7 +40,7 @@ def judge(df: DataFrame, expected: str = "expected_outline_html", content: str =
     counts = {"expected_count": F.size("_eh"), "generated_count": F.size("_gh")}
     tags = F.array_except(html.used_tags(generated), F.array(*map(F.lit, rules.HEADING_TAGS + rules.BODY_TAGS)))
     # h1, script and span have rules of their own but are unauthorised as well.
-    leaked = leaked_comments(generated["text"])
+    leaked = leaked_comments(html.body(generated))
     checks = (
         ("heading_order", e_text != g_text, "The headings come in another order than in the outline.", {"expected": e_text, "generated": g_text}),
         ("heading_levels", e_level != g_level, "The heading levels differ from those of the outline.", {"expected": e_level, "generated": g_level}),
@@ -56,6 +56,7 @@ def judge(df: DataFrame, expected: str = "expected_outline_html", content: str =
     )
     found = text.findings(*((c & on(rule), text.finding(f"structure.{rule}", SEVERITY[rule], message, **proof)) for rule, c, message, proof in checks))
     error = F.when(F.coalesce(F.trim(expected), F.lit("")) == "", "missing_expected_outline_html")
+    error = F.coalesce(error, F.col("_e.error"), F.col("_g.error"))
     ok, none = error.isNull(), F.size("_f") == 0
     valid = F.array(text.finding("structure.valid", "info", "The content keeps to the outline and the allowed tags."))
     result = F.struct(

@@ -177,7 +177,7 @@ _SECTION_ROWS = """
 @_query(_SECTION_ROWS)
 def q17_sections(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     rows = articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
-    rows = rows.select("content_id", F.posexplode("page.sections").alias("at", "s"))
+    rows = rows.select("content_id", F.posexplode(html.sections(F.col("page"))).alias("at", "s"))
     return rows.select("content_id", (F.col("at") + 1).alias("at"), "s.h2", _joined(F.col("s.h3_headings")).alias("h3"), F.col("s.text").alias("section"))
 
 
@@ -190,7 +190,7 @@ def q18_introduction(spark: SparkSession, sf_dir: str, articles: Articles = corp
 @_query(f"SELECT content_id, p_d AS conclusion FROM ({_ART})")
 def q19_conclusion(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
     rows = articles(spark, sf_dir).select("content_id", html.parse(F.col("content")).alias("page"))
-    return rows.select("content_id", html.conclusion(F.col("page.sections"), rules.COMPLEMENTARY_TITLES, folded=True).alias("conclusion"))
+    return rows.select("content_id", html.conclusion(html.sections(F.col("page")), rules.COMPLEMENTARY_TITLES, folded=True).alias("conclusion"))
 
 
 @_query(f"""

@@ -24,7 +24,8 @@ def preprocess(df: DataFrame, content: str = "content", column: str = "signals",
     parsed = F.col("_parsed")
     out = df.withColumn("_norm", text.escaped_payload(F.coalesce(F.col(content), F.lit(""))))
     out = sources.extract(out.withColumn("_parsed", F.col(page) if page else html.parse(F.col("_norm"))).withColumn("_site", F.lit(internal_domain)), content=content, website="_site", page="_parsed")
-    body, found = parsed["text"], F.col("links")
+    out = out.withColumns({"_body": html.body(parsed), "_sections": html.sections(parsed)})
+    body, found = F.col("_body"), F.col("links")
     part = lambda test: F.filter(found, test)
     external, in_body = (lambda x: x["is_external"]), (lambda x: x["section"] == "body")
     linked = F.struct(
@@ -35,14 +36,14 @@ def preprocess(df: DataFrame, content: str = "content", column: str = "signals",
     signals = F.struct(
         F.coalesce(F.col(content), F.lit("")).alias("original_content"), F.col("_norm").alias("normalized_content"),
         body.alias("text"), text.word_count(body).alias("word_count"), (body == "").alias("is_empty"),
-        html.texts(F.filter(html.named(parsed, ("p",)), lambda e: e["text"] != "")).alias("paragraphs"),
+        F.filter(html.texts(parsed, html.named(parsed, ("p",))), lambda t: t != "").alias("paragraphs"),
         html.headings(parsed, ("h1", "h2", "h3", "h4")).alias("headings"), F.transform(html.headings(parsed, ("h2", "h3")), lambda h: h["text"]).alias("headings_h2_h3"),
-        html.introduction(parsed, parsed["root"], rules.TEXT_BLOCKS).alias("introduction"), html.conclusion(parsed["sections"], rules.GLOBAL_TRAILING_TITLES).alias("conclusion"),
-        F.transform(parsed["sections"], lambda s: s.dropFields("blocks")).alias("h2_sections"), linked.alias("links"), html.cta_signals(parsed, rules.COMPLEMENTARY_TITLES).alias("cta"), html.used_tags(parsed).alias("used_tags"),
+        html.introduction(parsed, parsed["root"], rules.TEXT_BLOCKS).alias("introduction"), html.conclusion(F.col("_sections"), rules.GLOBAL_TRAILING_TITLES).alias("conclusion"),
+        F.transform("_sections", lambda s: s.dropFields("blocks")).alias("h2_sections"), linked.alias("links"), html.cta_signals(parsed, rules.COMPLEMENTARY_TITLES).alias("cta"), html.used_tags(parsed).alias("used_tags"),
         html.has(parsed, "h1").alias("has_h1"), html.has(parsed, "script").alias("has_script"), html.has(parsed, "span").alias("has_span"), html.has(parsed, "p").alias("has_intro_paragraph"),
         html.styled_outside_tables(parsed, rules.TABLE_TAGS).alias("styled_outside_tables"), typography.signals(F.col(content)).alias("typography"),
     )
-    return out.withColumn(column, signals).drop("_parsed", "_norm", "_site", "links", "raw_urls", "markdown_links", "attached_anchors")
+    return out.withColumn(column, signals).drop("_parsed", "_norm", "_site", "_body", "_sections", "parse_error", "links", "raw_urls", "markdown_links", "attached_anchors")
 
 
 def selected(enabled: Column) -> Column:
@@ -69,7 +70,8 @@ def judges(encoder: seo.Encoder | None = None, statuses: DataFrame | None = None
 
     def counted(df: DataFrame) -> DataFrame:
         parsed = F.col(page) if page else html.parse(text.escaped_payload(F.coalesce("content", F.lit(""))))
-        return length.judge(df.withColumn("_parsed", parsed).withColumn("word_count", text.word_count(F.col("_parsed.text"))))
+        df = df.withColumn("_parsed", parsed)
+        return length.judge(df.withColumns({"word_count": text.word_count(html.body(F.col("_parsed"))), "parse_error": F.col("_parsed.error")}))
 
     def linked(df: DataFrame) -> DataFrame:
         return sources.judge(sources.with_checks(sources.extract(df, default_website, page=page), key, statuses, enabled=statuses is not None))
@@ -90,10 +92,11 @@ def evaluate(requests: DataFrame, encoder: seo.Encoder | None = None, statuses:
     profile = F.coalesce("profile", F.lit("default")) if "profile" in requests.columns else F.lit("default")
     content = F.coalesce("content", F.lit(""))
     named = requests.withColumns({"evaluation_id": F.coalesce("request_id", digest), "_profile": profile, "_row": F.monotonically_increasing_id()})
-    # Most contents have nothing escaped, so that one parse serves both forms.
+    # Most contents have nothing escaped, so that one span table serves both forms and only one is written.
     named = named.withColumn("_raw_page", html.parse(content)).withColumn("_differs", text.escaped_payload(content) != content)
     named = named.withColumn("_other", html.parse(F.when(F.col("_differs"), text.escaped_payload(content)).otherwise("")))
-    named = scratch.durable(named.withColumn("_norm_page", F.when(F.col("_differs"), F.col("_other")).otherwise(F.col("_raw_page"))).drop("_other", "_differs"), "requests")
+    named = scratch.durable(named.withColumn("_other", F.when(F.col("_differs"), F.col("_other"))).drop("_differs"), "requests")
+    named = named.withColumn("_norm_page", F.coalesce("_other", "_raw_page")).drop("_other")
     asked = selected(F.col("enabled_judges"))
     meta = F.struct(F.col("evaluation_id"), F.col("_profile").alias("profile"), asked.alias("enabled_judges"), skipped(F.col("enabled_judges")).alias("skipped_judges"))
     none = F.lit(None)
