@@ -28,7 +28,7 @@ MAX_LANGUAGES = 1_000
 FLOOR = 1e-8
 #: Characters between rescalings of the sums.
 STRIDE = 8
-#: Words of equal length are summed together, this many characters at a time.
+#: Words of equal length are summed together, this many characters at a time for up to eight languages, fewer for more.
 BATCH_CHARS = 200_000
 UNDETERMINED = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -102,7 +102,7 @@ class Lattice:
 
     def log_likelihood(self, found: list[str], table: np.ndarray) -> np.ndarray:
         out = np.zeros((len(found), table.shape[1]))
-        for length, part in _parts(found):
+        for length, part in _parts(found, table.shape[1]):
             *_, (total, log) = self._sums(self.ids(_codes([found[j] for j in part], length)), length, table)
             out[part] = np.log(total) + log
         return out
@@ -123,13 +123,13 @@ class Lattice:
         return counts
 
 
-def _parts(found: list[str]) -> Iterator[tuple[int, list[int]]]:
-    """Length and places of words of equal length, in parts of a bounded number of characters or of one word."""
+def _parts(found: list[str], languages: int = 1) -> Iterator[tuple[int, list[int]]]:
+    """Length and places of words of equal length, in parts of a bounded number of characters times languages or of one word."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(found):
         groups.setdefault(len(w), []).append(i)
     for length, at in groups.items():
-        step = max(1, BATCH_CHARS // length)
+        step = max(1, BATCH_CHARS // (length * max(1, -(-languages // 8))))
         for i in range(0, len(at), step):
             yield length, at[i : i + step]
 
@@ -151,27 +151,28 @@ def fit(frame: pd.DataFrame, pieces: list[str], rounds: int = 3) -> np.ndarray:
 
 
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 8) -> DataFrame:
-    """lang and text of at most `rows` documents of each language: those with the smallest seeded hash.
+    """lang and text of at most `rows` documents of each language: those with the smallest seeded hash of doc_id and text.
 
-    Languages are counted first, and only rows under a language's hash threshold, half as many again as are wanted, are
-    ranked; so a language with most of the rows sends no more of them to a task than any other.
+    The different hashes of a language are counted first, and only rows under its threshold, half as many again as are
+    wanted, are ranked, rows of one hash once; so a language with most of the rows, or with one row most often, sends no
+    more of them to a task than any other.
     """
-    known = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(seed)).alias("draw"))
-    counted = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    known = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
+    counted = known.groupBy("lang", "draw").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counted) > MAX_LANGUAGES:
         raise ValueError(f"there are more than {MAX_LANGUAGES} languages, the most that a model may hold")
     shares = [(r.lang, min(1.0, 1.5 * (rows + 100) / r.n)) for r in counted]
     under = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double"))
     drawn = known.join(under, "lang").where(F.shiftrightunsigned("draw", 11) < F.col("share") * float(1 << 53))
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text")))
+    ranked = drawn.dropDuplicates(["lang", "draw"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text")))
     return ranked.where(F.col("rank") <= rows).select("lang", "text")
 
 
 def train(docs: DataFrame, vocabulary_path: str, rows: int = SAMPLE_ROWS, seed: int = 8) -> dict:
     """Fit on docs (doc_id, text, lang): per language at most `rows` documents. The same rows give the same model.
 
-    Rows whose text or lang is null take no part; texts without a letter teach nothing; rows that repeat count singly and
-    ties of their hash go by doc_id and text. An empty table gives a model without languages. Each language is fitted in
+    Rows whose text or lang is null take no part; texts without a letter teach nothing; rows that repeat both
+    doc_id and text count once, rows without doc_id by their texts. An empty table gives a model without languages. Each language is fitted in
     a task of its own, on whole texts.
     """
     pieces = vocabulary(vocabulary_path)
