@@ -101,3 +101,32 @@ def test_many_sources_are_ranked_by_ranges(spark, docs):
     targets = exact_targets(sizes)
     for r in mixing.plan(docs(rows)).collect():
         assert r.target == pytest.approx(float(targets[r.source]))
+
+
+@pytest.mark.parametrize("block_words", [32, 400, 1_000, 4_000])
+def test_blocks_larger_than_shards_still_meet_the_targets(spark, docs, block_words, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 10)
+    draw = random.Random(block_words)
+    rows = [(i, "w " * draw.randrange(1, 20), "en", "abc"[i % 3] if i % 7 else "a") for i in range(6_000)]
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += size(t)
+    targets, taken = exact_targets(sizes), Counter()
+    for r in mixing.plan(docs(rows), block_words=block_words).collect():
+        assert r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    for s, t in targets.items():
+        assert abs(taken[s] - float(t)) <= max(block_words, 0.005 * float(t))
+
+
+def test_what_a_shard_cannot_hold_goes_to_others(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 10)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 1)
+    # The last source is wanted three times whole, so that every shard is full.
+    rows = [(i, "w " * 10, "en", "a" if i < 900 else "c") for i in range(1_000)]
+    taken = Counter()
+    for r in mixing.plan(docs(rows), weights=(1, 30), block_words=64).collect():
+        assert r.taken <= 30
+        taken[r.source] += r.taken
+    assert abs(taken["c"] - 3_000) <= 64
+    assert abs(taken["a"] - 7_000) <= 64

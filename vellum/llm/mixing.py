@@ -3,7 +3,7 @@
 Targets share all words by weight, none above a multiple of its source's size (water filling). Words are given out in
 blocks of equal size: sources get them by the highest quotients target / (2 k + 1), and each source's shards the same way
 by their size, which makes an integer quota for each shard. In a shard (a bounded share of a source, dealt by a seeded
-hash) the documents are laid out in a seeded order and cut into such blocks, a document belonging to the block that it
+hash, of many blocks) the documents are laid out in a seeded order and cut into such blocks, a document belonging to the block that it
 begins in; a seeded draw of whole blocks then fills the quota, after whole passes over the shard, and only the last
 document drawn is taken in part. Ranks over all sources come from ranges of the order, never from one task.
 """
@@ -18,8 +18,8 @@ from vellum.llm import common
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block at least; larger tables have larger blocks, so that there are about so many blocks at most.
 BLOCK_WORDS, MOST_BLOCKS = 32, 1 << 20
-#: Documents in a shard, until a source has the most shards that are ranked together.
-SHARD_DOCS, MOST_SHARDS = 4_096, 4_096
+#: Documents in a shard, until a source has the most shards that are ranked together; blocks in a shard at least, on average.
+SHARD_DOCS, MOST_SHARDS, SHARD_BLOCKS = 4_096, 4_096, 64
 
 
 def words(text: Column) -> Column:
@@ -117,12 +117,18 @@ def _planned(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3
     block = block_words or max(BLOCK_WORDS, -(-total // MOST_BLOCKS))
     seats = (min(total, total * cap) + block // 2) // block
     aimed = apportion(aimed, None, "key", "target", F.lit(seats))
-    n_shards = F.least(F.lit(MOST_SHARDS), F.ceil(F.col("n") / SHARD_DOCS)).cast("int")
+    n_shards = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("n") / SHARD_DOCS), F.floor(F.col("source_size") / (block * SHARD_BLOCKS)))).cast("int")
     aimed = common.durable(aimed.select("key", "source_size", "target", n_shards.alias("shards"), F.col("quota").alias("source_quota")), "targets")
     dealt = sized.join(aimed, "key").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "own"), F.col("shards")).cast("int"))
     shards = dealt.groupBy("key", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = apportion(shards, "key", "shard", "shard_size", F.col("source_quota"))
-    goal = F.least(F.col("quota") * block, F.col("shard_size") * cap)
+    # What a shard can't hold goes to the others of its source, in order, as far as they have room.
+    of = Window.partitionBy("key")
+    shards = shards.withColumn("_goal", F.least(F.col("quota") * block, F.col("shard_size") * cap)).withColumn("_room", F.col("shard_size") * cap - F.col("_goal"))
+    cut_off = F.sum(F.col("quota") * block - F.col("_goal")).over(of)
+    filled = F.coalesce(F.sum("_room").over(of.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = shards.withColumn("_goal", F.col("_goal") + F.greatest(F.lit(0).cast("long"), F.least(F.col("_room"), cut_off - filled)))
+    goal = F.col("_goal")
     passes = F.when(F.col("shard_size") > 0, F.floor(goal / F.col("shard_size"))).otherwise(0)
     shards = shards.withColumn("passes", passes.cast("long")).select("key", "shard", "passes", (goal - F.col("passes") * F.col("shard_size")).alias("rest"))
     shard, before = Window.partitionBy("key", "shard"), (Window.unboundedPreceding, -1)
