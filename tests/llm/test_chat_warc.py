@@ -85,3 +85,25 @@ def test_members_are_plain_gzip_and_damage_shows():
     for bad in (data.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"), data[:-1], b"x" + data):
         with pytest.raises(warc.Damaged):
             warc.parse(bad)
+
+
+def test_a_page_with_very_many_copies(spark, monkeypatch):
+    html = "<p>" + "copy " * 40 + "</p>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", html if i % 10 else f"{html}{i}") for i in range(400)], "page_id long, url string, html string")
+    archives, folder = warc.archive(pages)
+    found = warc.resolved(warc.read(archives, folder)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found) == [(i, "revisit" if i % 10 and i > 1 else "response", 1 if i % 10 and i > 1 else None) for i in range(400)]
+    assert {r.payload_bytes for r in found if r.page_id % 10} == {len(html)}
+    plan = warc.resolved(warc.read(archives, folder))._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan
+
+
+def test_folders_are_named_by_the_file_system_of_spark(spark, tmp_path):
+    assert warc.qualified(spark, f"{tmp_path}/x") == f"file://{tmp_path}/x"
+    assert warc.qualified(spark, f"file://{tmp_path}/x") == f"file://{tmp_path}/x"
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.defaultFS", "viewfs://store")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    try:
+        assert warc.qualified(spark, "/in/x") == "viewfs://store/in/x"
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.defaultFS", "file:///")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import common
@@ -72,17 +72,26 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI of the file system that Spark itself finds it on, so that a path without scheme is no local one on a cluster."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write with_revisits() rows as .warc.gz files under the folder, a URI that all executors reach; -> path, records, size of each.
+    """Write with_revisits() rows as .warc.gz files under the folder, which all executors reach; -> path, records, size of each.
 
     Every row is a record: null and odd URLs are quoted, a null page_id gets a name from its place. A payload is held whole,
     one at a time. Repeated rows are records of their own. An empty table writes no archive. Other columns are not read.
     """
 
+    folder = qualified(pages.sparkSession, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root)
         out = path = None
         records = size = serial = 0
@@ -167,12 +176,13 @@ def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     an error, never a shorter result.
     """
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folder = qualified(archives.sparkSession, folder)
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        system, _ = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with system.open_input_stream(path, compression=None) as stream:
@@ -192,10 +202,16 @@ def read(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """read() rows with payload_digest and payload_bytes of revisits taken from the response that they refer to."""
+    """read() rows with payload_digest and payload_bytes of revisits taken from the response that they refer to.
+
+    Revisits look up their response under salts, so that a page with very many copies gathers nowhere; only responses that
+    are referred to are repeated. A row for each row; no records, no rows.
+    """
+    asked = records.where("record_type = 'revisit'").select("refers_to").distinct()
     responses = records.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("payload_digest", "payload_bytes")).alias("of"))
     own = records.select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes")
-    revisits = own.where("record_type = 'revisit'").join(responses, "refers_to", "left")
+    responses = responses.join(asked, "refers_to", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    revisits = own.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(responses, ["refers_to", "salt"], "left")
     checked = F.when(F.col("of.payload_digest") == F.col("payload_digest"), F.col("of.payload_bytes")).otherwise(F.raise_error(F.lit("a revisit's response is missing or differs")))
     revisits = revisits.select("page_id", "record_type", "refers_to", "payload_digest", checked.cast("long").alias("payload_bytes"))
     return own.where("record_type = 'response'").unionByName(revisits)
