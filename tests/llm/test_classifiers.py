@@ -3,12 +3,13 @@ import math
 import os
 import random
 import zlib
+from collections import Counter
 
 import pandas as pd
 import public_tokenizers
 import pytest
 
-from vellum.llm import language, quality, queries, toxicity
+from vellum.llm import common, language, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -162,3 +163,38 @@ def test_held_out_accuracy(spark):
     rows = labelled(queries.op10_toxicity(spark, SF), "toxic")
     held = rows[rows.held_out]
     assert (held.predicted == held.toxic).mean() > 0.9
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_language_of_rows_that_share_a_doc_id_is_learnt(spark, docs, doc_id, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 20)
+    rows = [(doc_id, f"heiss {i}", "hot") for i in range(3_000)] + [(i, f"kalt {i}", "cold") for i in range(30)] + [(1, "same text", "one")] * 3_000
+    drawn = Counter(r.lang for r in language.sample(docs(rows), 20).collect())
+    assert drawn == {"hot": 20, "cold": 20, "one": 1}
+
+
+def test_sums_of_many_languages_take_small_parts():
+    found = ["x" * 10] * 1_000
+    assert max(len(p) for _, p in language._parts(found, 8)) == 1_000
+    assert max(len(p) for _, p in language._parts(found, 800)) == language.BATCH_CHARS // 1_000
+    assert sum(len(p) for _, p in language._parts(found, 800)) == 1_000
+
+
+def test_training_texts_are_bounded_by_bytes(spark, docs):
+    rows = [(i, "a" * 100) for i in range(20)] + [(3, "b" * 100)] * 50 + [(30, "c" * 5_000), (31, None)]
+    keys = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    found = common.bounded_texts(docs(rows), keys, 1_000, 1).collect()
+    assert len(found) == len({r.doc_id for r in found}) == 10
+    assert all(r.toxic == r.doc_id % 2 and len(r.text) == 100 for r in found)
+    assert sorted(found) == sorted(common.bounded_texts(docs(rows).repartition(5), keys, 1_000, 1).collect())
+    assert {r.doc_id for r in common.bounded_texts(docs(rows), keys, 1 << 20, 1).collect()} == {*range(20), 30}
+    assert common.bounded_texts(docs([]), keys, 1_000, 1).count() == 0
+
+
+def test_chance_is_learnt_from_texts_that_the_list_has_not_seen():
+    draw = random.Random(12)
+    # Labels by chance: no text has anything toxic about it, so none may look certain.
+    rows = [(" ".join(f"w{draw.randrange(2_000)}" for _ in range(40)), draw.randrange(2)) for _ in range(600)]
+    model = toxicity.fit(pd.DataFrame(rows, columns=["text", "toxic"]))
+    scorer = toxicity.Scorer(model)
+    assert max(scorer.probability(scorer.evidence(scorer.passages(t))) for t, _ in rows) < 0.8

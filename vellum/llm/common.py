@@ -92,6 +92,24 @@ def bounded_sample(rows: DataFrame, key: str, limit: int, seed: int) -> DataFram
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(limit)
 
 
+def bounded_texts(docs: DataFrame, keys: DataFrame, most_bytes: int, seed: int) -> DataFrame:
+    """doc_id, text and the columns of keys, a bounded sample of distinct doc_ids, for texts of `most_bytes` together at most.
+
+    Of rows that repeat a doc_id the one with the smallest hash of its text counts, and texts are taken in the order of
+    the keys' seeded hash while they have room; a text that has none is left out, later ones may still fit.
+    """
+    hashed = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    small = F.broadcast(keys)
+    one = hashed.join(F.broadcast(keys.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min(F.struct("_hash", F.octet_length("text").alias("size"))).alias("of"))
+    chosen, room = [], most_bytes
+    for r in one.select("doc_id", "of._hash", "of.size").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").collect():
+        if r.size <= room:
+            chosen.append((r.doc_id, r._hash))
+            room -= r.size
+    taken = F.broadcast(docs.sparkSession.createDataFrame(chosen, one.select("doc_id", "of._hash").schema))
+    return hashed.join(taken, ["doc_id", "_hash"]).dropDuplicates(["doc_id"]).drop("_hash").join(small, "doc_id")
+
+
 def train_once(sample: DataFrame, train: Callable, schema: str) -> list:
     """Run train(pandas frame) -> pandas frame in one task over a sample that is bounded by its caller; collect its model rows."""
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from vellum.llm import common
 from vellum.llm.common import logistic
 
-#: Labelled rows of either class that training reads at most.
-SAMPLE_ROWS = 3_000
+#: Labelled rows of either class that training reads at most, and bytes of their texts together.
+SAMPLE_ROWS, SAMPLE_BYTES = 3_000, 64 << 20
 PART_BYTES = 2_048
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
@@ -103,14 +103,15 @@ def fit(frame: pd.DataFrame) -> dict:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> dict:
     """Fit on at most `rows` labelled documents of either class (doc_id, quality), chosen by a seeded hash.
 
-    Null labels and texts take no part; a doc_id that is labelled twice counts by its smallest label; one whose rows repeat
-    in docs counts with each of them. The sample is sorted, so partitions do not change the model. Without labels, or with
+    Null labels and texts take no part; a doc_id that is labelled twice counts by its smallest label; of one whose rows repeat
+    in docs a single row counts. Texts are read whole, those that fit into SAMPLE_BYTES together; a longer one teaches nothing.
+    The sample is sorted, so partitions do not change the model. Without labels, or with
     those of one class only, every text gets a score that rests on no comparison. Other columns are not read.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     prior = known.agg(F.avg("quality")).first()[0]
     keys = common.bounded_sample(known.where("quality = 0"), "doc_id", rows, seed).unionByName(common.bounded_sample(known.where("quality = 1"), "doc_id", rows, seed))
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(keys), "doc_id")
+    sample = common.bounded_texts(docs, keys, SAMPLE_BYTES, seed)
     sample = sample.select("doc_id", "text", "quality", F.lit(prior).cast("double").alias("prior"))
 
     def fit_sorted(frame: pd.DataFrame) -> pd.DataFrame:

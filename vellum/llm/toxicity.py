@@ -6,8 +6,10 @@ Dirichlet prior that is proportional to the pooled counts. Only tokens whose con
 chance (a Chernoff bound, corrected for the number of tokens that could pass) keep their score; every other token gets the common,
 slightly negative log-odds of a token outside that list. The linear-time scan for all maximal scoring segments then
 finds the passages of a whole text; a passage counts if its expected number in clean text of that length, K n exp(-lambda S),
-is small. K and lambda are fitted to the best scores of clean training texts. Those expectations, summed over the
-significant passages, make the document's evidence, which a logistic curve fitted on the training rows turns into a probability.
+is small. K and lambda are fitted to the best scores of clean texts. Those expectations, summed over the significant
+passages, make the document's evidence, which a logistic curve turns into a probability. K, lambda and the curve rest on
+texts that the list of tokens has not seen: each half of the sample is scored by the list of the other half, copies of a
+text falling into one half; the list that is used then comes from all of it.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm import common
 
-#: Labelled rows that training reads at most.
-SAMPLE_ROWS = 12_000
+#: Labelled rows that training reads at most, and bytes of their texts together.
+SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 64 << 20
 PRIOR_WEIGHT = 50.0
 SIGNIFICANT = 0.05
 #: A token's rate in toxic documents is over this multiple of its rate in clean ones.
@@ -81,6 +83,12 @@ def segments(scores: dict[int, float], length: int, gap: float) -> list[tuple[in
     return [(s, e, r - x) for s, e, x, r, _ in found]
 
 
+def significant(found: list[tuple[int, int, float]], length: int, k: float, lam: float) -> list[tuple[int, int, float, float]]:
+    """The segments that chance would give a clean text of that length rarely, with the number expected of each."""
+    scored = ((s, e, x, k * length * math.exp(-lam * x)) for s, e, x in found)
+    return [p for p in scored if p[3] <= SIGNIFICANT]
+
+
 class _WordScores(dict):
     """Word -> its log-odds, or 0 if it has none of its own; words met are remembered up to a bound."""
 
@@ -112,9 +120,7 @@ class Scorer:
         hits = np.flatnonzero(values)
         if not len(hits):
             return []
-        found = segments(dict(zip(hits.tolist(), values[hits].tolist(), strict=True)), len(words), self.gap)
-        scored = ((s, e, x, self.k * len(words) * math.exp(-self.lam * x)) for s, e, x in found)
-        return [p for p in scored if p[3] <= SIGNIFICANT]
+        return significant(segments(dict(zip(hits.tolist(), values[hits].tolist(), strict=True)), len(words), self.gap), len(words), self.k, self.lam)
 
     @staticmethod
     def evidence(passages: list[tuple[int, int, float, float]]) -> float:
@@ -150,12 +156,10 @@ def extreme_values(best: list[tuple[float, int]]) -> tuple[float, float]:
     return max(1e-9, min(1.0, (len(tail) + 0.5) * math.exp(lam * TAIL) / max(1, sum(n for _, n in best)))), lam
 
 
-def fit(frame: pd.DataFrame) -> dict:
-    """Model of a bounded pandas frame with text and toxic (0 or 1). Rows in the same order give the same model."""
-    docs = [(tokens(t), int(y)) for t, y in zip(frame.text, frame.toxic, strict=True)]
+def weigh(docs: list[tuple[list[bytes], int, int]]) -> tuple[dict[bytes, float], float]:
+    """The tokens with a score of their own and that of all others, from (tokens, toxic, sketch) of texts."""
     counts, seen = {0: Counter(), 1: Counter()}, set()
-    for words, y in docs:
-        key = _sketch(words)
+    for words, y, key in docs:
         if (key, y) not in seen:
             seen.add((key, y))
             own = set(words)
@@ -175,34 +179,42 @@ def fit(frame: pd.DataFrame) -> dict:
                 prior = PRIOR_WEIGHT * y / (n[0] + n[1])
                 odds = [math.log((counts[c][w] + prior) / (n[c] + PRIOR_WEIGHT - counts[c][w] - prior)) for c in (1, 0)]
                 lexicon[w] = odds[0] - odds[1]
-    model = {"lexicon": {k.decode("utf-8", "surrogatepass"): min(v, 12.0) for k, v in lexicon.items()}, "gap": -0.01, "k": 1.0, "lam": 1.0, "a": -4.0, "b": 2.0}
+                lexicon[w] = min(lexicon[w], 12.0)
     scores = _WordScores(lexicon)
     rate = {}
     for c in (0, 1):
-        hits = [(sum(1 for w in words if scores[w] > 0), len(words)) for words, y in docs if y == c]
+        hits = [(sum(1 for w in words if scores[w] > 0), len(words)) for words, y, _ in docs if y == c]
         rate[c] = (sum(h for h, _ in hits) + 0.5) / (sum(k for _, k in hits) + 1000)
-    model["gap"] = min(-1e-4, math.log((1 - min(rate[1], 0.9)) / (1 - min(rate[0], 0.8))))
-    scorer = Scorer(model)
-    best: list[tuple[int, float, int]] = []
-    for words, y in docs:
-        at = {i: s for i, w in enumerate(words) if (s := scores[w])}
-        best.append((y, max((x for *_, x in segments(at, len(words), model["gap"])), default=0.0), max(1, len(words))))
-    model["k"], model["lam"] = scorer.k, scorer.lam = extreme_values([(s, k) for y, s, k in best if y == 0])
-    x = np.log1p([Scorer.evidence(scorer.passages(t)) for t in frame.text])
-    model["a"], model["b"] = (float(v) for v in common.logistic(np.column_stack([np.ones(len(x)), x]), frame.toxic.to_numpy(float)))
-    return model
+    return lexicon, min(-1e-4, math.log((1 - min(rate[1], 0.9)) / (1 - min(rate[0], 0.8))))
+
+
+def fit(frame: pd.DataFrame) -> dict:
+    """Model of a bounded pandas frame with text and toxic (0 or 1). Rows in the same order give the same model."""
+    docs = [(words, int(y), _sketch(words)) for words, y in ((tokens(t), y) for t, y in zip(frame.text, frame.toxic, strict=True))]
+    # Segments of each text by a list of tokens that it has no part in.
+    found: list[list[tuple[int, int, float]]] = []
+    by_half = [weigh([d for d in docs if d[2] % 2 != half]) for half in (0, 1)]
+    scores = [_WordScores(lexicon) for lexicon, _ in by_half]
+    for words, _, key in docs:
+        own = scores[key % 2]
+        found.append(segments({i: s for i, w in enumerate(words) if (s := own[w])}, len(words), by_half[key % 2][1]))
+    k, lam = extreme_values([(max((x for *_, x in f), default=0.0), max(1, len(words))) for f, (words, y, _) in zip(found, docs, strict=True) if y == 0])
+    evidence = [Scorer.evidence(significant(f, len(words), k, lam)) for f, (words, *_) in zip(found, docs, strict=True)]
+    a, b = common.logistic(np.column_stack([np.ones(len(docs)), np.log1p(evidence)]), frame.toxic.to_numpy(float))
+    lexicon, gap = weigh(docs)
+    return {"lexicon": {w.decode("utf-8", "surrogatepass"): v for w, v in lexicon.items()}, "gap": gap, "k": k, "lam": lam, "a": float(a), "b": float(b)}
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 10) -> dict:
     """Fit on at most `rows` rows of labels (doc_id, toxic), chosen by a seeded hash; null labels and texts take no part.
 
-    A doc_id that is labelled twice counts by its largest label; one whose rows repeat in docs counts with each of them.
-    The sample is sorted before it is used, so partitions do not change the model. Without labels, or with those of one
+    A doc_id that is labelled twice counts by its largest label; of one whose rows repeat in docs a single row counts.
+    Texts are read whole, those that fit into SAMPLE_BYTES together; a longer one teaches nothing. The sample is sorted before it is used, so partitions do not change the model. Without labels, or with those of one
     class only, every text gets the same score. Other columns of either table are not read.
     """
     keys = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     keys = common.bounded_sample(keys, "doc_id", rows, seed)
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(keys), "doc_id")
+    sample = common.bounded_texts(docs, keys, SAMPLE_BYTES, seed)
 
     def fit_sorted(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": [json.dumps(fit(frame.sort_values(["doc_id", "text"], ignore_index=True)))]})
