@@ -15,9 +15,10 @@ def expected(text):
     return len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:])
 
 
-@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
-def test_media_come_back(spark, docs, odd, broadcast_rows, monkeypatch):
-    monkeypatch.setattr(media, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize(("broadcast_bytes", "hot"), [(1 << 25, 1_000), (0, 1_000), (0, 1)])
+def test_media_come_back(spark, docs, odd, broadcast_bytes, hot, monkeypatch):
+    monkeypatch.setattr(media, "BROADCAST_BYTES", broadcast_bytes)
+    monkeypatch.setattr(media, "HOT_ROWS", hot)
     draw = random.Random(6)
     common = "".join(draw.choice("abcdefgh ") for _ in range(60_000))
     rows = odd + [(100 + i, common[: 20_000 + 500 * i] + str(i) + common[30_000:]) for i in range(8)] + [(200, common), (201, common), (202, common * 2)]

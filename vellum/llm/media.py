@@ -26,8 +26,12 @@ FRAME = 576
 RATE = 16_000
 HEADER = 44
 LEAST, BITS, MOST = 1_024, 12, 32_768
-#: Notes on which media share chunks are broadcast up to this many rows, else joined by shuffling.
-BROADCAST_ROWS = 500_000
+#: Notes on which media share chunks are broadcast up to so many bytes, else joined by shuffling.
+BROADCAST_BYTES = 32 << 20
+#: A key is hot if it has over one in HOT_SHARE of all rows, and HOT_ROWS at least: there are at most HOT_SHARE hot keys.
+HOT_SHARE, HOT_ROWS = 10_000, 1_000
+#: Parts in which ids look up what many of them share.
+SALT = 16
 _GEAR = np.random.default_rng(576).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -108,7 +112,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, key (digest of the text), n_bytes, media_bytes, media_digest, chunk digests in order."""
+    """docs (doc_id, text) -> doc_id, key (digest of the text), n_bytes, media_bytes, media_digest, chunk digests in order.
+
+    A row for each row, repeated ones and those without doc_id too; null and empty texts are one frame of filling; very long
+    texts are cut whole, one at a time. An empty table gives no rows; other columns, whatever their names, are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.pieces(batches):
@@ -129,12 +137,18 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 
 def _notes(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of media that have copies, share a chunk or repeat one: key, first doc_id, `borrowed` and `shared` positions; and all chunk places of borrowers."""
-    first = listed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    chosen = listed.join(first, "key").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    places = chosen.select("key", F.posexplode("digests").alias("at", "digest")).distinct()
+    """Of media that have copies, share a chunk or repeat one: key, first doc_id, `borrowed` and `shared` positions; and all chunk places of borrowers.
+
+    A place (key, at, digest) belongs to the first place of its digest by key and position. Copies fall together before
+    anything is shuffled, and places look up owners under salts, so that a chunk that very many media hold gathers nowhere.
+    """
+    chosen = listed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("digests").alias("digests"))
+    chosen = common.durable(chosen, "media-chosen")
+    first = chosen.select("key", "first", "copies")
+    places = chosen.select("key", F.posexplode("digests").alias("at", "digest"))
     owners = places.groupBy("digest").agg(F.min(F.struct("key", "at")).alias("owner"), F.count("*").alias("uses")).where("uses > 1")
-    shared = places.join(owners, "digest")
+    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    shared = places.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int")).join(owners, ["digest", "salt"])
     own = (F.col("owner.key") == F.col("key")) & (F.col("owner.at") == F.col("at"))
     by_key = shared.groupBy("key").agg(F.array_sort(F.collect_set(F.when(~own, F.col("at")))).alias("borrowed"), F.array_sort(F.collect_set(F.when(own, F.col("at")))).alias("shared"))
     notes = first.join(by_key, "key", "left").where("copies > 1 or shared is not null or borrowed is not null")
@@ -145,11 +159,23 @@ def _notes(listed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return notes, borrowers
 
 
+def _hot(rows: DataFrame, key: str) -> DataFrame:
+    """The keys with the most rows, at most HOT_SHARE of them whatever the table."""
+    least = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > least).select(key, F.col("first").alias("hot_first"))
+
+
 def store(docs: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Write the chunk store; its rows (key, whole, wanted, chunks) and the places (key, at, digest) that are filled from others."""
+    """Write the chunk store; its rows (key, whole, chunks) and the places (key, at, digest) that are filled from others.
+
+    Of copies only the first by doc_id is stored. Copies of the few hot texts are dropped where they are read, so texts that
+    are shuffled to their notes, which happens only where these are large, have no hot key. No documents, no rows.
+    """
     notes, borrowers = _notes(listed)
-    noted = F.broadcast(notes) if notes.count() <= BROADCAST_ROWS else notes
-    rows = _keyed(docs).join(noted, "key", "left").where("borrowed is null or first <=> doc_id").select("key", "text", "borrowed", "shared")
+    held = notes.agg(F.sum(F.size("borrowed") + F.size("shared")).alias("places"), F.count("*").alias("n")).first()
+    small = 4 * (held.places or 0) + 64 * held.n <= BROADCAST_BYTES
+    rows = _keyed(docs).join(F.broadcast(_hot(listed, "key").withColumn("hot", F.lit(True))), "key", "left").where("hot is null or hot_first <=> doc_id").drop("hot", "hot_first")
+    rows = rows.join(F.broadcast(notes) if small else notes, "key", "left").where("borrowed is null or first <=> doc_id").select("key", "text", "borrowed", "shared")
     kind = pa.list_(pa.struct([("at", pa.int32()), ("digest", pa.binary()), ("data", pa.binary()), ("wanted", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +205,11 @@ def _described(media: bytes) -> tuple:
 
 
 def read(stored: DataFrame, borrowers: DataFrame) -> DataFrame:
-    """Put all media together again -> key, payload_bytes, payload_sha256, tail_crc32, media_sha256, feature."""
+    """Put all media together again -> key, payload_bytes, payload_sha256, tail_crc32, media_sha256, feature; each key once.
+
+    Every chunk is held to its digest; one that is missing or differs is an error, never a shorter result. Chunks that very
+    many media hold are fetched in parts. A task holds one media at a time, however long. An empty store gives no rows.
+    """
     fields = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
     names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature"]
 
@@ -194,7 +224,12 @@ def read(stored: DataFrame, borrowers: DataFrame) -> DataFrame:
         return pd.DataFrame([(frame.key.iloc[0], *_described(media))], columns=names)
 
     wanted = stored.select(F.explode("chunks").alias("c")).where("c.wanted").select("c.digest", "c.data").dropDuplicates(["digest"])
-    away = borrowers.join(wanted, "digest").groupBy("key").applyInPandas(fetched, fields)
+    # Borrowed places have no doc_id; hot digests are few, their chunks are repeated under salts.
+    hot = F.broadcast(_hot(borrowers.withColumn("doc_id", F.lit(0)), "digest").select("digest", F.lit(True).alias("hot")))
+    salts = lambda n: F.when(F.col("hot"), F.lit(n)).otherwise(F.lit(1))
+    asked = borrowers.join(hot, "digest", "left").withColumn("salt", F.pmod(F.xxhash64("key"), salts(16 * SALT)).cast("int")).drop("hot")
+    wanted = wanted.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts(16 * SALT) - 1))).drop("hot")
+    away = asked.join(wanted, ["digest", "salt"]).drop("salt").groupBy("key").applyInPandas(fetched, fields)
     return stored.where("whole").select("key", "chunks").mapInArrow(local, fields).unionByName(away).dropDuplicates(["key"])
 
 
@@ -202,10 +237,17 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     All but the counts of bytes come from the media read back, whose digest must equal the one taken before storing.
-    Null texts are empty ones: a frame of bytes 255. Equal texts share their media. Each input row gives one row.
+    Null texts are empty ones: a frame of bytes 255. Equal texts share their media, whichever copy is stored; ties between
+    copies go to the smallest doc_id, none before any. Each input row gives one row, repeated ones and those without doc_id
+    too; very long texts are whole; an empty table gives no rows. Other columns, whatever their names, are not read.
     """
     listed = common.durable(recipes(docs), "media-recipes")
     back = read(*store(docs, listed))
-    whole = listed.select("doc_id", "key", "n_bytes", "media_bytes", "media_digest").join(back, "key", "left")
+    hot = common.durable(_hot(listed, "key").where("hot_first is not null"), "media-hot")
+    back = common.durable(back, "media-back")
+    rows = listed.select("doc_id", "key", "n_bytes", "media_bytes", "media_digest").join(F.broadcast(hot), "key", "left").withColumn("hot", F.col("hot_first").isNotNull())
+    # What many rows share is a few hundred bytes for each of a bounded number of texts.
+    few = F.broadcast(back.join(F.broadcast(hot), "key", "left_semi"))
+    whole = rows.where("hot").join(few, "key", "left").unionByName(rows.where("NOT hot").join(back, "key", "left"))
     checked = F.when(F.col("media_sha256") == F.col("media_digest"), F.col("media_sha256")).otherwise(F.raise_error(F.lit("media read back differ from those stored")))
     return whole.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", checked.cast("string").alias("media_sha256"), "feature")
