@@ -69,6 +69,34 @@ def test_chunks_are_encoded_as_in_whole_texts(tokenizer):
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_simple_chunks_are_encoded_as_in_whole_texts(tokenizer):
+    draw = random.Random(3)
+    letters = [chr(c) for c in [*range(0x20, 0x7F), *range(0xC0, 0x250)] if c not in (0xD7, 0xF7)] + ["'S", "'LL ", "\u0301", "ᾳ", "\u212b"]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(80))) for _ in range(4_000)]
+    encode = packing._Encoder(PATH)
+    assert encode.by_chunk
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_room_for_few_chunks(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 3)
+    encode = packing._Encoder(PATH)
+    texts = [f"one two three four {i} " + "long" * 40 for i in range(20)]
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(encode([t])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    for kept in (encode.chunks, encode.words):
+        assert not any(len(c) > packing.KEPT_CHARS for c in kept.before)
+        assert max(len(kept.now), len(kept.before)) <= 3 + 7
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, texts = packing._Encoder(path), ["Two words", "", "  a\n b", "é" * 9]
+    assert not encode.by_chunk
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def brute_fit(lengths, window):
     places, free = [0] * len(lengths), []
     offsets = [0] * len(lengths)

@@ -4,12 +4,15 @@ Documents become ids; what is longer than a window is cut into full windows firs
 dealt by hash to blocks of bounded size; in a block they go, the longest first, to the tightest open window that holds them,
 found by a segment tree over remaining capacities. Only rests are shuffled, each once.
 
-White space separates pieces of the tokenizer, so that what stands between blanks can be encoded on its own: a task encodes
-each such chunk once and looks it up from then on.
+White space separates the words of the tokenizer, so that what stands between blanks can be encoded on its own: a worker
+encodes each distinct chunk, and each word in it, once and looks it up from then on.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,38 +26,107 @@ from vellum.llm import common
 WINDOW, END = 2048, 1
 #: Rests in a block, on average; a block is held by one task, at most so many windows of ids.
 BLOCK_RESTS = 4_096
-#: Chunks, and characters of a chunk, that a task keeps encoded.
-KEPT_CHUNKS, KEPT_CHARS = 400_000, 80
+#: A worker keeps about twice so many chunks, and as many words, encoded, for longer if they have no more characters than this.
+KEPT, KEPT_CHARS = 400_000, 80
 #: A task's pieces and sequences are numbered below so many bits.
 BITS = 36
 _FULL = 1 << 62
 
 
+#: Chunks of letters that compose with nothing and have one lower case, digits and ASCII marks; others go to the tokenizer itself.
+_SIMPLE = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]*")
+#: The pattern of _SPLIT, for such chunks in lower case.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\U0010ffff]+|[0-9]|[^a-z0-9\x80-\U0010ffff]+")
+#: What a tokenizer must do before its merges for chunks to be encoded one by one.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in shown else next(others)) for b in range(256)]
+
+
+class _Kept:
+    """What has been encoded; when there is no more room, what was not asked for since the last time goes."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, asked: set[str]) -> set[str]:
+        """Those that have to be encoded; the others are there from now on."""
+        if len(self.now) >= KEPT:
+            self.before, self.now = {k: v for k, v in self.now.items() if len(k) <= KEPT_CHARS}, {}
+        asked = asked.difference(self.now)
+        for key in asked.intersection(self.before) if self.before else ():
+            self.now[key] = self.before[key]
+        return asked.difference(self.before)
+
+
 class _Encoder:
-    """Texts to ids, unsigned 32-bit little-endian, as tokenizers would encode each as a whole, without special tokens."""
+    """Texts to ids, unsigned 32-bit little-endian, as tokenizers would encode each as a whole, without special tokens.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    Where the tokenizer splits at white space and at the ends of words, the distinct chunks of some texts, and the words in
+    them, are encoded once and looked up from then on, as long as there is room; any other tokenizer encodes whole texts.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = self.merges.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            read = json.load(f)
+        normal, split = (read.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+        suffix = read["model"].get("end_of_word_suffix")
+        self.by_chunk = normal.get("normalizers") == _NORMAL and split.get("pretokenizers") == _SPLIT and bool(suffix)
+        if self.by_chunk:
+            # Words that are normal and split already need only the merges; each ends in a piece that says so.
+            self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(self.merges.get_vocab_size(), bool)
+            self.ends[[i for piece, i in self.merges.get_vocab().items() if piece.endswith(suffix)]] = True
+        self.letters, self.chunks, self.words = _letters(), _Kept(), _Kept()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = (self.tokenizer.encode_batch_fast(texts[at : at + 1_000], add_special_tokens=False) for at in range(0, len(texts), 1_000))
+        return [np.array(e.ids, "<u4").tobytes() for part in found for e in part]
+
+    def _merged(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words that are in lower case and parts of their own."""
+        for at in range(0, len(words), 500):
+            shown = [w if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in words[at : at + 500]]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(shown):
+                raise ValueError("the tokenizer's words don't end where they should")
+            data = ids.tobytes()
+            yield from (data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_chunk:
+            return self._whole([t or "" for t in texts])
         # Only blanks that every tokenizer of words takes for white space cut here; others stay inside chunks.
         rows = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > KEPT_CHUNKS:
-            self.known = {"": b""}
-        new = [c for c in set().union(*rows) if c not in self.known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for chunk, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(found.ids, "<u4").tobytes()
-        encoded = [b"".join(map(self.known.__getitem__, row)) for row in rows]
-        for chunk in new:
-            if len(chunk) > KEPT_CHARS:
-                del self.known[chunk]
-        return encoded
+        new = self.chunks.missing(set().union(*rows))
+        simple = {c: [c.lower()] if c.isalpha() else _PARTS.findall(c.lower()) for c in new if _SIMPLE.fullmatch(c)}
+        words = list(self.words.missing({w for parts in simple.values() for w in parts}))
+        self.words.now.update(zip(words, self._merged(words), strict=True))
+        self.chunks.now.update((c, b"".join(map(self.words.now.__getitem__, parts))) for c, parts in simple.items())
+        odd = [c for c in new if c not in simple]
+        self.chunks.now.update(zip(odd, self._whole(odd), strict=True))
+        return [b"".join(map(self.chunks.now.__getitem__, row)) for row in rows]
+
+
+@functools.cache
+def _encoder(path: str) -> _Encoder:
+    """One for each worker, which its tasks share."""
+    return _Encoder(path)
 
 
 def _cut(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
@@ -66,7 +138,7 @@ def _cut(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode, base, n = _Encoder(path), TaskContext.get().partitionId() << BITS, 0
+        encode, base, n = _encoder(path), TaskContext.get().partitionId() << BITS, 0
         last = np.array([end], "<u4").tobytes()
         for batch in common.pieces(batches, "text", 2 << 20):
             of, columns = [], [[] for _ in kinds]
