@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import html, links, rules, text
-from vellum.operators import evergreen, length, seo, sources, structure, typography
+from vellum.operators import evergreen, length, seo, services, sources, structure, typography
 from vellum.plans import evaluate
 
 REQUEST = (
@@ -409,4 +409,4 @@ def test_evergreen_prompt_and_model(spark):
     df = spark.createDataFrame([("body", [("year", "2020")])], "c string, r array<struct<type:string,value:string>>")
     asked = df.select(evergreen.prompt("Read {{CONTENT}} with {{TEMPORAL_SIGNALS}}", F.col("c"), F.col("r")).alias("prompt"))
     assert asked.first().prompt == 'Read body with [{"type":"year","value":"2020"}]'
-    assert evergreen.ask(asked, lambda prompts: [p.upper() for p in prompts]).first().llm_raw_response.startswith("READ BODY")
+    assert services.ask(asked, lambda prompts: [p.upper() for p in prompts]).first().llm_raw_response.startswith("READ BODY")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,23 +57,10 @@ def prompt(template: str, content: Column, references: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{{CONTENT}}"), content), F.lit("{{TEMPORAL_SIGNALS}}"), F.to_json(references))
 
 
-def ask(df: DataFrame, model: Callable[[list[str]], list[str]], prompt_column: str = "prompt", column: str = "llm_raw_response") -> DataFrame:
-    """df with the model's replies; model(prompts) -> replies is the caller's, called for one Arrow batch at a time."""
-    kind = pa.schema([("reply", pa.string())])
-    schema = df.withColumn(column, F.lit(None).cast("string")).schema
+def judge(df: DataFrame, reply: str = "llm_raw_response", column: str = "evergreen", failure: str = "llm_error") -> DataFrame:
+    """df (llm_raw_response, evergreen_required, locale, maybe llm_error and parse_error) -> also `evergreen`: status, score, findings, error.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = batch.column(batch.schema.get_field_index(prompt_column)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model(asked), kind.field(0).type)], [*batch.schema.names, column])
-
-    return df.mapInArrow(run, schema)
-
-
-def judge(df: DataFrame, reply: str = "llm_raw_response", column: str = "evergreen") -> DataFrame:
-    """df (llm_raw_response, evergreen_required, locale) -> also `evergreen`: status, score, findings, error.
-
-    The reply's outermost braces hold JSON, fenced or not. A reply without it or without a score is an error result that
+    Replies come from services.ask(), whose failures are an error result as well. The reply's outermost braces hold JSON, fenced or not. A reply without it or without a score is an error result that
     fails; a failure is only a warning where evergreen content isn't required.
     """
     raw = F.regexp_extract(F.coalesce(F.col(reply), F.lit("")), r"(?s)\{.*\}", 0)
@@ -94,10 +80,15 @@ def judge(df: DataFrame, reply: str = "llm_raw_response", column: str = "evergre
     )
     locale = F.col("locale")
     error = F.when(F.col("evergreen_required").isNull(), "missing_evergreen").when(F.coalesce(F.trim(locale), F.lit("")) == "", "missing_locale").when(~locale.isin(*rules.EVERGREEN_LOCALES), "unsupported_locale")
+    if "parse_error" in df.columns:
+        error = F.coalesce(error, F.col("parse_error"))
     ok = error.isNull()
     status = F.when(~present, "fail").when(score >= 70, "pass").when(score >= 50, "warn").otherwise("fail")
     eased = F.when(present & (status == "fail") & ~F.col("evergreen_required"), "warn").otherwise(status)
-    failed = F.array(text.finding("evergreen.llm_error", "major", "The language model's reply could not be read."))
+    reason = F.when(parsed.isNull(), "the reply holds no JSON object").otherwise("the reply holds no score_global_evergreen")
+    if failure in df.columns:
+        reason = F.coalesce(F.col(failure), reason)
+    failed = F.array(text.finding("evergreen.llm_error", "major", "The language model's reply could not be read.", error=reason))
     result = F.struct(
         F.when(ok, eased).alias("status"), F.when(ok, F.when(present, score).otherwise(0)).alias("score"),
         F.when(ok, F.when(present, found).otherwise(failed)).otherwise(F.array().cast(f"array<{text.FINDING}>")).alias("findings"), error.alias("error"),

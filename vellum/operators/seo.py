@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import html, rules, text
+from vellum.operators import services
 
 #: An encoder turns a column of texts (an array of strings) into an array of vectors of the same length.
 Encoder = Callable[[Column], Column]
@@ -129,8 +130,8 @@ def _band(x: Column, limits: tuple, values: tuple) -> Column:
     return out.otherwise(values[-1])
 
 
-def overoptimization(matches: Column, words: Column) -> Column:
-    """Density, concentration, repetition and risk from the number of matching sentences of each paragraph."""
+def overoptimization(matches: Column, words: Column, only_near: Column | None = None) -> Column:
+    """Density, concentration, repetition and risk from the number of matching sentences of each paragraph; `only_near` is how many match by meaning alone."""
     total = F.aggregate(matches, F.lit(0), lambda s, n: s + n)
     density = F.bround(total / words, 4)
     d = F.when(words <= 0, 100).otherwise(_band(total / words, (0.025, 0.045, 0.065), (100, 75, 45, 20)))
@@ -144,7 +145,7 @@ def overoptimization(matches: Column, words: Column) -> Column:
     return F.struct(
         total.alias("occurrences"), F.when(words > 0, density).otherwise(0.0).alias("density"), F.when(words <= 0, "none").otherwise(level(d)).alias("density_level"), d.alias("density_score"),
         F.size(F.filter(matches, lambda n: n > 0)).alias("paragraphs_with_matches"), F.bround(ratio, 4).alias("concentration_ratio"), F.when(total <= 0, "none").otherwise(level(c)).alias("concentration_level"), c.alias("concentration_score"),
-        most.alias("max_local_repetition"), level(r).alias("local_repetition_level"), r.alias("local_score"), score.alias("score"), risk.alias("risk"), (total > 0).alias("applicable"),
+        most.alias("max_local_repetition"), level(r).alias("local_repetition_level"), r.alias("local_score"), score.alias("score"), risk.alias("risk"), (total > 0).alias("applicable"), F.coalesce(F.lit(0) if only_near is None else only_near, F.lit(0)).alias("only_near"),
     )
 
 
@@ -162,7 +163,7 @@ def resolution_error() -> Column:
 
 def judge(
     df: DataFrame,
-    encoder: Encoder | None = None,
+    encoder: Encoder | services.Encoder | services.VectorTable | None = None,
     column: str = "seo",
     page: str | None = None,
     chunk_words: int = rules.CHUNK_WORDS,
@@ -172,8 +173,9 @@ def judge(
     """df (content, content_type, expected_length, funnel_stage, main_keyword, secondary_keywords, long_tail_keywords)
     -> also `seo`: status, score, findings, error; `seo_scores`, its parts; and `seo_signals`, what they rest on.
 
-    The encoder is called once for a row, with the keyword, the chunks and the sentences. Without one, or where it gives
-    null, nothing semantic is available: the semantic score is 0 and over-optimisation not applicable.
+    A table-wide encoder (see services) encodes each distinct text of all rows once: keywords, chunks and sentences; a
+    column function is called once for each row. Without an encoder, or where one of a row's texts has no vector, nothing
+    semantic is available there: the semantic score is 0 and over-optimisation not applicable.
     """
     simple = (F.col("funnel_stage") == "AWARENESS") & (F.col("expected_length") == "SIMPLE")
     own = df.withColumn("_long", F.col("long_tail_keywords")).withColumn("long_tail_keywords", F.when(simple, F.array().cast("array<string>")).otherwise(F.col("long_tail_keywords")))
@@ -184,18 +186,21 @@ def judge(
     sentences = F.flatten(F.transform("_paragraphs", lambda p: F.transform(p["sentences"], lambda s: F.struct(p["paragraph_id"].alias("p"), s["text"].alias("text"), s["exact"].alias("exact")))))
     own = own.withColumns({"_sentences": sentences, "_chunks": text.chunks(semantic_text(lex), chunk_words, chunk_overlap)})
     vectors = F.lit(None).cast("array<array<double>>")
+    asked = None
     if encoder is not None:
         asked = F.concat(F.array(lex["keyword"]), F.transform("_chunks", lambda c: c["text"]), F.transform("_sentences", lambda s: s["text"]))
         # An array of one, taken apart again: the optimizer leaves that where it is, so the encoder gets a plain column.
         own = own.withColumn("_asked", F.explode(F.array(asked)))
-        vectors = encoder(F.col("_asked"))
-    own = own.withColumn("_vectors", vectors)
+    if isinstance(encoder, (services.Encoder, services.VectorTable)):
+        own = services.embed(own, "_asked", encoder, "_vectors", "_unavailable")
+    else:
+        own = own.withColumns({"_vectors": vectors if encoder is None else encoder(F.col("_asked")), "_unavailable": F.lit(None).cast("string")})
     # The keyword's closeness to each chunk, then to each sentence.
     own = own.withColumn("_near", F.transform(F.slice("_vectors", F.lit(2), F.greatest(F.size("_vectors") - 1, F.lit(0))), lambda v: cosine(F.get("_vectors", F.lit(0)), v)))
     ranked = F.zip_with("_chunks", F.slice("_near", F.lit(1), F.size("_chunks")), lambda c, s: F.struct(s.alias("similarity"), (-c["chunk_id"]).alias("later"), c.alias("chunk")))
     best = F.transform(F.slice(F.sort_array(ranked, False), 1, top_chunks), lambda x: F.struct(x["chunk"].alias("chunk"), x["similarity"].alias("similarity")))
     spoken = F.slice("_near", F.size("_chunks") + 1, F.size("_sentences"))
-    hits = F.zip_with("_sentences", spoken, lambda e, s: F.struct(e["p"].alias("p"), s.alias("similarity"), (e["exact"] | (s >= rules.SENTENCE_SIMILARITY)).alias("hit")))
+    hits = F.zip_with("_sentences", spoken, lambda e, s: F.struct(e["p"].alias("p"), s.alias("similarity"), (e["exact"] | (s >= rules.SENTENCE_SIMILARITY)).alias("hit"), (~e["exact"] & (s >= rules.SENTENCE_SIMILARITY)).alias("only_near")))
     # Without chunks or sentences there is nothing to ask for, so nothing that is unavailable.
     own = own.withColumns({
         "_available": F.col("_vectors").isNotNull() | (F.size("_chunks") == 0), "_spoken": F.col("_vectors").isNotNull() | (F.size("_sentences") == 0),
@@ -208,7 +213,7 @@ def judge(
     own = own.withColumn("_matches", F.when(F.col("_hits").isNull(), F.transform("_paragraphs", lambda p: F.lit(0))).otherwise(F.col("_matches")))
     total = F.aggregate("_paragraphs", F.lit(0), lambda s, p: s + p["word_count"])
     own = own.withColumn("_words", F.coalesce(F.nullif(total, F.lit(0)), text.word_count(lex["body_text"])))
-    own = own.withColumn("_over", overoptimization(F.col("_matches"), F.col("_words")))
+    own = own.withColumn("_over", overoptimization(F.col("_matches"), F.col("_words"), F.size(F.filter("_hits", lambda h: h["only_near"]))))
     over, n = F.col("_over"), lex["body"]
     semantic = weighted_score(F.col("_similar"))
     own = own.withColumn("_semantic", F.when(n == 0, F.least(semantic, F.lit(40))).otherwise(F.least(F.greatest(semantic, F.lit(0)), F.lit(100))))
@@ -233,8 +238,8 @@ def judge(
         (emphasis, f("seo.formatting_constraints", "minor", "Keywords are emphasised.", count=F.size(lex["emphasis"])), F.lit(10)),
     )
     unavailable = (
-        (~F.col("_available"), f("seo.semantic_unavailable", "minor", "Semantic closeness could not be measured.")),
-        (~F.col("_spoken"), f("seo.overoptimization_semantic_unavailable", "minor", "Semantic over-optimisation could not be measured.")),
+        (~F.col("_available"), f("seo.semantic_unavailable", "minor", "Semantic closeness could not be measured.", error=F.col("_unavailable"))),
+        (~F.col("_spoken"), f("seo.overoptimization_semantic_unavailable", "minor", "Semantic over-optimisation could not be measured.", error=F.col("_unavailable"))),
     )
     own = own.withColumn("_judged", text.findings(*((c, x) for c, x, _ in checks)))
     penalty = sum((F.when(c, p).otherwise(0) for c, _, p in checks), F.lit(0))

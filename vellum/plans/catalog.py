@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import html, links, rules, text
-from vellum.operators import evergreen, length, seo, sources, structure, typography
+from vellum.operators import evergreen, length, seo, services, sources, structure, typography
 from vellum.plans import corpus, evaluate
 from vellum.sources import company_export
 
@@ -428,6 +428,42 @@ def q37_seo_judge(spark: SparkSession, sf_dir: str, articles: Articles = corpus.
     return rows.select("content_id", "seo.status", "seo.score", "seo_scores.lexical", _joined(F.col("seo.findings.rule_id")).alias("rules"))
 
 
+# A text of odd length, as the keyword is, has the keyword's vector; any other that whose number is its length modulo the number of vectors.
+_VECTOR = "SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v, vec_id FROM embeddings"
+_KEYED = "CASE WHEN length({x}) % 2 = 1 THEN 3 ELSE length({x}) % (SELECT count(*) FROM embeddings) END"
+_OVER = f"0.40::DOUBLE * {_BANDS.format(x='hits / words', a=0.025, b=0.045, c=0.065)} + 0.35::DOUBLE * CASE WHEN spread >= 0.75 THEN 100 WHEN spread >= 0.5 THEN 75 WHEN spread >= 0.25 THEN 45 ELSE 20 END + 0.25::DOUBLE * {_BANDS.format(x='most', a=1, b=2, c=3)}"
+
+
+@_query(f"""
+    WITH vectors AS ({_VECTOR}), keyword AS (SELECT v AS kv FROM vectors WHERE vec_id = {_KEYED.format(x="'the'")}),
+    parts AS (SELECT content_id, 0 AS "at", intro AS txt FROM ({_ART}) WHERE intro <> ''
+              UNION ALL SELECT content_id, "at", CASE WHEN h2 = '' THEN '' ELSE concat(h2, '. ') END || section FROM ({_SECTION_ROWS}) WHERE "at" < 4 AND section <> ''),
+    words AS (SELECT content_id, list_filter(string_split(coalesce(p.txt, {_BODY}), ' '), lambda x: x <> '') AS w
+              FROM ({_ART}) LEFT JOIN (SELECT content_id, string_agg(txt, ' ' ORDER BY "at") AS txt FROM parts GROUP BY content_id) p USING (content_id)),
+    chunks AS (SELECT content_id, i, array_to_string(w[i * 112 + 1 : i * 112 + 128], ' ') AS txt FROM (SELECT *, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 17, 0) // 112 + 1 END)) AS i FROM words)),
+    ranked AS (SELECT content_id, s, row_number() OVER (PARTITION BY content_id ORDER BY s DESC, i) AS r
+               FROM (SELECT content_id, i, list_cosine_similarity(kv, v) AS s FROM chunks JOIN vectors ON vec_id = {_KEYED.format(x="txt")}, keyword)),
+    closeness AS (SELECT content_id, max(s) AS best, round_even(100 * sum(s * [0.60::DOUBLE, 0.25, 0.15][r]) / sum([0.60::DOUBLE, 0.25, 0.15][r]), 0)::INT AS semantic FROM ranked WHERE r <= 3 GROUP BY content_id),
+    sentences AS (SELECT content_id, p, unnest({_SENTENCES}) AS s FROM (SELECT content_id, txt, row_number() OVER () AS p FROM ({_PARAGRAPHS}))),
+    spoken AS (SELECT content_id, p, s, {_count_sql("s", "the")} > 0 AS exact, list_cosine_similarity(kv, v) >= 0.75 AS near FROM sentences JOIN vectors ON vec_id = {_KEYED.format(x="s")}, keyword),
+    counted AS (SELECT content_id, sum(m) AS hits, sum(only_near) AS only_near, count(*) FILTER (m > 0) / nullif(sum(m), 0)::DOUBLE AS spread, max(m) AS most
+                FROM (SELECT content_id, p, count(*) FILTER (exact OR near) AS m, count(*) FILTER (near AND NOT exact) AS only_near FROM spoken GROUP BY content_id, p) GROUP BY content_id),
+    sized AS (SELECT content_id, sum(len(string_split(txt, ' ')))::DOUBLE AS words FROM ({_PARAGRAPHS}) GROUP BY content_id)
+    SELECT content_id, round(best, 6) AS best_similarity, CASE WHEN n = 0 THEN least(semantic, 40) ELSE least(greatest(semantic, 0), 100) END::INT AS semantic,
+           CASE WHEN n = 0 THEN 'none' WHEN semantic >= 75 THEN 'strong' WHEN semantic >= 60 THEN 'medium' ELSE 'none' END AS compensation,
+           hits::INT AS occurrences, only_near::INT AS only_near, over_score::INT AS overoptimization,
+           CASE WHEN hits = 0 THEN 'not_applicable' WHEN over_score >= 85 THEN 'low' WHEN over_score >= 70 THEN 'medium_low' WHEN over_score >= 50 THEN 'medium_high' ELSE 'high' END AS risk
+    FROM (SELECT *, CASE WHEN hits = 0 THEN 100 ELSE round_even({_OVER}, 0) END AS over_score FROM (SELECT content_id, {_count_sql(_BODY, 'the')} AS n FROM ({_ART})) JOIN closeness USING (content_id) JOIN counted USING (content_id) JOIN sized USING (content_id))
+""")
+def q44_semantic_signals(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
+    """Closeness of chunks and sentences to the keyword, each distinct text of the table having one of the table's vectors."""
+    table = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    n = table.count()
+    rows = seo.judge(_seo_rows(spark, sf_dir, articles), services.VectorTable(table, lambda t: F.when(F.length(t) % 2 == 1, 3).otherwise(F.length(t) % n)))
+    signals = rows.select("content_id", "seo_scores.semantic", "seo_scores.overoptimization", F.col("seo_scores.overoptimization_risk").alias("risk"), F.col("seo_signals.semantic.best_similarity").alias("best"), F.col("seo_signals.compensation.level").alias("compensation"), F.col("seo_signals.overoptimization.occurrences").alias("occurrences"), F.col("seo_signals.overoptimization.only_near").alias("only_near"))
+    return signals.select("content_id", F.round("best", 6).alias("best_similarity"), "semantic", "compensation", "occurrences", "only_near", "overoptimization", "risk")
+
+
 _READ = "concat_ws(' ', intro, h_a, p_a, 'étude citée', h_b, p_b || dated, h_c, p_c, 'the', 'Conclusion', p_d)"
 _DATES = [("full_date", rules.FULL_DATE), ("year", rules.YEAR), ("month_year", rf"(?i)\b(?:{'|'.join(rules.MONTHS['fr'])})\s+(?:19|20)\d{{2}}\b")]
 _DATES += [(kind, rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])({x})(?:$|[^\p{{L}}\p{{N}}_])".replace("'", "''")) for kind, by in rules.EXPRESSIONS.items() for x in by["fr"]]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import html, rules, text
-from vellum.operators import length, seo, sources, structure, typography
+from vellum.operators import length, seo, services, sources, structure, typography
 from vellum.plans import scratch
 
 CONTEXT = (
@@ -62,7 +62,7 @@ def blocking(judge: Column, result: Column) -> Column:
     return F.when(result["status"] == "fail", found).otherwise(F.array().cast(f"array<{text.FINDING}>"))
 
 
-def judges(encoder: seo.Encoder | None = None, statuses: DataFrame | None = None, default_website: str = "", key: str = "evaluation_id", page: str | None = None, raw_page: str | None = None) -> dict[str, Callable[[DataFrame], DataFrame]]:
+def judges(encoder: seo.Encoder | services.Encoder | services.VectorTable | None = None, statuses: DataFrame | None = None, default_website: str = "", key: str = "evaluation_id", page: str | None = None, raw_page: str | None = None) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """The judges by name: each adds a column of its name to rows of a unique key, content and context.
 
     `page` and `raw_page` name columns that hold the content, unescaped and as it is, parsed already.
@@ -79,7 +79,7 @@ def judges(encoder: seo.Encoder | None = None, statuses: DataFrame | None = None
     return {"length": counted, "typography": typography.judge, "seo": lambda df: seo.judge(df, encoder, page=raw_page), "structure": lambda df: structure.judge(df, page=raw_page), "sources": linked}
 
 
-def evaluate(requests: DataFrame, encoder: seo.Encoder | None = None, statuses: DataFrame | None = None, default_website: str = "") -> DataFrame:
+def evaluate(requests: DataFrame, encoder: seo.Encoder | services.Encoder | services.VectorTable | None = None, statuses: DataFrame | None = None, default_website: str = "") -> DataFrame:
     """requests (request_id, content, enabled_judges, context columns, maybe profile) -> evaluation_id, status, score, summary, results, errors, metadata.
 
     One report for each row, complete and without a score of its own. A context that a judge can't use becomes a technical
