@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from vellum.functions import html, rules, text
+from vellum.functions.settings import Settings
 
 _KIND = pa.struct([
     ("value", pa.string()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.string()),
@@ -57,12 +58,14 @@ def prompt(template: str, content: Column, references: Column) -> Column:
     return F.replace(F.replace(F.lit(template), F.lit("{{CONTENT}}"), content), F.lit("{{TEMPORAL_SIGNALS}}"), F.to_json(references))
 
 
-def judge(df: DataFrame, reply: str = "llm_raw_response", column: str = "evergreen", failure: str = "llm_error") -> DataFrame:
+def judge(df: DataFrame, reply: str = "llm_raw_response", column: str = "evergreen", failure: str = "llm_error", settings: str | None = None) -> DataFrame:
     """df (llm_raw_response, evergreen_required, locale, maybe llm_error and parse_error) -> also `evergreen`: status, score, findings, error.
 
-    Replies come from services.ask(), whose failures are an error result as well. The reply's outermost braces hold JSON, fenced or not. A reply without it or without a score is an error result that
+    Replies come from services.ask(), whose failures are an error result as well. `settings` names a map
+    column of rules that change the scores that pass and the severity of an error. The reply's outermost braces hold JSON, fenced or not. A reply without it or without a score is an error result that
     fails; a failure is only a warning where evergreen content isn't required.
     """
+    own = Settings(settings)
     raw = F.regexp_extract(F.coalesce(F.col(reply), F.lit("")), r"(?s)\{.*\}", 0)
     parsed = F.try_parse_json(F.nullif(raw, F.lit("")))
     whole = F.get_json_object(raw, "$.score_global_evergreen")
@@ -83,12 +86,12 @@ def judge(df: DataFrame, reply: str = "llm_raw_response", column: str = "evergre
     if "parse_error" in df.columns:
         error = F.coalesce(error, F.col("parse_error"))
     ok = error.isNull()
-    status = F.when(~present, "fail").when(score >= 70, "pass").when(score >= 50, "warn").otherwise("fail")
+    status = F.when(~present, "fail").when(score >= own.number("evergreen.pass_score"), "pass").when(score >= own.number("evergreen.warn_score"), "warn").otherwise("fail")
     eased = F.when(present & (status == "fail") & ~F.col("evergreen_required"), "warn").otherwise(status)
     reason = F.when(parsed.isNull(), "the reply holds no JSON object").otherwise("the reply holds no score_global_evergreen")
     if failure in df.columns:
         reason = F.coalesce(F.col(failure), reason)
-    failed = F.array(text.finding("evergreen.llm_error", "major", "The language model's reply could not be read.", error=reason))
+    failed = F.array(text.finding("evergreen.llm_error", own.severity("evergreen.llm_error"), "The language model's reply could not be read.", error=reason))
     result = F.struct(
         F.when(ok, eased).alias("status"), F.when(ok, F.when(present, score).otherwise(0)).alias("score"),
         F.when(ok, F.when(present, found).otherwise(failed)).otherwise(F.array().cast(f"array<{text.FINDING}>")).alias("findings"), error.alias("error"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import rules, text
+from vellum.functions.settings import Settings
 
 
 Ranges = dict[str, dict[str, tuple[int, int | None]]]
@@ -29,22 +30,30 @@ def resolution_error(content_type: Column, expected_length: Column, table: Range
     )
 
 
-def judge(df: DataFrame, tolerance_pct: float = rules.LENGTH_TOLERANCE_PCT, column: str = "length", ranges_by_type: Ranges = rules.LENGTH_RANGES) -> DataFrame:
+def judge(df: DataFrame, tolerance_pct: float = rules.LENGTH_TOLERANCE_PCT, column: str = "length", ranges_by_type: Ranges = rules.LENGTH_RANGES, settings: str | None = None) -> DataFrame:
     """df (word_count, content_type, expected_length) -> also `length`: status, score, findings, error; and `length_rule`, the range applied.
 
     Bounds are inclusive after the tolerance. Rows whose context has no rule, and those with a parse_error if there is such a
-    column, carry an error instead of a result.
+    column, carry an error instead of a result. `settings` names a map column of rules that change ranges, tolerance,
+    severities and switches.
     """
+    own = Settings(settings)
+    key = lambda end: F.concat_ws(".", F.lit("length.ranges"), "content_type", "expected_length", F.lit(end))
     table = F.broadcast(ranges(df.sparkSession, ranges_by_type).withColumnsRenamed({"content_type": "_type", "expected_length": "_length"}))
     joined = df.join(table, (df.content_type == table._type) & (df.expected_length == table._length), "left").drop("_type", "_length")
-    least = (F.col("min_words") * F.lit(1 - tolerance_pct / 100.0)).cast("int")
-    most = (F.col("max_words") * F.lit(1 + tolerance_pct / 100.0)).cast("int")
+    if settings is None:
+        below, above = F.lit(1 - tolerance_pct / 100.0), F.lit(1 + tolerance_pct / 100.0)
+    else:
+        joined = joined.withColumns({"min_words": F.coalesce(own.limit(key("min"), F.col("min_words")), F.lit(0)), "max_words": own.limit(key("max"), F.col("max_words"))})
+        below, above = 1 - own.number("length.tolerance_pct") / 100.0, 1 + own.number("length.tolerance_pct") / 100.0
+    least = (F.col("min_words") * below).cast("int")
+    most = (F.col("max_words") * above).cast("int")
     n = F.col("word_count")
     proof = {"word_count": n, "tolerated_min": least, "tolerated_max": most}
-    short, long = n < least, most.isNotNull() & (n > most)
+    short, long = (n < least) & own.enabled("length.too_short"), most.isNotNull() & (n > most) & own.enabled("length.too_long")
     found = (
-        F.when(short, text.finding("length.too_short", "major", "The text has fewer words than the tolerated range allows.", **proof))
-        .when(long, text.finding("length.too_long", "major", "The text has more words than the tolerated range allows.", **proof))
+        F.when(short, text.finding("length.too_short", own.severity("length.too_short"), "The text has fewer words than the tolerated range allows.", **proof))
+        .when(long, text.finding("length.too_long", own.severity("length.too_long"), "The text has more words than the tolerated range allows.", **proof))
         .otherwise(text.finding("length.valid", "info", "The number of words lies in the tolerated range.", **proof))
     )
     error = resolution_error(F.col("content_type"), F.col("expected_length"), ranges_by_type)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import html, rules, text
+from vellum.functions.settings import RULES, Settings
 from vellum.operators import services
 
 #: An encoder turns a column of texts (an array of strings) into an array of vectors of the same length.
@@ -169,14 +170,17 @@ def judge(
     chunk_words: int = rules.CHUNK_WORDS,
     chunk_overlap: int = rules.CHUNK_OVERLAP,
     top_chunks: int = rules.TOP_CHUNKS,
+    settings: str | None = None,
 ) -> DataFrame:
     """df (content, content_type, expected_length, funnel_stage, main_keyword, secondary_keywords, long_tail_keywords)
     -> also `seo`: status, score, findings, error; `seo_scores`, its parts; and `seo_signals`, what they rest on.
 
     A table-wide encoder (see services) encodes each distinct text of all rows once: keywords, chunks and sentences; a
     column function is called once for each row. Without an encoder, or where one of a row's texts has no vector, nothing
-    semantic is available there: the semantic score is 0 and over-optimisation not applicable.
+    semantic is available there: the semantic score is 0 and over-optimisation not applicable. `settings` names a map column
+    of rules that change severities, switches, numbers of occurrences and the scores that pass.
     """
+    rule = Settings(settings)
     simple = (F.col("funnel_stage") == "AWARENESS") & (F.col("expected_length") == "SIMPLE")
     own = df.withColumn("_long", F.col("long_tail_keywords")).withColumn("long_tail_keywords", F.when(simple, F.array().cast("array<string>")).otherwise(F.col("long_tail_keywords")))
     own = lexical(own, page=page)
@@ -219,7 +223,9 @@ def judge(
     own = own.withColumn("_semantic", F.when(n == 0, F.least(semantic, F.lit(40))).otherwise(F.least(F.greatest(semantic, F.lit(0)), F.lit(100))))
     reduction = F.when(n == 0, 0).when(semantic >= 75, 10).when(semantic >= 60, 5).otherwise(0)
     quiz = F.col("content_type") == "quiz"
-    bound = lambda i: F.when(quiz, F.lit(rules.QUIZ_OCCURRENCES[i]).cast("int")).otherwise(F.coalesce(*(F.when(F.col("expected_length") == k, F.lit(v[i]).cast("int")) for k, v in rules.OCCURRENCES.items())))
+    kind = F.when(quiz, "quiz").otherwise(F.col("expected_length"))
+    fixed = lambda i: F.when(quiz, F.lit(rules.QUIZ_OCCURRENCES[i]).cast("int")).otherwise(F.coalesce(*(F.when(F.col("expected_length") == k, F.lit(v[i]).cast("int")) for k, v in rules.OCCURRENCES.items())))
+    bound = lambda i: rule.limit(F.concat(F.lit("seo.occurrences."), kind, F.lit((".min", ".max", ".main_min")[i])), fixed(i))
     below = F.coalesce(n < bound(0), F.lit(False)) | F.coalesce(n < bound(2), F.lit(False))
     above = F.coalesce(n > bound(1), F.lit(False))
     missing = F.filter(F.array(
@@ -230,13 +236,14 @@ def judge(
     emphasis = (F.size(lex["emphasis"]) > 0) & ~quiz
     f = text.finding
     checks = (
-        (n == 0, f("seo.main_keyword_presence", "major", "The main keyword doesn't stand in the text.", keyword=F.col("main_keyword")), F.lit(25)),
-        (F.size(missing) > 0, f("seo.main_keyword_locations", "major", "The main keyword is missing where it is required.", locations=missing), F.lit(20)),
-        (below | above, f("seo.keyword_occurrences", F.when((reduction > 0) & ~above, "minor").otherwise("major"), "The main keyword occurs too rarely or too often.", occurrences=n, least=bound(0), most=bound(1)), F.greatest(15 - reduction, F.lit(5))),
-        (uneven, f("seo.keyword_distribution", "minor", "Keywords are spread unevenly over the sections.", concentrated=lex["concentrated"], sections=gaps), F.greatest(8 - reduction, F.lit(0))),
-        (over["risk"].isin("medium_high", "high"), f("seo.over_optimization", "major", "The text repeats the keyword too much.", risk=over["risk"], score=over["score"]), F.when(over["risk"] == "high", 20).otherwise(10)),
-        (emphasis, f("seo.formatting_constraints", "minor", "Keywords are emphasised.", count=F.size(lex["emphasis"])), F.lit(10)),
+        (n == 0, f("seo.main_keyword_presence", rule.severity("seo.main_keyword_presence"), "The main keyword doesn't stand in the text.", keyword=F.col("main_keyword")), F.lit(25)),
+        (F.size(missing) > 0, f("seo.main_keyword_locations", rule.severity("seo.main_keyword_locations"), "The main keyword is missing where it is required.", locations=missing), F.lit(20)),
+        (below | above, f("seo.keyword_occurrences", rule.severity("seo.keyword_occurrences", F.when((reduction > 0) & ~above, "minor").otherwise("major")), "The main keyword occurs too rarely or too often.", occurrences=n, least=bound(0), most=bound(1)), F.greatest(15 - reduction, F.lit(5))),
+        (uneven, f("seo.keyword_distribution", rule.severity("seo.keyword_distribution"), "Keywords are spread unevenly over the sections.", concentrated=lex["concentrated"], sections=gaps), F.greatest(8 - reduction, F.lit(0))),
+        (over["risk"].isin("medium_high", "high"), f("seo.over_optimization", rule.severity("seo.over_optimization"), "The text repeats the keyword too much.", risk=over["risk"], score=over["score"]), F.when(over["risk"] == "high", 20).otherwise(10)),
+        (emphasis, f("seo.formatting_constraints", rule.severity("seo.formatting_constraints"), "Keywords are emphasised.", count=F.size(lex["emphasis"])), F.lit(10)),
     )
+    checks = tuple((c & rule.enabled(f"seo.{name}"), x, p) for name, (c, x, p) in zip(RULES["seo"], checks, strict=True))
     unavailable = (
         (~F.col("_available"), f("seo.semantic_unavailable", "minor", "Semantic closeness could not be measured.", error=F.col("_unavailable"))),
         (~F.col("_spoken"), f("seo.overoptimization_semantic_unavailable", "minor", "Semantic over-optimisation could not be measured.", error=F.col("_unavailable"))),
@@ -249,7 +256,7 @@ def judge(
     own = own.withColumn("_score", score)
     error = F.coalesce(resolution_error(), lex["parse_error"])
     ok = error.isNull()
-    status = F.when(n == 0, "fail").when((F.col("_score") >= 85) & (F.size("_judged") == 0), "pass").when(F.col("_score") >= 60, "warn").otherwise("fail")
+    status = F.when(n == 0, "fail").when((F.col("_score") >= rule.number("seo.pass_score")) & (F.size("_judged") == 0), "pass").when(F.col("_score") >= rule.number("seo.warn_score"), "warn").otherwise("fail")
     result = F.struct(
         F.when(ok, status).alias("status"), F.when(ok, F.col("_score")).alias("score"),
         F.when(ok, F.concat(text.findings(*unavailable), F.col("_judged"))).otherwise(F.array().cast(f"array<{text.FINDING}>")).alias("findings"),

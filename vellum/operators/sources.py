@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import html, links, rules, text
+from vellum.functions.settings import Settings
 
 #: method, URL, seconds -> status code
 Request = Callable[[str, str, float], int]
@@ -128,12 +129,14 @@ def with_checks(df: DataFrame, key: str, statuses: DataFrame | None = None, enab
     return df.join(checked, key, "left").withColumn("url_checks", checks).drop("_c")
 
 
-def judge(df: DataFrame, column: str = "sources") -> DataFrame:
+def judge(df: DataFrame, column: str = "sources", settings: str | None = None) -> DataFrame:
     """df (links, raw_urls, markdown_links, attached_anchors, url_checks, content_type, expected_length, require_sources,
     organization_website) -> also `sources`: status, score, findings, error.
 
     Rows with a parse_error, if there is such a column, carry it as their error unless their context has one.
+    `settings` names a map column of rules that change severities, switches, numbers of references and the score of a warning.
     """
+    own = Settings(settings)
     all_links, checks = F.col("links"), F.col("url_checks")
     n = partitions(all_links)
     external = F.filter(all_links, lambda x: x["is_external"])
@@ -141,43 +144,46 @@ def judge(df: DataFrame, column: str = "sources") -> DataFrame:
     required = F.coalesce(F.col("require_sources"), F.lit(False))
     sourced = (n["body_external_count"] > 0) | (n["complementary_count"] > 0)
     kind, length = F.trim("content_type"), F.trim("expected_length")
-    limit = lambda i: F.coalesce(*(F.when(length == k, F.lit(v[i]).cast("int")) for k, v in rules.REFERENCE_LIMITS.items()))
+    fixed = lambda i: F.coalesce(*(F.when(length == k, F.lit(v[i]).cast("int")) for k, v in rules.REFERENCE_LIMITS.items()))
+    limit = lambda i: own.limit(F.concat(F.lit("sources.references."), length, F.lit((".max", ".min")[i])), fixed(i))
     some, most, least = n["external_count"] > 0, limit(0), limit(1)
     f = text.finding
     counts = {"external_links": n["external_count"]}
     whole = text.findings(
-        (kind.isin(*rules.FORBIDDEN_TYPES) & some, f("sources.content_type_policy", "major", "This content type must not link to other sites.", content_type=kind, **counts)),
-        (kind.isin(*rules.CAUTION_TYPES) & some, f("sources.content_type_policy", "minor", "This content type should link to other sites with caution.", content_type=kind, **counts)),
-        ((F.coalesce(F.trim("organization_website"), F.lit("")) != "") & (F.size(away) > 0), f("sources.complementary_reading_policy", "major", "Complementary reading links to other sites.", links=F.transform(away, lambda x: x["href"]))),
-        (required & ~sourced, f("sources.real_and_accessible_sources", "major", "Sources are required and none is linked.", body_external=n["body_external_count"], complementary=n["complementary_count"])),
-        (most.isNotNull() & (n["external_count"] > most), f("sources.external_reference_count_by_length", "major", "There are more references than this length allows.", most=most, **counts)),
-        (required & least.isNotNull() & ~sourced, f("sources.external_reference_count_by_length", "minor", "There are fewer references than this length asks for.", least=least, **counts)),
-        (F.size("raw_urls") > 0, f("sources.no_raw_or_markdown_url", "major", "URLs stand bare in the text.", urls=F.col("raw_urls"))),
-        (F.size("markdown_links") > 0, f("sources.no_raw_or_markdown_url", "major", "Links are written in Markdown.", links=F.col("markdown_links"))),
-        (F.col("attached_anchors") > 0, f("sources.html_anchor_format", "minor", "Links are attached to the word before them.", count=F.col("attached_anchors"))),
+        (kind.isin(*rules.FORBIDDEN_TYPES) & some, f("sources.content_type_policy", own.severity("sources.content_type_policy", "major"), "This content type must not link to other sites.", content_type=kind, **counts)),
+        (kind.isin(*rules.CAUTION_TYPES) & some, f("sources.content_type_policy", own.severity("sources.content_type_policy", "minor"), "This content type should link to other sites with caution.", content_type=kind, **counts)),
+        ((F.coalesce(F.trim("organization_website"), F.lit("")) != "") & (F.size(away) > 0), f("sources.complementary_reading_policy", own.severity("sources.complementary_reading_policy", "major"), "Complementary reading links to other sites.", links=F.transform(away, lambda x: x["href"]))),
+        (required & ~sourced, f("sources.real_and_accessible_sources", own.severity("sources.real_and_accessible_sources", "major"), "Sources are required and none is linked.", body_external=n["body_external_count"], complementary=n["complementary_count"])),
+        (most.isNotNull() & (n["external_count"] > most), f("sources.external_reference_count_by_length", own.severity("sources.external_reference_count_by_length", "major"), "There are more references than this length allows.", most=most, **counts)),
+        (required & least.isNotNull() & ~sourced, f("sources.external_reference_count_by_length", own.severity("sources.external_reference_count_by_length", "minor"), "There are fewer references than this length asks for.", least=least, **counts)),
+        (F.size("raw_urls") > 0, f("sources.no_raw_or_markdown_url", own.severity("sources.no_raw_or_markdown_url", "major"), "URLs stand bare in the text.", urls=F.col("raw_urls"))),
+        (F.size("markdown_links") > 0, f("sources.no_raw_or_markdown_url", own.severity("sources.no_raw_or_markdown_url", "major"), "Links are written in Markdown.", links=F.col("markdown_links"))),
+        (F.col("attached_anchors") > 0, f("sources.html_anchor_format", own.severity("sources.html_anchor_format", "minor"), "Links are attached to the word before them.", count=F.col("attached_anchors"))),
     )
 
     def per_link(x: Column) -> Column:
         lacking = F.array_except(F.array(*map(F.lit, rules.REQUIRED_REL)), F.split(F.lower(x["rel"]), " ", -1))
         anchor = F.lower(F.trim(x["anchor_text"]))
         return text.findings(
-            ((x["target"] != rules.REQUIRED_TARGET) | (F.size(lacking) > 0), f("sources.html_anchor_format", "minor", "A link lacks the required target or rel.", href=x["href"], rel=x["rel"], target=x["target"])),
-            (anchor.isin("", *rules.FORBIDDEN_ANCHORS), f("sources.descriptive_anchor_text", "minor", "A link's text doesn't describe its target.", anchor_text=x["anchor_text"], href=x["href"])),
+            ((x["target"] != rules.REQUIRED_TARGET) | (F.size(lacking) > 0), f("sources.html_anchor_format", own.severity("sources.html_anchor_format", "minor"), "A link lacks the required target or rel.", href=x["href"], rel=x["rel"], target=x["target"])),
+            (anchor.isin("", *rules.FORBIDDEN_ANCHORS), f("sources.descriptive_anchor_text", own.severity("sources.descriptive_anchor_text", "minor"), "A link's text doesn't describe its target.", anchor_text=x["anchor_text"], href=x["href"])),
         )
 
     hrefs = F.transform(external, lambda x: x["href"])
     repeated = F.filter(F.array_distinct(hrefs), lambda h: F.size(F.filter(hrefs, lambda y: y == h)) > 1)
-    doubled = text.findings((F.size(repeated) > 0, f("sources.no_duplicate_links", "minor", "Other sites are linked more than once.", links=repeated)))
+    doubled = text.findings((F.size(repeated) > 0, f("sources.no_duplicate_links", own.severity("sources.no_duplicate_links", "minor"), "Other sites are linked more than once.", links=repeated)))
 
     def per_check(c: Column) -> Column:
         return text.findings(
-            (~c["is_valid_format"], f("sources.real_and_accessible_sources", "major", "A URL isn't valid.", error=c["error"], url=c["url"])),
-            (F.size(c["tracking_parameters"]) > 0, f("sources.no_tracking_parameters", "major", "A URL carries tracking parameters.", parameters=c["tracking_parameters"], url=c["url"])),
-            (c["network_status"] == "unreachable", f("sources.network_accessibility", "major", "A URL can't be reached.", error=c["error"], url=c["url"])),
-            (c["network_status"] == "unknown", f("sources.network_accessibility", "minor", "It isn't known whether a URL can be reached.", error=c["error"], url=c["url"])),
+            (~c["is_valid_format"], f("sources.real_and_accessible_sources", own.severity("sources.real_and_accessible_sources", "major"), "A URL isn't valid.", error=c["error"], url=c["url"])),
+            (F.size(c["tracking_parameters"]) > 0, f("sources.no_tracking_parameters", own.severity("sources.no_tracking_parameters", "major"), "A URL carries tracking parameters.", parameters=c["tracking_parameters"], url=c["url"])),
+            (c["network_status"] == "unreachable", f("sources.network_accessibility", own.severity("sources.network_accessibility", "major"), "A URL can't be reached.", error=c["error"], url=c["url"])),
+            (c["network_status"] == "unknown", f("sources.network_accessibility", own.severity("sources.network_accessibility", "minor"), "It isn't known whether a URL can be reached.", error=c["error"], url=c["url"])),
         )
 
     found = F.concat(whole, F.flatten(F.transform(external, per_link)), doubled, F.flatten(F.transform(checks, per_check)))
+    if settings is not None:
+        found = F.filter(found, lambda x: F.coalesce(F.try_element_at(F.col(settings), F.concat(x["rule_id"], F.lit(".enabled"))) != "false", F.lit(True)))
     missing = lambda c: F.coalesce(c, F.lit("")) == ""
     error = (
         F.when(missing(kind), "missing_content_type").when(missing(length), "missing_expected_length").when(missing(F.trim("organization_website")), "missing_organization_website")
@@ -186,11 +192,11 @@ def judge(df: DataFrame, column: str = "sources") -> DataFrame:
     if "parse_error" in df.columns:
         error = F.coalesce(error, F.col("parse_error"))
     ok, none = error.isNull(), F.size("_f") == 0
-    major = F.exists("_f", lambda x: x["severity"] == "major")
+    major = F.exists("_f", lambda x: x["severity"].isin("major", "critical"))
     valid = F.array(f("sources.valid", "info", "Links and sources follow the rules."))
     result = F.struct(
         F.when(ok, F.when(major, "fail").when(none, "pass").otherwise("warn")).alias("status"),
-        F.when(ok, F.when(major, 0).when(none, 100).otherwise(80)).alias("score"),
+        F.when(ok, F.when(major, 0).when(none, 100).otherwise(own.number("sources.warn_score").cast("int"))).alias("score"),
         F.when(ok, F.when(none, valid).otherwise(F.col("_f"))).otherwise(F.array().cast(f"array<{text.FINDING}>")).alias("findings"),
         error.alias("error"),
     )

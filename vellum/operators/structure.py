@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import html, rules, text
-
-SEVERITY = {
-    "heading_order": "major", "heading_levels": "major", "heading_text": "major", "no_added_sections": "major", "no_removed_sections": "major",
-    "no_h1_in_body": "major", "no_internal_outline_comments_exposed": "major", "allowed_tags_only": "major", "no_scripts": "critical",
-    "no_decorative_spans": "minor", "no_inline_styles_except_tables": "major",
-}
+from vellum.functions.settings import Settings
 
 
 def leaked_comments(visible: Column, patterns: tuple[str, ...] = rules.COMMENT_PATTERNS) -> Column:
@@ -25,13 +20,15 @@ def without_trailing(found: Column, titles: tuple[str, ...] = rules.TRAILING_TIT
     return F.when(last.isin(*(t.lower() for t in titles)), F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found)
 
 
-def judge(df: DataFrame, expected: str = "expected_outline_html", content: str = "content", column: str = "structure", enabled: dict[str, bool] | None = None, page: str | None = None) -> DataFrame:
+def judge(df: DataFrame, expected: str = "expected_outline_html", content: str = "content", column: str = "structure", enabled: dict[str, bool] | None = None, page: str | None = None, settings: str | None = None) -> DataFrame:
     """df (expected_outline_html, content) -> also `structure`: status, score, findings, error.
 
     Any finding fails. An outline that is null or blank, and an outline or content that can't be parsed, is an error. Rules set to False in `enabled` find nothing.
-    `page` names a column that holds the parsed content already.
+    `page` names a column that holds the parsed content already, `settings` a map column of rules that change severities and
+    switches.
     """
-    on = lambda rule: F.lit((enabled or {}).get(rule, True))
+    own = Settings(settings)
+    on = lambda rule: F.lit((enabled or {}).get(rule, True)) & own.enabled(f"structure.{rule}")
     parsed = df.withColumn("_e", html.parse(F.col(expected))).withColumn("_g", F.col(page) if page else html.parse(F.col(content)))
     parsed = parsed.withColumn("_eh", html.headings(F.col("_e"), rules.HEADING_TAGS)).withColumn("_gh", without_trailing(html.headings(F.col("_g"), rules.HEADING_TAGS)))
     field = lambda c, f: F.transform(c, lambda h: F.trim(h[f]) if f == "text" else h[f])
@@ -54,7 +51,7 @@ def judge(df: DataFrame, expected: str = "expected_outline_html", content: str =
         ("no_decorative_spans", html.has(generated, "span"), "The content holds decorative spans.", {}),
         ("no_inline_styles_except_tables", html.styled_outside_tables(generated, rules.TABLE_TAGS), "Inline styles stand outside tables.", {}),
     )
-    found = text.findings(*((c & on(rule), text.finding(f"structure.{rule}", SEVERITY[rule], message, **proof)) for rule, c, message, proof in checks))
+    found = text.findings(*((c & on(rule), text.finding(f"structure.{rule}", own.severity(f"structure.{rule}"), message, **proof)) for rule, c, message, proof in checks))
     error = F.when(F.coalesce(F.trim(expected), F.lit("")) == "", "missing_expected_outline_html")
     error = F.coalesce(error, F.col("_e.error"), F.col("_g.error"))
     ok, none = error.isNull(), F.size("_f") == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import rules, text
+from vellum.functions.settings import Settings
 
 CHECKS = rules.TYPOGRAPHY
 
@@ -33,20 +34,24 @@ def signals(content: Column) -> Column:
     )
 
 
-def judge(df: DataFrame, content: str = "content", locale: str = "locale", column: str = "typography") -> DataFrame:
-    """df (content, locale) -> also `typography`: status, score, findings, error. A null content is empty."""
+def judge(df: DataFrame, content: str = "content", locale: str = "locale", column: str = "typography", settings: str | None = None) -> DataFrame:
+    """df (content, locale) -> also `typography`: status, score, findings, error. A null content is empty.
+
+    `settings` names a map column of rules that change severities, switches and what findings take off the score.
+    """
+    own = Settings(settings)
     code = F.col(locale)
     error = F.when(F.coalesce(F.trim(code), F.lit("")) == "", "missing_locale").when(~code.isin(*rules.TYPOGRAPHY_LOCALES), "unsupported_locale")
     # The decoded text is a column of its own, so that it is made once for all rules.
     counted = df.withColumn("_decoded", text.decoded_text(F.col(content))).withColumns({f"_n_{c[0]}": _counted(F.coalesce(F.col(content), F.lit("")), F.col("_decoded"), c[0]) for c in CHECKS})
-    found = text.findings(*((F.col(f"_n_{rule}") > 0, text.finding(f"typography.{rule}", severity, message, count=F.col(f"_n_{rule}"))) for rule, severity, _, _, message in CHECKS))
-    majors, minors = (F.size(F.filter("_f", lambda f: f["severity"] == kind)) for kind in ("major", "minor"))
+    found = text.findings(*(((F.col(f"_n_{rule}") > 0) & own.enabled(f"typography.{rule}"), text.finding(f"typography.{rule}", own.severity(f"typography.{rule}"), message, count=F.col(f"_n_{rule}"))) for rule, _, _, _, message in CHECKS))
+    majors, minors = (F.size(F.filter("_f", lambda f: f["severity"].isin(*kinds))) for kinds in (("major", "critical"), ("minor",)))
     valid = F.array(text.finding("typography.valid", "info", "No fault of spacing or punctuation was found."))
     ok = error.isNull()
     none = F.size("_f") == 0
     result = F.struct(
         F.when(ok, F.when(none, "pass").when(majors > 0, "fail").otherwise("warn")).alias("status"),
-        F.when(ok, F.when(none, 100).otherwise(F.greatest(F.lit(0), 100 - 25 * majors - 10 * minors))).alias("score"),
+        F.when(ok, F.when(none, 100).otherwise(F.greatest(F.lit(0), (100 - own.number("typography.major_penalty") * majors - own.number("typography.minor_penalty") * minors).cast("int")))).alias("score"),
         F.when(ok, F.when(none, valid).otherwise(F.col("_f"))).otherwise(F.array().cast(f"array<{text.FINDING}>")).alias("findings"),
         error.alias("error"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vellum.functions import html, rules, text
 from vellum.operators import length, seo, services, sources, structure, typography
 from vellum.plans import scratch
+from vellum.sources import rule_files
 
 CONTEXT = (
     "content_type string, expected_length string, locale string, organization_website string, funnel_stage string, main_keyword string, "
@@ -58,35 +59,38 @@ def skipped(enabled: Column) -> Column:
 
 def blocking(judge: Column, result: Column) -> Column:
     """The findings that block: all of a failed judge, of the sources judge only its major ones."""
-    found = F.when(judge == "sources", F.filter(result["findings"], lambda f: f["severity"] == "major")).otherwise(result["findings"])
+    found = F.when(judge == "sources", F.filter(result["findings"], lambda f: f["severity"].isin("major", "critical"))).otherwise(result["findings"])
     return F.when(result["status"] == "fail", found).otherwise(F.array().cast(f"array<{text.FINDING}>"))
 
 
-def judges(encoder: seo.Encoder | services.Encoder | services.VectorTable | None = None, statuses: DataFrame | None = None, default_website: str = "", key: str = "evaluation_id", page: str | None = None, raw_page: str | None = None) -> dict[str, Callable[[DataFrame], DataFrame]]:
+def judges(encoder: seo.Encoder | services.Encoder | services.VectorTable | None = None, statuses: DataFrame | None = None, default_website: str = "", key: str = "evaluation_id", page: str | None = None, raw_page: str | None = None, settings: str | None = None, seo_options: dict | None = None) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """The judges by name: each adds a column of its name to rows of a unique key, content and context.
 
-    `page` and `raw_page` name columns that hold the content, unescaped and as it is, parsed already.
+    `page` and `raw_page` name columns that hold the content, unescaped and as it is, parsed already; `settings` a column of rules.
     """
 
     def counted(df: DataFrame) -> DataFrame:
         parsed = F.col(page) if page else html.parse(text.escaped_payload(F.coalesce("content", F.lit(""))))
         df = df.withColumn("_parsed", parsed)
-        return length.judge(df.withColumns({"word_count": text.word_count(html.body(F.col("_parsed"))), "parse_error": F.col("_parsed.error")}))
+        return length.judge(df.withColumns({"word_count": text.word_count(html.body(F.col("_parsed"))), "parse_error": F.col("_parsed.error")}), settings=settings)
 
     def linked(df: DataFrame) -> DataFrame:
-        return sources.judge(sources.with_checks(sources.extract(df, default_website, page=page), key, statuses, enabled=statuses is not None))
+        return sources.judge(sources.with_checks(sources.extract(df, default_website, page=page), key, statuses, enabled=statuses is not None), settings=settings)
 
-    return {"length": counted, "typography": typography.judge, "seo": lambda df: seo.judge(df, encoder, page=raw_page), "structure": lambda df: structure.judge(df, page=raw_page), "sources": linked}
+    return {
+        "length": counted, "typography": lambda df: typography.judge(df, settings=settings), "seo": lambda df: seo.judge(df, encoder, page=raw_page, settings=settings, **seo_options or {}),
+        "structure": lambda df: structure.judge(df, page=raw_page, settings=settings), "sources": linked,
+    }
 
 
-def evaluate(requests: DataFrame, encoder: seo.Encoder | services.Encoder | services.VectorTable | None = None, statuses: DataFrame | None = None, default_website: str = "") -> DataFrame:
+def evaluate(requests: DataFrame, encoder: seo.Encoder | services.Encoder | services.VectorTable | None = None, statuses: DataFrame | None = None, default_website: str = "", rule_table: DataFrame | None = None, seo_options: dict | None = None) -> DataFrame:
     """requests (request_id, content, enabled_judges, context columns, maybe profile) -> evaluation_id, status, score, summary, results, errors, metadata.
 
     One report for each row, complete and without a score of its own. A context that a judge can't use becomes a technical
     error of that judge, after the results of the others. Without request_id a report is named by a digest of its request;
     rows are told apart by a key of their own, whatever their names. Contents are parsed once and written with it to the
     shared folder; each judge reads only the rows that ask for it, and their results, a few small rows for each request,
-    meet in one shuffle.
+    meet in one shuffle. `rule_table` (see rule_files.table) holds the rules of profiles, `seo_options` the sizes of chunks.
     """
     digest = F.concat(F.lit("evaluation-"), F.substring(F.sha2(F.to_json(F.struct(*(c for c in requests.columns if c != "request_id"))), 256), 1, 32))
     profile = F.coalesce("profile", F.lit("default")) if "profile" in requests.columns else F.lit("default")
@@ -97,11 +101,14 @@ def evaluate(requests: DataFrame, encoder: seo.Encoder | services.Encoder | serv
     named = named.withColumn("_other", html.parse(F.when(F.col("_differs"), text.escaped_payload(content)).otherwise("")))
     named = scratch.durable(named.withColumn("_other", F.when(F.col("_differs"), F.col("_other"))).drop("_differs"), "requests")
     named = named.withColumn("_norm_page", F.coalesce("_other", "_raw_page")).drop("_other")
+    settings = None
+    if rule_table is not None:
+        named, settings = rule_files.with_rules(named, rule_table, "_profile", "_rules"), "_rules"
     asked = selected(F.col("enabled_judges"))
     meta = F.struct(F.col("evaluation_id"), F.col("_profile").alias("profile"), asked.alias("enabled_judges"), skipped(F.col("enabled_judges")).alias("skipped_judges"))
     none = F.lit(None)
     rows = named.select("_row", none.cast("int").alias("place"), none.cast("string").alias("dimension"), none.cast(RESULT).alias("result"), none.cast(EXTRAS).alias("extras"), meta.alias("meta"))
-    for name, judge in judges(encoder, statuses, default_website, "_row", "_norm_page", "_raw_page").items():
+    for name, judge in judges(encoder, statuses, default_website, "_row", "_norm_page", "_raw_page", settings, seo_options).items():
         own = judge(named.where(F.array_contains(asked, name)))
         extras = F.struct(F.lit(""), F.lit(""), F.lit(""), F.lit(""))
         if name == "seo":
