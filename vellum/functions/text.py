@@ -78,18 +78,18 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-_FROM, _TO = _accents()
+ACCENTED, PLAIN = _accents()
 
 
 def fold(text: Column) -> Column:
     """For matching: lower case, Latin accents removed, white space collapsed."""
     lowered = F.lower(unescape(F.coalesce(text, F.lit(""))))
-    return collapse(F.regexp_replace(F.translate(lowered, _FROM, _TO), r"\p{Mn}", ""))
+    return collapse(F.regexp_replace(F.translate(lowered, ACCENTED, PLAIN), r"\p{Mn}", ""))
 
 
 def fold_plain(text: Column) -> Column:
     """fold() for texts whose entities are already decoded; usable inside lambdas."""
-    return collapse(F.regexp_replace(F.translate(F.lower(text), _FROM, _TO), r"\p{Mn}", ""))
+    return collapse(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{Mn}", ""))
 
 
 def phrase_count(folded: Column, phrase: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
@@ -16,11 +17,42 @@ _KIND = pa.struct([
     ("value", pa.string()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.string()),
     ("in_source_context", pa.bool_()), ("in_historical_context", pa.bool_()), ("in_input", pa.bool_()),
 ])
-_PATTERNS = {
+_DATES = {
     lang: [("full_date", re.compile(rules.FULL_DATE)), ("year", re.compile(rules.YEAR)), ("month_year", re.compile(rf"\b(?:{'|'.join(rules.MONTHS[lang])})\s+(?:19|20)\d{{2}}\b", re.I))]
-    + [(kind, re.compile(rf"\b{re.escape(x)}\b", re.I)) for kind, by in rules.EXPRESSIONS.items() for x in by[lang]]
     for lang in ("fr", "en")
 }
+#: A date of any kind ends in such digits.
+_YEAR_LIKE = re.compile(r"(?:19|20)\d\d")
+_EXPRESSIONS = {lang: [(kind, x, re.compile(rf"\b{re.escape(x)}\b", re.I)) for kind, by in rules.EXPRESSIONS.items() for x in by[lang]] for lang in ("fr", "en")}
+_WORD = re.compile(r"\w")
+#: Letters that equal i or s when case is ignored, though their lower case doesn't.
+_ODD_CASE = re.compile("[\u0130\u0131\u017f\u212a]")
+
+
+@functools.cache
+def _automaton(lang: str):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for i, (_, x, _) in enumerate(_EXPRESSIONS[lang]):
+        found.add_word(x.lower(), (i, len(x)))
+    found.make_automaton()
+    return found
+
+
+def _places(t: str, lang: str) -> list[tuple[str, int, int]]:
+    """kind, start and end of dates and then of expressions, each expression's in order."""
+    found = [(kind, m.start(), m.end()) for kind, pattern in _DATES[lang] for m in pattern.finditer(t)] if _YEAR_LIKE.search(t) else []
+    low = t.lower()
+    if len(low) != len(t) or _ODD_CASE.search(t):
+        return found + [(kind, m.start(), m.end()) for kind, _, pattern in _EXPRESSIONS[lang] for m in pattern.finditer(t)]
+    # One pass finds all expressions; only whole words count.
+    places = []
+    for last, (i, n) in _automaton(lang).iter(low):
+        start, end = last + 1 - n, last + 1
+        if not (start and _WORD.match(t[start - 1])) and not (end < len(t) and _WORD.match(t[end])):
+            places.append((i, start, end))
+    return found + [(_EXPRESSIONS[lang][i][0], start, end) for i, start, end in sorted(places)]
 
 
 @F.arrow_udf(from_arrow_type(pa.list_(_KIND)))
@@ -40,15 +72,14 @@ def temporal_references(contents: pa.Array, locales: pa.Array, allowed: pa.Array
         links = [x.lower() for x in links]
         lang, known = "en" if (locale or "").lower().startswith("en") else "fr", {x.lower() for x in given or () if x}
         found = []
-        for kind, pattern in _PATTERNS[lang]:
-            for m in pattern.finditer(t):
-                around = t[max(0, m.start() - rules.CONTEXT_CHARS) : m.end() + rules.CONTEXT_CHARS].strip()
-                low, value = around.lower(), m[0].lower()
-                found.append({
-                    "value": m[0], "type": kind, "start": m.start(), "end": m.end(), "context": around,
-                    "in_source_context": any(x in low for x in rules.SOURCE_MARKERS[lang]) or any(value in a for a in links),
-                    "in_historical_context": any(x in low for x in rules.HISTORY_MARKERS[lang]), "in_input": value in known,
-                })
+        for kind, start, end in _places(t, lang):
+            around = t[max(0, start - rules.CONTEXT_CHARS) : end + rules.CONTEXT_CHARS].strip()
+            low, value = around.lower(), t[start:end].lower()
+            found.append({
+                "value": t[start:end], "type": kind, "start": start, "end": end, "context": around,
+                "in_source_context": any(x in low for x in rules.SOURCE_MARKERS[lang]) or any(value in a for a in links),
+                "in_historical_context": any(x in low for x in rules.HISTORY_MARKERS[lang]), "in_input": value in known,
+            })
         out.append(found)
     return pa.array(out, pa.list_(_KIND))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
-from vellum.functions import html, rules, text
+from vellum.functions import html, matching, rules, text
 from vellum.functions.settings import RULES, Settings
 from vellum.operators import services
 
@@ -30,10 +33,6 @@ def weighted_score(similarities: Column) -> Column:
     return F.when(F.size(similarities) == 0, 0).otherwise(F.bround(100 * add(used) / add(weights)).cast("int"))
 
 
-def utility(title: Column) -> Column:
-    return text.fold_plain(title).isin(*rules.UTILITY_TITLES)
-
-
 def python_encoder(encode: Callable[[list[str]], list[list[float]]]) -> Encoder:
     """An encoder from a Python function of texts, called once for the distinct texts of each Arrow batch.
 
@@ -53,45 +52,131 @@ def python_encoder(encode: Callable[[list[str]], list[list[float]]]) -> Encoder:
     return run
 
 
+_COUNT = pa.struct([("keyword", pa.string()), ("n", pa.int32())])
+_SENTENCE = pa.struct([("sentence_id", pa.int32()), ("text", pa.string()), ("exact", pa.bool_())])
+_LEXICAL = pa.struct([
+    ("keyword", pa.string()), ("body", pa.int32()), ("introduction", pa.int32()), ("headings", pa.int32()), ("conclusion", pa.int32()),
+    ("minor", pa.list_(_COUNT)), ("secondary", pa.list_(_COUNT)), ("long_tail", pa.list_(_COUNT)),
+    ("distribution", pa.list_(pa.struct([("h2", pa.string()), ("matched", pa.list_(pa.string()))]))), ("concentrated", pa.bool_()),
+    ("emphasis", pa.list_(pa.struct([("tag", pa.string()), ("keyword", pa.string()), ("text", pa.string())]))),
+    ("body_text", pa.string()), ("semantic_text", pa.string()),
+    ("paragraphs", pa.list_(pa.struct([("paragraph_id", pa.int32()), ("section", pa.string()), ("sentences", pa.list_(_SENTENCE)), ("word_count", pa.int32())]))),
+])
+_SENTENCE_END = re.compile(r"(?<=[.!?]) +")
+
+
+class _Pages:
+    """The span tables of an Arrow batch, as flat lists of their fields."""
+
+    def __init__(self, pages: pa.StructArray):
+        fields = lambda x: dict(zip((f.name for f in x.type), x.flatten(), strict=True))
+        elements, pieces, sections = map(fields(pages).get, ("elements", "pieces", "sections"))
+        self.at, self.pieces_at, self.sections_at = (x.offsets.to_pylist() for x in (elements, pieces, sections))
+        self.tag, self.parent, self.first, self.end = (fields(elements.values)[f].to_pylist() for f in ("tag", "parent", "first", "end"))
+        self.pieces, self.sections = pieces.values.to_pylist(), sections.values.to_pylist()
+
+    def page(self, i: int) -> _Page:
+        return _Page(self, i)
+
+
+class _Page:
+    """Slices of one span table; its pieces are folded once, whatever elements they stand in."""
+
+    def __init__(self, pages: _Pages, i: int):
+        self.pages, self.start, self.n = pages, pages.at[i], pages.at[i + 1] - pages.at[i]
+        self.pieces = pages.pieces[pages.pieces_at[i] : pages.pieces_at[i + 1]]
+        self.folded = [matching.fold(p) for p in self.pieces]
+        self.sections = pages.sections[pages.sections_at[i] : pages.sections_at[i + 1]]
+
+    def tag(self, pos: int) -> str:
+        return self.pages.tag[self.start + pos]
+
+    def texts(self, positions: list[int]) -> tuple[str, str]:
+        """The texts below elements, joined, as they are and folded."""
+        spans = [slice(self.pages.first[self.start + p], self.pages.end[self.start + p]) for p in positions]
+        return " ".join(x for s in spans for x in self.pieces[s]), " ".join(x for s in spans for x in self.folded[s] if x)
+
+    def named(self, *tags: str) -> list[int]:
+        return [i for i, t in enumerate(self.pages.tag[self.start : self.start + self.n]) if t in tags]
+
+    def introduction(self) -> tuple[str, str]:
+        found = []
+        for pos, parent in enumerate(self.pages.parent[self.start : self.start + self.n]):
+            if parent == -1:
+                if self.tag(pos) == "h2":
+                    break
+                if self.tag(pos) in rules.TEXT_BLOCKS:
+                    found.append(pos)
+        return self.texts(found)
+
+
+def _sentences(zone: str, folded: str) -> list[tuple[str, str]]:
+    """The sentences of a text, as they are and folded."""
+    cut, short = ([x for x in (x.strip(" ") for x in _SENTENCE_END.split(z)) if x] for z in (zone, folded))
+    # A sentence of marks alone folds to nothing, which leaves fewer.
+    return list(zip(cut, short if len(cut) == len(short) else map(matching.fold, cut), strict=True))
+
+
+def _signals(page: _Page, main: str | None, secondary: list[str], long_tail: list[str]) -> dict:
+    """Everything that the judge reads of a page; all keywords are found in a text together."""
+    keyword = " ".join(unescape(main or "").split())
+    minor = list(dict.fromkeys(k for k in (*secondary, *long_tail) if k is not None))
+    every = [k for k in (main, *secondary, *long_tail) if k is not None]
+    of_main, of_minor, of_every = (matching.matcher(tuple(map(matching.fold, k))).counts for k in ([keyword], minor, every))
+    body, folded = " ".join(page.pieces), " ".join(x for x in page.folded if x)
+    intro = page.introduction()
+    sections = []
+    for s in page.sections:
+        (title, name), members = page.texts([s["pos"]]), s["members"]
+        sections.append((title, name, page.texts(members), [m for m in members if page.tag(m) != "h3"]))
+    explicit = [s for s in sections if s[1] == "conclusion"]
+    kept = [s for s in sections if s[1] not in rules.COMPLEMENTARY_TITLES]
+    end = page.texts((explicit[:1] or kept[-1:] or sections[-1:] or [("", "", "", [])])[0][3])
+    useful = [s for s in sections if s[1] not in rules.UTILITY_TITLES]
+    counted = [{"keyword": k, "n": n} for k, n in zip(minor, of_minor(folded), strict=True)]
+    spread = [{"h2": title, "matched": [k for k, n in zip(minor, of_minor(whole[1]), strict=True) if n]} for title, _, whole, _ in useful]
+    marked = []
+    for tag in rules.EMPHASIS_TAGS:
+        for pos in page.named(tag):
+            shown, short = page.texts([pos])
+            marked += [{"tag": tag, "keyword": k, "text": shown} for k, n in zip(every, of_every(short), strict=True) if n]
+    filled = [(title, whole) for title, _, whole, _ in useful if whole[0]]
+    paragraphs = []
+    for i, (name, zone) in enumerate([("introduction", intro)] * bool(intro[0]) + filled, 1):
+        sentences = [{"sentence_id": j, "text": x, "exact": of_main(short)[0] > 0} for j, (x, short) in enumerate(_sentences(*zone), 1)]
+        paragraphs.append({"paragraph_id": i, "section": name, "sentences": sentences, "word_count": zone[0].count(" ") + 1})
+    semantic = " ".join([intro[0]] * bool(intro[0]) + [f"{title}. {whole[0]}" if title else whole[0] for title, whole in filled])
+    return {
+        "keyword": keyword, "body": of_main(folded)[0], "introduction": of_main(intro[1])[0], "headings": sum(of_main(page.texts([p])[1])[0] for p in page.named("h2", "h3")), "conclusion": of_main(end[1])[0],
+        "minor": counted, "secondary": [c for c in counted if c["keyword"] in secondary], "long_tail": [c for c in counted if c["keyword"] in long_tail],
+        "distribution": spread, "concentrated": sum(bool(s["matched"]) for s in spread) == 1 and len(spread) > 1, "emphasis": marked,
+        "body_text": body, "semantic_text": semantic or body, "paragraphs": paragraphs,
+    }
+
+
+@F.arrow_udf(from_arrow_type(_LEXICAL))
+def _lexical(pages: pa.Array, main: pa.Array, secondary: pa.Array, long_tail: pa.Array) -> pa.Array:
+    table = _Pages(pages)
+    given = zip(main.to_pylist(), secondary.to_pylist(), long_tail.to_pylist(), strict=True)
+    return pa.array([_signals(table.page(i), m, s or [], x or []) for i, (m, s, x) in enumerate(given)], _LEXICAL)
+
+
+# Its fields are read in many places; it must not be computed for each of them.
+_lexical = _lexical.asNondeterministic()
+
+
 def lexical(df: DataFrame, content: str = "content", page: str | None = None) -> DataFrame:
     """df (content, main_keyword, secondary_keywords, long_tail_keywords) -> also the keyword signals as columns `lexical_...`.
 
-    `page` names a column that holds the parsed content already.
+    `page` names a column that holds the parsed content already. Null keywords and lists are empty ones.
     """
     none = F.array().cast("array<string>")
-    given = lambda c: F.coalesce(F.col(c), none)
-    key = F.col("_key")
-    # Columns one upon the other, so that each fold and each pattern is computed once for a row.
     df = df.withColumn("_page", F.col(page) if page else html.parse(F.col(content)))
-    df = df.withColumns({"_sections": html.sections(F.col("_page")), "_body": html.body(F.col("_page")), "_intro": html.introduction(F.col("_page"), F.lit(-1), rules.TEXT_BLOCKS), "lexical_keyword": text.normalize(F.col("main_keyword"))})
-    df = df.withColumn("_key", text.fold_plain(F.col("lexical_keyword")))
-    df = df.withColumns({
-        "_end": html.conclusion(F.col("_sections"), rules.COMPLEMENTARY_TITLES, folded=True), "_body_folded": text.fold_plain(F.col("_body")), "_intro_folded": text.fold_plain(F.col("_intro")),
-        "_heads": F.transform(html.headings(F.col("_page"), ("h2", "h3"), empty=False), lambda h: text.fold_plain(h["text"])),
-        "_folded_sections": F.transform("_sections", lambda s: F.struct(s["h2"].alias("h2"), utility(s["h2"]).alias("utility"), text.fold_plain(s["text"]).alias("folded"))),
-        "_keywords": F.transform(F.array_distinct(F.concat(given("secondary_keywords"), given("long_tail_keywords"))), lambda k: F.struct(k.alias("keyword"), text.fold_plain(k).alias("folded"))),
-        "_marked": F.transform(F.flatten(F.array(*(html.named(F.col("_page"), (t,)) for t in rules.EMPHASIS_TAGS))), lambda e: F.struct(e["tag"].alias("tag"), html.text_of(F.col("_page"), e).alias("text"), text.fold_plain(html.text_of(F.col("_page"), e)).alias("folded"))),
-    })
-    spread = F.transform(
-        F.filter("_folded_sections", lambda s: ~s["utility"]),
-        lambda s: F.struct(s["h2"].alias("h2"), F.transform(F.filter(F.col("_keywords"), lambda k: text.phrase_count(s["folded"], k["folded"]) > 0), lambda k: k["keyword"]).alias("matched")),
-    )
-    counted = F.transform("_keywords", lambda k: F.struct(k["keyword"].alias("keyword"), text.phrase_count(F.col("_body_folded"), k["folded"]).alias("n")))
-    every = F.concat(F.array("main_keyword"), given("secondary_keywords"), given("long_tail_keywords"))
-    emphasised = F.flatten(F.transform("_marked", lambda e: F.transform(F.filter(every, lambda k: text.phrase_count(e["folded"], text.fold_plain(k)) > 0), lambda k: F.struct(e["tag"].alias("tag"), k.alias("keyword"), e["text"].alias("text")))))
-    out = df.withColumns({"_spread": spread, "_counted": counted})
-    of = lambda c: F.filter("_counted", lambda k: F.array_contains(given(c), k["keyword"]))
-    matched = F.size(F.filter("_spread", lambda s: F.size(s["matched"]) > 0))
-    # Separate columns rather than a struct: the optimizer copies a struct's expressions to wherever a field is read.
-    found = {
-        "body": text.phrase_count(F.col("_body_folded"), key), "introduction": text.phrase_count(F.col("_intro_folded"), key),
-        "headings": F.aggregate(F.transform("_heads", lambda h: text.phrase_count(h, key)), F.lit(0), lambda s, n: s + n), "conclusion": text.phrase_count(text.fold_plain(F.col("_end")), key),
-        "minor": F.col("_counted"), "secondary": of("secondary_keywords"), "long_tail": of("long_tail_keywords"),
-        "distribution": F.col("_spread"), "concentrated": (matched == 1) & (F.size("_spread") > 1), "emphasis": emphasised,
-        "parse_error": F.col("_page.error"), "introduction_text": F.col("_intro"), "sections": F.col("_sections"), "body_text": F.col("_body"),
-    }
-    hidden = ("_page", "_sections", "_body", "_intro", "_heads", "_end", "_key", "_keywords", "_marked", "_spread", "_counted", "_body_folded", "_intro_folded", "_folded_sections")
-    return out.withColumns({f"lexical_{k}": v for k, v in found.items()}).drop(*hidden)
+    # Only what the matcher reads goes to it.
+    fields = F.struct(F.col("_page.pieces").alias("pieces"), F.transform("_page.elements", lambda e: F.struct(e["tag"].alias("tag"), e["parent"].alias("parent"), e["first"].alias("first"), e["end"].alias("end"))).alias("elements"), F.col("_page.sections").alias("sections"))
+    df = df.withColumn("_found", _lexical(fields, F.col("main_keyword"), F.coalesce("secondary_keywords", none), F.coalesce("long_tail_keywords", none)))
+    found = {f.name: F.col(f"_found.{f.name}") for f in _LEXICAL} | {"parse_error": F.col("_page.error")}
+    return df.withColumns({f"lexical_{k}": v for k, v in found.items()}).drop("_page", "_found")
 
 
 class _Lexical:
@@ -101,29 +186,6 @@ class _Lexical:
         return F.col(f"lexical_{name}")
 
 
-def semantic_text(lexical_signals: _Lexical) -> Column:
-    """The introduction and "title. text" of each section that is neither utility nor empty; the body if that is nothing."""
-    kept = F.filter(lexical_signals["sections"], lambda s: ~utility(s["h2"]) & (s["text"] != ""))
-    titled = F.transform(kept, lambda s: F.concat(F.when(s["h2"] == "", "").otherwise(F.concat(s["h2"], F.lit(". "))), s["text"]))
-    parts = F.concat(F.filter(F.array(lexical_signals["introduction_text"]), lambda t: t != ""), titled)
-    return F.coalesce(F.nullif(F.array_join(parts, " "), F.lit("")), lexical_signals["body_text"])
-
-
-def paragraphs(lexical_signals: _Lexical, key: Column) -> Column:
-    """The introduction and the sections with sentences; each knows whether it holds the keyword."""
-    kept = F.filter(lexical_signals["sections"], lambda s: ~utility(s["h2"]) & (s["text"] != ""))
-    zones = F.concat(
-        F.filter(F.array(F.struct(F.lit("introduction").alias("section"), lexical_signals["introduction_text"].alias("text"))), lambda z: z["text"] != ""),
-        F.transform(kept, lambda s: F.struct(s["h2"].alias("section"), s["text"].alias("text"))),
-    )
-    plain = lambda t: F.filter(F.transform(F.split(t, r"(?<=[.!?]) +", -1), lambda x: F.trim(x)), lambda s: s != "")
-    return F.transform(zones, lambda z, i: F.struct(
-        (i + 1).alias("paragraph_id"), z["section"].alias("section"),
-        F.transform(plain(z["text"]), lambda s, j: F.struct((j + 1).alias("sentence_id"), s.alias("text"), (text.phrase_count(text.fold_plain(s), key) > 0).alias("exact"))).alias("sentences"),
-        text.word_count(z["text"]).alias("word_count"),
-    ))
-
-
 def _band(x: Column, limits: tuple, values: tuple) -> Column:
     out = F.when(x <= limits[0], values[0])
     for limit, value in zip(limits[1:], values[1:], strict=False):
@@ -184,11 +246,10 @@ def judge(
     simple = (F.col("funnel_stage") == "AWARENESS") & (F.col("expected_length") == "SIMPLE")
     own = df.withColumn("_long", F.col("long_tail_keywords")).withColumn("long_tail_keywords", F.when(simple, F.array().cast("array<string>")).otherwise(F.col("long_tail_keywords")))
     own = lexical(own, page=page)
-    lex, key = _Lexical(), F.col("_folded")
-    own = own.withColumn("_folded", text.fold_plain(lex["keyword"]))
-    own = own.withColumn("_paragraphs", paragraphs(lex, key))
+    lex = _Lexical()
+    own = own.withColumn("_paragraphs", lex["paragraphs"])
     sentences = F.flatten(F.transform("_paragraphs", lambda p: F.transform(p["sentences"], lambda s: F.struct(p["paragraph_id"].alias("p"), s["text"].alias("text"), s["exact"].alias("exact")))))
-    own = own.withColumns({"_sentences": sentences, "_chunks": text.chunks(semantic_text(lex), chunk_words, chunk_overlap)})
+    own = own.withColumns({"_sentences": sentences, "_chunks": text.chunks(lex["semantic_text"], chunk_words, chunk_overlap)})
     vectors = F.lit(None).cast("array<array<double>>")
     asked = None
     if encoder is not None:
