@@ -365,8 +365,8 @@ def test_url_requests():
             raise UnicodeError
         return 204
 
-    assert [sources.fetch_status(u, request, ["HEAD", "GET"], 5) for u in "abc"] == [(204, None), (None, "connection_error"), (None, "request_error:UnicodeError")]
-    assert sources.fetch_status("a", request, ["HEAD"], 5) == (None, "ssl_error")
+    assert [sources.fetch_status(u, request, ["HEAD", "GET"], 5) for u in "abc"] == [(204, None, None), (None, "connection_error", None), (None, "request_error:UnicodeError", None)]
+    assert sources.fetch_status("a", request, ["HEAD"], 5) == (None, "ssl_error", None)
     assert sources.normalized_methods([" get ", "HEAD"]) == ["GET", "HEAD"]
     for wrong in ("GET", [], ["POST"], None):
         with pytest.raises(ValueError, match="methods"):

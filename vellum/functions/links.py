@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,14 +40,34 @@ def allowed_scheme(url: Column) -> Column:
     return url.rlike(r"(?i)^https?://[^/?#]+")
 
 
+def glob(pattern: str) -> str:
+    """A regular expression for a shell pattern: * any characters, ? one, [ab-c] or [!ab] one of a set or none of it; others stand for themselves."""
+    out, i = [], 0
+    while i < len(pattern):
+        c, end = pattern[i], -1
+        if c == "[":
+            # A closing bracket that comes first belongs to the set; without another one the bracket is a character.
+            end = pattern.find("]", i + 3 if pattern[i + 1 : i + 2] == "!" else i + 2)
+        if end > 0:
+            inside = pattern[i + 1 : end]
+            negated, inside = inside.startswith("!"), inside.removeprefix("!")
+            out.append(f"[{'^' if negated else ''}{re.sub(r'([^\w-])', r'\\\1', inside)}]")
+            i = end
+        else:
+            out.append({"*": ".*", "?": "."}.get(c) or re.sub(r"(\W)", r"\\\1", c))
+        i += 1
+    return f"(?s)\\A(?:{''.join(out)})\\z"
+
+
 def tracking_parameters(url: Column, patterns: tuple[str, ...] = rules.TRACKING_PATTERNS) -> Column:
-    """Names of query parameters with a value that match a pattern, each name once, by first appearance."""
+    """Names of query parameters with a value that match a shell pattern, by first appearance, once for each pattern that they match."""
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     pairs = F.filter(F.split(query, "&", -1), lambda p: p.rlike(r"^[^=]*=."))
     names = F.array_distinct(F.transform(pairs, lambda p: F.coalesce(F.try_url_decode(F.regexp_extract(p, "^([^=]*)=", 1)), F.regexp_extract(p, "^([^=]*)=", 1))))
-    exact = [p for p in patterns if "*" not in p]
-    heads = [p[:-1] for p in patterns if p.endswith("*")]
-    return F.filter(names, lambda n: n.isin(*exact) | (F.exists(F.array(*map(F.lit, heads)), lambda h: F.startswith(n, h)) if heads else F.lit(False)))
+    if not patterns:
+        return F.filter(names, lambda n: F.lit(False))
+    matching = lambda n: F.filter(F.array(*(F.when(n.rlike(glob(p)), n) for p in patterns)), lambda x: x.isNotNull())
+    return F.flatten(F.transform(names, matching))
 
 
 def status_class(code: Column) -> Column:
@@ -55,14 +77,18 @@ def status_class(code: Column) -> Column:
     return F.struct(status.alias("network_status"), error.alias("error"))
 
 
-def check(url: Column, code: Column, failure: Column, enabled: bool = True) -> Column:
-    """Validation of one URL from its status code, or from the name of the transport failure that ended the attempts."""
+def check(url: Column, code: Column, failure: Column, enabled: bool = True, final_url: Column | None = None, patterns: tuple[str, ...] = rules.TRACKING_PATTERNS) -> Column:
+    """Validation of one URL from its status code, or from the name of the transport failure that ended the attempts.
+
+    final_url is where redirects led; without an answer it is the URL itself.
+    """
     url = F.trim(F.coalesce(url, F.lit("")))
     classed = status_class(code)
     answered = F.when(code.isNotNull(), classed).otherwise(F.struct(F.lit("unknown").alias("network_status"), failure.alias("error")))
     valid = allowed_scheme(url)
     return F.struct(
-        url.alias("url"), valid.alias("is_valid_format"), tracking_parameters(url).alias("tracking_parameters"),
+        url.alias("url"), valid.alias("is_valid_format"), valid.alias("has_allowed_scheme"), tracking_parameters(url, patterns).alias("tracking_parameters"),
+        (F.size(tracking_parameters(url, patterns)) > 0).alias("has_tracking_parameters"), F.coalesce(F.when(valid & F.lit(enabled) & code.isNotNull(), F.lit(None) if final_url is None else final_url), url).alias("final_url"),
         F.when(~valid, "not_checked").when(F.lit(not enabled), "disabled").otherwise(answered["network_status"]).alias("network_status"),
         F.when(valid & F.lit(enabled), code).alias("http_status_code"),
         F.when(url == "", "empty_url").when(~valid, "invalid_url_format").when(F.lit(enabled), answered["error"]).alias("error"),

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from vellum.functions import html, links, rules, text
 from vellum.functions.settings import Settings
 
-#: method, URL, seconds -> status code
-Request = Callable[[str, str, float], int]
+#: method, URL, seconds -> status code, or status code and the URL that redirects led to
+Request = Callable[[str, str, float], int | tuple[int, str | None]]
 
 
 def extract(df: DataFrame, default_website: str = "", content: str = "content", website: str = "organization_website", page: str | None = None) -> DataFrame:
@@ -62,13 +62,13 @@ def normalized_methods(methods: object) -> list[str]:
     return found
 
 
-def http_request(method: str, url: str, timeout: float) -> int:
-    """Status code of a request that follows redirects; raises what the network raises."""
+def http_request(method: str, url: str, timeout: float) -> tuple[int, str | None]:
+    """Status code of a request that follows redirects, and where they led; raises what the network raises."""
     try:
         with urllib.request.urlopen(urllib.request.Request(url, method=method), timeout=timeout) as answer:  # noqa: S310
-            return answer.status
+            return answer.status, answer.geturl()
     except urllib.error.HTTPError as e:
-        return e.code
+        return e.code, e.geturl()
     except urllib.error.URLError as e:
         raise e.reason if isinstance(e.reason, Exception) else e from e
 
@@ -83,15 +83,17 @@ def failure_name(e: Exception) -> str:
     return f"request_error:{type(e).__name__}"
 
 
-def fetch_status(url: str, request: Request, methods: list[str], timeout: float) -> tuple[int | None, str | None]:
-    """The code of the first method that is answered, or else the name of the last failure."""
+def fetch_status(url: str, request: Request, methods: list[str], timeout: float) -> tuple[int | None, str | None, str | None]:
+    """The code of the first method that is answered, or else the name of the last failure; then the URL that answered."""
     failure = None
     for method in methods:
         try:
-            return request(method, url, timeout), None
+            answer = request(method, url, timeout)
+            code, final = answer if isinstance(answer, tuple) else (answer, None)
+            return code, None, final
         except Exception as e:  # noqa: BLE001 - whatever a request raises is its result
             failure = failure_name(e)
-    return None, failure
+    return None, failure, None
 
 
 def fetch_statuses(
@@ -100,31 +102,44 @@ def fetch_statuses(
     methods: object = rules.METHODS,
     timeout: float = rules.TIMEOUT_SECONDS,
     concurrency: int = rules.MAX_CONCURRENCY,
+    per_host: int = 2,
 ) -> DataFrame:
-    """Status table (url, code, failure) of the distinct valid URLs of df (links): each is fetched once for the whole table.
+    """Status table (url, code, failure, final_url) of the distinct valid URLs of df (links): each is fetched once for the whole table.
 
-    request(method, url, timeout) returns a status code or raises. Each task has up to `concurrency` requests under way.
+    request(method, url, timeout) returns a status code, maybe with the URL that redirects led to, or raises. A host's URLs
+    are dealt to `per_host` lines, each worked off one after another in one task, so that no host has more requests under
+    way over all tasks; a task has up to `concurrency` of them. Without links there are no rows.
     """
     tried = normalized_methods(methods)
     distinct = df.select(F.explode(urls(F.col("links"))).alias("url")).where(links.allowed_scheme(F.col("url"))).distinct()
 
+    line = F.struct(F.lower(links.netloc(F.col("url"))).alias("host"), F.pmod(F.xxhash64("url"), F.lit(per_host)).alias("line"))
+    dealt = distinct.withColumn("line", line).repartition("line").sortWithinPartitions("line").select("url", F.to_json("line").alias("line"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(concurrency) as pool:
+            # Batches come one after another, so a line that goes on in the next one isn't under way twice.
             for batch in batches:
-                found = list(pool.map(lambda u: fetch_status(u, request, tried, timeout), batch.column(0).to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c for c, _ in found], pa.int32()), pa.array([f for _, f in found], pa.string())], ["url", "code", "failure"])
+                lines: dict[str, list[str]] = {}
+                for url, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    lines.setdefault(of, []).append(url)
+                found = [x for part in pool.map(lambda urls: [(u, *fetch_status(u, request, tried, timeout)) for u in urls], lines.values()) for x in part]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["url", "code", "failure", "final_url"])
 
-    return distinct.mapInArrow(run, "url string, code int, failure string")
+    return dealt.mapInArrow(run, "url string, code int, failure string, final_url string")
 
 
 def with_checks(df: DataFrame, key: str, statuses: DataFrame | None = None, enabled: bool = True) -> DataFrame:
-    """df (key, links) -> also `url_checks`, an array in order of the URLs. Without a status table nothing was checked on the network."""
+    """df (key, links) -> also `url_checks`, an array in order of the URLs. Without a status table (url, code, failure, maybe final_url) nothing was checked on the network."""
     if statuses is None:
         empty = F.lit(None)
         return df.withColumn("url_checks", F.transform(urls(F.col("links")), lambda u: links.check(u, empty.cast("int"), empty.cast("string"), enabled=False)))
     asked = df.select(key, F.posexplode(urls(F.col("links"))).alias("at", "url"))
+    if "final_url" not in statuses.columns:
+        statuses = statuses.withColumn("final_url", F.lit(None).cast("string"))
     known = asked.join(statuses.dropDuplicates(["url"]), "url", "left")
-    checked = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", links.check(F.col("url"), F.col("code"), F.col("failure"), enabled).alias("c")))).alias("_c"))
+    checked = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", links.check(F.col("url"), F.col("code"), F.col("failure"), enabled, F.col("final_url")).alias("c")))).alias("_c"))
     checks = F.coalesce(F.transform("_c", lambda x: x["c"]), F.transform(urls(F.col("links")), lambda u: links.check(u, F.lit(None).cast("int"), F.lit(None).cast("string"), False)))
     return df.join(checked, key, "left").withColumn("url_checks", checks).drop("_c")
 
