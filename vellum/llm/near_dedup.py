@@ -213,15 +213,19 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     From here on doc_id stands for the node.
     """
     bands = reps.select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    leaders = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader")
-    shared = common.durable(bands.join(leaders, "key").select("key", "leader", "doc_id", "n"), "shared-bands")
+    # A node's number of shingles goes with it: min_by() keeps both in buffers of fixed size.
+    leaders = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.min_by("n", "doc_id").alias("leader_n"), F.max("doc_id").alias("last"))
+    leaders = leaders.where("leader <> last").select("key", "leader", "leader_n")
+    shared = common.durable(bands.join(leaders, "key").select("key", "leader", "leader_n", "doc_id", "n"), "shared-bands")
+    # Sets of too different sizes can't be similar enough, whatever they hold: such pairs are not compared.
+    sized = lambda n, m: 100 * F.least(F.col(n), F.col(m)) >= percent * F.greatest(F.col(n), F.col(m))
     sizes = shared.groupBy("doc_id").agg(F.max("n").alias("n"))
     rows = reps.join(sizes.select(F.col("doc_id").alias("node")), "node", "left_semi").select("node", "doc_id", "text_key")
     texts = _named(docs).join(rows, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text")
     texts = common.durable(texts, "shared-texts")
 
     # First each document meets the leaders that it shares most bands with, which connects most groups.
-    counted = shared.where("doc_id <> leader").groupBy("doc_id", "leader").agg(F.max("n").alias("n"), F.count("*").alias("bands"))
+    counted = shared.where("doc_id <> leader").where(sized("n", "leader_n")).groupBy("doc_id", "leader").agg(F.max("n").alias("n"), F.count("*").alias("bands"))
     nearest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("bands"), "leader"))
     stars = common.durable(counted.withColumn("at", nearest).where(F.col("at") <= NEAREST_LEADERS).select("doc_id", "n", F.col("leader").alias("hub")), "stars")
     joined = graph.components(_confirm_pairs(stars, texts, width, percent), "stars-linked")
@@ -233,8 +237,8 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     largest = in_part.groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.sum("m").alias("total"))
     open_bands = largest.where("total > top.m").select("key", F.col("top.part").alias("main"), (F.col("total") - F.col("top.m")).alias("outside"))
     few = open_bands.where(F.col("outside") <= FEW_OUTSIDE)
-    outside = named.join(few, "key").where("part <> main").select("key", "main", F.col("doc_id").alias("hub"), F.col("part").alias("hub_part"))
-    crossing = named.join(outside, "key").where("part <> hub_part and (part = main or doc_id > hub)").groupBy("doc_id", "hub").agg(F.max("n").alias("n"))
+    outside = named.join(few, "key").where("part <> main").select("key", "main", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part"))
+    crossing = named.join(outside, "key").where("part <> hub_part and (part = main or doc_id > hub)").where(sized("n", "hub_n")).groupBy("doc_id", "hub").agg(F.max("n").alias("n"))
     met = stars.select(F.col("doc_id").alias("high"), F.col("hub").alias("low"))
     untried = crossing.join(met, (F.greatest("doc_id", "hub") == F.col("high")) & (F.least("doc_id", "hub") == F.col("low")), "left_anti")
     across = _confirm_pairs(common.durable(untried, "crossing"), texts, width, percent)
