@@ -27,11 +27,7 @@ TRAILING_TITLES = ("Lecture complémentaire", "Learn more")
 TEXT_BLOCKS = ("p", "ul", "ol", "blockquote")
 
 # SEO: titles by role, thresholds and weights.
-UTILITY_TITLES = ("lecture complementaire", "lecture complémentaire", "learn more", "sources", "references", "pour aller plus loin", "further reading")
-CONCLUSION_TITLES = (
-    "conclusion", "en conclusion", "pour conclure", "en guise de conclusion", "pour finir", "en resume",
-    "en résumé", "pour resumer", "pour résumer", "to conclude", "in conclusion", "final thoughts",
-)
+UTILITY_TITLES = ("lecture complementaire", "learn more", "sources", "references", "pour aller plus loin", "further reading")
 COMPLEMENTARY_TITLES = ("lecture complémentaire", "lecture complementaire", "learn more")
 GLOBAL_TRAILING_TITLES = ("lecture complémentaire", "lecture complementaire", "learn more", "sources", "références", "references")
 EMPHASIS_TAGS = ("em", "strong")
