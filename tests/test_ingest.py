@@ -83,3 +83,38 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     query = judges.judge_stream(judges.read_requests(spark, str(tmp_path / "in"), schema), judge, str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination()
     assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, judge(batch).collect()))
+
+
+def test_an_archive_is_read_by_several_tasks(spark, tmp_path):
+    from vellum.sources import company_export
+
+    with zipfile.ZipFile(tmp_path / "large.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(400):
+            z.writestr(f"content/{i}.json", json.dumps({"uuid": str(i), "data": {"body": "x" * 500}}))
+        z.writestr("other/1.json", "{}")
+        z.writestr("content/bad.json", "{")
+    read = company_export.read_zip(spark, str(tmp_path), share_bytes=20_000).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r.entry for r in read) == list(range(400))
+    assert {json.loads(r.document)["uuid"] for r in read} == {str(i) for i in range(400)}
+    assert len({r.task for r in read}) > 1
+    by_task = {}
+    for r in read:
+        by_task.setdefault(r.task, []).append(r.entry)
+    assert all(x == sorted(x) for x in by_task.values())
+
+
+def test_archives_that_tasks_cannot_open_come_whole(spark, tmp_path, monkeypatch):
+    from vellum.sources import company_export
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("content/1.json", '{"uuid": "é"}')
+        z.writestr("topic/2.json", "[1]")
+    split = company_export.read_zip(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(company_export, "_seekable", lambda path: False)
+    assert company_export.read_zip(spark, str(tmp_path)).collect() == split
+    assert [(r.folder, r.entry, r.document) for r in split] == [("content", 0, '{"uuid": "é"}')]
+    (tmp_path / "b.zip").write_text("no archive")
+    for seekable in (True, False):
+        monkeypatch.setattr(company_export, "_seekable", lambda path, s=seekable: s)
+        with pytest.raises(Exception, match="is not a ZIP archive"):
+            company_export.read_zip(spark, str(tmp_path)).collect()

@@ -91,7 +91,9 @@ class Encoder:
                     failures += failed
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(vectors, pa.list_(pa.float64())), pa.array(failures, pa.string())], ["digest", "uses", "vector", "failure"])
 
-        return texts.select("digest", "request", "uses").mapInArrow(run, "digest binary, uses long, vector array<double>, failure string")
+        # The time that a model takes doesn't show in bytes, by which Spark would put texts into few tasks.
+        n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return texts.select("digest", "request", "uses").repartition(n, "digest").mapInArrow(run, "digest binary, uses long, vector array<double>, failure string")
 
 
 @dataclass(frozen=True)

@@ -113,8 +113,9 @@ def fetch_statuses(
     tried = normalized_methods(methods)
     distinct = df.select(F.explode(urls(F.col("links"))).alias("url")).where(links.allowed_scheme(F.col("url"))).distinct()
 
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = F.struct(F.lower(links.netloc(F.col("url"))).alias("host"), F.pmod(F.xxhash64("url"), F.lit(per_host)).alias("line"))
-    dealt = distinct.withColumn("line", line).repartition("line").sortWithinPartitions("line").select("url", F.to_json("line").alias("line"))
+    dealt = distinct.withColumn("line", line).repartition(n, "line").sortWithinPartitions("line").select("url", F.to_json("line").alias("line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(concurrency) as pool:
