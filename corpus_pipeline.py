@@ -28,7 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @common.small_batches
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a recognisable language go: null texts, texts without a letter, and those whose best language has a posterior under one half."""
+    """Rows without a recognisable language go: null texts, texts without a letter, and those whose best language has a posterior under one half.
+
+    On the given tables no text with letters has so low a posterior: there only texts without letters go.
+    """
     model = language.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return language.identified(docs, model)
 
