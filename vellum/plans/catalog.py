@@ -478,16 +478,19 @@ def q38_temporal_refs(spark: SparkSession, sf_dir: str, articles: Articles = cor
 
 @_query(f"""
     SELECT content_id, CASE WHEN content_id % 5 = 4 THEN 'fail' WHEN score >= 70 THEN 'pass' WHEN score >= 50 OR content_id % 2 = 0 THEN 'warn' ELSE 'fail' END AS status, score,
-           CASE WHEN content_id % 5 = 4 THEN 'evergreen.llm_error' WHEN content_id % 5 = 1 THEN 'evergreen.llm.problematic_passage' ELSE '' END AS rules
-    FROM (SELECT content_id, CASE WHEN content_id % 5 = 4 THEN 0 ELSE content_id % 101 END::INT AS score FROM ({_ART}))
+           CASE WHEN content_id % 5 = 4 THEN 'evergreen.llm_error' WHEN content_id % 5 = 1 THEN 'evergreen.llm.problematic_passage' ELSE '' END AS rules,
+           CASE WHEN content_id % 5 = 1 THEN h_a ELSE '' END AS excerpt
+    FROM (SELECT content_id, h_a, CASE WHEN content_id % 5 = 4 THEN 0 ELSE content_id % 101 END::INT AS score FROM ({_ART}))
 """)
 def q39_evergreen_judge(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
-    """Replies made from the id: plain or fenced JSON, scores as numbers or text, a passage, or no JSON at all."""
+    """Replies made from id and first heading: plain or fenced JSON, scores as numbers or text, a passage, or no JSON at all."""
     score = (F.col("content_id") % 101).cast("string")
-    passage = F.when(F.col("content_id") % 5 == 1, ', "passages_problematiques": [{"extrait": "a", "probleme": "b"}]').otherwise("")
+    quoted = F.to_json(F.struct(F.col("h_a").alias("extrait"), F.lit("b").alias("probleme")))
+    passage = F.when(F.col("content_id") % 5 == 1, F.concat(F.lit(', "passages_problematiques": ['), quoted, F.lit("]"))).otherwise("")
     reply = F.when(F.col("content_id") % 5 == 4, "no reply").otherwise(F.concat(F.lit('```json\n{"score_global_evergreen": '), F.when(F.col("content_id") % 2 == 0, F.concat(F.lit('"'), score, F.lit('"'))).otherwise(F.concat(score, F.lit(".9"))), passage, F.lit("}\n```")))
     rows = articles(spark, sf_dir).select("content_id", reply.alias("llm_raw_response"), (F.col("content_id") % 2 == 1).alias("evergreen_required"), F.lit("fr-FR").alias("locale"))
-    return evergreen.judge(rows).select("content_id", "evergreen.status", "evergreen.score", _joined(F.col("evergreen.findings.rule_id")).alias("rules"))
+    excerpt = F.coalesce(F.get_json_object(F.get("evergreen.findings", F.lit(0))["evidence"], "$.excerpt"), F.lit(""))
+    return evergreen.judge(rows).select("content_id", "evergreen.status", "evergreen.score", _joined(F.col("evergreen.findings.rule_id")).alias("rules"), excerpt.alias("excerpt"))
 
 
 @_query()
