@@ -8,8 +8,8 @@ slightly negative log-odds of a token outside that list. The linear-time scan fo
 finds the passages of a whole text; a passage counts if its expected number in clean text of that length, K n exp(-lambda S),
 is small. K and lambda are fitted to the best scores of clean texts. Those expectations, summed over the significant
 passages, make the document's evidence, which a logistic curve turns into a probability. K, lambda and the curve rest on
-texts that the list of tokens has not seen: each half of the sample is scored by the list of the other half, copies of a
-text falling into one half; the list that is used then comes from all of it.
+texts that the list of tokens has not seen: each tenth of the sample is scored by the list of the others, copies of a text
+falling into one tenth; the list that is used then comes from all of it.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ MARGIN = 2.0
 #: Best scores of clean texts from TAIL on show how fast chance scores fall off; TAIL_WEIGHT is how many texts the theory counts for.
 TAIL, TAIL_WEIGHT = 1.0, 10
 PREFIXES = (6, 5, 4)
+#: Parts of the training texts, each scored by the list of tokens of the others.
+FOLDS = 10
 _TO_SPACE = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 
 
@@ -156,14 +158,8 @@ def extreme_values(best: list[tuple[float, int]]) -> tuple[float, float]:
     return max(1e-9, min(1.0, (len(tail) + 0.5) * math.exp(lam * TAIL) / max(1, sum(n for _, n in best)))), lam
 
 
-def weigh(docs: list[tuple[list[bytes], int, int]]) -> tuple[dict[bytes, float], float]:
-    """The tokens with a score of their own and that of all others, from (tokens, toxic, sketch) of texts."""
-    counts, seen = {0: Counter(), 1: Counter()}, set()
-    for words, y, key in docs:
-        if (key, y) not in seen:
-            seen.add((key, y))
-            own = set(words)
-            counts[y].update(own.union(*map(prefixes, own)) if own else own)
+def weigh(counts: dict[int, Counter]) -> dict[bytes, float]:
+    """The tokens that have a score of their own, from the number of toxic (1) and clean (0) texts that hold each."""
     n = {y: sum(c.values()) for y, c in counts.items()}
     share = n[1] / max(1, n[0] + n[1])
     need = _needed([counts[0][w] + n1 for w, n1 in counts[1].items()], share)
@@ -178,30 +174,44 @@ def weigh(docs: list[tuple[list[bytes], int, int]]) -> tuple[dict[bytes, float],
             if y * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0)) > need:
                 prior = PRIOR_WEIGHT * y / (n[0] + n[1])
                 odds = [math.log((counts[c][w] + prior) / (n[c] + PRIOR_WEIGHT - counts[c][w] - prior)) for c in (1, 0)]
-                lexicon[w] = odds[0] - odds[1]
-                lexicon[w] = min(lexicon[w], 12.0)
-    scores = _WordScores(lexicon)
-    rate = {}
+                lexicon[w] = min(odds[0] - odds[1], 12.0)
+    return lexicon
+
+
+def _gap(docs: list[tuple[list[bytes], int, int]], lexicon: dict[bytes, float]) -> float:
+    """The log-odds of a token outside the list."""
+    scores, rate = _WordScores(lexicon), {}
     for c in (0, 1):
         hits = [(sum(1 for w in words if scores[w] > 0), len(words)) for words, y, _ in docs if y == c]
         rate[c] = (sum(h for h, _ in hits) + 0.5) / (sum(k for _, k in hits) + 1000)
-    return lexicon, min(-1e-4, math.log((1 - min(rate[1], 0.9)) / (1 - min(rate[0], 0.8))))
+    return min(-1e-4, math.log((1 - min(rate[1], 0.9)) / (1 - min(rate[0], 0.8))))
 
 
 def fit(frame: pd.DataFrame) -> dict:
     """Model of a bounded pandas frame with text and toxic (0 or 1). Rows in the same order give the same model."""
     docs = [(words, int(y), _sketch(words)) for words, y in ((tokens(t), y) for t, y in zip(frame.text, frame.toxic, strict=True))]
+    parts = [{0: Counter(), 1: Counter()} for _ in range(FOLDS)]
+    seen = set()
+    for words, y, key in docs:
+        if (key, y) not in seen:
+            seen.add((key, y))
+            own = set(words)
+            parts[key % FOLDS][y].update(own.union(*map(prefixes, own)) if own else own)
+    whole: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for part in parts:
+        for y in whole:
+            whole[y].update(part[y])
+    lexicon = weigh(whole)
+    gap = _gap(docs, lexicon)
     # Segments of each text by a list of tokens that it has no part in.
+    scores = [_WordScores(weigh({y: whole[y] - part[y] for y in whole})) for part in parts]
     found: list[list[tuple[int, int, float]]] = []
-    by_half = [weigh([d for d in docs if d[2] % 2 != half]) for half in (0, 1)]
-    scores = [_WordScores(lexicon) for lexicon, _ in by_half]
     for words, _, key in docs:
-        own = scores[key % 2]
-        found.append(segments({i: s for i, w in enumerate(words) if (s := own[w])}, len(words), by_half[key % 2][1]))
+        own = scores[key % FOLDS]
+        found.append(segments({i: s for i, w in enumerate(words) if (s := own[w])}, len(words), gap))
     k, lam = extreme_values([(max((x for *_, x in f), default=0.0), max(1, len(words))) for f, (words, y, _) in zip(found, docs, strict=True) if y == 0])
     evidence = [Scorer.evidence(significant(f, len(words), k, lam)) for f, (words, *_) in zip(found, docs, strict=True)]
     a, b = common.logistic(np.column_stack([np.ones(len(docs)), np.log1p(evidence)]), frame.toxic.to_numpy(float))
-    lexicon, gap = weigh(docs)
     return {"lexicon": {w.decode("utf-8", "surrogatepass"): v for w, v in lexicon.items()}, "gap": gap, "k": k, "lam": lam, "a": float(a), "b": float(b)}
 
 
