@@ -1,9 +1,12 @@
 """What a Python worker holds at a time, whatever an Arrow batch holds."""
 
+import random
+import re
+
 import pyarrow as pa
 import pytest
 
-from vellum.functions import html, shares
+from vellum.functions import html, matching, shares
 from vellum.operators import seo
 
 CONTENTS = [f"<p>the {i} Été</p><h2>of {i}</h2><p>que {'the ' * (i % 7)}. A of!</p><h3>x</h3><strong>the</strong>" if i % 5 else "" for i in range(700)]
@@ -38,3 +41,22 @@ def test_slices_of_span_tables_hold_their_own_pages():
         for i in range(5):
             a, b = seo._Pages(part).page(i), seo._Page.of(CONTENTS[at + i])
             assert vars(a) == vars(b)
+
+
+def test_wanted_signals_are_those_of_all():
+    page = seo._Page.of("<p>The été</p><h2>of</h2><p>the que. The of!</p><h2>que</h2><strong>the theme</strong>")
+    of = lambda *wanted, spoken=True: seo._signals(page, "the", ["of", "que"], [], frozenset(wanted), spoken)
+    every = of(*seo._LEXICAL.names)
+    assert of("emphasis") == {"emphasis": every["emphasis"], "parse_error": None} and every["emphasis"]
+    for name in seo._LEXICAL.names:
+        assert of(name)[name] == every[name]
+    assert [p["sentences"] for p in of("paragraphs", spoken=False)["paragraphs"]] == [[]] * len(every["paragraphs"])
+    assert seo._sentences("A b. C! D?E ... f.", "a b. c! d?e ... f.")[1] == ("C!", "c!") and len(seo._sentences("A b. C! D?E ... f.", "a b. c! d?e ... f.")) == 4
+
+
+def test_counts_are_those_of_a_search_for_whole_words():
+    draw = random.Random(3)
+    for _ in range(300):
+        found = "".join(draw.choice(["the", "the", " ", "_", "é", ".", "a a", "²"]) for _ in range(12))
+        for p in ("the", "a a", "a", "the the"):
+            assert matching.count(found, p) == len(re.findall(rf"(?<!\w){p}(?!\w)", found))

@@ -346,13 +346,13 @@ _BODY = "concat_ws(' ', intro, h_a, p_a, 'étude citée', h_b, p_b || dated, h_c
 @_query(f"""SELECT content_id, {_count_sql(_BODY, 'the')} AS lexical_body, {_count_sql('intro', 'the')} AS lexical_introduction,
     ({" + ".join(_count_sql(h, 'the') for h in ('h_a', 'h_b', 'h_c'))})::INT AS lexical_headings, {_count_sql('p_d', 'the')} AS lexical_conclusion, 1 AS emphasis FROM ({_ART})""")
 def q31_keyword_signals(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
-    rows = seo.lexical(_seo_rows(spark, sf_dir, articles))
+    rows = seo.lexical(_seo_rows(spark, sf_dir, articles), signals=("body", "introduction", "headings", "conclusion", "emphasis"))
     return rows.select("content_id", "lexical_body", "lexical_introduction", "lexical_headings", "lexical_conclusion", F.size("lexical_emphasis").alias("emphasis"))
 
 
 @_query(f"SELECT content_id, 'strong' AS tag, 'the' AS keyword, 'the' AS text FROM ({_ART})")
 def q33_keyword_emphasis(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
-    rows = seo.lexical(_seo_rows(spark, sf_dir, articles)).select("content_id", F.explode("lexical_emphasis").alias("e"))
+    rows = seo.lexical(_seo_rows(spark, sf_dir, articles), signals=("emphasis",)).select("content_id", F.explode("lexical_emphasis").alias("e"))
     return rows.select("content_id", "e.tag", "e.keyword", "e.text")
 
 
@@ -364,7 +364,7 @@ _MATCHED = "array_to_string(list_filter(['of', 'que'], lambda k: CASE k WHEN 'of
     FROM (SELECT content_id, "at", h2, {_count_sql("section", 'of')} AS n_of, {_count_sql("section", 'que')} AS n_que FROM ({_SECTION_ROWS}) WHERE "at" < 4)
 """)
 def q32_section_distribution(spark: SparkSession, sf_dir: str, articles: Articles = corpus.articles) -> DataFrame:
-    rows = seo.lexical(_seo_rows(spark, sf_dir, articles)).select("content_id", "lexical_concentrated", F.posexplode("lexical_distribution").alias("at", "s"))
+    rows = seo.lexical(_seo_rows(spark, sf_dir, articles), signals=("distribution", "concentrated")).select("content_id", "lexical_concentrated", F.posexplode("lexical_distribution").alias("at", "s"))
     return rows.select("content_id", "at", "s.h2", _joined(F.col("s.matched")).alias("matched"), F.col("lexical_concentrated").alias("concentrated"))
 
 
