@@ -109,3 +109,17 @@ def test_a_model_that_raises_fails_its_rows_alone(spark, under_way, batch):
 def test_requests_under_way_are_bounded_by_tasks_and_threads(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("prompt"))
     assert services.ask(df, lambda p: p, under_way=3, threads=2).where("llm_raw_response = prompt").count() == 100
+
+
+def test_closeness_is_that_of_the_vectors(spark, tmp_path):
+    """Pairs are measured once each, and rows get numbers: the same ones as from their vectors."""
+    table = spark.createDataFrame([(n, [1.0, n / 2, 0.0]) for n in range(1, 6)], "key int, vector array<float>")
+    rows = [["a", "bb", "ccc", "bb"], ["a", "bb"], ["bb", "a"], ["a"], ["too long"], ["a", "too long", "bb"], ["", "a"], [], None, ["a", None]] * 3
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<string>")
+    for encoder in (services.VectorTable(table, F.length), services.Encoder(lambda: lambda texts: [[1.0, float({"bb": 2}.get(t, len(t)) if len(t) < 4 else 1 / 0), 3.0] for t in texts], batch=2)):
+        full = services.embed(df, "t", encoder, "v", "e").select("i", F.transform(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), lambda x: seo.cosine(F.get("v", F.lit(0)), x)).alias("near"), "e")
+        found = services.closeness(df, "t", encoder, seo.cosine, "near", "e").select("i", "near", "e")
+        given = [i for i, r in enumerate(rows) if r is None or None not in r]
+        assert sorted(map(tuple, found.where(F.col("i").isin(given)).collect())) == sorted(map(tuple, full.where(F.col("i").isin(given)).collect()))
+        assert found.count() == len(rows)
+        assert {r.near for r in found.collect() if rows[r.i] == ["a", None]} == {None}

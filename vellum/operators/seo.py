@@ -284,25 +284,30 @@ def judge(
     # Chunks and sentences are there for an encoder alone.
     chunks = F.array().cast(_CHUNKS) if encoder is None else text.chunks(lex["semantic_text"], chunk_words, chunk_overlap)
     own = own.withColumns({"_sentences": sentences, "_chunks": chunks})
-    vectors = F.lit(None).cast("array<array<double>>")
-    asked = None
+    wide = isinstance(encoder, (services.Encoder, services.VectorTable))
+    if wide:
+        # Texts are written once, as they are asked for; their places remain in the arrays beside them.
+        lean = {"_sentences": F.transform("_sentences", lambda s: s.dropFields("text")), "_chunks": F.transform("_chunks", lambda c: c.dropFields("text")), "_paragraphs": F.transform("_paragraphs", lambda p: p.dropFields("sentences"))}
+    none = F.lit(None).cast("array<array<double>>")
     if encoder is not None:
         asked = F.concat(F.array(lex["keyword"]), F.transform("_chunks", lambda c: c["text"]), F.transform("_sentences", lambda s: s["text"]))
         # An array of one, taken apart again: the optimizer leaves that where it is, so the encoder gets a plain column.
         own = own.withColumn("_asked", F.explode(F.array(asked)))
-    if isinstance(encoder, (services.Encoder, services.VectorTable)):
-        own = services.embed(own, "_asked", encoder, "_vectors", "_unavailable")
-    else:
-        own = own.withColumns({"_vectors": vectors if encoder is None else encoder(F.col("_asked")), "_unavailable": F.lit(None).cast("string")})
     # The keyword's closeness to each chunk, then to each sentence.
-    own = own.withColumn("_near", F.transform(F.slice("_vectors", F.lit(2), F.greatest(F.size("_vectors") - 1, F.lit(0))), lambda v: cosine(F.get("_vectors", F.lit(0)), v)))
+    if wide:
+        own = services.closeness(own.withColumns(lean).drop("lexical_paragraphs", "lexical_body_text", "lexical_semantic_text"), "_asked", encoder, cosine, "_near", "_unavailable")
+        chunk = lambda c: F.struct(c["chunk_id"], F.get("_asked", c["chunk_id"]).alias("text"), c["start_word"], c["end_word"], c["word_count"])
+        own = own.withColumn("_chunks", F.transform("_chunks", chunk).cast(_CHUNKS))
+    else:
+        own = own.withColumns({"_vectors": none if encoder is None else encoder(F.col("_asked")), "_unavailable": F.lit(None).cast("string")})
+        own = own.withColumn("_near", F.transform(F.slice("_vectors", F.lit(2), F.greatest(F.size("_vectors") - 1, F.lit(0))), lambda v: cosine(F.get("_vectors", F.lit(0)), v)))
     ranked = F.zip_with("_chunks", F.slice("_near", F.lit(1), F.size("_chunks")), lambda c, s: F.struct(s.alias("similarity"), (-c["chunk_id"]).alias("later"), c.alias("chunk")))
     best = F.transform(F.slice(F.sort_array(ranked, False), 1, top_chunks), lambda x: F.struct(x["chunk"].alias("chunk"), x["similarity"].alias("similarity")))
     spoken = F.slice("_near", F.size("_chunks") + 1, F.size("_sentences"))
     hits = F.zip_with("_sentences", spoken, lambda e, s: F.struct(e["p"].alias("p"), s.alias("similarity"), (e["exact"] | (s >= rules.SENTENCE_SIMILARITY)).alias("hit"), (~e["exact"] & (s >= rules.SENTENCE_SIMILARITY)).alias("only_near")))
     # Without chunks or sentences there is nothing to ask for, so nothing that is unavailable.
     own = own.withColumns({
-        "_available": F.col("_vectors").isNotNull() | (lex["body_words"] == 0), "_spoken": F.col("_vectors").isNotNull() | (F.size("_paragraphs") == 0),
+        "_available": F.col("_near").isNotNull() | (lex["body_words"] == 0), "_spoken": F.col("_near").isNotNull() | (F.size("_paragraphs") == 0),
         "_top": F.coalesce(best, F.array().cast(f"array<struct<chunk:{_CHUNK},similarity:double>>")), "_hits": hits,
     })
     own = own.withColumns({

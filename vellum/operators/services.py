@@ -77,6 +77,14 @@ class Encoder:
     batch: int = 64
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def named(self, text: Column) -> Column:
+        """What tells texts of one vector from others."""
+        return digest(text)
+
+    def known(self, asked: DataFrame) -> DataFrame:
+        """asked (digest, request) -> digest, uses, vector, failure."""
+        return self.vectors(distinct(asked))
+
     def vectors(self, texts: DataFrame) -> DataFrame:
         """texts (digest, request, uses) -> digest, uses, vector, failure."""
         make, batch_size, name = self.make, self.batch, self.name
@@ -103,6 +111,15 @@ class VectorTable:
     table: DataFrame
     key: Callable[[Column], Column]
 
+    def named(self, text: Column) -> Column:
+        return self.key(text)
+
+    def known(self, asked: DataFrame) -> DataFrame:
+        """asked (digest, a key) -> digest, uses, vector, failure; the texts themselves go nowhere."""
+        table = self.table.select(F.col("key").alias("digest"), F.col("vector").cast("array<double>").alias("vector"))
+        found = asked.groupBy("digest").agg(F.count("*").alias("uses")).join(table, "digest", "left")
+        return found.withColumn("failure", F.when(F.col("vector").isNull(), "no vector"))
+
     def vectors(self, texts: DataFrame) -> DataFrame:
         known = self.table.select(F.col("key").alias("_key"), F.col("vector").cast("array<double>").alias("vector"))
         found = texts.withColumn("_key", self.key(F.col("request"))).join(known, "_key", "left")
@@ -127,6 +144,34 @@ def embed(df: DataFrame, texts: str, encoder: Encoder | VectorTable, vectors: st
     return joined.withColumns({vectors: whole, failure: F.coalesce(failed["failure"], F.when(failed.isNotNull(), "no vector"))}).drop("_row", "_found")
 
 
+def closeness(df: DataFrame, texts: str, encoder: Encoder | VectorTable, measure: Callable[[Column, Column], Column], near: str, failure: str) -> DataFrame:
+    """df -> also `near`, the measure of an array's first text with each of the others in their order, and `failure` as in embed().
+
+    Vectors stay where they are: each distinct pair of a first text and another is measured once, and rows get numbers. If
+    one text of a row fails, the row has a null `near`; null arrays have one without a failure.
+    """
+    keyed = scratch.durable(df.withColumn("_row", F.monotonically_increasing_id()), "embedding-rows")
+    asked = keyed.select("_row", encoder.named(F.get(texts, F.lit(0))).alias("_main"), F.posexplode(texts).alias("_at", "request"))
+    asked = asked.withColumn("digest", encoder.named(F.col("request")))
+    known = scratch.durable(encoder.known(asked), "embedding-vectors")
+    asked = asked.drop("request")
+    pairs = scratch.durable(asked.groupBy("_main", "digest").agg(F.count("*").alias("uses")), "embedding-pairs")
+    mains = pairs.groupBy(F.col("_main").alias("digest")).agg(F.count("*").alias("uses")).join(known.select("digest", F.col("vector").alias("_first")), "digest", "left")
+    pairs = look_up(pairs.withColumnRenamed("uses", "_pair_uses"), known, F.col("_main"))
+    pairs = look_up(pairs.select(F.col("_main").alias("digest"), F.col("digest").alias("_other"), "_pair_uses", "vector", "failure"), mains, F.col("_other"))
+    failed = F.when(F.col("vector").isNull(), F.coalesce("failure", F.lit("no vector")))
+    measured = pairs.select(F.struct(F.col("digest").alias("main"), F.col("_other").alias("other")).alias("digest"), F.col("_pair_uses").alias("uses"), measure(F.col("_first"), F.col("vector")).alias("_near"), failed.alias("_failure"))
+    asked = asked.select("_row", "_at", F.struct(F.col("_main").alias("main"), F.col("digest").alias("other")).alias("digest"))
+    found = look_up(asked, scratch.durable(measured, "embedding-closeness"), F.col("_row"))
+    # A text without a name, as a null key is, meets nothing.
+    found = found.withColumn("_failure", F.coalesce("_failure", F.when(F.col("digest.other").isNull(), "no vector")))
+    found = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "_near", "_failure"))).alias("_found"))
+    joined = keyed.join(found, "_row", "left")
+    failed = F.get(F.filter("_found", lambda x: x["_failure"].isNotNull()), F.lit(0))["_failure"]
+    whole = F.when(failed.isNull(), F.coalesce(F.transform(F.slice("_found", F.lit(2), F.greatest(F.size("_found") - 1, F.lit(0))), lambda x: x["_near"]), F.when(F.col(texts).isNotNull(), F.array().cast("array<double>"))))
+    return joined.withColumns({near: whole, failure: failed}).drop("_row", "_found")
+
+
 def ask(df: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt", reply: str = "llm_raw_response", failure: str = "llm_error", under_way: int = 8, threads: int = 4, batch: int = 1) -> DataFrame:
     """df -> also the model's reply to each prompt and the failure of each request, null if it was answered.
 
