@@ -147,3 +147,14 @@ def test_query(spark, tokenizer):
     found = queries.op13_packing(spark, "/root/testdata/sf0.001").collect()
     padding = check(found, rows, tokenizer)
     assert padding < 0.02 * sum(r.length for r in found)
+
+
+def test_texts_get_the_ids_of_their_own_chunks(tokenizer, monkeypatch):
+    """Ids come from one buffer for all texts of a call, also while what was kept is thrown out."""
+    monkeypatch.setattr(packing, "KEPT", 3)
+    encode = packing._Encoder(PATH)
+    texts = [None, "", " ", "\n\t\r", "a  b\na", "Été’s  x", "\xa0b \x00", "word-9 " * 50, "a b"]
+    for _ in range(3):
+        assert encode(texts) == [np.array(ids_of(tokenizer, t)[:-1], "<u4").tobytes() for t in texts]
+        assert encode([]) == []
+    assert encode.chunks.missing(["a", "neu", "b"]) == ["neu"]

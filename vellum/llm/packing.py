@@ -13,10 +13,11 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,14 +60,19 @@ class _Kept:
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
-    def missing(self, asked: set[str]) -> set[str]:
-        """Those that have to be encoded; the others are there from now on."""
+    def missing(self, asked: Iterable[str]) -> list[str]:
+        """Those of some distinct ones that have to be encoded; the others are there from now on."""
         if len(self.now) >= KEPT:
             self.before, self.now = {k: v for k, v in self.now.items() if len(k) <= KEPT_CHARS}, {}
-        asked = asked.difference(self.now)
-        for key in asked.intersection(self.before) if self.before else ():
-            self.now[key] = self.before[key]
-        return asked.difference(self.before)
+        now, before, new = self.now, self.before, []
+        for key in asked:
+            if key not in now:
+                found = before.get(key)
+                if found is None:
+                    new.append(key)
+                else:
+                    now[key] = found
+        return new
 
 
 class _Encoder:
@@ -112,15 +118,25 @@ class _Encoder:
         if not self.by_chunk:
             return self._whole([t or "" for t in texts])
         # Only blanks that every tokenizer of words takes for white space cut here; others stay inside chunks.
-        rows = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = self.chunks.missing(set().union(*rows))
+        plain = pa.array([t or "" for t in texts], pa.string())
+        for blank in "\n\t\r":
+            plain = pc.replace_substring(plain, blank, " ")
+        rows = pc.split_pattern(plain, " ")
+        coded = rows.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = self.chunks.missing(chunks)
         simple = {c: [c.lower()] if c.isalpha() else _PARTS.findall(c.lower()) for c in new if _SIMPLE.fullmatch(c)}
-        words = list(self.words.missing({w for parts in simple.values() for w in parts}))
+        words = self.words.missing({w for parts in simple.values() for w in parts})
         self.words.now.update(zip(words, self._merged(words), strict=True))
         self.chunks.now.update((c, b"".join(map(self.words.now.__getitem__, parts))) for c, parts in simple.items())
         odd = [c for c in new if c not in simple]
         self.chunks.now.update(zip(odd, self._whole(odd), strict=True))
-        return [b"".join(map(self.chunks.now.__getitem__, row)) for row in rows]
+        # Taken by their numbers, the chunks' ids stand one after another in a single buffer, of which each text has a range.
+        ids = pa.array(map(self.chunks.now.__getitem__, chunks), pa.large_binary(), size=len(chunks)).take(coded.indices)
+        _, ends, data = ids.buffers()
+        bounds = np.frombuffer(ends, np.int64)[rows.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 @functools.cache
@@ -140,7 +156,7 @@ def _cut(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encode, base, n = _encoder(path), TaskContext.get().partitionId() << BITS, 0
         last = np.array([end], "<u4").tobytes()
-        for batch in common.pieces(batches, "text", 2 << 20):
+        for batch in common.pieces(batches, "text", 8 << 20):
             of, columns = [], [[] for _ in kinds]
             for i, found in enumerate(encode(batch.column(batch.schema.get_field_index("text")).to_pylist())):
                 found += last
