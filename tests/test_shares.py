@@ -8,6 +8,7 @@ import pytest
 
 from vellum.functions import html, matching, shares
 from vellum.operators import seo
+from vellum.plans import catalog
 
 CONTENTS = [f"<p>the {i} Été</p><h2>of {i}</h2><p>que {'the ' * (i % 7)}. A of!</p><h3>x</h3><strong>the</strong>" if i % 5 else "" for i in range(700)]
 KEYWORDS = [["the"] * 700, [["of", "que"]] * 700, [None] * 700]
@@ -60,3 +61,18 @@ def test_counts_are_those_of_a_search_for_whole_words():
         found = "".join(draw.choice(["the", "the", " ", "_", "é", ".", "a a", "²"]) for _ in range(12))
         for p in ("the", "a a", "a", "the the"):
             assert matching.count(found, p) == len(re.findall(rf"(?<!\w){p}(?!\w)", found))
+
+
+#: 251 is Spark's number of iterator UDFs over Arrow columns, 250 that of those that get and give a whole batch.
+SHARED = [
+    "q36_overoptimisation_whole",
+]
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_queries_read_documents_in_shares(spark, name, tmp_path):
+    spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "u", "<p>a")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    kinds = {x for line in plan.splitlines() if "ArrowEvalPython" in line for x in re.findall(r"\b25[01]\b", line.rpartition("]")[2])}
+    assert "251" in kinds
