@@ -65,6 +65,7 @@ def test_counts_are_those_of_a_search_for_whole_words():
 
 #: 251 is Spark's number of iterator UDFs over Arrow columns, 250 that of those that get and give a whole batch.
 SHARED = [
+    "q19_conclusion",
     "q20_structure_judge",
     "q20_structure_judge_whole",
     "q15_disallowed_tags",
