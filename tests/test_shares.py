@@ -2,13 +2,14 @@
 
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
 
-from vellum.functions import html, matching, shares
+from vellum.functions import html, matching, shares, text
 from vellum.operators import seo
-from vellum.plans import catalog
+from vellum.plans import catalog, scratch
 
 CONTENTS = [f"<p>the {i} Été</p><h2>of {i}</h2><p>que {'the ' * (i % 7)}. A of!</p><h3>x</h3><strong>the</strong>" if i % 5 else "" for i in range(700)]
 KEYWORDS = [["the"] * 700, [["of", "que"]] * 700, [None] * 700]
@@ -85,3 +86,27 @@ def test_queries_read_documents_in_shares(spark, name, tmp_path):
     plan = catalog.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     kinds = {x for line in plan.splitlines() if "ArrowEvalPython" in line for x in re.findall(r"\b25[01]\b", line.rpartition("]")[2])}
     assert "251" in kinds
+
+
+def test_entities_are_decoded_in_shares():
+    """20 MB of texts were 40 MB of Python strings at once."""
+    texts = pa.array([f"a &amp; {'x' * 4000} {i}" for i in range(5000)] + [None])
+    tracemalloc.start()
+    found = text._unescape.func(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == [f"a & {'x' * 4000} {i}" for i in range(5000)] + [None]
+    assert most < 8 * shares.BYTES
+    assert text._unescape.func(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_whole_evaluations_read_documents_in_shares(spark, tmp_path, monkeypatch):
+    """Of q40, both the table that holds the parsed contents and the judges that read it."""
+    spark.createDataFrame([(1, "a b", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans, durable = [], scratch.durable
+    monkeypatch.setattr(scratch, "durable", lambda df, label: plans.append(df) or durable(df, label))
+    plans.append(catalog.queries()["q40_dimension_report"](spark, str(tmp_path)))
+    for df, step in zip(plans, ("parse", "run"), strict=True):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        kinds = [kind for name, kind in re.findall(r"ArrowEvalPython \[(\w+)\(.*?\], \[pythonUDF\d+[^\]]*\], (25[01])", plan, re.S) if name == step]
+        assert kinds and set(kinds) == {"251"}

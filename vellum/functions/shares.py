@@ -27,3 +27,8 @@ def served(f: Callable[..., pa.Array], batches: Iterator[pa.Array | tuple[pa.Arr
     """f of each share of each batch, for the body of an iterator UDF."""
     for batch in batches:
         yield from (f(*share) for share in cut(batch if isinstance(batch, tuple) else (batch,)))
+
+
+def gathered(f: Callable[..., pa.Array], *columns: pa.Array) -> pa.Array:
+    """f of each share of a batch, together as one array: for UDFs that give a batch for a batch, so that Spark runs several of them in one worker."""
+    return pa.concat_arrays([f(*share) for share in cut(columns)])

@@ -11,13 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from vellum.functions import shares
+
 #: White space as Python's str knows it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
 @F.arrow_udf(StringType())
 def _unescape(texts: pa.Array) -> pa.Array:
-    return pa.array([html.unescape(t) if t is not None else None for t in texts.to_pylist()], pa.string())
+    return shares.gathered(lambda found: pa.array([html.unescape(t) if t is not None else None for t in found.to_pylist()], pa.string()), texts)
 
 
 def unescape(text: Column) -> Column:
