@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -158,3 +160,28 @@ def test_texts_get_the_ids_of_their_own_chunks(tokenizer, monkeypatch):
         assert encode(texts) == [np.array(ids_of(tokenizer, t)[:-1], "<u4").tobytes() for t in texts]
         assert encode([]) == []
     assert encode.chunks.missing(["a", "neu", "b"]) == ["neu"]
+
+
+def test_what_is_kept_is_no_python_object(tokenizer):
+    """20,000 words took a string, a value and two entries each, and as many look-ups one by one in every batch."""
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choice("abcdefgé'1,") for _ in range(9)) for _ in range(200)) for _ in range(100)]
+    encode = packing._Encoder(PATH)
+    encode(["a"])
+    tracemalloc.start()
+    found = encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    del found
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(encode.chunks.now) > 19_000 and kept < 1_000_000
+    assert sorted(encode.chunks.now) == sorted({"a", *(w for t in texts for w in t.split(" "))})
+
+
+def test_small_batches_are_encoded_together():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": range(i, i + 10), "text": ["x" * 100] * 9 + [None]}) for i in range(0, 200, 10)]
+    size = batches[0].nbytes
+    found = list(packing._gathered(iter(batches), 5 * size))
+    assert [b.num_rows for b in found] == [50] * 4 and pa.Table.from_batches(found) == pa.Table.from_batches(batches)
+    assert [b.num_rows for b in packing._gathered(iter(batches), 0)] == [10] * 20
+    assert list(packing._gathered(iter([]), 1)) == []

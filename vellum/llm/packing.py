@@ -5,15 +5,14 @@ dealt by hash to blocks of bounded size; in a block they go, the longest first,
 found by a segment tree over remaining capacities. Only rests are shuffled, each once.
 
 White space separates the words of the tokenizer, so that what stands between blanks can be encoded on its own: a worker
-encodes each distinct chunk, and each word in it, once and looks it up from then on.
+encodes each distinct chunk, and each word in it, once and looks it up from then on, all of a batch at a time in Arrow arrays.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +34,9 @@ _FULL = 1 << 62
 
 
 #: Chunks of letters that compose with nothing and have one lower case, digits and ASCII marks; others go to the tokenizer itself.
-_SIMPLE = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]*")
+_SIMPLE = r"\A[\x21-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+\z"
 #: The pattern of _SPLIT, for such chunks in lower case.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\U0010ffff]+|[0-9]|[^a-z0-9\x80-\U0010ffff]+")
+_PARTS = r"('s|'t|'re|'ve|'m|'ll|'d|[a-z\x{80}-\x{10ffff}]+|[0-9]|[^a-z0-9\x{80}-\x{10ffff}]+)"
 #: What a tokenizer must do before its merges for chunks to be encoded one by one.
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = [
@@ -53,26 +52,67 @@ def _letters() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
+def _ranges(ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """Binary values that stand one after another in a buffer, the first from 0 on; ends has 0 before their ends."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), data])
+
+
+def _bounds(values: pa.Array) -> np.ndarray:
+    """Where the values of a binary array begin and end in its buffer."""
+    return np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+
+
+def _places(first: pa.Array) -> np.ndarray:
+    """Where each of some values stands once those that are first are put before the others."""
+    first = first.to_numpy(zero_copy_only=False).astype(bool)
+    return np.where(first, np.cumsum(first), first.sum() + np.cumsum(~first)) - 1
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Ids:
+    """Distinct texts and the ids of each, side by side in Arrow arrays: a tenth of what Python objects would take."""
+
+    def __init__(self, keys: pa.Array | None = None, ids: pa.Array | None = None):
+        self.keys = pa.array([], pa.string()) if keys is None else keys
+        self.ids = pa.array([], pa.large_binary()) if ids is None else ids
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_strings(self.keys))
+
+    def add(self, keys: pa.Array, ids: pa.Array) -> None:
+        if len(keys):
+            self.keys, self.ids = pa.concat_arrays([self.keys, keys]), pa.concat_arrays([self.ids, ids])
+
+
 class _Kept:
     """What has been encoded; when there is no more room, what was not asked for since the last time goes."""
 
     def __init__(self):
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.now, self.before = _Ids(), _Ids()
+
+    def missing(self, asked: list[str]) -> list[str]:
+        """Those of some texts that would have to be encoded."""
+        asked = pa.array(asked, pa.string())
+        return _strings(asked.filter(pc.invert(pc.or_(pc.is_in(asked, self.now.keys), pc.is_in(asked, self.before.keys)))))
 
-    def missing(self, asked: Iterable[str]) -> list[str]:
-        """Those of some distinct ones that have to be encoded; the others are there from now on."""
+    def of(self, asked: pa.Array, encode: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        """The ids of each of some distinct texts; encode gives those of texts that aren't there."""
         if len(self.now) >= KEPT:
-            self.before, self.now = {k: v for k, v in self.now.items() if len(k) <= KEPT_CHARS}, {}
-        now, before, new = self.now, self.before, []
-        for key in asked:
-            if key not in now:
-                found = before.get(key)
-                if found is None:
-                    new.append(key)
-                else:
-                    now[key] = found
-        return new
+            short = pc.less_equal(pc.utf8_length(self.now.keys), KEPT_CHARS)
+            self.before, self.now = _Ids(self.now.keys.filter(short), self.now.ids.filter(short)), _Ids()
+        n, at = len(self.now), pc.index_in(asked, self.now.keys)
+        absent = asked.filter(at.is_null())
+        old = pc.index_in(absent, self.before.keys)
+        new = absent.filter(old.is_null())
+        self.now.add(absent.filter(old.is_valid()), self.before.ids.take(old.drop_null()))
+        self.now.add(new, encode(new))
+        return self.now.ids.take(pc.replace_with_mask(at, at.is_null(), pa.array(n + _places(old.is_valid()), pa.int32())))
 
 
 class _Encoder:
@@ -103,16 +143,29 @@ class _Encoder:
         found = (self.tokenizer.encode_batch_fast(texts[at : at + 1_000], add_special_tokens=False) for at in range(0, len(texts), 1_000))
         return [np.array(e.ids, "<u4").tobytes() for part in found for e in part]
 
-    def _merged(self, words: list[str]) -> Iterator[bytes]:
+    def _merged(self, words: pa.Array) -> pa.Array:
         """Ids of words that are in lower case and parts of their own."""
+        found = [np.zeros(0, "<u4")]
         for at in range(0, len(words), 500):
-            shown = [w if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in words[at : at + 500]]
-            ids = np.array(self.merges.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) != len(shown):
-                raise ValueError("the tokenizer's words don't end where they should")
-            data = ids.tobytes()
-            yield from (data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            shown = [w if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in _strings(words[at : at + 500])]
+            found.append(np.array(self.merges.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4"))
+        ids = np.concatenate(found)
+        ends = np.r_[0, (np.flatnonzero(self.ends[ids]) + 1) * 4]
+        if len(ends) != len(words) + 1:
+            raise ValueError("the tokenizer's words don't end where they should")
+        return _ranges(ends, pa.py_buffer(ids))
+
+    def _parted(self, chunks: pa.Array) -> pa.Array:
+        """Ids of simple chunks: those of their words, one after another."""
+        parts = pc.split_pattern(pc.ascii_rtrim(pc.replace_substring_regex(pc.utf8_lower(chunks), _PARTS, r"\1 "), " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        ids = self.words.of(coded.dictionary, self._merged).take(coded.indices)
+        return _ranges(_bounds(ids)[parts.offsets.to_numpy()], ids.buffers()[2])
+
+    def _chunks(self, chunks: pa.Array) -> pa.Array:
+        simple = pc.match_substring_regex(chunks, _SIMPLE)
+        plain, odd = chunks.filter(simple), chunks.filter(pc.invert(simple))
+        return pa.concat_arrays([self._parted(plain), pa.array(self._whole(_strings(odd)), pa.large_binary())]).take(pa.array(_places(simple)))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_chunk:
@@ -123,19 +176,9 @@ class _Encoder:
             plain = pc.replace_substring(plain, blank, " ")
         rows = pc.split_pattern(plain, " ")
         coded = rows.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        new = self.chunks.missing(chunks)
-        simple = {c: [c.lower()] if c.isalpha() else _PARTS.findall(c.lower()) for c in new if _SIMPLE.fullmatch(c)}
-        words = self.words.missing({w for parts in simple.values() for w in parts})
-        self.words.now.update(zip(words, self._merged(words), strict=True))
-        self.chunks.now.update((c, b"".join(map(self.words.now.__getitem__, parts))) for c, parts in simple.items())
-        odd = [c for c in new if c not in simple]
-        self.chunks.now.update(zip(odd, self._whole(odd), strict=True))
         # Taken by their numbers, the chunks' ids stand one after another in a single buffer, of which each text has a range.
-        ids = pa.array(map(self.chunks.now.__getitem__, chunks), pa.large_binary(), size=len(chunks)).take(coded.indices)
-        _, ends, data = ids.buffers()
-        bounds = np.frombuffer(ends, np.int64)[rows.offsets.to_numpy()].tolist()
-        data = memoryview(data or b"")
+        ids = self.chunks.of(coded.dictionary, self._chunks).take(coded.indices)
+        bounds, data = _bounds(ids)[rows.offsets.to_numpy()].tolist(), memoryview(ids.buffers()[2] or b"")
         return [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
@@ -145,6 +188,18 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together, as long as they have no more bytes: what is looked up in is hashed once for each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _cut(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
     """docs (doc_id, text) -> its pieces: doc_id, start, length, doc_tokens, ids, piece (a number) and, for full windows, sequence_id."""
     schema = docs.select("doc_id").withColumns({c: F.lit(None).cast(t) for c, t in (("start", "long"), ("length", "long"), ("doc_tokens", "long"), ("ids", "binary"), ("piece", "long"), ("sequence_id", "long"))}).schema
@@ -156,7 +211,7 @@ def _cut(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encode, base, n = _encoder(path), TaskContext.get().partitionId() << BITS, 0
         last = np.array([end], "<u4").tobytes()
-        for batch in common.pieces(batches, "text", 8 << 20):
+        for batch in _gathered(common.pieces(batches, "text", 8 << 20), 16 << 20):
             of, columns = [], [[] for _ in kinds]
             for i, found in enumerate(encode(batch.column(batch.schema.get_field_index("text")).to_pylist())):
                 found += last
