@@ -78,3 +78,28 @@ def test_components(spark):
     found = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long"), "test").collect()}
     assert found == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 150: 150, 170: 150, 200: 150}
     assert graph.components(spark.createDataFrame([], "u long, v long"), "none").count() == 0
+
+
+def test_signatures_and_texts_are_not_shuffled_again(spark, docs, monkeypatch):
+    """Band keys were cut after a join of whole signatures with their classes, and texts were joined with the leaders that they meet."""
+    plans = {}
+    plain = near_dedup.common.durable
+
+    def durable(df, label):
+        if label in ("shared-bands", "stars-linked-edges"):
+            plans[label] = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return plain(df, label)
+
+    monkeypatch.setattr(near_dedup.common, "durable", durable)
+    words = [[f"w{i}x{j}" for j in range(60)] for i in range(10)]
+    rows = [(100 * i + k, " ".join(w[:59] + ([f"new{k // 2}"] if k else w[59:]))) for i, w in enumerate(words) for k in range(4)]  # 2 and 3 are copies
+    found = {r.doc_id: r.component_id for r in near_dedup.groups(docs(rows)).collect()}
+    assert found == {i: i // 100 * 100 for i, _ in rows}
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    lines = plans["shared-bands"]
+    cuts = [i for i, x in enumerate(lines) if "Generate explode(keys" in x]
+    assert cuts
+    for i in cuts:
+        below = [x for j, x in enumerate(lines) if j > i and all(depth(y) > depth(lines[i]) for y in lines[i + 1 : j + 1])]
+        assert below and not any("Join" in x for x in below)
+    assert not any("Join" in x for x in plans["stars-linked-edges"])

@@ -3,7 +3,7 @@
 A document's set holds the 64-bit hashes of its word shingles. Under each of a number of permutations both the smallest
 and the largest value are kept, so that half the hash evaluations give a signature of the same length; either value
 agrees between two sets with probability equal to their Jaccard similarity. Bands take five values of different
-permutations. Documents with equal sets form a class, and one row of it, the class's node, goes on. Exact set
+permutations. Documents with equal sets form a class, of which only one row, its node, is compared. Exact set
 intersections confirm links in rounds, so that a group of many copies costs in proportion to its size: first each node
 meets the leaders (smallest nodes of a band) that it shares most bands with; in bands that then still hold several
 components, the nodes outside the largest one meet those of other components; bands with many such nodes leave their
@@ -166,15 +166,19 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Distinct pairs (doc_id, n, hub), n the size of doc_id's set -> u, v: those whose full sets are similar enough.
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (doc_id, n, hub), n the size of doc_id's set -> hub, part, doc_id: who meets where.
 
     A hub's text meets its partners in parts of bounded size, so a hub with very many partners is spread over tasks.
     """
     parts = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
     partners = pairs.join(parts, "hub").select("hub", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.col("parts")).cast("int").alias("part"), "doc_id")
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("doc_id"))
-    dealt = partners.unionByName(hubs).join(texts, "doc_id").select("hub", "part", "doc_id", "text")
+    return partners.unionByName(hubs)
+
+
+def _confirm_pairs(dealt: DataFrame, width: int, percent: int) -> DataFrame:
+    """dealt (hub, part, doc_id, text) -> u, v: the pairs whose full sets are similar enough."""
     shingler = Shingler(width)
 
     # Most groups are a few rows, for which Arrow tables cost less than pandas frames.
@@ -186,7 +190,7 @@ def _confirm_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int)
         linked = np.array([not h and any(_similar(s, c, percent) for c in centres) for s, h in zip(sets, is_hub, strict=True)], bool)
         return pa.table({"u": ids[linked], "v": hubs[linked]})
 
-    return dealt.groupBy("hub", "part").applyInArrow(confirm, "u long, v long")
+    return dealt.select("hub", "part", "doc_id", "text").groupBy("hub", "part").applyInArrow(confirm, "u long, v long")
 
 
 def _confirm_blocks(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -207,28 +211,38 @@ def _confirm_blocks(members: DataFrame, texts: DataFrame, width: int, percent: i
     return dealt.groupBy("root", "x", "y").applyInArrow(confirm, "u long, v long")
 
 
-def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """reps (node, doc_id, text_key, n_shingles, keys) -> u, v: confirmed links of nodes whose components are those of all links between nodes that share a band.
+def _links(sets: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """sets (row, doc_id, text_key, n_shingles, keys), nodes (node) -> u, v: confirmed links of nodes whose components are those of all links between nodes that share a band.
 
-    From here on doc_id stands for the node.
+    From here on doc_id stands for the row, and for the node once copies have left.
     """
-    bands = reps.select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    # Keys are cut where the signatures lie. Copies leave in the shared bands, which are few, so that no signature is shuffled
+    # for it; they share all bands of their node, whose row is the smallest of theirs, so that leaders are nodes. (A semi-join
+    # would be moved below the cut.)
+    bands = sets.select(F.col("row").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     # A node's number of shingles goes with it: min_by() keeps both in buffers of fixed size.
     leaders = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.min_by("n", "doc_id").alias("leader_n"), F.max("doc_id").alias("last"))
     leaders = leaders.where("leader <> last").select("key", "leader", "leader_n")
-    shared = common.durable(bands.join(leaders, "key").select("key", "leader", "leader_n", "doc_id", "n"), "shared-bands")
+    led = bands.join(leaders, "key").where("doc_id <> leader").join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
+    led = common.durable(led.select("key", "leader", "leader_n", "doc_id", "n"), "shared-bands")
+    shared = led.unionByName(led.select("key", "leader", "leader_n", F.col("leader").alias("doc_id"), F.col("leader_n").alias("n")).distinct())
     # Sets of too different sizes can't be similar enough, whatever they hold: such pairs are not compared.
     sized = lambda n, m: 100 * F.least(F.col(n), F.col(m)) >= percent * F.greatest(F.col(n), F.col(m))
-    sizes = shared.groupBy("doc_id").agg(F.max("n").alias("n"))
-    rows = reps.join(sizes.select(F.col("doc_id").alias("node")), "node", "left_semi").select("node", "doc_id", "text_key")
-    texts = _named(docs).join(rows, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text")
-    texts = common.durable(texts, "shared-texts")
+    sizes = led.select("doc_id", "n").unionByName(led.select(F.col("leader").alias("doc_id"), F.col("leader_n").alias("n"))).groupBy("doc_id").agg(F.max("n").alias("n"))
 
     # First each document meets the leaders that it shares most bands with, which connects most groups.
-    counted = shared.where("doc_id <> leader").where(sized("n", "leader_n")).groupBy("doc_id", "leader").agg(F.max("n").alias("n"), F.count("*").alias("bands"))
+    counted = led.where(sized("n", "leader_n")).groupBy("doc_id", "leader").agg(F.max("n").alias("n"), F.count("*").alias("bands"))
     nearest = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("bands"), "leader"))
     stars = common.durable(counted.withColumn("at", nearest).where(F.col("at") <= NEAREST_LEADERS).select("doc_id", "n", F.col("leader").alias("hub")), "stars")
-    joined = graph.components(_confirm_pairs(stars, texts, width, percent), "stars-linked")
+
+    # A text is fetched together with the places where it first meets others: no join brings the two together afterwards.
+    meets = _dealt(stars).groupBy("doc_id").agg(F.collect_list(F.struct("hub", "part")).alias("meets")).withColumnRenamed("doc_id", "node")
+    rows = sets.select(F.col("row").alias("node"), "doc_id", "text_key").join(sizes.select(F.col("doc_id").alias("node")), "node", "left_semi").join(meets, "node", "left")
+    texts = _named(docs).join(rows, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select(F.col("node").alias("doc_id"), "text", "meets")
+    texts = common.durable(texts, "shared-texts")
+    first = texts.select("doc_id", "text", F.explode("meets").alias("meet")).select("meet.hub", "meet.part", "doc_id", "text")
+    joined = graph.components(_confirm_pairs(first, width, percent), "stars-linked")
+    texts = texts.select("doc_id", "text")
 
     # Only bands that still hold several components are open, and in those only pairs of different components.
     named = shared.join(joined.withColumnsRenamed({"node": "doc_id", "root": "part"}), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
@@ -241,7 +255,7 @@ def _links(reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFr
     crossing = named.join(outside, "key").where("part <> hub_part and (part = main or doc_id > hub)").where(sized("n", "hub_n")).groupBy("doc_id", "hub").agg(F.max("n").alias("n"))
     met = stars.select(F.col("doc_id").alias("high"), F.col("hub").alias("low"))
     untried = crossing.join(met, (F.greatest("doc_id", "hub") == F.col("high")) & (F.least("doc_id", "hub") == F.col("low")), "left_anti")
-    across = _confirm_pairs(common.durable(untried, "crossing"), texts, width, percent)
+    across = _confirm_pairs(_dealt(common.durable(untried, "crossing")).join(texts, "doc_id"), width, percent)
 
     # Bands with many documents outside their largest component: blocks of their candidate groups meet.
     many = open_bands.where(F.col("outside") > FEW_OUTSIDE).select("key")
@@ -261,8 +275,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed = common.durable(signed, "signatures")
     sets = signed.where("digest is not null and doc_id is not null")
     classes = common.durable(sets.groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.min("row").alias("node")), "classes")
-    reps = sets.join(classes.select("node"), F.col("row") == F.col("node")).select("node", "doc_id", "text_key", "n_shingles", "keys")
-    linked = graph.components(_links(reps, docs, width, percent), "linked")
+    linked = graph.components(_links(sets, classes.select("node"), docs, width, percent), "linked")
     # Only linked nodes look up their component's smallest doc_id, salted, as a component may hold a large share of them.
     members = linked.join(classes.select("node", "smallest"), "node")
     names = members.groupBy("root").agg(F.min("smallest").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(graph.SALT - 1))))
